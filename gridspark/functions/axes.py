@@ -76,7 +76,7 @@ def coordinates(spark: SparkSession, n_lat: int = 361, n_lon: int = 720,
         linspace(*lon_range, n_lon).alias("longitude"))
 
 
-def describe_grid(df: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+def describe_grid(df: DataFrame, lat: str = "latitude", lon: str = "longitude", keep=()) -> DataFrame:
     """Size, corners, increments and scan direction from two coordinate arrays."""
 
     def first(c):
@@ -86,7 +86,7 @@ def describe_grid(df: DataFrame, lat: str = "latitude", lon: str = "longitude")
         return F.when(F.size(c) > 1, F.abs(F.element_at(c, 2).cast("double") - first(c))).otherwise(0.0)
 
     return df.select(
-        F.size(lat).alias("n_lat"), F.size(lon).alias("n_lon"),
+        *keep, F.size(lat).alias("n_lat"), F.size(lon).alias("n_lon"),
         first(lat).alias("lat_first"), F.element_at(lat, -1).cast("double").alias("lat_last"),
         first(lon).alias("lon_first"), F.element_at(lon, -1).cast("double").alias("lon_last"),
         increment(lat).alias("lat_increment"), increment(lon).alias("lon_increment"),

@@ -18,16 +18,20 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def attach(rows: DataFrame, small: DataFrame, keys: list[str], salts: int = 16,
-           limit: int = BROADCAST_ROWS) -> DataFrame:
+def fits(small: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Is ``small``, a written table of narrow rows, small enough to be broadcast?"""
+    return small.limit(limit + 1).count() <= limit
+
+
+def attach(rows: DataFrame, small: DataFrame, keys: list[str], broadcast: bool,
+           salts: int = 16) -> DataFrame:
     """Add the columns of ``small`` (one row per key) to every row; other rows go.
 
-    ``small`` should be a written table, as its rows are counted here. With at most
-    ``limit`` of them it is broadcast and ``rows`` does not move. Otherwise both
-    sides shuffle on (key, salt), so a key that holds a third of the rows is spread
-    over ``salts`` tasks.
+    With ``broadcast``, to be decided by ``fits``, ``rows`` does not move. Otherwise
+    both sides shuffle on (key, salt), so a key that holds a third of the rows is
+    spread over ``salts`` tasks.
     """
-    if small.limit(limit + 1).count() <= limit:
+    if broadcast:
         return join_on(rows, F.broadcast(small), keys, "inner")
     others = [c for c in rows.columns if c not in keys]
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"))

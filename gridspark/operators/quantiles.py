@@ -11,9 +11,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gridspark.operators.joins import attach, join_on
+from gridspark.operators.joins import attach, fits, join_on
 from gridspark.runtime import materialise
 
+BUFFER_ROWS = 1_000_000
+MAX_GROUPS_SENT = 10_000
 BAND = 0.001
 ACCURACY = 10_000
 
@@ -30,22 +32,29 @@ def _rank(p: float, n: Column, method: str) -> Column:
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                    method: str = "linear") -> DataFrame:
+                    method: str = "linear", buffer_rows: int = BUFFER_ROWS) -> DataFrame:
     """One row per group: the keys and a DOUBLE column per entry of ``probs``.
 
     ``linear`` interpolates between neighbours, ``nearest`` takes the element at the
-    rounded rank. NULL values are ignored; a group without values has no row.
+    rounded rank. NULL values are ignored; a group without values has no row. If all
+    groups together have at most ``buffer_rows`` values, one buffer can hold them and
+    the built-in ``percentile`` does it in one pass.
     """
-    keys = keys or ["_all"]
-    rows = df if keys != ["_all"] else df.withColumn("_all", F.lit(0))
-    rows = (rows.select(*keys, F.col(value).cast("double").alias("_x"))
+    if not keys:
+        whole = df.withColumn("_all", F.lit(0))
+        return exact_quantiles(whole, ["_all"], value, probs, method, buffer_rows).drop("_all")
+    rows = (df.select(*keys, F.col(value).cast("double").alias("_x"))
             .where(F.col("_x").isNotNull()))
+    if method == "linear" and rows.limit(buffer_rows + 1).count() <= buffer_rows:
+        return rows.groupBy(*keys).agg(*[F.percentile("_x", p).alias(n) for n, p in probs.items()])
 
     cuts = sorted({min(1.0, max(0.0, p + d)) for p in probs.values() for d in (-BAND, 0.0, BAND)})
     sketch = rows.groupBy(*keys).agg(
         F.count("*").alias("_n"),
         F.array_sort(F.array_distinct(F.percentile_approx("_x", cuts, ACCURACY))).alias("_cuts"))
-    placed = (attach(rows, materialise(sketch, "sketch"), keys)
+    sketch = materialise(sketch, "sketch")
+    few = fits(sketch, MAX_GROUPS_SENT)
+    placed = (attach(rows, sketch, keys, few)
               .withColumn("_interval", F.size(F.filter("_cuts", lambda c: c < F.col("_x"))))
               .drop("_cuts"))
 
@@ -64,8 +73,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         .select(*keys, "_interval", "_start", "_name", "_rank", "_pick"), "targets")
 
     # Only the intervals that hold a wanted rank are sorted, ties folded first.
+    # No more than two per group and quantile.
     hit = targets.select(*keys, "_interval").distinct()
-    values = (attach(placed.drop("_n"), hit, [*keys, "_interval"])
+    values = (attach(placed.drop("_n"), hit, [*keys, "_interval"], few)
               .groupBy(*keys, "_interval", "_x").agg(F.count("*").alias("_c")))
     upto = Window.partitionBy(*keys, "_interval").orderBy("_x")
     placed_values = values.withColumn("_end", F.sum("_c").over(upto))
@@ -80,5 +90,4 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         weight = F.max(F.when(mine, F.col("_rank") - F.floor("_rank")))
         return below + (above - below) * weight
 
-    result = found.groupBy(*keys).agg(*[at(name).alias(name) for name in probs])
-    return result.drop("_all")
+    return found.groupBy(*keys).agg(*[at(name).alias(name) for name in probs])

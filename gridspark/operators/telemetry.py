@@ -159,14 +159,15 @@ def release_timing(log: DataFrame, keys: Sequence[str], column: str) -> DataFram
 
 # -- latency ------------------------------------------------------------------------
 
-def latency_percentiles(events: DataFrame, keys: Sequence[str] = (), method: str = "nearest") -> DataFrame:
-    """count, p50, p90, p99 and max of ``latency_ms``."""
+def latency_percentiles(events: DataFrame, keys: Sequence[str] = (), method: str = "nearest",
+                        **options) -> DataFrame:
+    """count, p50, p90, p99 and max of ``latency_ms``; ``options`` go to ``exact_quantiles``."""
     keys = list(keys) or ["_all"]
     rows = events if keys != ["_all"] else events.withColumn("_all", F.lit(0))
     summary = rows.groupBy(*keys).agg(
         F.count("latency_ms").alias("count"), F.max("latency_ms").alias("max_ms"))
     quantiles = exact_quantiles(rows, keys, "latency_ms",
-                                {"p50_ms": 0.5, "p90_ms": 0.9, "p99_ms": 0.99}, method)
+                                {"p50_ms": 0.5, "p90_ms": 0.9, "p99_ms": 0.99}, method, **options)
     return join_on(summary, quantiles, keys).drop("_all")
 
 

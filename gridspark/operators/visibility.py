@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridspark.functions.axes import StepAxis, with_step_index
 from gridspark.functions.scalars import is_missing, latency_ms
-from gridspark.operators.joins import attach, pending
+from gridspark.operators.joins import attach, fits, pending
 from gridspark.runtime import materialise
 
 __all__ = ["all_available", "from_polls", "join", "pending", "wait_result"]
@@ -35,7 +35,8 @@ def from_polls(polls: DataFrame, key: str = "file_id", until: Column | None = No
         F.min(F.when(~is_missing("value"), F.col("poll_ts"))).alias("consumer_visible_utc"))
     open_poll = F.col("consumer_visible_utc").isNull() | (
         F.col("poll_ts") < F.col("consumer_visible_utc"))
-    rows = attach(seen.select(key, "poll_ts", "value"), materialise(first, "first-seen"), [key])
+    first = materialise(first, "first-seen")
+    rows = attach(seen.select(key, "poll_ts", "value"), first, [key], fits(first))
     counts = rows.groupBy(key, "consumer_visible_utc").agg(
         F.count_if(open_poll).alias("na_poll_count"))
     return counts.withColumn(

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from gridspark.functions.naming import cf_name
 from gridspark.functions.scalars import grib_time, member_index, valid_time
@@ -54,40 +56,33 @@ def _rows(path, size, context, decoder, bands, with_values) -> Iterator[dict]:
         yield base | {"decode_error": f"{type(e).__name__}: {e}"}
 
 
-def _decode(decoder: Callable, bands: int | None, with_values: bool, columns: Sequence[str],
+def _decode(decoder: Callable, bands: int | None, with_values: bool, schema: pa.Schema,
             context_columns: Sequence[str], batch_bytes: int = 32 << 20):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def frame(rows):
-            out = pd.DataFrame(rows, columns=list(columns))
-            for c in out.columns:
-                if c not in ("source_path", "short_name", "cf_var", "values", "decode_error"):
-                    out[c] = out[c].astype("Int32")
-            return out
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pending, held = [], 0
-            for record in batch.to_dict("records"):
+            for record in batch.to_pylist():
                 context = {k: record[k] for k in context_columns}
                 for row in _rows(record["path"], record.get("size"), context, decoder, bands, with_values):
                     pending.append(row)
-                    held += row["values"].nbytes if row.get("values") is not None else 256
+                    held += row["values"].nbytes if "values" in row else 256
                     if held >= batch_bytes:
-                        yield frame(pending)
+                        yield pa.RecordBatch.from_pylist(pending, schema)
                         pending, held = [], 0
             if pending:
-                yield frame(pending)
+                yield pa.RecordBatch.from_pylist(pending, schema)
     return run
 
 
 def _scan(files: DataFrame, decoder: str | Callable, bands: int | None, with_values: bool) -> DataFrame:
     decode = DECODERS[decoder] if isinstance(decoder, str) else decoder
-    schema = T._parse_datatype_string(MESSAGE.format(values="values array<float>, " if with_values else ""))
+    schema = StructType.fromDDL(MESSAGE.format(values="values array<float>, " if with_values else ""))
     context = [c for c in CONTEXT if c in files.columns]
     given = files.select("path", *(["size"] if "size" in files.columns else []), *context)
     tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # One row per file: this moves names, not data, and spreads the reading evenly.
-    return given.repartition(tasks, F.xxhash64("path")).mapInPandas(
-        _decode(decode, bands, with_values, schema.names, context), schema)
+    return given.repartition(tasks, F.xxhash64("path")).mapInArrow(
+        _decode(decode, bands, with_values, to_arrow_schema(schema), context), schema)
 
 
 def _described(messages: DataFrame) -> DataFrame:

@@ -6,50 +6,59 @@ import base64
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gridspark.operators.ranking import concat_index
 from gridspark.sources.files import match
 from gridspark.sources.messages import DECODERS
 
-CHUNK_REFS = ("ref_set string, variable string, chunk_key string, path string, "
-              "offset long, length long, inline string")
-INDEXED = CHUNK_REFS + ", error string"
+INDEXED = T.StructType([
+    T.StructField("ref_set", T.StringType()),
+    T.StructField("variable", T.StringType()),
+    T.StructField("chunk_key", T.StringType()),
+    T.StructField("path", T.StringType()),
+    T.StructField("offset", T.LongType()),
+    T.StructField("length", T.LongType()),
+    T.StructField("inline", T.StringType()),
+    T.StructField("error", T.StringType()),
+])
 
 
-def _index(decoder: Callable, threshold: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from gridspark.sources.files import open_input
+def _file_refs(path: str, decoder: Callable, threshold: int) -> list[dict]:
+    from gridspark.sources.files import open_input
 
-        columns = [c.split()[0] for c in INDEXED.split(", ")]
+    rows = []
+    with open_input(path) as file:
+        for member, m in enumerate(decoder(file, file.size(), {})):
+            variable = m.header.get("cfVarName") or m.header["shortName"]
+            if member == 0:
+                coordinates = {"step": m.header["step"], "reference": m.header["dataDate"],
+                               "shape": f"{m.header['Nj']}x{m.header['Ni']}"}
+                rows += [{"ref_set": path, "variable": name, "chunk_key": f"{name}/0", "inline": str(value)}
+                         for name, value in coordinates.items()]
+            entry = {"ref_set": path, "variable": variable, "chunk_key": f"{variable}/{member}.0.0"}
+            if m.length < threshold:
+                file.seek(m.offset)
+                entry["inline"] = "base64:" + base64.b64encode(file.read(m.length)).decode()
+            else:
+                entry |= {"path": path, "offset": m.offset, "length": m.length}
+            rows.append(entry)
+    if not rows:
+        raise ValueError("no message in file")
+    return rows
+
+
+def _index(decoder: Callable, threshold: int, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch["path"]:
-                rows = []
+            for path in batch.column("path").to_pylist():
                 try:
-                    with open_input(path) as file:
-                        for member, m in enumerate(decoder(file, file.size(), {})):
-                            variable = m.header.get("cfVarName") or m.header["shortName"]
-                            if member == 0:
-                                coordinates = {
-                                    "step": m.header["step"], "reference": m.header["dataDate"],
-                                    "shape": f"{m.header['Nj']}x{m.header['Ni']}"}
-                                rows += [{"ref_set": path, "variable": name, "chunk_key": f"{name}/0",
-                                          "inline": str(value)} for name, value in coordinates.items()]
-                            entry = {"ref_set": path, "variable": variable,
-                                     "chunk_key": f"{variable}/{member}.0.0"}
-                            if m.length < threshold:
-                                file.seek(m.offset)
-                                data = base64.b64encode(file.read(m.length)).decode()
-                                rows.append(entry | {"inline": f"base64:{data}"})
-                            else:
-                                rows.append(entry | {"path": path, "offset": m.offset, "length": m.length})
-                        if not rows:
-                            raise ValueError("no message in file")
+                    rows = _file_refs(path, decoder, threshold)
                 except Exception as e:  # a bad file is a result row
                     rows = [{"ref_set": path, "error": f"{type(e).__name__}: {e}"}]
-                out = pd.DataFrame(rows, columns=columns)
-                yield out.astype({"offset": "Int64", "length": "Int64"})
+                yield pa.RecordBatch.from_pylist(rows, schema)
     return run
 
 
@@ -62,7 +71,7 @@ def index_files(files: DataFrame, decoder: str | Callable = "framed", inline_thr
     decode = DECODERS[decoder] if isinstance(decoder, str) else decoder
     tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (files.select("path").repartition(tasks, F.xxhash64("path"))
-            .mapInPandas(_index(decode, inline_threshold), INDEXED))
+            .mapInArrow(_index(decode, inline_threshold, to_arrow_schema(INDEXED)), INDEXED))
 
 
 def index_summary(indexed: DataFrame) -> DataFrame:
@@ -127,27 +136,28 @@ def open_many(spark: SparkSession, folder: str) -> DataFrame:
     return concat_index(load_json(spark, folder), "ref_set")
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from gridspark.sources.files import open_input
 
     path, file = None, None
     try:
         for batch in batches:
+            wanted = zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "length", "inline")))
             values = []
-            for row in batch.itertuples(index=False):
-                if isinstance(row.inline, str):
-                    data = (base64.b64decode(row.inline[7:]) if row.inline.startswith("base64:") else b"")
+            for where, offset, length, inline in wanted:
+                if inline is not None:
+                    data = base64.b64decode(inline[7:]) if inline.startswith("base64:") else b""
                 else:
-                    if row.path != path:
+                    if where != path:
                         if file is not None:
                             file.close()
-                        path, file = row.path, open_input(row.path)
-                    file.seek(int(row.offset))
-                    data = file.read(int(row.length))
-                    if len(data) != row.length:
-                        raise ValueError(f"{row.path} ends before {row.offset} + {row.length}")
+                        path, file = where, open_input(where)
+                    file.seek(offset)
+                    data = file.read(length)
+                    if len(data) != length:
+                        raise ValueError(f"{where} ends before {offset} + {length}")
                 values.append(np.frombuffer(data, "<f4"))
-            yield batch.assign(values=values)
+            yield batch.append_column("values", pa.array(values, pa.list_(pa.float32())))
     finally:
         if file is not None:
             file.close()
@@ -163,7 +173,7 @@ def open_refs(refs: DataFrame, variable: str | None = None) -> DataFrame:
     rows = refs if variable is None else refs.where(F.col("variable") == variable)
     schema = T.StructType([*rows.schema.fields, T.StructField("values", T.ArrayType(T.FloatType()))])
     ordered = rows.repartitionByRange("path", "offset", "chunk_key").sortWithinPartitions("path", "offset")
-    return ordered.mapInPandas(_read, schema)
+    return ordered.mapInArrow(_read, schema)
 
 
 def to_json(refs: DataFrame) -> DataFrame:

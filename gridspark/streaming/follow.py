@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
 
 from gridspark.functions.axes import StepAxis, with_step_index
 from gridspark.functions.scalars import is_missing, parse_iso
@@ -16,15 +15,22 @@ EVENT = ("file_id string, variable string, forecast_hour int, step_index int, "
          "producer_release_utc timestamp, consumer_visible_utc timestamp, latency_ms double, "
          "na_poll_count long, total_poll_count long")
 # Known manifest (if any), time of the first poll with a value (if any), polls before it.
-STATE = ("variable string, forecast_hour int, step_index int, release_us long, "
-         "visible_us long, na_polls long, reported boolean")
+STATE = T.StructType([
+    T.StructField("variable", T.StringType()),
+    T.StructField("forecast_hour", T.IntegerType()),
+    T.StructField("step_index", T.IntegerType()),
+    T.StructField("release_us", T.LongType()),
+    T.StructField("visible_us", T.LongType()),
+    T.StructField("na_polls", T.LongType()),
+    T.StructField("reported", T.BooleanType()),
+])
 
 
 class _Follower(StatefulProcessor):
     """One event per file, when its manifest and a poll with a value are both known."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.file = handle.getValueState("file", StructType.fromDDL(STATE))
+        self.file = handle.getValueState("file", STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         known = self.file.get() if self.file.exists() else (None, None, None, None, None, 0, False)
