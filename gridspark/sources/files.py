@@ -55,9 +55,15 @@ def match(path: Column, suffix: str | None = None, like: str | None = None,
 # -- used inside tasks -----------------------------------------------------------
 
 def locate(path: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path for a URI or a plain absolute path."""
-    uri = re.sub(r"^file:/+", "file:///", path)
-    return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    """File system and path for a URI or a plain absolute path.
+
+    Spark gives paths unescaped, so only scheme and authority are parsed as a URI.
+    """
+    remote = re.match(r"^(?!file:)([A-Za-z][A-Za-z0-9+.-]*://[^/]*)/*(.*)$", path)
+    if not remote:
+        return pafs.LocalFileSystem(), re.sub(r"^file:/+", "/", path)
+    fs, base = pafs.FileSystem.from_uri(remote[1] + "/")
+    return fs, f"{base.rstrip('/')}/{remote[2]}"
 
 
 def open_input(path: str):
