@@ -21,11 +21,9 @@ CF_NAMES = {
     "stl1": "stl1",
 }
 
+STAMP_PATTERN = r"^(\d{4})-?(\d{2})-?(\d{2})T(\d{2}):?(\d{2}):?(\d{2})\.?(\d{3})Z$"
 EMIT_PATTERN = r"^(.+)_step(\d{3,})_emit-(.+)_id-([^/]+?)\.grib2(?:\.json)?$"
-
-
-def _blank_to_null(c: Column) -> Column:
-    return F.when(c != "", c)
+STORAGE_PATTERN = r"^[A-Za-z][A-Za-z0-9+.-]*://([^@/]+)@([^./]+)(?:\.[^/]*)?/*(.*)$"
 
 
 def cf_name(cf, short) -> Column:
@@ -43,24 +41,28 @@ def emit_name(variable, hour, release_iso, file_id) -> Column:
         _col(variable), _col(hour).cast("int"), stamp, _col(file_id).cast("string"))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """All groups of a match as an array, found in one pass; no array if there is no match."""
+    joined = "\u0001".join(f"${i}" for i in range(1, n + 1))
+    found = F.split(F.regexp_replace(text, pattern, joined), "\u0001")
+    return _once(found, lambda g: F.when(F.size(g) == n, g))
+
+
 def parse_emit_name(name) -> Column:
     """Struct of a correlation file name, NULL if it is none.
 
     The time stamp may or may not keep the dot before its milliseconds.
     """
-    base = basename(name)
-
-    def group(i):
-        return F.regexp_extract(base, EMIT_PATTERN, i)
-
-    digits = F.regexp_replace(group(3), "[^0-9]", "")
-    iso = F.regexp_replace(
-        digits, r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})(\d{3})$", "$1-$2-$3T$4:$5:$6.$7Z")
-    return F.when(base.rlike(EMIT_PATTERN), F.struct(
-        group(1).alias("variable"),
-        group(2).cast("int").alias("forecast_hour"),
-        iso.alias("producer_release_utc"),
-        group(4).alias("file_id")))
+    return _once(_groups(basename(name), EMIT_PATTERN, 4), lambda g: F.when(g.isNotNull(), F.struct(
+        g[0].alias("variable"),
+        g[1].cast("int").alias("forecast_hour"),
+        F.regexp_replace(g[2], STAMP_PATTERN, "$1-$2-$3T$4:$5:$6.$7Z").alias("producer_release_utc"),
+        g[3].alias("file_id"))))
 
 
 def cycle_name(cycle_time, prefix: str = "forecast_") -> Column:
@@ -98,30 +100,21 @@ def redact(url) -> Column:
 def parse_volume(path) -> Column:
     """``/Volumes/catalog/schema/volume[/sub]`` -> struct, NULL if malformed."""
     parts = F.split(F.regexp_replace(_col(path), "^/+|/+$", ""), "/")
-    n = F.size(parts)
-    sub = F.when(n > 4, F.array_join(F.slice(parts, 5, F.greatest(n, F.lit(5))), "/"))
-    return F.when((n >= 4) & (F.lower(F.get(parts, F.lit(0))) == "volumes"), F.struct(
-        F.concat_ws(".", F.get(parts, F.lit(1)), F.get(parts, F.lit(2)), F.get(parts, F.lit(3)))
-        .alias("volume_name"),
-        sub.alias("subpath")))
+    return _once(parts, lambda p: F.when((F.size(p) >= 4) & (F.lower(p[0]) == "volumes"), F.struct(
+        F.array_join(F.slice(p, 2, 3), ".").alias("volume_name"),
+        F.when(F.size(p) > 4, F.array_join(F.slice(p, 5, F.size(p)), "/")).alias("subpath"))))
 
 
 def parse_storage(url) -> Column:
     """``scheme://container@account.host/path`` -> struct, NULL if malformed."""
-    pattern = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^@/]+)@([^./]+)(\.[^/]*)?(?:/+(.*))?$"
-
-    def group(i):
-        return F.regexp_extract(_col(url), pattern, i)
-
-    return F.when(_col(url).rlike(pattern), F.struct(
-        group(3).alias("account"), group(2).alias("container"), group(5).alias("path")))
+    return _once(_groups(_col(url), STORAGE_PATTERN, 3), lambda g: F.when(g.isNotNull(), F.struct(
+        g[1].alias("account"), g[0].alias("container"), g[2].alias("path"))))
 
 
 def volume_to_storage_path(path, base_path) -> Column:
     """Path below a volume -> path below the storage folder that backs the volume."""
-    parsed = parse_volume(path)
-    below = F.coalesce(F.concat(F.lit("/"), parsed["subpath"]), F.lit(""))
-    return F.when(parsed.isNotNull(), F.concat(_col(base_path), below))
+    return _once(parse_volume(path), lambda v: F.when(v.isNotNull(), F.concat(
+        _col(base_path), F.coalesce(F.concat(F.lit("/"), v["subpath"]), F.lit("")))))
 
 
 __all__ = [

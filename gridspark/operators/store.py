@@ -16,6 +16,7 @@ from gridspark.runtime import materialise
 
 PARTITION = ["cycle_time", "variable", "step_index"]
 SLOT = [*PARTITION, "number", "lat_start"]
+MEMBERS_PER_FILE = 64
 
 FIELDS = T.StructType([
     T.StructField("number", T.IntegerType()),
@@ -214,11 +215,14 @@ def merge(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 def save(fields: DataFrame, path: str) -> None:
     """Replace the partitions that occur in ``fields``.
 
-    Rebalancing gives one file per slot, and lets AQE split a slot that is too big.
+    A file holds up to ``MEMBERS_PER_FILE`` members of one band of one slot, which is
+    also the most that one shuffle key can hold, so no task gets a huge share.
     """
+    tasks = int(fields.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    piece = [*PARTITION, "lat_start", F.floor(F.col("number") / MEMBERS_PER_FILE)]
     (fields.select(*FIELDS.names)
-     .hint("rebalance", *PARTITION)
-     .sortWithinPartitions(*SLOT)
+     .repartition(tasks, *piece)
+     .sortWithinPartitions(*PARTITION, "lat_start", "number")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*PARTITION).parquet(path))
 
@@ -227,12 +231,13 @@ def write_region(fields: DataFrame, path: str) -> None:
     """Put fields into their slots; the rest of each touched partition is kept.
 
     The merged partitions are written to the shared folder first. A job that dies
-    while it replaces partitions is repeated from there or from its input; both give
-    the same store, because a write replaces slots and never adds to them.
+    while it replaces partitions can be repeated from there or from its input; both
+    give the same store, because a write replaces slots and never adds to them.
     """
     spark = fields.sparkSession
     newest = latest_fields(fields.select(
         *[as_float32("values").alias("values") if c == "values" else F.col(c) for c in FIELDS.names]))
     if exists(spark, path):
-        newest = merge(open_store(spark, path), materialise(newest, "incoming"))
-    save(materialise(newest, "merged"), path)
+        merged = merge(open_store(spark, path), materialise(newest, "incoming"))
+        newest = materialise(merged, "merged")
+    save(newest, path)

@@ -162,7 +162,9 @@ winners AS (
 
 def write_fields(t: Tables) -> DataFrame:
     """``writes`` as store rows; the write order is folded into the source path."""
-    order = F.format_string("%012d-%012d-%015.2f-%012d", *WRITE_ORDER[1:])
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    order = F.concat_ws("-", *[F.lpad(c.cast("string"), 15, "0") for c in (
+        F.col("l_orderkey"), F.col("l_partkey"), cents, F.col("l_suppkey"))])
     return writes(t).select(
         "cycle_time", "variable", "step_index", "number", F.lit(0).alias("lat_start"),
         F.lit(1).alias("n_lat"), F.lit(1).alias("n_lon"),

@@ -10,6 +10,7 @@ from gridspark.functions.scalars import iso_ms, latency_ms, mib, throughput
 from gridspark.operators import ranking, telemetry, visibility
 from gridspark.plans.fixtures import ACCESS, ARRIVALS, POLLS, STEPS, access, arrivals, polls
 from gridspark.plans.registry import Tables, big, query, r6, shaped
+from gridspark.sources.synth import literal_table
 
 OK = "FILTER (WHERE success)"
 
@@ -217,7 +218,7 @@ SELECT component, round(measured, 6) AS measured, target, passed,
        CASE WHEN (SELECT bool_and(passed) FROM checked) THEN 'PASS' ELSE 'FAIL' END AS overall
 FROM checked""")
 def target_check(t: Tables) -> DataFrame:
-    targets = t.spark.createDataFrame(list(TARGETS.items()), "component string, target double")
+    targets = literal_table(t.spark, list(TARGETS.items()), ["component", "target"])
     measured = access(t).groupBy(F.col("access_pattern").alias("component")).agg(
         F.avg("total_ms").alias("measured"))
     return shaped(telemetry.check_targets(measured, targets), floats=["measured", "target"],

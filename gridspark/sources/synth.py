@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,13 +20,19 @@ VARIABLES = [
     ("v10", "10v", 0, 2, 3, 103, 10, "m s-1", -50.0, 50.0),
     ("sp", "sp", 0, 3, 0, 1, 0, "Pa", 87000.0, 108000.0),
 ]
-VARIABLE_SCHEMA = ("variable string, short_name string, discipline int, category int, number_code int, "
-                   "level_type int, level int, units string, min_value double, max_value double")
+VARIABLE_COLUMNS = ["variable", "short_name", "discipline", "category", "number_code", "level_type", "level",
+                    "units", "min_value", "max_value"]
+
+
+def literal_table(spark: SparkSession, rows: Sequence[Sequence], columns: Sequence[str]) -> DataFrame:
+    """A few constant rows, made where they are used."""
+    structs = [F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
 
 
 def variable_table(spark: SparkSession) -> DataFrame:
     """The four configured variables."""
-    return spark.createDataFrame(VARIABLES, VARIABLE_SCHEMA)
+    return literal_table(spark, VARIABLES, VARIABLE_COLUMNS)
 
 
 def with_variable(df: DataFrame) -> DataFrame:
