@@ -56,9 +56,11 @@ def box(fields: DataFrame, lat: slice, lon: slice) -> DataFrame:
            .withColumn("_first", F.greatest(F.lit(lat0), F.col("lat_start")) - F.col("lat_start"))
            .withColumn("_rows", stop - F.col("lat_start") - F.col("_first"))
            .withColumn("_width", right - lon0))
+    # The optimizer may look at the cut-out before the filter: it must exist only inside.
+    lines = F.when((F.col("_rows") > 0) & (F.col("_width") > 0),
+                   F.sequence(F.col("_first"), F.col("_first") + F.col("_rows") - 1))
     rows = F.transform(
-        F.sequence(F.col("_first"), F.col("_first") + F.col("_rows") - 1),
-        lambda i: F.slice("values", i * F.col("n_lon") + lon0 + 1, F.col("_width")))
+        lines, lambda i: F.slice("values", i * F.col("n_lon") + lon0 + 1, F.col("_width")))
     return (cut.withColumn("values", F.flatten(rows))
             .withColumn("lat_start", F.col("lat_start") + F.col("_first"))
             .withColumn("n_lat", F.col("_rows"))

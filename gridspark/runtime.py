@@ -26,6 +26,8 @@ SETTINGS = {
 }
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+# Remembers the fallback of a local session; the setting above is fixed at start.
+OWN_DIR_CONF = "gridspark.shared.dir"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -51,13 +53,13 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master may fall back to a temporary folder: there the driver
     and the executors are one process, so the folder is shared by definition.
     """
-    named = spark.conf.get(CHECKPOINT_CONF, None)
+    named = spark.conf.get(CHECKPOINT_CONF, None) or spark.conf.get(OWN_DIR_CONF, None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder all executors can reach")
     own = tempfile.mkdtemp(prefix="gridspark-")
-    spark.conf.set(CHECKPOINT_CONF, own)
+    spark.conf.set(OWN_DIR_CONF, own)
     return own
 
 

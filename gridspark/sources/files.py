@@ -22,7 +22,11 @@ LISTING = T.StructType([
 
 def list_files(spark: SparkSession, root: str | Sequence[str], glob: str | None = MESSAGE_GLOB,
                ignore_missing: bool = True, recursive: bool = True) -> DataFrame:
-    """``(path, size, modified)`` of the files below ``root``; contents are never read."""
+    """``(path, size, modified)`` of the files below ``root``; contents are never read.
+
+    Spark leaves files of length 0 out of a scan. An empty payload is reported where a
+    manifest names it.
+    """
     reader = (spark.read.format("binaryFile")
               .option("recursiveFileLookup", str(recursive).lower())
               .option("ignoreMissingFiles", str(ignore_missing).lower()))
