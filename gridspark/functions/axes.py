@@ -51,7 +51,8 @@ def index_axis(df: DataFrame, column: str, index: str = "step_index") -> DataFra
     The values are reduced to the distinct ones first, map-side, and an axis has
     at most ``MAX_AXIS`` of them; a longer one is an error and not cut off.
     """
-    axis = (df.select(column).where(F.col(column).isNotNull()).distinct()
+    # One more than allowed is enough to see that the axis is too long.
+    axis = (df.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_AXIS + 1)
             .agg(F.array_sort(F.collect_list(column)).alias("axis")))
     checked = F.when(F.size("axis") <= MAX_AXIS, F.col("axis")).otherwise(
         F.raise_error(F.lit("axis too long")))

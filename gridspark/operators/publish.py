@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridspark.runtime import materialise
+from gridspark.sources.files import relative_to
 
 LOG = "path string, action string, size long, success boolean, error string"
 
@@ -73,6 +74,22 @@ def _copy(src_root: str, dst_root: str):
     return run
 
 
+def store_listing(fields: DataFrame, root: str, partitions: DataFrame | None = None) -> DataFrame:
+    """Files of an opened store as ``(path, size, modified)``, relative to ``root``.
+
+    With ``partitions`` (distinct partition columns) only theirs; no others are opened.
+    """
+    keys = [] if partitions is None else partitions.columns
+    files = fields.select(*keys, "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    if partitions is not None:
+        files = files.join(partitions, keys, "left_semi")
+    # The metadata column escapes what a URI must escape; a listing does not.
+    path = F.url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B")))
+    listing = files.select(path.alias("path"), F.col("file_size").alias("size"),
+                           F.col("file_modification_time").alias("modified")).distinct()
+    return relative_to(listing, root)
+
+
 def apply(plan_rows: DataFrame, src_root: str, dst_root: str, dry_run: bool = False) -> DataFrame:
     """Carry out a plan and return its log; ``dry_run`` only returns what would be done.
 

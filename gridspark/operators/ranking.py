@@ -86,9 +86,8 @@ def schedule(df: DataFrame, order: list[str], start: Column, interval_seconds: f
 def repeat_plan(plan: DataFrame, order: list[str], total: int) -> DataFrame:
     """The plan over and over until it has ``total`` rows; ``sequence`` is the row's position."""
     numbered = global_row_number(plan, order, "_position")
-    size = numbered.agg(F.count("*").alias("_size"))
-    rows = numbered.withColumn("_size", size.scalar())
-    # Row p is used at p, p + size, p + 2*size, ... below total.
-    uses = F.when(F.col("_position") < total,
-                  F.sequence(F.col("_position"), F.lit(total - 1).cast("long"), F.col("_size")))
-    return (rows.withColumn("sequence", F.explode(uses)).drop("_position", "_size"))
+    size = plan.agg(F.count("*").alias("_size"))
+    positions = (plan.sparkSession.range(total).withColumnRenamed("id", "sequence")
+                 .withColumn("_size", size.scalar()).where(F.col("_size") > 0)
+                 .withColumn("_position", F.pmod("sequence", "_size")).drop("_size"))
+    return positions.join(numbered, "_position").drop("_position")

@@ -12,11 +12,12 @@ from gridspark.functions.axes import StepAxis, with_step_index
 from gridspark.functions.scalars import as_float32
 from gridspark.operators.joins import join_on
 from gridspark.operators.ranking import concat_index
-from gridspark.runtime import materialise
+from gridspark.runtime import hadoop_path, materialise, staging
 
 PARTITION = ["cycle_time", "variable", "step_index"]
 SLOT = [*PARTITION, "number", "lat_start"]
 MEMBERS_PER_FILE = 64
+MAX_CYCLES_LISTED = 100
 
 FIELDS = T.StructType([
     T.StructField("number", T.IntegerType()),
@@ -47,14 +48,34 @@ class StoreSpec:
 # -- opening ----------------------------------------------------------------
 
 def exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(hadoop)
+    fs, where = hadoop_path(spark, path)
+    return fs.exists(where)
 
 
-def open_store(spark: SparkSession, path: str, schema: T.StructType | None = FIELDS) -> DataFrame:
-    """A store with its known schema; ``schema=None`` infers it from the files."""
+def open_store(spark: SparkSession, path: str, schema: T.StructType | None = FIELDS,
+               cycles: Sequence[datetime] | None = None) -> DataFrame:
+    """A store with its known schema; ``schema=None`` infers it from the files.
+
+    With ``cycles`` (naive UTC) only the folders of those cycles are listed, which
+    matters once a store has thousands of them.
+    """
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+    if cycles is None:
+        return reader.parquet(path)
+    folders = [f"{path}/cycle_time={c:%Y-%m-%d %H%%3A%M%%3A%S}" for c in cycles]
+    present = [f for f in folders if exists(spark, f)]
+    if not present:
+        return reader.parquet(path).where(F.lit(False))
+    return reader.option("basePath", path).parquet(*present)
+
+
+def touched_cycles(fields: DataFrame) -> list[datetime] | None:
+    """The cycles of a small write; None (look at the whole store) if there are many."""
+    rows = (fields.select(F.date_format("cycle_time", "yyyy-MM-dd HH:mm:ss").alias("c")).distinct()
+            .limit(MAX_CYCLES_LISTED + 1).collect())
+    if len(rows) > MAX_CYCLES_LISTED or any(r.c is None for r in rows):
+        return None
+    return sorted(datetime.fromisoformat(r.c) for r in rows)
 
 
 def open_cycles(fields: DataFrame, n: int) -> DataFrame:
@@ -194,10 +215,10 @@ def write_log(checked: DataFrame) -> DataFrame:
     """One result row per input file."""
     return checked.groupBy(F.col("source_path").alias("path")).agg(
         F.min("error").alias("error"), F.min("variable").alias("variable"),
-        F.min("step_index").alias("step_index"),
+        F.min("step_index").alias("step_index"), F.min("cycle_time").alias("cycle_time"),
         F.max("n_members").alias("n_members"),
     ).select(
-        F.col("error").isNull().alias("success"), "path", "variable",
+        F.col("error").isNull().alias("success"), "path", "cycle_time", "variable",
         F.when(F.col("error").isNull(), F.col("step_index")).otherwise(-1).alias("step_index"),
         F.when(F.col("error").isNull(), F.col("n_members")).otherwise(0).alias("n_members"), "error")
 
@@ -237,7 +258,10 @@ def write_region(fields: DataFrame, path: str) -> None:
     spark = fields.sparkSession
     newest = latest_fields(fields.select(
         *[as_float32("values").alias("values") if c == "values" else F.col(c) for c in FIELDS.names]))
-    if exists(spark, path):
-        merged = merge(open_store(spark, path), materialise(newest, "incoming"))
-        newest = materialise(merged, "merged")
-    save(newest, path)
+    if not exists(spark, path):
+        save(newest, path)
+        return
+    with staging(spark, "write") as folder:
+        incoming = materialise(newest, "incoming", folder)
+        existing = open_store(spark, path, cycles=touched_cycles(incoming))
+        save(materialise(merge(existing, incoming), "merged", folder), path)

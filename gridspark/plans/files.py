@@ -382,7 +382,10 @@ SELECT concat_index, variable, n_cells, total FROM files""")
 def read_combined_references(t: Tables) -> DataFrame:
     """All reference sets combined along a new axis, and their values read by byte range."""
     landing, _ = _landing(t)
-    combined = refs.combine(refs.index_files(list_files(t.spark, landing), inline_threshold=300))
+    indexed = materialise(refs.index_files(list_files(t.spark, landing), inline_threshold=300), "refs")
+    table = new_dir(t.spark, "combined")
+    refs.save(refs.combine(indexed), table)
+    combined = t.spark.read.parquet(table)
     chunks = combined.where(F.col("concat_index").isNotNull()
                             & ~F.col("variable").isin("step", "reference"))
     values = refs.open_refs(chunks).select("concat_index", "variable", F.explode("values").alias("v"))

@@ -10,7 +10,11 @@ from gridspark.functions.scalars import iso_ms, latency_ms, mib, throughput
 from gridspark.operators import ranking, telemetry, visibility
 from gridspark.plans.fixtures import ACCESS, ARRIVALS, POLLS, STEPS, access, arrivals, polls
 from gridspark.plans.registry import Tables, big, query, r6, shaped
+from gridspark.runtime import materialise, new_dir
+from gridspark.sources.manifests import write_manifests
 from gridspark.sources.synth import literal_table
+from gridspark.streaming.arrivals import manifests as manifest_stream
+from gridspark.streaming.follow import follow_visibility
 
 OK = "FILTER (WHERE success)"
 
@@ -387,26 +391,54 @@ def emitted_visibility(t: Tables) -> DataFrame:
     return shaped(seen, ["event_id", "step_index"], ["latency_ms"], ["variable"])
 
 
-POLL_COUNTS = """first_seen AS (
-  SELECT file_id, min(poll_ts) FILTER (WHERE value IS NOT NULL) AS seen FROM {polls} GROUP BY file_id),
+def _counted(table: str) -> str:
+    return f"""first_seen AS (
+  SELECT file_id, min(poll_ts) FILTER (WHERE value IS NOT NULL) AS seen FROM {table} GROUP BY file_id),
 counted AS (
   SELECT file_id, seen, count(*) FILTER (WHERE seen IS NULL OR poll_ts < seen) AS na_poll_count
-  FROM {polls} JOIN first_seen USING (file_id) GROUP BY file_id, seen)
-SELECT file_id, strftime(seen, '%Y-%m-%dT%H:%M:%S.%gZ') AS consumer_visible_utc, na_poll_count,
+  FROM {table} JOIN first_seen USING (file_id) GROUP BY file_id, seen)"""
+
+
+COUNTS = """SELECT file_id, strftime(seen, '%Y-%m-%dT%H:%M:%S.%gZ') AS consumer_visible_utc, na_poll_count,
        na_poll_count + CASE WHEN seen IS NULL THEN 0 ELSE 1 END AS total_poll_count"""
 
 
-@query(f"WITH {POLLS}, {POLL_COUNTS.format(polls='polls')} FROM counted")
+@query(f"WITH {POLLS}, {_counted('polls')} {COUNTS} FROM counted")
 def poll_counters(t: Tables) -> DataFrame:
     return visibility.from_polls(polls(t)).select(
         "file_id", iso_ms("consumer_visible_utc").alias("consumer_visible_utc"),
         big("na_poll_count").alias("na_poll_count"), big("total_poll_count").alias("total_poll_count"))
 
 
+@query(f"""WITH {POLLS}, {STEPS}, {_counted('polls')}, released AS (
+  SELECT file_id, min(poll_ts) AS released_at FROM polls GROUP BY file_id)
+{COUNTS}, step_index, CAST(epoch_us(seen) // 1000 - epoch_us(released_at) // 1000 AS DOUBLE) AS latency_ms
+FROM counted JOIN released USING (file_id) JOIN steps ON forecast_hour = CAST(file_id AS BIGINT) % 361
+WHERE seen IS NOT NULL""")
+def follow_visibility_stream(t: Tables) -> DataFrame:
+    """Manifests and polls as streams through the stateful follower; a file per user."""
+    base = new_dir(t.spark, "follow")
+    samples = polls(t)
+    samples.write.parquet(f"{base}/polls")
+    released = samples.groupBy("file_id").agg(F.min("poll_ts").alias("at")).select(
+        "file_id", F.lit("t2m").alias("variable"), (F.col("file_id").cast("long") % 361).cast("int").alias("forecast_hour"),
+        F.concat(F.lit("/landing/"), "file_id").alias("landing_path"),
+        iso_ms("at").alias("producer_write_start_utc"), iso_ms("at").alias("producer_release_utc"))
+    materialise(write_manifests(released, f"{base}/manifests"), "manifests")
+    events = follow_visibility(
+        manifest_stream(t.spark, f"{base}/manifests", max_files=10_000).where("NOT corrupt"),
+        t.spark.readStream.schema(samples.schema).parquet(f"{base}/polls"))
+    (events.writeStream.format("parquet").option("path", f"{base}/events")
+     .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination())
+    return t.spark.read.parquet(f"{base}/events").select(
+        "file_id", iso_ms("consumer_visible_utc").alias("consumer_visible_utc"), "na_poll_count", "total_poll_count",
+        big("step_index").alias("step_index"), "latency_ms")
+
+
 WAITED = "waited AS (SELECT * FROM polls WHERE poll_ts <= TIMESTAMP '2024-01-01 03:00:00')"
 
 
-@query(f"""WITH {POLLS}, {WAITED}, {POLL_COUNTS.format(polls='waited')}, seen IS NOT NULL AS visible FROM counted""")
+@query(f"WITH {POLLS}, {WAITED}, {_counted('waited')} {COUNTS}, seen IS NOT NULL AS visible FROM counted")
 def bounded_wait(t: Tables) -> DataFrame:
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     return visibility.wait_result(polls(t), start, 3 * 3600).select(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,13 +70,33 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, within: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The written table survives the loss of executors, cuts the lineage, and has a
-    file size the optimizer can compare with its broadcast threshold.
+    file size the optimizer can compare with its broadcast threshold. ``within`` is a
+    folder from ``staging``; without one the table stays.
     """
     spark = df.sparkSession
-    path = new_dir(spark, label)
+    path = new_dir(spark, label) if within is None else f"{within}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """File system and Hadoop path object of ``path``."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
+@contextmanager
+def staging(spark: SparkSession, label: str) -> Iterator[str]:
+    """A folder for the intermediate tables of one job.
+
+    It goes away with the job that made it, and stays if the job fails: a stream that
+    runs for months must not fill the shared folder.
+    """
+    path = new_dir(spark, label)
+    yield path
+    fs, where = hadoop_path(spark, path)
+    fs.delete(where, True)

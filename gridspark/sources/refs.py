@@ -163,6 +163,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             file.close()
 
 
+def save(refs: DataFrame, path: str) -> None:
+    """Keep a reference table, clustered as ``open_refs`` reads it."""
+    (refs.repartitionByRange("variable", "path", "offset").sortWithinPartitions("variable", "path", "offset")
+     .write.mode("overwrite").parquet(path))
+
+
 def open_refs(refs: DataFrame, variable: str | None = None) -> DataFrame:
     """References with the float32 ``values`` they point to.
 
@@ -183,4 +189,4 @@ def to_json(refs: DataFrame) -> DataFrame:
 
 
 __all__ = ["check_identical", "combine", "index_files", "index_summary", "load_json", "open_many",
-           "open_refs", "parse_entries", "to_json"]
+           "open_refs", "parse_entries", "save", "to_json"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -37,16 +38,22 @@ class _Follower(StatefulProcessor):
         variable, hour, step, release, visible, na_polls, reported = known
         if reported:
             return
+        # The rows of a key come in several parts and in any order.
+        empty, first = [], visible
         for part in rows:
             for m in part[part["is_manifest"]].itertuples(index=False):
                 variable, hour, step, release = m.variable, int(m.forecast_hour), int(m.step_index), int(m.at_us)
-            for p in part[~part["is_manifest"]].sort_values("at_us").itertuples(index=False):
-                if visible is not None:
-                    break
-                if p.missing:
-                    na_polls += 1
-                else:
-                    visible = int(p.at_us)
+            polled = part[~part["is_manifest"]]
+            at, missing = polled["at_us"].to_numpy(), polled["missing"].to_numpy(dtype=bool)
+            if not missing.all():
+                earliest = int(at[~missing].min())
+                first = earliest if first is None else min(first, earliest)
+            empty.append(at[missing])
+        if visible is None:
+            # Eight bytes per poll of this batch that saw nothing.
+            before = np.concatenate(empty) if empty else np.array([], dtype="int64")
+            na_polls += int(len(before) if first is None else (before < first).sum())
+            visible = first
         if release is not None and visible is not None:
             reported = True
             yield pd.DataFrame({

@@ -8,20 +8,41 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from gridspark.functions.scalars import parse_iso
 from gridspark.operators import publish, store, telemetry
 from gridspark.operators.store import StoreSpec
-from gridspark.runtime import materialise
-from gridspark.sources.files import list_files, relative_to
+from gridspark.runtime import materialise, new_dir, staging
+from gridspark.sources.files import list_files
 from gridspark.sources.ingest import decode_files
 from gridspark.sources.manifests import latest_manifest, readable
 from gridspark.streaming import arrivals
 
 log = logging.getLogger(__name__)
 
+WRITE_LOG = T.StructType([
+    T.StructField("success", T.BooleanType()),
+    T.StructField("path", T.StringType()),
+    T.StructField("cycle_time", T.TimestampType()),
+    T.StructField("variable", T.StringType()),
+    T.StructField("step_index", T.IntegerType()),
+    T.StructField("n_members", T.IntegerType()),
+    T.StructField("error", T.StringType()),
+])
+BATCH_LOG = T.StructType([
+    T.StructField("batch_id", T.LongType()),
+    T.StructField("files_processed", T.LongType()),
+    T.StructField("files_successful", T.LongType()),
+    T.StructField("files_failed", T.LongType()),
+    T.StructField("unresolved", T.LongType()),
+    T.StructField("processing_ms", T.DoubleType()),
+    T.StructField("publish_ms", T.DoubleType()),
+    T.StructField("total_ms", T.DoubleType()),
+    T.StructField("publish_error", T.StringType()),
+])
+
 
 @dataclass(frozen=True)
 class IngestConfig:
@@ -67,12 +88,14 @@ def resolve_paths(files: DataFrame) -> DataFrame:
 
 def run_batch(files: DataFrame, store_path: str, spec: StoreSpec = StoreSpec(), validate: str = "full",
               decoder: str | Callable = "framed", process: Callable[[DataFrame], DataFrame] | None = None,
-              bands: int | None = None) -> DataFrame:
+              bands: int | None = None, log_path: str | None = None) -> DataFrame:
     """Decode ``files(path[, size, release_ts])``, write the good ones, return a log row per file.
 
-    Decoded rows are written to the shared folder once; the store and the log are both
-    made from there. ``process`` may change the decoded fields before they are checked.
+    Decoded rows are staged in the shared folder; the store and the log are both made
+    from there. ``process`` may change the decoded fields before they are checked. The
+    log is written to ``log_path``, or to a folder of its own.
     """
+    spark = files.sparkSession
     decoded = decode_files(files, decoder, bands=bands)
     if process is not None:
         decoded = process(decoded)
@@ -82,11 +105,14 @@ def run_batch(files: DataFrame, store_path: str, spec: StoreSpec = StoreSpec(),
         decoded = decoded.join(times, "source_path", "left")
     else:
         decoded = decoded.withColumn("release_ts", F.lit(None).cast("timestamp"))
-    checked = materialise(store.check(decoded, spec, validate), "checked")
-    good = checked.where(F.col("error").isNull())
-    if not good.isEmpty():
-        store.write_region(good, store_path)
-    return store.write_log(checked)
+    log_path = log_path or new_dir(spark, "write-log")
+    with staging(spark, "batch") as folder:
+        checked = materialise(store.check(decoded, spec, validate), "checked", folder)
+        good = checked.where(F.col("error").isNull())
+        if not good.isEmpty():
+            store.write_region(good, store_path)
+        store.write_log(checked).write.mode("overwrite").parquet(log_path)
+    return spark.read.schema(WRITE_LOG).parquet(log_path)
 
 
 def _append(rows: DataFrame, path: str) -> None:
@@ -111,48 +137,52 @@ def batch_processor(config: IngestConfig, on_batch: Callable[[dict], None] | Non
         spark = batch.sparkSession
         if batch.isEmpty():
             return
-        found = materialise(resolve_paths(_batch_files(batch, config.source)), "arrivals")
-        known = found.where(F.col("size").isNotNull())
-        if known.isEmpty():
-            return
-        result = run_batch(known, config.store, config.spec, config.validate, config.decoder,
-                           process, config.bands)
-        tagged = result.withColumn("batch_id", F.lit(batch_id).cast("long"))
-        _append(tagged, f"{config.logs}/write_log")
-        written = (spark.read.schema(tagged.schema).parquet(f"{config.logs}/write_log")
-                   .where(F.col("batch_id") == batch_id))
-        processing_ms = (time.perf_counter() - started) * 1000
-        publish_ms, publish_error = 0.0, None
-        if config.publish_to is not None and not written.where("success").isEmpty():
-            sync_started = time.perf_counter()
-            publish_error = _publish(spark, config)
-            publish_ms = (time.perf_counter() - sync_started) * 1000
-        unresolved = found.where(F.col("size").isNull()).agg(F.count("*").alias("n"))
-        row = (telemetry.batch_summary(written)
-               .withColumn("unresolved", unresolved.scalar())
-               .withColumn("processing_ms", F.lit(processing_ms))
-               .withColumn("publish_ms", F.lit(publish_ms))
-               .withColumn("total_ms", F.lit((time.perf_counter() - started) * 1000))
-               .withColumn("publish_error", F.lit(publish_error).cast("string")))
-        _append(row, f"{config.logs}/batch_log")
+        with staging(spark, "ingest") as folder:
+            found = materialise(resolve_paths(_batch_files(batch, config.source)), "arrivals", folder)
+            known = found.where(F.col("size").isNotNull())
+            if known.isEmpty():
+                return
+            result = run_batch(known, config.store, config.spec, config.validate, config.decoder, process,
+                               config.bands, log_path=f"{folder}/log")
+            _append(result.withColumn("batch_id", F.lit(batch_id).cast("long")), f"{config.logs}/write_log")
+            processing_ms = (time.perf_counter() - started) * 1000
+            publish_ms, publish_error = 0.0, None
+            if config.publish_to is not None and not result.where("success").isEmpty():
+                publish_error = _publish(spark, config, result)
+                publish_ms = (time.perf_counter() - started) * 1000 - processing_ms
+            unresolved = found.where(F.col("size").isNull()).agg(F.count("*").alias("n"))
+            row = (telemetry.batch_summary(result.withColumn("batch_id", F.lit(batch_id).cast("long")))
+                   .withColumn("unresolved", unresolved.scalar())
+                   .withColumn("processing_ms", F.lit(processing_ms))
+                   .withColumn("publish_ms", F.lit(publish_ms))
+                   .withColumn("total_ms", F.lit((time.perf_counter() - started) * 1000))
+                   .withColumn("publish_error", F.lit(publish_error).cast("string"))).first()
+            _append(spark.createDataFrame([row], BATCH_LOG), f"{config.logs}/batch_log")
         if on_batch is not None:
             try:
-                on_batch(spark.read.schema(row.schema).parquet(f"{config.logs}/batch_log")
-                         .where(F.col("batch_id") == batch_id).first().asDict())
+                on_batch(row.asDict())
             except Exception:  # the caller's mistake must not stop the stream
                 log.exception("batch callback failed")
     return run
 
 
-def _publish(spark: SparkSession, config: IngestConfig) -> str | None:
-    """Copy what changed; a failure is reported and the batch goes on."""
+def _publish(spark: SparkSession, config: IngestConfig, result: DataFrame) -> str | None:
+    """Copy what the batch changed; a failure is reported and the batch goes on.
+
+    Only the partitions that the batch wrote to are listed and compared.
+    """
     try:
-        source = relative_to(list_files(spark, config.store, "*.parquet"), config.store)
-        if store.exists(spark, config.publish_to):
-            target = relative_to(list_files(spark, config.publish_to, "*.parquet"), config.publish_to)
-        else:
-            target = source.where(F.lit(False))
-        done = publish.incremental(source, target, config.store, config.publish_to, delete=True)
+        touched = (result.where("success").select(*store.PARTITION)
+                   .where(F.col("step_index") >= 0).distinct())
+        cycles = store.touched_cycles(touched)
+
+        def listing(root: str) -> DataFrame:
+            return publish.store_listing(store.open_store(spark, root, cycles=cycles), root, touched)
+
+        source = listing(config.store)
+        published = store.exists(spark, config.publish_to)
+        destination = listing(config.publish_to) if published else source.where(F.lit(False))
+        done = publish.incremental(source, destination, config.store, config.publish_to, delete=True)
         failed = done.where(~F.col("success")).agg(F.count("*").alias("n"), F.min("error").alias("e")).first()
         return f"{failed['n']} files not published: {failed['e']}" if failed["n"] else None
     except Exception as e:
@@ -207,7 +237,7 @@ class IngestManager:
 
     def batch_log(self) -> DataFrame | None:
         path = f"{self.config.logs}/batch_log"
-        return self.spark.read.parquet(path) if store.exists(self.spark, path) else None
+        return self.spark.read.schema(BATCH_LOG).parquet(path) if store.exists(self.spark, path) else None
 
     def status(self) -> dict:
         if self.query is None:
@@ -227,4 +257,4 @@ class IngestManager:
         if not store.exists(self.spark, path):
             return listing.agg(F.count("*").alias("files_outstanding"),
                                F.coalesce(F.sum("size"), F.lit(0)).alias("bytes_outstanding"))
-        return arrivals.backlog(listing, self.spark.read.parquet(path))
+        return arrivals.backlog(listing, self.spark.read.schema(WRITE_LOG).parquet(path))
