@@ -103,7 +103,7 @@ def cells(fields: DataFrame, value: str = "value") -> DataFrame:
     lon_start = F.col("lon_start") if "lon_start" in keep else F.lit(None)
     return (fields.select(*keep, F.posexplode("values").alias("pos", value))
             .withColumn("lat_idx", (F.coalesce(F.col("lat_start"), F.lit(0))
-                                    + F.floor(F.col("pos") / F.col("n_lon"))).cast("int"))
+                                    + F.call_function("div", "pos", "n_lon")).cast("int"))
             .withColumn("lon_idx", (F.coalesce(lon_start, F.lit(0))
                                     + F.col("pos") % F.col("n_lon")).cast("int")))
 

@@ -17,6 +17,8 @@ from gridspark.runtime import hadoop_path, materialise, staging
 PARTITION = ["cycle_time", "variable", "step_index"]
 SLOT = [*PARTITION, "number", "lat_start"]
 MEMBERS_PER_FILE = 64
+# About eight full grids: reading one member skips the other row groups of its file.
+ROW_GROUP_BYTES = 8 << 20
 MAX_CYCLES_LISTED = 100
 
 FIELDS = T.StructType([
@@ -245,6 +247,7 @@ def save(fields: DataFrame, path: str) -> None:
      .repartition(tasks, *piece)
      .sortWithinPartitions(*PARTITION, "lat_start", "number")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .option("parquet.block.size", ROW_GROUP_BYTES)
      .partitionBy(*PARTITION).parquet(path))
 
 

@@ -19,6 +19,9 @@ SETTINGS = {
     # even where that costs the aggregate above the join another shuffle.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Without it a computed array that is exploded is computed again to see if it is empty.
+    "spark.sql.optimizer.excludedRules":
+        "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate",
     # A full grid row is about 1 MB: bound Arrow batches by bytes, not only by rows.
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",

@@ -110,8 +110,8 @@ def test_storage_url(one):
 
 def test_path_helpers(one):
     assert one(naming.stem(F.lit("/a/b.c/t2m.x.nc"))) == "t2m.x"
-    assert one(naming.swap_suffix(F.lit("/a/b.c/t2m.nc"), ".zarr")) == "/a/b.c/t2m.zarr"
-    assert one(naming.swap_suffix(F.lit("/a/b.c/t2m"), ".zarr")) == "/a/b.c/t2m.zarr"
+    assert one(naming.swap_suffix(F.lit("/a/b.c/t2m.nc"), ".out")) == "/a/b.c/t2m.out"
+    assert one(naming.swap_suffix(F.lit("/a/b.c/t2m"), ".out")) == "/a/b.c/t2m.out"
     assert one(naming.local_path(F.lit("file:///a/b"))) == "/a/b"
     assert one(naming.redact(F.lit("https://h/p?sig=1&x=?"))) == "https://h/p?[REDACTED]"
     assert one(naming.cycle_name(F.lit("2025-12-29 06:00:00").cast("timestamp"))) == "forecast_20251229_06"
