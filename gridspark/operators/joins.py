@@ -20,7 +20,7 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left
 
 def fits(small: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Is ``small``, a written table of narrow rows, small enough to be broadcast?"""
-    return small.limit(limit + 1).count() <= limit
+    return small.count() <= limit
 
 
 def attach(rows: DataFrame, small: DataFrame, keys: list[str], broadcast: bool,

@@ -90,7 +90,8 @@ def store_listing(fields: DataFrame, root: str, partitions: DataFrame | None = N
     return relative_to(listing, root)
 
 
-def apply(plan_rows: DataFrame, src_root: str, dst_root: str, dry_run: bool = False) -> DataFrame:
+def apply(plan_rows: DataFrame, src_root: str, dst_root: str, dry_run: bool = False,
+          within: str | None = None) -> DataFrame:
     """Carry out a plan and return its log; ``dry_run`` only returns what would be done.
 
     Rows are spread over tasks at random, so one directory with most of the files is
@@ -102,10 +103,10 @@ def apply(plan_rows: DataFrame, src_root: str, dst_root: str, dry_run: bool = Fa
         return todo
     tasks = int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = todo.repartition(tasks, F.xxhash64("path"))
-    return materialise(spread.mapInPandas(_copy(src_root, dst_root), LOG), "publish-log")
+    return materialise(spread.mapInPandas(_copy(src_root, dst_root), LOG), "publish-log", within)
 
 
 def incremental(source: DataFrame, destination: DataFrame, src_root: str, dst_root: str, **options) -> DataFrame:
     """``plan`` and ``apply`` in one call."""
-    dry_run = options.pop("dry_run", False)
-    return apply(plan(source, destination, **options), src_root, dst_root, dry_run)
+    how = {k: options.pop(k) for k in ("dry_run", "within") if k in options}
+    return apply(plan(source, destination, **options), src_root, dst_root, **how)

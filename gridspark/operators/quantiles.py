@@ -45,7 +45,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         return exact_quantiles(whole, ["_all"], value, probs, method, buffer_rows).drop("_all")
     rows = (df.select(*keys, F.col(value).cast("double").alias("_x"))
             .where(F.col("_x").isNotNull()))
-    if method == "linear" and rows.limit(buffer_rows + 1).count() <= buffer_rows:
+    if method == "linear" and buffer_rows and rows.count() <= buffer_rows:
         return rows.groupBy(*keys).agg(*[F.percentile("_x", p).alias(n) for n, p in probs.items()])
 
     cuts = sorted({min(1.0, max(0.0, p + d)) for p in probs.values() for d in (-BAND, 0.0, BAND)})

@@ -82,7 +82,8 @@ def point(fields: DataFrame, lat: int = 180, lon: int = 360, number: int | None
     """Value of one cell per row; index -1 is the last of an axis.
 
     ``clamp`` moves an index beyond the grid to its last one. Bands without the cell
-    are filtered out, and an index outside the grid gives no rows.
+    are filtered out, and an index outside the grid gives no rows. A column ``grid_lat``
+    with the number of latitudes saves a look at the bands for -1 and ``clamp``.
     """
     rows = fields
     if number is not None:
@@ -93,7 +94,12 @@ def point(fields: DataFrame, lat: int = 180, lon: int = 360, number: int | None
                 F.col("number") == F.col("_last") + number + 1).drop("_last")
         else:
             rows = rows.where(F.col("number") == number)
-    grid_lat = F.col("grid_lat") if "grid_lat" in fields.columns else F.col("lat_start") + F.col("n_lat")
+    if "grid_lat" in fields.columns:
+        grid_lat = F.col("grid_lat")
+    elif lat < 0 or clamp:
+        grid_lat = fields.agg(F.max(F.col("lat_start") + F.col("n_lat")).alias("grid_lat")).scalar()
+    else:
+        grid_lat = F.lit(None).cast("int")
 
     def index(i: int, size: Column) -> Column:
         if i < 0:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -80,6 +81,21 @@ def touched_cycles(fields: DataFrame) -> list[datetime] | None:
     return sorted(datetime.fromisoformat(r.c) for r in rows)
 
 
+def stored_cycles(spark: SparkSession, path: str) -> list[datetime]:
+    """Cycles of a store in time order, from the names of its folders; no file is opened."""
+    if not exists(spark, path):
+        return []
+    fs, where = hadoop_path(spark, path)
+    names = [unquote(s.getPath().getName()) for s in fs.listStatus(where)]
+    return sorted(datetime.fromisoformat(n.removeprefix("cycle_time=")) for n in names
+                  if n.startswith("cycle_time=") and not n.endswith("__HIVE_DEFAULT_PARTITION__"))
+
+
+def open_first_cycles(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The first ``n`` cycles of a store, listing only their folders."""
+    return open_store(spark, path, cycles=stored_cycles(spark, path)[:n])
+
+
 def open_cycles(fields: DataFrame, n: int) -> DataFrame:
     """The first ``n`` cycles, by time; the cycle filter prunes partitions."""
     first = fields.select("cycle_time").distinct().orderBy("cycle_time").limit(n)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 
 import pyarrow.fs as pafs
@@ -75,11 +76,18 @@ def open_input(path: str):
     return fs.open_input_file(p)
 
 
+def _part(path: str) -> str:
+    """Name of an unfinished file: not seen by listings, and different for every attempt,
+    as a task may run twice at the same time."""
+    folder, name = path.rsplit("/", 1)
+    return f"{folder}/_part.{uuid.uuid4().hex}.{name}"
+
+
 def put_file(path: str, data: bytes) -> None:
     """Write a file so that it appears under its name only when complete."""
     fs, p = locate(path)
     fs.create_dir(p.rsplit("/", 1)[0], recursive=True)
-    part = f"{p.rsplit('/', 1)[0]}/_part.{p.rsplit('/', 1)[1]}"
+    part = _part(p)
     with fs.open_output_stream(part) as out:
         out.write(data)
     fs.move(part, p)
@@ -89,9 +97,8 @@ def copy_file(source: str, destination: str) -> None:
     """Copy one file in blocks; it appears under its name only when complete."""
     src_fs, src = locate(source)
     fs, dst = locate(destination)
-    folder, name = dst.rsplit("/", 1)
-    fs.create_dir(folder, recursive=True)
-    part = f"{folder}/_part.{name}"
+    fs.create_dir(dst.rsplit("/", 1)[0], recursive=True)
+    part = _part(dst)
     pafs.copy_files(src, part, source_filesystem=src_fs, destination_filesystem=fs)
     fs.move(part, dst)
 

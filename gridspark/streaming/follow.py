@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from gridspark.functions.axes import StepAxis, with_step_index
 from gridspark.functions.scalars import is_missing, parse_iso
@@ -85,3 +85,9 @@ def follow_visibility(manifests: DataFrame, polls: DataFrame, axis: StepAxis = S
         F.unix_micros("poll_ts").alias("at_us"), is_missing("value").alias("missing"))
     return left.unionByName(right).groupBy("file_id").transformWithStateInPandas(
         _Follower(), EVENT, "append", "none")
+
+
+def run_for(query: StreamingQuery, max_runtime_seconds: float) -> None:
+    """Let a follower run for at most that long, and stop it."""
+    if not query.awaitTermination(max_runtime_seconds):
+        query.stop()

@@ -148,7 +148,7 @@ def batch_processor(config: IngestConfig, on_batch: Callable[[dict], None] | Non
             processing_ms = (time.perf_counter() - started) * 1000
             publish_ms, publish_error = 0.0, None
             if config.publish_to is not None and not result.where("success").isEmpty():
-                publish_error = _publish(spark, config, result)
+                publish_error = _publish(spark, config, result, folder)
                 publish_ms = (time.perf_counter() - started) * 1000 - processing_ms
             unresolved = found.where(F.col("size").isNull()).agg(F.count("*").alias("n"))
             row = (telemetry.batch_summary(result.withColumn("batch_id", F.lit(batch_id).cast("long")))
@@ -166,7 +166,7 @@ def batch_processor(config: IngestConfig, on_batch: Callable[[dict], None] | Non
     return run
 
 
-def _publish(spark: SparkSession, config: IngestConfig, result: DataFrame) -> str | None:
+def _publish(spark: SparkSession, config: IngestConfig, result: DataFrame, folder: str) -> str | None:
     """Copy what the batch changed; a failure is reported and the batch goes on.
 
     Only the partitions that the batch wrote to are listed and compared.
@@ -182,7 +182,7 @@ def _publish(spark: SparkSession, config: IngestConfig, result: DataFrame) -> st
         source = listing(config.store)
         published = store.exists(spark, config.publish_to)
         destination = listing(config.publish_to) if published else source.where(F.lit(False))
-        done = publish.incremental(source, destination, config.store, config.publish_to, delete=True)
+        done = publish.incremental(source, destination, config.store, config.publish_to, delete=True, within=folder)
         failed = done.where(~F.col("success")).agg(F.count("*").alias("n"), F.min("error").alias("e")).first()
         return f"{failed['n']} files not published: {failed['e']}" if failed["n"] else None
     except Exception as e:

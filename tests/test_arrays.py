@@ -83,6 +83,8 @@ def test_point(fields, spark):
     assert np.float32(last[(0, 2)]) == CUBE[0, 2, -1, -1]
     clamped = values(selection.point(whole, 180, 360, clamp=True))
     assert np.float32(clamped[(0, 0)]) == CUBE[0, 0, -1, -1]
+    assert values(selection.point(fields, 180, 360, clamp=True)).keys() == clamped.keys()
+    assert np.float32(values(selection.point(fields, -2, 0))[(0, 0)]) == CUBE[0, 0, -2, 0]
     assert selection.point(whole, 180, 360).count() == 0
 
 

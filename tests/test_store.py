@@ -135,6 +135,11 @@ def test_open_cycles_prunes(spark, tmp_path):
     first = store.open_cycles(store.open_store(spark, path), 2)
     assert [r.cycle_time.hour for r in first.select("cycle_time").distinct().orderBy("cycle_time").collect()] == [0, 6]
     assert first.count() == 2 * 18
+    assert [c.hour for c in store.stored_cycles(spark, path)] == [0, 6, 12, 18]
+    assert store.stored_cycles(spark, path + "-none") == []
+    listed = store.open_first_cycles(spark, path, 2)
+    assert listed.exceptAll(first.select(*listed.columns)).count() == 0 and listed.count() == 2 * 18
+    assert len({f.rsplit("/variable", 1)[0] for f in listed.inputFiles()}) == 2
 
 
 def test_generate_cycles_skips_existing(spark):

@@ -10,7 +10,7 @@ from gridspark.functions.axes import StepAxis
 from gridspark.operators import store
 from gridspark.sources import files
 from gridspark.streaming import arrivals
-from gridspark.streaming.follow import follow_visibility
+from gridspark.streaming.follow import follow_visibility, run_for
 from gridspark.streaming.ingest import IngestConfig, IngestManager, start_ingest
 
 SPEC = store.StoreSpec(variables=("t2m", "u10"), members=3, n_lat=GRID[0], n_lon=GRID[1], axis=StepAxis(2, 2, 2))
@@ -184,6 +184,9 @@ def test_follow_visibility(spark, tmp_path):
     assert (first["a"].na_poll_count, first["a"].total_poll_count) == (2, 3)
     assert first["late"].variable == "u10" and first["late"].na_poll_count == 0
     poll(3, [("a", 20, 1.0), ("b", 3, 1.5)])
+    started = (stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp3")).start())
+    run_for(started, 0.2)
+    assert not started.isActive
     events = run()
     assert set(events) == {"a", "b", "late"} and events["a"].latency_ms == 7076.0
     assert (events["b"].na_poll_count, events["b"].total_poll_count, events["b"].latency_ms) == (2, 3, 3000.0)
