@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-BROADCAST_ROWS = 50_000
+# Rows of keys and a few numbers: some 40 MB at most.
+BROADCAST_ROWS = 200_000
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

@@ -6,6 +6,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gridspark.operators.joins import attach, fits
+from gridspark.runtime import materialise
+
 SAMPLE_PER_BUCKET = 32
 
 
@@ -59,10 +62,11 @@ def global_row_number(df: DataFrame, order: list[str], name: str = "row_number",
 def concat_index(df: DataFrame, path: str = "path", name: str = "concat_index") -> DataFrame:
     """Dense 0-based index of the file each row came from, in path order.
 
-    Only the list of distinct paths is ranked; it then joins back on the path.
+    Only the list of distinct paths is ranked and written; the rows, which may carry
+    whole grids, stay where they are if the list can be broadcast.
     """
-    files = global_row_number(df.select(path).distinct(), [path], name)
-    return df.join(files, path)
+    files = materialise(global_row_number(df.select(path).distinct(), [path], name), "files")
+    return attach(df, files, [path], fits(files))
 
 
 def assign_batches(df: DataFrame, order: list[str], files_per_batch: int,

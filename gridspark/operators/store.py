@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from gridspark.functions.axes import StepAxis, with_step_index
 from gridspark.functions.scalars import as_float32
-from gridspark.operators.joins import join_on
+from gridspark.operators.joins import fits, join_on
 from gridspark.operators.ranking import concat_index
 from gridspark.runtime import hadoop_path, materialise, staging
 
@@ -183,8 +183,15 @@ def latest(writes: DataFrame, slot: Sequence[str], order: Sequence[str]) -> Data
 
 
 def latest_fields(fields: DataFrame) -> DataFrame:
-    """``latest`` for rows with grids: the winner is chosen on the narrow columns alone."""
+    """``latest`` for rows with grids.
+
+    Whether any slot occurs twice is asked of the narrow columns alone; if none does,
+    which is the rule, no grid is moved. Else the winners are chosen on them as well.
+    """
     key = ["release_ts", "source_path"]
+    twice = fields.groupBy(*SLOT).agg(F.count("*").alias("n")).where("n > 1")
+    if twice.isEmpty():
+        return fields
     winner = latest(fields.select(*SLOT, *key), SLOT, key)
     # Identical replays of a file agree in every column.
     return join_on(fields, winner, [*SLOT, *key], "left_semi").dropDuplicates(SLOT)
@@ -242,12 +249,18 @@ def write_log(checked: DataFrame) -> DataFrame:
 
 
 def merge(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Touched partitions as they are after the write: old slots not replaced, and the new ones."""
+    """Touched partitions as they are after the write: old slots not replaced, and the new ones.
+
+    ``incoming`` should be a written table: its slots are counted.
+    """
     # The bound on step_index makes the optimizer see a selective side, so the scan of
     # the store is pruned at run time to the touched partitions.
     touched = incoming.select(*PARTITION).where(F.col("step_index") >= 0).distinct()
-    kept = (existing.join(touched, PARTITION, "left_semi")
-            .join(incoming.select(*SLOT), SLOT, "left_anti"))
+    slots = incoming.select(*SLOT)
+    if fits(slots):
+        # Then the grids of the store stay where they are.
+        touched, slots = F.broadcast(touched), F.broadcast(slots)
+    kept = existing.join(touched, PARTITION, "left_semi").join(slots, SLOT, "left_anti")
     return kept.unionByName(incoming)
 
 

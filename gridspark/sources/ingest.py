@@ -16,15 +16,15 @@ from gridspark.sources.messages import DECODERS
 
 MESSAGE = ("source_path string, short_name string, cf_var string, data_date int, data_time int, "
            "forecast_hour int, perturbation int, n_ensemble int, position int, n_messages int, "
-           "lat_start int, n_lat int, n_lon int, {values}decode_error string")
+           "lat_start int, n_lat int, n_lon int, {values}decode_error string{carry}")
 
 CONTEXT = ["shortName", "cfVarName", "dataDate", "dataTime", "step", "Nj", "Ni"]
 
 
-def _rows(path, size, context, decoder, bands, with_values) -> Iterator[dict]:
+def _rows(path, size, context, carried, decoder, bands, with_values) -> Iterator[dict]:
     from gridspark.sources.files import open_input
 
-    base = {"source_path": path, "lat_start": 0}
+    base = {"source_path": path, "lat_start": 0, **carried}
     try:
         with open_input(path) as file:
             size = file.size() if size is None else size
@@ -57,13 +57,14 @@ def _rows(path, size, context, decoder, bands, with_values) -> Iterator[dict]:
 
 
 def _decode(decoder: Callable, bands: int | None, with_values: bool, schema: pa.Schema,
-            context_columns: Sequence[str], batch_bytes: int = 32 << 20):
+            context_columns: Sequence[str], carry: Sequence[str], batch_bytes: int = 32 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pending, held = [], 0
             for record in batch.to_pylist():
                 context = {k: record[k] for k in context_columns}
-                for row in _rows(record["path"], record.get("size"), context, decoder, bands, with_values):
+                carried = {k: record[k] for k in carry}
+                for row in _rows(record["path"], record.get("size"), context, carried, decoder, bands, with_values):
                     pending.append(row)
                     held += row["values"].nbytes if "values" in row else 256
                     if held >= batch_bytes:
@@ -74,15 +75,17 @@ def _decode(decoder: Callable, bands: int | None, with_values: bool, schema: pa.
     return run
 
 
-def _scan(files: DataFrame, decoder: str | Callable, bands: int | None, with_values: bool) -> DataFrame:
+def _scan(files: DataFrame, decoder: str | Callable, bands: int | None, with_values: bool,
+          carry: Sequence[str] = ()) -> DataFrame:
     decode = DECODERS[decoder] if isinstance(decoder, str) else decoder
-    schema = StructType.fromDDL(MESSAGE.format(values="values array<float>, " if with_values else ""))
+    carried = "".join(f", {c} {files.schema[c].dataType.simpleString()}" for c in carry)
+    schema = StructType.fromDDL(MESSAGE.format(values="values array<float>, " if with_values else "", carry=carried))
     context = [c for c in CONTEXT if c in files.columns]
-    given = files.select("path", *(["size"] if "size" in files.columns else []), *context)
+    given = files.select("path", *(["size"] if "size" in files.columns else []), *context, *carry)
     tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # One row per file: this moves names, not data, and spreads the reading evenly.
     return given.repartition(tasks, F.xxhash64("path")).mapInArrow(
-        _decode(decode, bands, with_values, to_arrow_schema(schema), context), schema)
+        _decode(decode, bands, with_values, to_arrow_schema(schema), context, carry), schema)
 
 
 def _described(messages: DataFrame) -> DataFrame:
@@ -93,22 +96,24 @@ def _described(messages: DataFrame) -> DataFrame:
 
 
 def decode_files(files: DataFrame, decoder: str | Callable = "framed", member_from: str = "position",
-                 bands: int | None = None) -> DataFrame:
+                 bands: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """All messages of every file in ``files(path[, size, ...])`` as fields.
 
     The metadata of a file is that of its first message; ``number`` is the position in
     the file, or the perturbation number with ``member_from="metadata"``. A file that
     cannot be read, or holds no message, is one row with ``error``. Grids may be cut
-    into ``bands`` of that many latitudes. Memory per task is one Arrow batch.
+    into ``bands`` of that many latitudes. Columns named in ``carry`` come along with
+    every row, so nothing has to be joined to the grids later. Memory per task is one
+    Arrow batch.
     """
     number = F.col("position")
     if member_from == "metadata":
         number = F.coalesce(member_index("perturbation"), F.col("position"))
-    rows = _described(_scan(files, decoder, bands, True))
+    rows = _described(_scan(files, decoder, bands, True, carry))
     return rows.select(
         "cycle_time", "variable", "forecast_hour", "valid_time", number.cast("int").alias("number"),
         "lat_start", "n_lat", "n_lon", "values", F.col("n_messages").alias("n_members"),
-        "n_ensemble", "source_path", F.col("decode_error").alias("error"))
+        "n_ensemble", "source_path", F.col("decode_error").alias("error"), *carry)
 
 
 def decode_metadata(files: DataFrame, decoder: str | Callable = "framed") -> DataFrame:

@@ -30,8 +30,11 @@ STATE = T.StructType([
 class _Follower(StatefulProcessor):
     """One event per file, when its manifest and a poll with a value are both known."""
 
+    def __init__(self, forget_ms: int | None):
+        self.forget_ms = forget_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.file = handle.getValueState("file", STATE)
+        self.file = handle.getValueState("file", STATE, self.forget_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         known = self.file.get() if self.file.exists() else (None, None, None, None, None, 0, False)
@@ -68,13 +71,17 @@ class _Follower(StatefulProcessor):
         pass
 
 
-def follow_visibility(manifests: DataFrame, polls: DataFrame, axis: StepAxis = StepAxis()) -> DataFrame:
+def follow_visibility(manifests: DataFrame, polls: DataFrame, axis: StepAxis = StepAxis(),
+                      forget_after_hours: float | None = None) -> DataFrame:
     """Stream of visibility events from a manifest stream and a stream of poll samples.
 
     ``polls(file_id, poll_ts, value)``: a missing value is a poll that saw nothing yet.
     Hours off the axis are skipped. State is one small row per file, so a file with a
-    third of all polls costs no more than the others.
+    third of all polls costs no more than the others. A query that runs for ever should
+    give ``forget_after_hours``: a file that nothing was heard of for that long is
+    forgotten. It needs a continuous trigger, as its clock keeps ``availableNow`` busy.
     """
+    forget_ms = None if forget_after_hours is None else int(forget_after_hours * 3_600_000)
     known = with_step_index(manifests, axis).where(F.col("step_index").isNotNull())
     left = known.select(
         "file_id", F.lit(True).alias("is_manifest"), "variable", "forecast_hour", "step_index",
@@ -84,7 +91,7 @@ def follow_visibility(manifests: DataFrame, polls: DataFrame, axis: StepAxis = S
         F.lit(0).alias("forecast_hour"), F.lit(0).alias("step_index"),
         F.unix_micros("poll_ts").alias("at_us"), is_missing("value").alias("missing"))
     return left.unionByName(right).groupBy("file_id").transformWithStateInPandas(
-        _Follower(), EVENT, "append", "none")
+        _Follower(forget_ms), EVENT, "append", "none" if forget_ms is None else "processingTime")
 
 
 def run_for(query: StreamingQuery, max_runtime_seconds: float) -> None:

@@ -96,15 +96,11 @@ def run_batch(files: DataFrame, store_path: str, spec: StoreSpec = StoreSpec(),
     log is written to ``log_path``, or to a folder of its own.
     """
     spark = files.sparkSession
-    decoded = decode_files(files, decoder, bands=bands)
+    if "release_ts" not in files.columns:
+        files = files.withColumn("release_ts", F.lit(None).cast("timestamp"))
+    decoded = decode_files(files, decoder, bands=bands, carry=["release_ts"])
     if process is not None:
         decoded = process(decoded)
-    if "release_ts" in files.columns:
-        # One narrow row per file.
-        times = files.select(F.col("path").alias("source_path"), "release_ts")
-        decoded = decoded.join(times, "source_path", "left")
-    else:
-        decoded = decoded.withColumn("release_ts", F.lit(None).cast("timestamp"))
     log_path = log_path or new_dir(spark, "write-log")
     with staging(spark, "batch") as folder:
         checked = materialise(store.check(decoded, spec, validate), "checked", folder)

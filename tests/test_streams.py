@@ -194,3 +194,21 @@ def test_follow_visibility(spark, tmp_path):
 
 def test_listing_option_for_vanished_files(spark, landing):
     assert files.list_files(spark, str(landing), ignore_missing=True).count() == 7
+
+
+def test_follower_with_expiry_runs_continuously(spark, tmp_path):
+    polls, seen = tmp_path / "polls", tmp_path / "manifests"
+    polls.mkdir(), seen.mkdir()
+    (seen / "a.grib2.json").write_text(manifest("a", "t2m", 3, "/x/a"))
+    (polls / "1.json").write_text(json.dumps({"file_id": "a", "poll_ts": "2024-01-01T06:00:09Z", "value": 1.0}))
+    stream = follow_visibility(
+        arrivals.manifests(spark, str(seen)).where("NOT corrupt"),
+        spark.readStream.schema("file_id string, poll_ts timestamp, value double").json(str(polls)),
+        forget_after_hours=24)
+    query = (stream.writeStream.format("memory").queryName("expiring")
+             .option("checkpointLocation", str(tmp_path / "cp")).start())
+    deadline = time.time() + 40
+    while time.time() < deadline and spark.table("expiring").isEmpty():
+        time.sleep(0.5)
+    query.stop()
+    assert [(r.file_id, r.latency_ms) for r in spark.table("expiring").collect()] == [("a", 9000.0)]
