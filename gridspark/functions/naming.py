@@ -6,7 +6,7 @@ from itertools import chain
 
 from pyspark.sql import Column, functions as F
 
-from gridspark.functions.scalars import _col, iso_ms
+from gridspark.functions.scalars import _col
 
 # Message short name -> CF variable name.
 CF_NAMES = {
@@ -118,7 +118,7 @@ def volume_to_storage_path(path, base_path) -> Column:
 
 
 __all__ = [
-    "CF_NAMES", "basename", "cf_name", "cycle_name", "data_name", "emit_name", "iso_ms",
+    "CF_NAMES", "basename", "cf_name", "cycle_name", "data_name", "emit_name",
     "local_path", "parse_emit_name", "parse_storage", "parse_volume", "redact", "stem",
     "swap_suffix", "volume_to_storage_path",
 ]

@@ -10,6 +10,7 @@ from gridspark.operators.joins import attach, fits
 from gridspark.runtime import materialise
 
 SAMPLE_PER_BUCKET = 32
+HASHES = 1 << 30
 
 
 def _buckets(df: DataFrame, buckets: int | None) -> int:
@@ -25,30 +26,39 @@ def _bucket_of(key: Column, bounds: Column, width: int) -> Column:
     return start + F.size(F.filter(F.slice(bounds, start + 1, F.lit(width)), lambda b: b <= key))
 
 
-def global_row_number(df: DataFrame, order: list[str], name: str = "row_number",
-                      buckets: int | None = None) -> DataFrame:
-    """0-based position of every row in the order of ``order`` (ascending).
-
-    ``order`` must identify a row: put a unique column last. Then a value shared by a
-    third of the table is split over buckets as well, because bounds are drawn from
-    the whole key.
+def _bucketed(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """Rows with ``_key`` and the number of the key range they are in.
 
-    1. The rows with the smallest key hashes are a uniform sample of fixed size that
-       every retry draws again; its quantiles are the bucket bounds.
-    2. Rows per bucket give each bucket its offset (one row per bucket, broadcast).
-    3. A window per bucket numbers the rows.
+    The bounds are quantiles of a sample that every retry draws again: the keys with
+    the smallest hashes, about ``SAMPLE_PER_BUCKET`` per bucket. How small follows from
+    the number of rows, so no task sends more than its part of the sample.
     """
-    n = _buckets(df, buckets)
     width = math.isqrt(n - 1) + 1
+    wanted = n * SAMPLE_PER_BUCKET
     keyed = df.withColumn("_key", F.struct(*order))
-    sample = (keyed.select("_key").orderBy(F.xxhash64("_key")).limit(n * SAMPLE_PER_BUCKET)
+    rows = df.agg(F.count("*").alias("rows"))
+    share = keyed.select("_key").withColumn("_share", F.lit(float(wanted)) / F.greatest(rows.scalar(), F.lit(1)))
+    hashed = F.pmod(F.xxhash64("_key"), F.lit(HASHES))
+    sample = (share.where(hashed < F.col("_share") * HASHES).orderBy(hashed).limit(2 * wanted)
               .agg(F.array_sort(F.collect_list("_key")).alias("s")))
     every = F.greatest(F.ceil(F.size("s") / n), F.lit(1))
     bounds = sample.select(F.filter("s", lambda x, i: (i > 0) & (i % every == 0)).alias("b"))
-    bucketed = (keyed.withColumn("_bounds", bounds.scalar())
-                .withColumn("_bucket", _bucket_of(F.col("_key"), F.col("_bounds"), width))
-                .drop("_bounds"))
-    # At most n rows: the window over all of them and the broadcast are bounded.
+    return (keyed.withColumn("_bounds", bounds.scalar())
+            .withColumn("_bucket", _bucket_of(F.col("_key"), F.col("_bounds"), width))
+            .drop("_bounds"))
+
+
+def global_row_number(df: DataFrame, order: list[str], name: str = "row_number",
+                      buckets: int | None = None) -> DataFrame:
+    """0-based position of every row in the order of ``order`` (ascending).
+
+    ``order`` must identify a row: put a unique column last. Then a value shared by a
+    third of the table is split over buckets as well, because bounds are drawn from
+    the whole key. Rows per bucket give each bucket its offset, and a window per
+    bucket numbers its rows.
+    """
+    bucketed = _bucketed(df, order, _buckets(df, buckets))
+    # One row per bucket: the window over all of them and the broadcast are bounded.
     offsets = (bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
                .select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n"))
                        .alias("_before")))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gridspark.functions import naming
-from gridspark.functions.axes import with_step_index
 from gridspark.functions.scalars import (epoch_hours, floor_cycle, from_epoch_hours, grib_time, iso_ms,
                                          member_index, parse_iso, to_utc, valid_time)
 from gridspark.operators import joins, publish, store
@@ -41,7 +40,8 @@ def time_functions(t: Tables) -> DataFrame:
 
 
 @query(f"""SELECT o_orderkey,
-  strftime(date_trunc('day', o_orderdate) + to_hours(o_orderkey % 24) + to_minutes(o_orderkey % 60), {ISO}) AS reference_time,
+  strftime(date_trunc('day', o_orderdate) + to_hours(o_orderkey % 24) + to_minutes(o_orderkey % 60), {ISO})
+    AS reference_time,
   CASE WHEN o_custkey % 51 > 0 THEN o_custkey % 51 - 1 END AS member
 FROM orders""")
 def message_times_and_members(t: Tables) -> DataFrame:
@@ -176,7 +176,8 @@ def write_validation(t: Tables) -> DataFrame:
     return store.check(incoming, spec).groupBy(words.alias("kind")).agg(F.count("*").alias("n"))
 
 
-ON_DISK = "listing AS (SELECT DISTINCT '/landing/' || event_type || '/' || event_id || '.grib2' AS path FROM events WHERE value > 10)"
+ON_DISK = """listing AS (
+  SELECT DISTINCT '/landing/' || event_type || '/' || event_id || '.grib2' AS path FROM events WHERE value > 10)"""
 
 
 def _on_disk(t: Tables) -> DataFrame:

@@ -421,7 +421,8 @@ def follow_visibility_stream(t: Tables) -> DataFrame:
     samples = polls(t)
     samples.write.parquet(f"{base}/polls")
     released = samples.groupBy("file_id").agg(F.min("poll_ts").alias("at")).select(
-        "file_id", F.lit("t2m").alias("variable"), (F.col("file_id").cast("long") % 361).cast("int").alias("forecast_hour"),
+        "file_id", F.lit("t2m").alias("variable"),
+        (F.col("file_id").cast("long") % 361).cast("int").alias("forecast_hour"),
         F.concat(F.lit("/landing/"), "file_id").alias("landing_path"),
         iso_ms("at").alias("producer_write_start_utc"), iso_ms("at").alias("producer_release_utc"))
     materialise(write_manifests(released, f"{base}/manifests"), "manifests")

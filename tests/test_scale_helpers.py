@@ -59,9 +59,12 @@ def test_global_row_number(rows, buckets):
     assert {r.id: r.n for r in have} == want
 
 
-def test_hot_value_is_split_over_buckets(rows, spark):
-    plan = ranking.global_row_number(rows, ["x", "id"], "n", 16)._jdf.queryExecution().optimizedPlan().toString()
-    assert "windowspecdefinition(_bucket" in plan
+def test_hot_value_is_split_over_buckets(rows):
+    """A third of the rows have x = 5, and no bucket has much more than a sixteenth."""
+    sizes = [r["count"] for r in ranking._bucketed(rows, ["x", "id"], 16).groupBy("_bucket").count().collect()]
+    assert sum(sizes) == 6001 and max(sizes) < 3 * 6001 / 16
+    hot = ranking._bucketed(rows, ["x", "id"], 16).where("x = 5").select("_bucket").distinct().count()
+    assert hot >= 4
 
 
 def test_row_number_of_nothing(rows):
