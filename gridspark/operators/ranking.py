@@ -19,15 +19,16 @@ def _buckets(df: DataFrame, buckets: int | None) -> int:
     return max(16, min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def _bucket_of(key: Column, bounds: Column, width: int) -> Column:
-    """How many sorted bounds are <= key, by a search in two levels."""
-    coarse = F.filter(bounds, lambda b, i: (i % width == width - 1) & (b <= key))
-    start = F.size(coarse) * width
-    return start + F.size(F.filter(F.slice(bounds, start + 1, F.lit(width)), lambda b: b <= key))
+def _bucket_of(key: Column, bounds: Column, coarse: Column, width: int) -> Column:
+    """How many sorted bounds are <= key: first by every ``width``-th one, then between two."""
+    block = F.size(F.filter(coarse, lambda b: b <= key)) * width
+    # A one-element array holds the block, so it is searched once.
+    return F.get(F.transform(F.array(block), lambda start: start + F.size(
+        F.filter(F.slice(bounds, start + 1, F.lit(width)), lambda b: b <= key))), F.lit(0))
 
 
 def _bucketed(df: DataFrame, order: list[str], n: int) -> DataFrame:
-    """Rows with ``_key`` and the number of the key range they are in.
+    """Rows with the number of the key range they are in, as ``_bucket``.
 
     The bounds are quantiles of a sample that every retry draws again: the keys with
     the smallest hashes, about ``SAMPLE_PER_BUCKET`` per bucket. How small follows from
@@ -36,16 +37,19 @@ def _bucketed(df: DataFrame, order: list[str], n: int) -> DataFrame:
     width = math.isqrt(n - 1) + 1
     wanted = n * SAMPLE_PER_BUCKET
     keyed = df.withColumn("_key", F.struct(*order))
-    rows = df.agg(F.count("*").alias("rows"))
-    share = keyed.select("_key").withColumn("_share", F.lit(float(wanted)) / F.greatest(rows.scalar(), F.lit(1)))
+    smallest = min(HASHES, int(HASHES * wanted / max(1, df.count())))
     hashed = F.pmod(F.xxhash64("_key"), F.lit(HASHES))
-    sample = (share.where(hashed < F.col("_share") * HASHES).orderBy(hashed).limit(2 * wanted)
+    sample = (keyed.select("_key").where(hashed < smallest).orderBy(hashed).limit(2 * wanted)
               .agg(F.array_sort(F.collect_list("_key")).alias("s")))
     every = F.greatest(F.ceil(F.size("s") / n), F.lit(1))
     bounds = sample.select(F.filter("s", lambda x, i: (i > 0) & (i % every == 0)).alias("b"))
-    return (keyed.withColumn("_bounds", bounds.scalar())
-            .withColumn("_bucket", _bucket_of(F.col("_key"), F.col("_bounds"), width))
-            .drop("_bounds"))
+    # One row, written because two plans use it.
+    bounds = materialise(bounds.withColumn(
+        "c", F.filter("b", lambda x, i: i % width == width - 1)), "bounds")
+    return (keyed.withColumn("_bounds", bounds.select("b").scalar())
+            .withColumn("_coarse", bounds.select("c").scalar())
+            .withColumn("_bucket", _bucket_of(F.col("_key"), F.col("_bounds"), F.col("_coarse"), width))
+            .drop("_bounds", "_coarse", "_key"))
 
 
 def global_row_number(df: DataFrame, order: list[str], name: str = "row_number",
@@ -62,11 +66,11 @@ def global_row_number(df: DataFrame, order: list[str], name: str = "row_number",
     offsets = (bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
                .select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n"))
                        .alias("_before")))
-    within = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key")) - 1
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
     return (bucketed.withColumn("_within", within)
             .join(F.broadcast(offsets), "_bucket", "left")
             .withColumn(name, F.col("_before") + F.col("_within"))
-            .drop("_key", "_bucket", "_within", "_before"))
+            .drop("_bucket", "_within", "_before"))
 
 
 def concat_index(df: DataFrame, path: str = "path", name: str = "concat_index") -> DataFrame:
