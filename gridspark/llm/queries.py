@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridspark.llm import dedup, order, pii, shards, urls
+from gridspark.llm import dedup, langid, order, pii, shards, urls
 from gridspark.llm.bpe import Tokenizer
+from gridspark.llm.common import crc_mod
 from gridspark.runtime import new_dir, prepare
 
 # Fixed values of the contracts.
@@ -35,6 +36,14 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_language(spark, table):
+    docs = table("documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    network = langid.fit(docs.where(~held_out))
+    return langid.with_language(docs.select("doc_id", "text", held_out.alias("held_out")), network).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query("""
     WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents),
          r AS (SELECT doc_id, sha256(norm) AS text_sha256, min(doc_id) OVER (PARTITION BY norm) AS keep_id,
