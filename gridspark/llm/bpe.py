@@ -28,9 +28,9 @@ NONE = np.int32(2**31 - 1)
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PART = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 # Parts and pre-tokens remembered by a worker, and the longest that are.
-REMEMBERED, LONGEST = 600_000, 48
+REMEMBERED, LONGEST = 250_000, 48
 # Bytes of text taken apart at once, and bytes of pre-tokens merged at once unless one is longer.
-TEXT_BYTES, MERGE_BYTES = 8 << 20, 4 << 20
+TEXT_BYTES, MERGE_BYTES = 2 << 20, 1 << 20
 
 
 def parse_ranks(blob: bytes) -> dict[bytes, int]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridspark.llm import dedup, langid, order, pii, shards, urls
+from gridspark.llm import dedup, langid, order, pii, shards, toxicity, urls
 from gridspark.llm.bpe import Tokenizer
 from gridspark.llm.common import crc_mod
 from gridspark.runtime import new_dir, prepare
@@ -168,3 +168,17 @@ def _url_sql() -> str:
 def op9_url_filter(spark, table):
     return (urls.judge(table("pages").select("page_id", "url", "html"), URL_RULES)
             .select("page_id", "host", "path", "rule", "verdict"))
+
+
+def toxicity_index(docs, labels, learn):
+    """An index from the documents that ``learn`` lets in."""
+    return toxicity.fit(docs.where(learn), labels.where(learn))
+
+
+@query()
+def op10_toxicity(spark, table):
+    docs = table("documents").select("doc_id", "text")
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    index = toxicity_index(docs, table("labels"), ~held_out)
+    return (toxicity.with_toxicity(docs.withColumn("held_out", held_out), index)
+            .select("doc_id", "held_out", "score", "predicted"))
