@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridspark.llm import dedup, langid, order, pii, shards, toxicity, urls
+from gridspark.llm import decontam, dedup, langid, order, pii, shards, toxicity, urls
 from gridspark.llm.bpe import Tokenizer
 from gridspark.llm.common import crc_mod
 from gridspark.runtime import new_dir, prepare
@@ -182,3 +182,8 @@ def op10_toxicity(spark, table):
     index = toxicity_index(docs, table("labels"), ~held_out)
     return (toxicity.with_toxicity(docs.withColumn("held_out", held_out), index)
             .select("doc_id", "held_out", "score", "predicted"))
+
+
+@query()
+def op6_decontamination(spark, table):
+    return decontam.contaminated(table("documents").select("doc_id", "text"), table("benchmark"))
