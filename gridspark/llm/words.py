@@ -8,7 +8,7 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 # Bytes hashed at once; a longer text is cut between words.
 PIECE = 2 << 20
-_powers = np.ones(64, np.uint64)
+_powers = np.ones(1, np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -21,7 +21,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def _power_table(n: int) -> np.ndarray:
     global _powers
     if len(_powers) < n:
-        _powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(2 * n, _FACTOR)]).astype(np.uint64))
+        factors = np.full(max(64, 2 * n), _FACTOR)
+        factors[0] = 1
+        _powers = np.multiply.accumulate(factors)
     return _powers
 
 
