@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridspark.llm import decontam, dedup, langid, order, pii, shards, toxicity, urls
+from gridspark.llm import decontam, dedup, jaccard, langid, order, pii, shards, toxicity, urls
 from gridspark.llm.bpe import Tokenizer
 from gridspark.llm.common import crc_mod
 from gridspark.runtime import new_dir, prepare
@@ -187,3 +187,8 @@ def op10_toxicity(spark, table):
 @query()
 def op6_decontamination(spark, table):
     return decontam.contaminated(table("documents").select("doc_id", "text"), table("benchmark"))
+
+
+@query()
+def op7_jaccard_join(spark, table):
+    return jaccard.near_duplicates(table("documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
