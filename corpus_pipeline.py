@@ -1,28 +1,64 @@
-"""The corpus pipeline: documents in, token digests of the documents that stay out."""
+"""The corpus pipeline: from ``documents`` to the token digests of the documents that stay.
+
+Toxic documents go, then all but one of each group of equal texts, all but one of each group of
+near copies, and documents that hold a benchmark passage; what is left is encoded.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridspark.llm import dedup
+from gridspark.llm import decontam, dedup, jaccard, queries, toxicity
+from gridspark.llm.common import crc_mod
 from gridspark.runtime import materialise, prepare
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted to be toxic, judged by labelled ones that are not held out."""
+    prepare(spark)
+    learn = ~F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    index = toxicity.fit(docs.where(learn), _table(spark, sf_dir, "labels").where(learn))
+    return toxicity.not_toxic(docs, index)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     prepare(spark)
     return dedup.exact_dedup(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    prepare(spark)
+    return jaccard.one_per_group(docs)
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of ``benchmark``."""
+    prepare(spark)
+    return decontam.decontaminated(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids, and of what they decode to."""
+    prepare(spark)
+    return queries.token_digests(docs)
+
+
+STAGES = [("toxicity", not_toxic), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),
+          ("decontamination", no_benchmark), ("byte_bpe", encode)]
 
-# Stages learn from data and compare by distance, which SQL cannot express.
+# SQL can neither learn from the labels nor encode; the result is tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages one after the other to ``documents``; each reads what the one before has written."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

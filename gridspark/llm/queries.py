@@ -76,13 +76,17 @@ def op4_training_order(spark, table):
             .select("slot", "shard", "offset", "doc_id", "seq_no", "n_tokens", F.sha2("ids", 256).alias("ids_sha256")))
 
 
+def token_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
+    bpe = tokenizer()
+    rows = docs.select("doc_id", bpe.encode("text").alias("ids")).withColumn("decoded", bpe.decode("ids"))
+    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query()
 def op5_byte_bpe(spark, table):
-    bpe = tokenizer()
-    rows = table("documents").select("doc_id", bpe.encode("text").alias("ids"))
-    return (rows.withColumn("decoded", bpe.decode("ids"))
-            .select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-                    F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")))
+    return token_digests(table("documents"))
 
 
 # The same patterns without the hints that only help Spark's engine.
@@ -170,16 +174,11 @@ def op9_url_filter(spark, table):
             .select("page_id", "host", "path", "rule", "verdict"))
 
 
-def toxicity_index(docs, labels, learn):
-    """An index from the documents that ``learn`` lets in."""
-    return toxicity.fit(docs.where(learn), labels.where(learn))
-
-
 @query()
 def op10_toxicity(spark, table):
     docs = table("documents").select("doc_id", "text")
     held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
-    index = toxicity_index(docs, table("labels"), ~held_out)
+    index = toxicity.fit(docs.where(~held_out), table("labels").where(~held_out))
     return (toxicity.with_toxicity(docs.withColumn("held_out", held_out), index)
             .select("doc_id", "held_out", "score", "predicted"))
 

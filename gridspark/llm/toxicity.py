@@ -252,3 +252,9 @@ def with_toxicity(docs: DataFrame, index: Index | None, threshold: float = 0.5)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), assess(docs["text"], index).alias("found"))
     return rows.select(*with_columns(docs, {
         "score": F.col("found.score"), "predicted": (F.col("found.score") >= threshold).cast("int"), "neighbours": F.col("found.neighbours")}))
+
+
+def not_toxic(docs: DataFrame, index: Index | None, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with their columns as they are."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), assess(docs["text"], index).alias("found"))
+    return rows.where(F.col("found.score") < threshold).select("row.*")
