@@ -162,8 +162,9 @@ class Merger:
 
     @staticmethod
     def _push(queue: RankQueue, at: np.ndarray, ranks: np.ndarray) -> None:
-        if len(at) == 1:
-            queue.push(int(ranks[0]), at)
+        if len(at) < 2:
+            if len(at):
+                queue.push(int(ranks[0]), at)
             return
         order = np.lexsort((at, ranks))
         at, ranks = at[order], ranks[order]
@@ -221,8 +222,7 @@ class Merger:
             last[:-1] &= ~adjacent
         some = (left_rank != NONE) & (left != n)
         at = np.concatenate([left[some], pos[last]])
-        if len(at):
-            self._push(queue, at, np.concatenate([left_rank[some], right_rank[last]]))
+        self._push(queue, at, np.concatenate([left_rank[some], right_rank[last]]))
 
 
 class Encoder:
