@@ -175,7 +175,7 @@ class Merger:
 
     def _merge_rank(self, queue, r, pos, token, after, before, rank, piece, n) -> None:
         """Merge all pairs of rank ``r`` at the sorted positions ``pos``, left to right where they overlap."""
-        right = after[pos]
+        right, every = after[pos], pos
         if len(pos) > 1 and (right[:-1] == pos[1:]).any():
             # In a run of pairs that overlap, every second one is left without its first half.
             joined = np.concatenate([[False], right[:-1] == pos[1:]])
@@ -199,13 +199,13 @@ class Merger:
             if not lower.any() or len(pos) == 1:
                 break
             # A merge here makes a pair that comes before the next merge of this rank in the same
-            # pre-token: merge only the first one there, the others wait in their bucket.
+            # pre-token: merge only the first one there, all others wait in their bucket.
             own = piece[pos]
             first = np.concatenate([[True], own[1:] != own[:-1]])
             wait = np.isin(own, own[lower]) & ~first
             if not wait.any():
                 break
-            queue.push(r, pos[wait])
+            queue.push(r, every[np.isin(piece[every], own[lower])])
             pos = pos[~wait]
             right = after[pos]
         token[pos] = r
