@@ -72,6 +72,24 @@ def blocks_of(data: np.ndarray) -> Iterator[np.ndarray]:
         tail = low[-(max(GRAMS) - 1):]
 
 
+def _slot(x: np.ndarray) -> np.ndarray:
+    return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
+def _weighted(data: np.ndarray, terms: np.ndarray, idf: np.ndarray, mark: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``terms`` are in a text, and their TF-IDF weights in a unit vector; the text is read a block at a time."""
+    counts = np.zeros(len(terms), np.int64)
+    if len(terms):
+        for x in blocks_of(data):
+            if mark is not None:
+                x = x[mark[_slot(x)]]
+            at = np.minimum(np.searchsorted(terms, x), len(terms) - 1)
+            counts += np.bincount(at[terms[at] == x], minlength=len(terms))
+    found = np.flatnonzero(counts)
+    w = (1 + np.log(counts[found])) * idf[found]
+    return found, w / max(1e-12, np.sqrt((w * w).sum()))
+
+
 @dataclass
 class Index:
     terms: np.ndarray  # sorted
@@ -87,26 +105,23 @@ class Index:
     def __post_init__(self):
         # Most terms of a text are not in the index; a table of marks by hash puts them aside.
         self.mark = np.zeros(1 << TABLE_BITS, bool)
-        self.mark[self._slot(self.terms)] = True
+        self.mark[_slot(self.terms)] = True
+
+    def __getstate__(self):
+        """Few weights are not zero: only these go to the workers."""
+        at = np.flatnonzero(self.weights)
+        return {k: v for k, v in self.__dict__.items() if k not in ("weights", "mark")} | {"sparse": (self.weights.shape, at, self.weights.ravel()[at])}
 
-    @staticmethod
-    def _slot(x: np.ndarray) -> np.ndarray:
-        return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    def __setstate__(self, state):
+        shape, at, values = state.pop("sparse")
+        self.__dict__.update(state)
+        self.weights = np.zeros(shape, np.float32)
+        self.weights.ravel()[at] = values
+        self.__post_init__()
 
     def vector(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Terms of a byte string that the index has, and their weights in a unit vector.
-
-        The bytes are read a block at a time.
-        """
-        counts = np.zeros(len(self.terms), np.int64)
-        if len(self.terms):
-            for x in blocks_of(data):
-                x = x[self.mark[self._slot(x)]]
-                at = np.minimum(np.searchsorted(self.terms, x), len(self.terms) - 1)
-                counts += np.bincount(at[self.terms[at] == x], minlength=len(self.terms))
-        found = np.flatnonzero(counts)
-        w = (1 + np.log(counts[found])) * self.idf[found]
-        return found, w / max(1e-12, np.sqrt((w * w).sum()))
+        """Terms of a byte string that the index has, and their weights in a unit vector."""
+        return _weighted(data, self.terms, self.idf, self.mark)
 
     def nearest(self, found: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples of largest positive cosine, ties by index order, and their cosines; ``without`` is left out."""
@@ -159,29 +174,49 @@ def _calibrated(raw: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple
     return float(beta[0]), float(beta[1])
 
 
+def _counted(texts: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(terms, documents of each, toxic ones) of all terms common enough to be chosen, and how many terms were tried.
+
+    Documents are first counted per hash bucket; a term cannot be in more than its bucket, so most
+    rare terms never need a place of their own.
+    """
+    bits = 22
+    bucket = lambda x: (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+    per_bucket = np.zeros(1 << bits, np.int32)
+    tried = 0
+    for t in texts:
+        own = np.unique(np.concatenate(list(blocks_of(t))))
+        tried += len(own)
+        per_bucket += np.bincount(bucket(own), minlength=1 << bits).astype(np.int32)
+    base = min(max(toxic.mean(), 1e-6), 1 - 1e-6)
+    least = np.log(max(1, tried) / ACCIDENT) / -np.log(min(base, 1 - base))
+    terms, df, hits = np.empty(0, np.uint64), np.empty(0), np.empty(0)
+    for low in range(0, len(texts), 100):
+        own = [np.unique(np.concatenate(list(blocks_of(t)))) for t in texts[low:low + 100]]
+        own = [x[per_bucket[bucket(x)] >= least] for x in own]
+        label = np.repeat(toxic[low:low + 100].astype(float), [len(x) for x in own])
+        merged, place = np.unique(np.concatenate([terms, *own]), return_inverse=True)
+        df = np.bincount(place, np.concatenate([df, np.ones(len(label))]), len(merged))
+        hits = np.bincount(place, np.concatenate([hits, label]), len(merged))
+        terms = merged
+    return terms, df, hits, tried
+
+
 def build(ids: list[int], texts: list[np.ndarray], toxic: np.ndarray, totals: tuple[int, int]) -> Index:
     """The index of labelled examples; ``totals`` counts all labelled rows by label."""
-    own = [np.unique(np.concatenate(list(blocks_of(t))), return_counts=True) for t in texts]
-    sizes = [len(g) for g, _ in own]
-    terms, inverse = np.unique(np.concatenate([g for g, _ in own]), return_inverse=True)
-    docs = np.repeat(np.arange(len(texts)), sizes)
-    df = np.bincount(inverse, minlength=len(terms))
-    hits = np.bincount(inverse, weights=toxic[docs], minlength=len(terms))
     n, n1 = len(texts), toxic.sum()
+    terms, df, hits, tried = _counted(texts, toxic)
     # The chance to meet such a share of toxic documents among df is at most exp(-df * divergence).
     share, base = hits / df, min(max(n1 / n, 1e-6), 1 - 1e-6)
     with np.errstate(divide="ignore", invalid="ignore"):
         evidence = df * (np.nan_to_num(share * np.log(share / base)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - base))))
-    good = np.flatnonzero(evidence >= np.log(max(1, len(terms)) / ACCIDENT))
+    good = np.flatnonzero(evidence >= np.log(max(1, tried) / ACCIDENT))
     good = np.sort(good[np.lexsort((good, -evidence[good]))[:TERMS]])
     idf = np.log((1 + n) / (1 + df[good])) + 1
-    column = np.full(len(terms), -1)
-    column[good] = np.arange(len(good))
-    used = column[inverse]
-    counts = np.concatenate([c for _, c in own])
-    matrix = np.zeros((n, len(good)), np.float32)
-    matrix[docs[used >= 0], used[used >= 0]] = (1 + np.log(counts[used >= 0])) * idf[used[used >= 0]]
-    matrix /= np.maximum(1e-12, np.sqrt((matrix * matrix).sum(axis=1, keepdims=True)))
+    terms, matrix = terms[good], np.zeros((n, len(good)), np.float32)
+    for row, t in zip(matrix, texts, strict=True):
+        found, w = _weighted(t, terms, idf)
+        row[found] = w
     # Alike examples side by side make the blocks' bounds tight: by label, then by heaviest term.
     order = np.lexsort((np.arange(n), matrix.argmax(axis=1) if len(good) else np.zeros(n), toxic))
     blocks = -(-n // BLOCK)
@@ -190,7 +225,7 @@ def build(ids: list[int], texts: list[np.ndarray], toxic: np.ndarray, totals: tu
     weights = padded.reshape(blocks, BLOCK, -1).transpose(0, 2, 1).copy()
     share = totals[1] / max(1, sum(totals))
     per = np.array([totals[0] / max(1, n - n1), totals[1] / max(1, n1)])
-    index = Index(terms[good], idf, weights, weights.max(axis=2).T.copy() if n else np.zeros((0, 0)), np.array(ids)[order], toxic[order], share,
+    index = Index(terms, idf, weights, weights.max(axis=2).T.copy() if n else np.zeros((0, 0)), np.array(ids)[order], toxic[order], share,
                   (per / per.max())[toxic[order]], (1.0, 0.0))
     # Each example against all others.
     raw = np.array([index.raw(*index.nearest(f := np.flatnonzero(row), row[f], NEIGHBOURS, i)) for i, row in enumerate(padded[:n])])
