@@ -100,20 +100,22 @@ def _batched(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
 
 
 def _described(rows: DataFrame) -> DataFrame:
-    """``rows`` with the set's id and size. The first row of a batch also has the counts of the batch's
+    """``rows`` with the set's id, size and bitmap. The first row of a batch also has the counts of the batch's
     shingles by hash bucket, so that they cost no pass of their own."""
 
-    @F.arrow_udf("struct<id:bigint,n:bigint,counts:binary>")
+    @F.arrow_udf("struct<id:bigint,n:bigint,bits:binary,counts:binary>")
     def describe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            ids, sizes, counts = [], [], np.zeros(1 << BUCKET_BITS, np.int64)
+            ids, sizes, maps, counts = [], [], [], np.zeros(1 << BUCKET_BITS, np.int64)
             for _, sets in _batched(texts):
                 ids += [set_id(s) for s in sets]
                 sizes += [len(s) for s in sets]
+                maps += [bitmap(s) for s in sets]
                 if sets:
                     counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
             blobs = [counts.astype("<i4").tobytes()] + [None] * (len(ids) - 1) if ids else []
-            yield pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], ["id", "n", "counts"])
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), pa.array(blobs, pa.binary())],
+                                             ["id", "n", "bits", "counts"])
 
     return rows.withColumn("set", describe(F.col("row.text"))).select("tag", "row", "set.*")
 
@@ -233,26 +235,28 @@ def _overlap(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out)
 
 
-def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, n, bits, shingles) of the sets of these ids; ``wanted`` is staged."""
+def _shingles(rows: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, shingles) of the sets of these ids, from one text of each."""
 
-    @F.arrow_udf("struct<bits:binary,shingles:binary>")
+    @F.arrow_udf("binary")
     def arrays(texts: pa.Array) -> pa.Array:
-        out = [{"bits": bitmap(s), "shingles": s.astype("<u8").tobytes()} for _, sets in _batched(texts) for s in sets]
-        return pa.array(out, pa.struct([("bits", pa.binary()), ("shingles", pa.binary())]))
+        return pa.array([s.astype("<u8").tobytes() for _, some in _batched(texts) for s in some], pa.binary())
 
-    # One row of each group of equal sets stands for it.
-    one = rows.where("n > 0").groupBy("id").agg(F.min("tag").alias("tag")).join(small(wanted), "id", "left_semi")
-    texts = rows.select("tag", "id", "n", F.col("row.text").alias("text")).join(small(stage(one.select("tag"), "chosen")), "tag", "left_semi")
-    return texts.withColumn("set", arrays("text")).select("id", "n", "set.*")
+    chosen = stage(sets.join(small(wanted), "id", "left_semi").select("tag"), "chosen")
+    texts = rows.select("tag", "id", F.col("row.text").alias("text")).join(small(chosen), "tag", "left_semi")
+    return texts.withColumn("shingles", arrays("text")).select("id", "shingles")
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` (staged, a < b) that are alike: bitmaps first, then arrays."""
-    side = lambda x, *columns: sets.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
-    maybe = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").where(_bound("bits_a", "bits_b", "n_a", "n_b"))
+def _links(pairs: DataFrame, rows: DataFrame, sets: DataFrame, bounded: bool = False) -> DataFrame:
+    """The (a, b) of ``pairs`` (staged, a < b) that are alike: bitmaps first unless they have been compared, then arrays."""
+    side = lambda x, table, *columns: table.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+    maybe = pairs.join(side("a", sets, "n", "bits"), "a").join(side("b", sets, "n", "bits"), "b")
+    if not bounded:
+        maybe = maybe.where(_bound("bits_a", "bits_b", "n_a", "n_b"))
     maybe = stage(maybe.select("a", "b", "n_a", "n_b"), "maybe")
-    whole = maybe.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").withColumn("overlap", _overlap("shingles_a", "shingles_b"))
+    wanted = stage(maybe.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    arrays = stage(_shingles(rows, sets, wanted), "arrays")
+    whole = maybe.join(side("a", arrays, "shingles"), "a").join(side("b", arrays, "shingles"), "b").withColumn("overlap", _overlap("shingles_a", "shingles_b"))
     return whole.where((100 + PERCENT) * F.col("overlap") >= PERCENT * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
@@ -330,14 +334,14 @@ def _compare_tile(tile: pa.Table) -> Iterator[pa.RecordBatch]:
 def _set_components(rows: DataFrame) -> DataFrame:
     """(id, component): the sets that are linked with another set, and the smallest id they reach."""
     entries = stage(_entries(rows, _levels(rows)), "entries")
-    wanted = stage(entries.select("id").distinct(), "wanted")
-    sets = stage(_sets(rows, wanted), "sets")
+    # One row per set; equal sets have equal columns, and the first text stands for all.
+    sets = stage(rows.where("n > 0").groupBy("id").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("tag").alias("tag")), "sets")
     # First round: the smallest set of a shingle against the others.
     pivots = stage(entries.groupBy("key").agg(F.min(F.struct("n", "id")).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n")), "pivots")
     first = (entries.join(pivots, "key").where((F.col("id") != F.col("pivot")) & _sizes_fit("n", "pivot_n"))
              .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
     tested = stage(first, "first")
-    links = stage(_links(tested, sets), "links")
+    links = stage(_links(tested, rows, sets), "links")
     known = stage(components(links), "known")
     # Second round: what is still in several components.
     placed = entries.join(small(known), entries["id"] == known["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
@@ -345,7 +349,7 @@ def _set_components(rows: DataFrame) -> DataFrame:
     split = stage(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "split")
     if not split.isEmpty():
         pairs = stage(_tiles(placed.join(small(split), "key", "left_semi"), sets).join(tested, ["a", "b"], "left_anti"), "second")
-        more = stage(_links(pairs, sets), "links")
+        more = stage(_links(pairs, rows, sets, bounded=True), "links")
         if not more.isEmpty():
             known = stage(components(links.unionByName(more)), "known")
     return known.select(F.col("node").alias("id"), "component")

@@ -110,9 +110,10 @@ class TrainingOrder:
         """Records of the slots from ``start`` to ``stop`` in the files: slot, shard, offset, doc_id, seq_no,
         n_tokens and ids (binary, little-endian, ``width`` bytes each, without padding)."""
         stop = self.n if stop is None else min(stop, self.n)
+        if not self.n:
+            return spark.createDataFrame([], "slot bigint, shard int, offset bigint, doc_id bigint, seq_no int, n_tokens int, ids binary")
         first, last = start // self.per_shard, max(start, stop - 1) // self.per_shard
-        files = (spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, shard int")
-                 .load(self.path).where(F.col("shard").between(first, last)))
+        files = spark.read.format("binaryFile").load(self.path).where(F.col("shard").between(first, last))
         slots = F.sequence(F.lit(0), (F.col("length") / self.stride).cast("long") - 1)
         record = F.substring("content", F.col("at") * self.stride + 1, F.lit(self.stride))
         rows = (files.where("length > 0").select("shard", "content", F.explode(slots).alias("at"))
