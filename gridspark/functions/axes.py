@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridspark.functions.scalars import _col
 
-# An axis is configuration, not data; this bound is what makes broadcasting it safe.
+# A step axis is configuration, not data; this bound is what makes broadcasting it safe.
 MAX_AXIS = 100_000
 
 
@@ -46,17 +46,15 @@ def with_step_index(df: DataFrame, axis: StepAxis = StepAxis(), hour: str = "for
 
 
 def index_axis(df: DataFrame, column: str, index: str = "step_index") -> DataFrame:
-    """Dense 0-based index of the distinct values of an axis column.
+    """Dense 0-based index of the distinct values of an axis column, however many there are.
 
-    The values are reduced to the distinct ones first, map-side, and an axis has
-    at most ``MAX_AXIS`` of them; a longer one is an error and not cut off.
+    The values are reduced to the distinct ones first, map-side, and then numbered range
+    by range.
     """
-    # One more than allowed is enough to see that the axis is too long.
-    axis = (df.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_AXIS + 1)
-            .agg(F.array_sort(F.collect_list(column)).alias("axis")))
-    checked = F.when(F.size("axis") <= MAX_AXIS, F.col("axis")).otherwise(
-        F.raise_error(F.lit("axis too long")))
-    return axis.select(F.posexplode(checked).alias(index, column))
+    from gridspark.operators.ranking import global_row_number
+
+    axis = df.select(column).where(F.col(column).isNotNull()).distinct()
+    return global_row_number(axis, [column], index).select(F.col(index).cast("int").alias(index), column)
 
 
 def linspace(start: float, stop: float, n: int) -> Column:

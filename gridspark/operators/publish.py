@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridspark.operators.joins import fits
 from gridspark.runtime import materialise
 from gridspark.sources.files import relative_to
 
@@ -17,8 +19,8 @@ def _like(path: Column, pattern: str | None) -> Column:
     """Glob over names, several separated by ``;``."""
     if pattern is None:
         return F.lit(True)
-    regex = "|".join(p.strip().replace(".", r"\.").replace("*", ".*").replace("?", ".")
-                     for p in pattern.split(";"))
+    wild = {"*": ".*", "?": "."}
+    regex = "|".join("".join(wild.get(c) or re.escape(c) for c in p.strip()) for p in pattern.split(";"))
     return F.substring_index(path, "/", -1).rlike(f"^(?:{regex})$")
 
 
@@ -55,25 +57,51 @@ def plan_chunks(plan_rows: DataFrame, partition_pattern: str) -> DataFrame:
             .agg(F.count("*").alias("n_files"), F.sum("size").alias("n_bytes")))
 
 
+def _next(path: str) -> str:
+    """Name of a copy that is not to be seen yet; no reader lists names with an underscore."""
+    folder, _, name = path.rpartition("/")
+    return f"{folder}/_next.{name}"
+
+
+def _tried(step, *values) -> str | None:
+    try:
+        step(*values)
+    except Exception as e:  # one file never fails the sync
+        return f"{type(e).__name__}: {e}"
+    return None
+
+
 def _copy(src_root: str, dst_root: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from gridspark.sources.files import copy_file, delete_file
+        from gridspark.sources.files import copy_file
 
         for batch in batches:
-            errors = []
-            for path, action in zip(batch["path"], batch["action"]):
-                try:
-                    if action == "delete":
-                        delete_file(f"{dst_root}/{path}")
-                    else:
-                        copy_file(f"{src_root}/{path}", f"{dst_root}/{path}")
-                    errors.append(None)
-                except Exception as e:  # one file never fails the sync
-                    errors.append(f"{type(e).__name__}: {e}")
+            errors = [None if action == "delete" else _tried(
+                copy_file, f"{src_root}/{path}", _next(f"{dst_root}/{path}") if swap else f"{dst_root}/{path}")
+                for path, action, swap in zip(batch["path"], batch["action"], batch["swap"])]
             yield batch.assign(success=[e is None for e in errors], error=errors)
     return run
 
 
+def _swap(dst_root: str):
+    """Per folder, whose rows are in one task: old files out, new ones in; nothing if a copy is missing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from gridspark.sources.files import delete_file, move_file
+
+        rows = pd.concat(list(batches) or [pd.DataFrame(columns=["folder", "path", "action", "size", "success", "error"])])
+        for _, own in rows.groupby("folder"):
+            if not own["success"].all():
+                own = own.assign(error=own["error"].fillna("another file of the folder failed"), success=False)
+            else:
+                gone, come = own[own["action"] == "delete"], own[own["action"] != "delete"]
+                errors = [_tried(delete_file, f"{dst_root}/{p}") for p in gone["path"]]
+                errors += [_tried(move_file, _next(f"{dst_root}/{p}"), f"{dst_root}/{p}") for p in come["path"]]
+                own = pd.concat([gone, come]).assign(error=errors, success=[e is None for e in errors])
+            yield own[["path", "action", "size", "success", "error"]]
+    return run
+
+
 def store_listing(fields: DataFrame, root: str, partitions: DataFrame | None = None) -> DataFrame:
     """Files of an opened store as ``(path, size, modified)``, relative to ``root``.
 
@@ -97,13 +125,23 @@ def apply(plan_rows: DataFrame, src_root: str, dst_root: str, dry_run: bool = Fa
     Rows are spread over tasks at random, so one directory with most of the files is
     copied by all of them. A copy lands under its name when it is complete, and doing
     it again changes nothing: a lost executor's files are simply copied again.
+
+    In a folder that also loses files (a partition that was written again), the new files
+    come under hidden names first; when all are there, the old ones go and the new ones
+    get their names. A reader sees the old content, nothing for a moment, or the new
+    content, but never both. If a copy fails, the folder stays as it was.
     """
     todo = plan_rows.where(F.col("action").isin("new", "changed", "delete")).select("path", "action", "size")
     if dry_run:
         return todo
     tasks = int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = todo.repartition(tasks, F.xxhash64("path"))
-    return materialise(spread.mapInPandas(_copy(src_root, dst_root), LOG), "publish-log", within)
+    todo = todo.withColumn("folder", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    replaced = materialise(todo.where("action = 'delete'").select("folder").distinct().withColumn("swap", F.lit(True)), "replaced", within)
+    todo = todo.join(F.broadcast(replaced) if fits(replaced) else replaced, "folder", "left").withColumn("swap", F.coalesce("swap", F.lit(False)))
+    copied = todo.repartition(tasks, F.xxhash64("path")).mapInPandas(_copy(src_root, dst_root), f"{LOG}, folder string, swap boolean")
+    copied = materialise(copied, "copied", within)
+    swapped = copied.where("swap").repartition(tasks, "folder").mapInPandas(_swap(dst_root), LOG)
+    return materialise(copied.where("NOT swap").select("path", "action", "size", "success", "error").unionByName(swapped), "publish-log", within)
 
 
 def incremental(source: DataFrame, destination: DataFrame, src_root: str, dst_root: str, **options) -> DataFrame:

@@ -10,13 +10,13 @@ from gridspark.operators.joins import attach, fits
 from gridspark.runtime import materialise
 
 SAMPLE_PER_BUCKET = 32
+ROWS_PER_BUCKET = 1_000_000
 HASHES = 1 << 30
 
 
-def _buckets(df: DataFrame, buckets: int | None) -> int:
-    if buckets:
-        return buckets
-    return max(16, min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+def _buckets(rows: int) -> int:
+    """As many as keep a bucket at ``ROWS_PER_BUCKET`` rows, 16 at least."""
+    return max(16, -(-rows // ROWS_PER_BUCKET))
 
 
 def _bucket_of(key: Column, bounds: Column, coarse: Column, width: int) -> Column:
@@ -27,17 +27,19 @@ def _bucket_of(key: Column, bounds: Column, coarse: Column, width: int) -> Colum
         F.filter(F.slice(bounds, start + 1, F.lit(width)), lambda b: b <= key))), F.lit(0))
 
 
-def _bucketed(df: DataFrame, order: list[str], n: int) -> DataFrame:
+def _bucketed(df: DataFrame, order: list[str], buckets: int | None) -> DataFrame:
     """Rows with the number of the key range they are in, as ``_bucket``.
 
     The bounds are quantiles of a sample that every retry draws again: the keys with
     the smallest hashes, about ``SAMPLE_PER_BUCKET`` per bucket. How small follows from
     the number of rows, so no task sends more than its part of the sample.
     """
+    rows = df.count()
+    n = buckets or _buckets(rows)
     width = math.isqrt(n - 1) + 1
     wanted = n * SAMPLE_PER_BUCKET
     keyed = df.withColumn("_key", F.struct(*order))
-    smallest = min(HASHES, int(HASHES * wanted / max(1, df.count())))
+    smallest = min(HASHES, int(HASHES * wanted / max(1, rows)))
     hashed = F.pmod(F.xxhash64("_key"), F.lit(HASHES))
     sample = (keyed.select("_key").where(hashed < smallest).orderBy(hashed).limit(2 * wanted)
               .agg(F.array_sort(F.collect_list("_key")).alias("s")))
@@ -61,7 +63,7 @@ def global_row_number(df: DataFrame, order: list[str], name: str = "row_number",
     the whole key. Rows per bucket give each bucket its offset, and a window per
     bucket numbers its rows.
     """
-    bucketed = _bucketed(df, order, _buckets(df, buckets))
+    bucketed = _bucketed(df, order, buckets)
     # One row per bucket: the window over all of them and the broadcast are bounded.
     offsets = (bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
                .select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n"))

@@ -153,8 +153,13 @@ def stack(fields: DataFrame, capacity: int, by: list[str] = SLOT) -> DataFrame:
     """Members of a slot as one array ordered by member.
 
     ``capacity`` is the length of the member axis and bounds the array. A member
-    beyond it is an error of its file and must have been rejected before.
+    beyond it is an error of its file and must have been rejected before. The bands of a
+    member are put together from north to south.
     """
-    inside = F.when(F.col("number") < capacity, F.struct("number", "values")).otherwise(
+    inside = F.when(F.col("number") < capacity, F.struct("number", "lat_start", "values")).otherwise(
         F.raise_error(F.lit("member beyond the ensemble axis")))
-    return fields.groupBy(*by).agg(F.array_sort(F.collect_list(inside)).alias("members"))
+    bands = fields.groupBy(*by).agg(F.array_sort(F.collect_list(inside)).alias("_bands"))
+    numbers = F.array_distinct(F.transform("_bands", lambda b: b["number"]))
+    members = F.transform(numbers, lambda n: F.struct(n.alias("number"), F.flatten(F.transform(
+        F.filter("_bands", lambda b: b["number"] == n), lambda b: b["values"])).alias("values")))
+    return bands.withColumn("members", members).drop("_bands")

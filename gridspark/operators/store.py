@@ -20,7 +20,6 @@ SLOT = [*PARTITION, "number", "lat_start"]
 MEMBERS_PER_FILE = 64
 # About eight full grids: reading one member skips the other row groups of its file.
 ROW_GROUP_BYTES = 8 << 20
-MAX_CYCLES_LISTED = 100
 
 FIELDS = T.StructType([
     T.StructField("number", T.IntegerType()),
@@ -60,23 +59,23 @@ def open_store(spark: SparkSession, path: str, schema: T.StructType | None = FIE
     """A store with its known schema; ``schema=None`` infers it from the files.
 
     With ``cycles`` (naive UTC) only the folders of those cycles are listed, which
-    matters once a store has thousands of them.
+    matters once a store has thousands of them. Which of them are there is read from the
+    names in the store's own folder.
     """
     reader = spark.read if schema is None else spark.read.schema(schema)
     if cycles is None:
         return reader.parquet(path)
-    folders = [f"{path}/cycle_time={c:%Y-%m-%d %H%%3A%M%%3A%S}" for c in cycles]
-    present = [f for f in folders if exists(spark, f)]
+    there = set(stored_cycles(spark, path))
+    present = [f"{path}/cycle_time={c:%Y-%m-%d %H%%3A%M%%3A%S}" for c in cycles if c in there]
     if not present:
         return reader.parquet(path).where(F.lit(False))
     return reader.option("basePath", path).parquet(*present)
 
 
 def touched_cycles(fields: DataFrame) -> list[datetime] | None:
-    """The cycles of a small write; None (look at the whole store) if there are many."""
-    rows = (fields.select(F.date_format("cycle_time", "yyyy-MM-dd HH:mm:ss").alias("c")).distinct()
-            .limit(MAX_CYCLES_LISTED + 1).collect())
-    if len(rows) > MAX_CYCLES_LISTED or any(r.c is None for r in rows):
+    """The cycles of a write, one name each; None (look at the whole store) if one is unknown."""
+    rows = fields.select(F.date_format("cycle_time", "yyyy-MM-dd HH:mm:ss").alias("c")).distinct().collect()
+    if any(r.c is None for r in rows):
         return None
     return sorted(datetime.fromisoformat(r.c) for r in rows)
 
@@ -152,13 +151,32 @@ def init_cycle(cycles: DataFrame, spec: StoreSpec = StoreSpec(), fill: float | N
 
 
 def dense_view(skeleton: DataFrame, fields: DataFrame) -> DataFrame:
-    """Every slot of the skeleton; an absent one is a grid of NaN."""
+    """Every slot of the skeleton; an absent one is a grid of NaN.
+
+    The bands of a slot are put together; where one is missing, its cells are NaN.
+    """
     slot = [*PARTITION, "number"]
-    present = fields.select(*slot, "values")
-    empty = F.array_repeat(F.lit(float("nan")).cast("float"), F.col("n_lat") * F.col("n_lon"))
+    band = F.struct("lat_start", "n_lat", "values")
+    present = fields.groupBy(*slot).agg(F.array_sort(F.collect_list(band)).alias("_bands"))
     return (skeleton.join(present, slot, "left")
-            .withColumn("arrived", F.col("values").isNotNull())
-            .withColumn("values", F.coalesce("values", empty)))
+            .withColumn("arrived", F.col("_bands").isNotNull())
+            .withColumn("values", whole_grid(F.col("_bands"), F.col("n_lat"), F.col("n_lon")))
+            .drop("_bands"))
+
+
+def whole_grid(bands: Column, n_lat: Column, n_lon: Column) -> Column:
+    """One grid from the sorted ``(lat_start, n_lat, values)`` of its bands; rows that no band has are NaN."""
+
+    def nan(rows: Column) -> Column:
+        return F.array_repeat(F.lit(float("nan")).cast("float"), F.greatest(rows, F.lit(0)) * n_lon)
+
+    start = F.struct(F.lit(0).alias("top"), F.array().cast("array<array<float>>").alias("parts"))
+    filled = F.aggregate(
+        F.coalesce(bands, F.array().cast("array<struct<lat_start:int,n_lat:int,values:array<float>>>")), start,
+        lambda acc, b: F.struct((b["lat_start"] + b["n_lat"]).alias("top"), F.concat(
+            acc["parts"], F.array(nan(b["lat_start"] - acc["top"]), b["values"])).alias("parts")),
+        lambda acc: F.concat(acc["parts"], F.array(nan(n_lat - acc["top"]))))
+    return F.flatten(filled)
 
 
 def new_cycles(cycles: DataFrame, existing: DataFrame, overwrite: bool = False) -> DataFrame:
@@ -197,26 +215,30 @@ def latest_fields(fields: DataFrame) -> DataFrame:
     return join_on(fields, winner, [*SLOT, *key], "left_semi").dropDuplicates(SLOT)
 
 
-def _problem(spec: StoreSpec, validate: str) -> Column:
+def _problem(spec: StoreSpec, validate: str, banded: bool) -> Column:
     hour = F.when(F.col("step_index").isNull(), F.concat(
         F.lit("forecast hour "), F.coalesce(F.col("forecast_hour").cast("string"), F.lit("?")),
         F.lit(" not in step mapping")))
     variable = F.when(~F.col("variable").isin(list(spec.variables)) | F.col("variable").isNull(),
                       F.concat(F.lit("variable '"), F.coalesce("variable", F.lit("?")),
                                F.lit("' not found in store")))
-    checks = [hour, variable]
+    # A slot is found by its cycle; without one nothing could be replaced later.
+    undated = F.when(F.col("cycle_time").isNull(), F.lit("no cycle time"))
+    # Either way a file with more members than there are slots is refused as a whole.
+    members = F.when(F.col("n_members") > spec.members, F.format_string(
+        f"%d members for {spec.members} slots", "n_members"))
+    checks = [hour, variable, undated, members]
     if validate == "full":
-        shape = F.when((F.col("n_lat") != spec.n_lat) | (F.col("n_lon") != spec.n_lon), F.format_string(
-            f"spatial shape mismatch: expected ({spec.n_lat}, {spec.n_lon}), got (%d, %d)",
-            "n_lat", "n_lon"))
-        members = F.when(F.col("n_members") > spec.members, F.format_string(
-            f"ensemble size mismatch: capacity {spec.members}, got %d", "n_members"))
-        checks += [shape, members]
+        # A band is a part of the grid's height; the bands of a file are cut from whole grids.
+        height = F.col("grid_lat") if banded else F.col("n_lat")
+        shape = F.when((F.col("n_lon") != spec.n_lon) | (height != spec.n_lat), F.format_string(
+            f"grid of %d x %d where the store has {spec.n_lat} x {spec.n_lon}", height, "n_lon"))
+        checks.append(shape)
         if spec.reference_time is not None:
             expected = F.lit(spec.reference_time).cast("timestamp")
             checks.insert(0, F.when(~F.col("cycle_time").eqNullSafe(expected), F.concat(
-                F.lit(f"reference time mismatch: expected {spec.reference_time}, got "),
-                F.coalesce(F.col("cycle_time").cast("string"), F.lit("?")))))
+                F.lit("cycle "), F.coalesce(F.col("cycle_time").cast("string"), F.lit("?")),
+                F.lit(f" in a store of {spec.reference_time}"))))
     elif validate != "minimal":
         raise ValueError(f"unknown validation {validate!r}")
     # Either way there is no slot for a member beyond the axis.
@@ -227,13 +249,15 @@ def _problem(spec: StoreSpec, validate: str) -> Column:
 def check(incoming: DataFrame, spec: StoreSpec, validate: str = "full") -> DataFrame:
     """Add ``step_index`` and ``error`` (NULL if the row may be written).
 
-    ``full`` checks reference time, hour, variable, grid shape and member count;
-    ``minimal`` checks hour and variable only. An ``error`` of the decoder stays.
+    ``full`` checks reference time, hour, variable, grid shape and member count; ``minimal``
+    leaves out the reference time and the shape. A row without a cycle time, or of a file with
+    more members than slots, is refused either way. An ``error`` of the decoder stays. Bands
+    tell the height of the grid they are cut from in ``grid_lat``.
     """
     if "step_index" not in incoming.columns:
         incoming = with_step_index(incoming, spec.axis)
     earlier = F.col("error") if "error" in incoming.columns else F.lit(None).cast("string")
-    return incoming.withColumn("error", F.coalesce(earlier, _problem(spec, validate)))
+    return incoming.withColumn("error", F.coalesce(earlier, _problem(spec, validate, "grid_lat" in incoming.columns)))
 
 
 def write_log(checked: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from gridspark.runtime import materialise, new_dir
 from gridspark.sources.manifests import write_manifests
 from gridspark.sources.synth import literal_table
 from gridspark.streaming.arrivals import manifests as manifest_stream
-from gridspark.streaming.follow import follow_visibility
+from gridspark.streaming.follow import follow_visibility, latest_events
 
 OK = "FILTER (WHERE success)"
 
@@ -419,7 +419,8 @@ def follow_visibility_stream(t: Tables) -> DataFrame:
     """Manifests and polls as streams through the stateful follower; a file per user."""
     base = new_dir(t.spark, "follow")
     samples = polls(t)
-    samples.write.parquet(f"{base}/polls")
+    # Six files, each with polls of any time, read one per micro-batch.
+    samples.repartition(6, F.xxhash64("file_id", "poll_ts")).write.parquet(f"{base}/polls")
     released = samples.groupBy("file_id").agg(F.min("poll_ts").alias("at")).select(
         "file_id", F.lit("t2m").alias("variable"),
         (F.col("file_id").cast("long") % 361).cast("int").alias("forecast_hour"),
@@ -428,10 +429,10 @@ def follow_visibility_stream(t: Tables) -> DataFrame:
     materialise(write_manifests(released, f"{base}/manifests"), "manifests")
     events = follow_visibility(
         manifest_stream(t.spark, f"{base}/manifests", max_files=10_000).where("NOT corrupt"),
-        t.spark.readStream.schema(samples.schema).parquet(f"{base}/polls"))
+        t.spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/polls"))
     (events.writeStream.format("parquet").option("path", f"{base}/events")
      .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination())
-    return t.spark.read.parquet(f"{base}/events").select(
+    return latest_events(t.spark.read.parquet(f"{base}/events")).select(
         "file_id", iso_ms("consumer_visible_utc").alias("consumer_visible_utc"), "na_poll_count", "total_poll_count",
         big("step_index").alias("step_index"), "latency_ms")
 

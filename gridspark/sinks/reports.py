@@ -21,8 +21,9 @@ def write_report(summary: DataFrame, tests: DataFrame, path: str, keys: Sequence
     With ``keys`` the test rows are partitioned like the summary, so the rows of one
     summary line are one folder however many they are.
     """
+    # The whole report is replaced, also in a session that replaces partitions one by one.
     summary.write.mode("overwrite").json(f"{path}/summary")
-    writer = tests.write.mode("overwrite")
+    writer = tests.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if keys:
         writer = writer.partitionBy(*keys)
     writer.json(f"{path}/tests")

@@ -103,6 +103,16 @@ def copy_file(source: str, destination: str) -> None:
     fs.move(part, dst)
 
 
+def move_file(source: str, destination: str) -> None:
+    """Rename a file; one that is there already under its new name was moved before."""
+    fs, src = locate(source)
+    _, dst = locate(destination)
+    infos = fs.get_file_info([src, dst])
+    if infos[0].type == pafs.FileType.NotFound and infos[1].type != pafs.FileType.NotFound:
+        return
+    fs.move(src, dst)
+
+
 def delete_file(path: str) -> None:
     fs, p = locate(path)
     if fs.get_file_info(p).type != pafs.FileType.NotFound:

@@ -15,13 +15,28 @@ from gridspark.functions.scalars import grib_time, member_index, valid_time
 from gridspark.sources.messages import DECODERS
 
 MESSAGE = ("source_path string, short_name string, cf_var string, data_date int, data_time int, "
-           "forecast_hour int, perturbation int, n_ensemble int, position int, n_messages int, "
-           "lat_start int, n_lat int, n_lon int, {values}decode_error string{carry}")
+           "forecast_hour int, perturbation int, n_ensemble int, number int, n_messages int, "
+           "lat_start int, n_lat int, n_lon int, grid_lat int, {values}decode_error string{carry}")
 
 CONTEXT = ["shortName", "cfVarName", "dataDate", "dataTime", "step", "Nj", "Ni"]
 
 
-def _rows(path, size, context, carried, decoder, bands, with_values) -> Iterator[dict]:
+def _members(messages: list, member_from: str) -> list[int]:
+    """The member of every message: its position, or its perturbation number counted from 0.
+
+    The control run has no perturbation (or 0) and comes after the perturbed members. Two
+    messages of one member are an error of the file.
+    """
+    if member_from == "position":
+        return list(range(len(messages)))
+    numbers = [m.header.get("perturbationNumber") or 0 for m in messages]
+    members = [n - 1 if n > 0 else max([0, *numbers]) for n in numbers]
+    if len(set(members)) < len(members):
+        raise ValueError("two messages of one member")
+    return members
+
+
+def _rows(path, size, context, carried, decoder, bands, with_values, member_from) -> Iterator[dict]:
     from gridspark.sources.files import open_input
 
     base = {"source_path": path, "lat_start": 0, **carried}
@@ -41,8 +56,11 @@ def _rows(path, size, context, carried, decoder, bands, with_values) -> Iterator
             for m in messages:
                 if (m.header["Nj"], m.header["Ni"]) != shape:
                     raise ValueError("messages of one file differ in shape")
-            for position, m in enumerate(messages if with_values else messages[:1]):
-                row = base | {"position": position, "n_lon": shape[1],
+            members = _members(messages, member_from)
+            if size < max(m.offset + m.length for m in messages):
+                raise ValueError("file is cut short")
+            for number, m in zip(members, messages if with_values else messages[:1]):
+                row = base | {"number": number, "n_lon": shape[1], "grid_lat": shape[0],
                               "perturbation": m.header.get("perturbationNumber")}
                 if not with_values:
                     yield row | {"n_lat": shape[0]}
@@ -51,12 +69,14 @@ def _rows(path, size, context, carried, decoder, bands, with_values) -> Iterator
                     height = min(bands or shape[0], shape[0] - top)
                     file.seek(m.offset + 4 * top * shape[1])
                     data = file.read(4 * height * shape[1])
+                    if len(data) < 4 * height * shape[1]:
+                        raise ValueError(f"short read of member {number}")
                     yield row | {"lat_start": top, "n_lat": height, "values": np.frombuffer(data, "<f4")}
     except Exception as e:  # a bad file is a result row, never a failed job
         yield base | {"decode_error": f"{type(e).__name__}: {e}"}
 
 
-def _decode(decoder: Callable, bands: int | None, with_values: bool, schema: pa.Schema,
+def _decode(decoder: Callable, bands: int | None, with_values: bool, member_from: str, schema: pa.Schema,
             context_columns: Sequence[str], carry: Sequence[str], batch_bytes: int = 32 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,7 +84,7 @@ def _decode(decoder: Callable, bands: int | None, with_values: bool, schema: pa.
             for record in batch.to_pylist():
                 context = {k: record[k] for k in context_columns}
                 carried = {k: record[k] for k in carry}
-                for row in _rows(record["path"], record.get("size"), context, carried, decoder, bands, with_values):
+                for row in _rows(record["path"], record.get("size"), context, carried, decoder, bands, with_values, member_from):
                     pending.append(row)
                     held += row["values"].nbytes if "values" in row else 256
                     if held >= batch_bytes:
@@ -76,7 +96,7 @@ def _decode(decoder: Callable, bands: int | None, with_values: bool, schema: pa.
 
 
 def _scan(files: DataFrame, decoder: str | Callable, bands: int | None, with_values: bool,
-          carry: Sequence[str] = ()) -> DataFrame:
+          carry: Sequence[str] = (), member_from: str = "position") -> DataFrame:
     decode = DECODERS[decoder] if isinstance(decoder, str) else decoder
     carried = "".join(f", {c} {files.schema[c].dataType.simpleString()}" for c in carry)
     schema = StructType.fromDDL(MESSAGE.format(values="values array<float>, " if with_values else "", carry=carried))
@@ -85,7 +105,7 @@ def _scan(files: DataFrame, decoder: str | Callable, bands: int | None, with_val
     tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # One row per file: this moves names, not data, and spreads the reading evenly.
     return given.repartition(tasks, F.xxhash64("path")).mapInArrow(
-        _decode(decode, bands, with_values, to_arrow_schema(schema), context, carry), schema)
+        _decode(decode, bands, with_values, member_from, to_arrow_schema(schema), context, carry), schema)
 
 
 def _described(messages: DataFrame) -> DataFrame:
@@ -100,19 +120,19 @@ def decode_files(files: DataFrame, decoder: str | Callable = "framed", member_fr
     """All messages of every file in ``files(path[, size, ...])`` as fields.
 
     The metadata of a file is that of its first message; ``number`` is the position in
-    the file, or the perturbation number with ``member_from="metadata"``. A file that
-    cannot be read, or holds no message, is one row with ``error``. Grids may be cut
+    the file, or follows the perturbation number with ``member_from="metadata"``. A file that
+    cannot be read, or holds no message, is one row with ``error``; one that fails half way has
+    such a row besides what was read, and ``run_batch`` writes nothing of it. Grids may be cut
     into ``bands`` of that many latitudes. Columns named in ``carry`` come along with
     every row, so nothing has to be joined to the grids later. Memory per task is one
     Arrow batch.
     """
-    number = F.col("position")
-    if member_from == "metadata":
-        number = F.coalesce(member_index("perturbation"), F.col("position"))
-    rows = _described(_scan(files, decoder, bands, True, carry))
+    if member_from not in ("position", "metadata"):
+        raise ValueError(f"unknown source of members {member_from!r}")
+    rows = _described(_scan(files, decoder, bands, True, carry, member_from))
     return rows.select(
-        "cycle_time", "variable", "forecast_hour", "valid_time", number.cast("int").alias("number"),
-        "lat_start", "n_lat", "n_lon", "values", F.col("n_messages").alias("n_members"),
+        "cycle_time", "variable", "forecast_hour", "valid_time", "number",
+        "lat_start", "n_lat", "n_lon", "grid_lat", "values", F.col("n_messages").alias("n_members"),
         "n_ensemble", "source_path", F.col("decode_error").alias("error"), *carry)
 
 

@@ -22,8 +22,8 @@ MANIFEST = T.StructType([
 WITH_CORRUPT = T.StructType([*MANIFEST.fields, T.StructField("_corrupt_record", T.StringType())])
 
 
-def read_manifests(spark: SparkSession, landing: str) -> DataFrame:
-    """All manifests of a landing folder; a half-written one is a row with ``corrupt``.
+def read_manifests(spark: SparkSession, landing: str | list[str]) -> DataFrame:
+    """All manifests of a landing folder, or the given ones; a half-written one is a row with ``corrupt``.
 
     Manifests are pretty-printed, so each file is one record over several lines.
     """

@@ -110,11 +110,13 @@ def _release(landing: str):
 def release_files(fields: DataFrame, landing: str, capacity: int = 50) -> DataFrame:
     """Write each (cycle, variable, step) as one payload file of its members.
 
-    ``capacity`` bounds the members of a file. Returns the files written, once they are.
+    ``capacity`` bounds the members of a file. Fields are whole grids; a band is an error.
+    Returns the files written, once they are.
     """
     landing = landing.rstrip("/")
-    inside = F.when(F.col("number") < capacity, F.struct("number", "values")).otherwise(
-        F.raise_error(F.lit("member beyond the ensemble axis")))
+    whole = (F.size("values") == F.col("n_lat") * F.col("n_lon")) & (F.coalesce(F.col("lat_start"), F.lit(0)) == 0)
+    inside = F.when((F.col("number") < capacity) & whole, F.struct("number", "values")).otherwise(
+        F.raise_error(F.lit("member beyond the ensemble axis, or a band")))
     name = F.concat(F.date_format("cycle_time", "yyyyMMdd_HH"), F.lit("/"),
                     data_name("variable", "forecast_hour"), F.lit(".grib2"))
     files = (fields.groupBy("cycle_time", "variable", "forecast_hour", "n_lat", "n_lon")

@@ -6,7 +6,6 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridspark.functions.scalars import parse_iso
 from gridspark.sources.files import LISTING, MANIFEST_GLOB, MESSAGE_GLOB
 from gridspark.sources.manifests import WITH_CORRUPT, mark_corrupt
 
@@ -33,8 +32,9 @@ def manifests(spark: SparkSession, landing: str, max_files: int = 100,
               since: datetime | str | None = None, dedupe: str | None = None) -> DataFrame:
     """Manifests as they arrive, with ``corrupt`` marked.
 
-    ``dedupe`` (such as ``"1 day"``) drops a ``file_id`` seen before within that time;
-    it bounds the state that is kept.
+    ``dedupe`` (such as ``"1 day"``) drops a ``file_id`` that was read before within that time. The
+    time is that of reading and not of release, so a manifest of any age comes through, and a
+    ``file_id`` that has been forgotten can only come out twice.
     """
     rows = (spark.readStream.schema(WITH_CORRUPT).option("multiLine", True)
             .option("columnNameOfCorruptRecord", "_corrupt_record")
@@ -46,9 +46,10 @@ def manifests(spark: SparkSession, landing: str, max_files: int = 100,
     rows = mark_corrupt(rows.where(_after(F.col("modified"), since)))
     if dedupe is None:
         return rows
-    return (rows.where(~F.col("corrupt"))
-            .withColumn("released", parse_iso("producer_release_utc"))
-            .withWatermark("released", dedupe).dropDuplicatesWithinWatermark(["file_id"]))
+    # One that cannot be read yet has no id; it is known by its path.
+    key = F.when(F.col("corrupt"), F.col("manifest_path")).otherwise(F.col("file_id"))
+    return (rows.withColumn("read_at", F.current_timestamp()).withColumn("known_by", key)
+            .withWatermark("read_at", dedupe).dropDuplicatesWithinWatermark(["known_by"]).drop("read_at", "known_by"))
 
 
 def backlog(listing: DataFrame, write_log: DataFrame) -> DataFrame:

@@ -14,8 +14,9 @@ from gridspark.functions.scalars import is_missing, parse_iso
 
 EVENT = ("file_id string, variable string, forecast_hour int, step_index int, "
          "producer_release_utc timestamp, consumer_visible_utc timestamp, latency_ms double, "
-         "na_poll_count long, total_poll_count long")
-# Known manifest (if any), time of the first poll with a value (if any), polls before it.
+         "na_poll_count long, total_poll_count long, revision int")
+# Known manifest (if any), time of the earliest poll with a value (if any), number of polls
+# before it, and how often the file was reported.
 STATE = T.StructType([
     T.StructField("variable", T.StringType()),
     T.StructField("forecast_hour", T.IntegerType()),
@@ -23,77 +24,112 @@ STATE = T.StructType([
     T.StructField("release_us", T.LongType()),
     T.StructField("visible_us", T.LongType()),
     T.StructField("na_polls", T.LongType()),
-    T.StructField("reported", T.BooleanType()),
+    T.StructField("revision", T.IntegerType()),
 ])
+MISSED = T.StructType([T.StructField("at_us", T.LongType())])
 
 
 class _Follower(StatefulProcessor):
-    """One event per file, when its manifest and a poll with a value are both known."""
+    """An event per file when its manifest and a poll with a value are known, and again when it changes.
+
+    The answer is a function of the polls and manifests read so far and not of the batches
+    they came in: the earliest poll with a value, and all polls before it.
+    """
 
     def __init__(self, forget_ms: int | None):
         self.forget_ms = forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.file = handle.getValueState("file", STATE, self.forget_ms)
+        self.missed = handle.getListState("missed", MISSED, self.forget_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.file.get() if self.file.exists() else (None, None, None, None, None, 0, False)
-        variable, hour, step, release, visible, na_polls, reported = known
-        if reported:
-            return
-        # The rows of a key come in several parts and in any order.
+        known = self.file.get() if self.file.exists() else (None, None, None, None, None, 0, 0)
+        variable, hour, step, release, visible, na_polls, revision = known
         empty, first = [], visible
+        # The rows of a key come in several parts and in any order.
         for part in rows:
             for m in part[part["is_manifest"]].itertuples(index=False):
-                variable, hour, step, release = m.variable, int(m.forecast_hour), int(m.step_index), int(m.at_us)
+                # The newest manifest of a file counts, whenever it is read.
+                told = (int(m.at_us), m.variable, int(m.forecast_hour), int(m.step_index))
+                if release is None or told > (release, variable, hour, step):
+                    release, variable, hour, step = told
             polled = part[~part["is_manifest"]]
             at, missing = polled["at_us"].to_numpy(), polled["missing"].to_numpy(dtype=bool)
             if not missing.all():
                 earliest = int(at[~missing].min())
                 first = earliest if first is None else min(first, earliest)
             empty.append(at[missing])
-        if visible is None:
-            # Eight bytes per poll of this batch that saw nothing.
-            before = np.concatenate(empty) if empty else np.array([], dtype="int64")
-            na_polls += int(len(before) if first is None else (before < first).sum())
-            visible = first
-        if release is not None and visible is not None:
-            reported = True
+        # Only polls before the earliest value are kept: eight bytes each.
+        new = np.concatenate(empty) if empty else np.array([], dtype="int64")
+        new = new if first is None else new[new < first]
+        if first != visible and na_polls:
+            held = np.array([r[0] for r in self.missed.get()], dtype="int64")
+            new = np.concatenate([held[held < first], new])
+            self.missed.clear()
+            na_polls = 0
+        if len(new):
+            self.missed.appendList([(int(x),) for x in new])
+            na_polls += len(new)
+        now = (variable, hour, step, release, first, na_polls)
+        if release is not None and first is not None and (revision == 0 or now != tuple(known)[:6]):
+            revision += 1
             yield pd.DataFrame({
                 "file_id": [key[0]], "variable": [variable], "forecast_hour": [hour], "step_index": [step],
                 "producer_release_utc": [pd.Timestamp(release, unit="us")],
-                "consumer_visible_utc": [pd.Timestamp(visible, unit="us")],
-                "latency_ms": [(visible // 1000 - release // 1000) / 1.0],
-                "na_poll_count": [na_polls], "total_poll_count": [na_polls + 1]})
-        self.file.update((variable, hour, step, release, visible, na_polls, reported))
+                "consumer_visible_utc": [pd.Timestamp(first, unit="us")],
+                "latency_ms": [(first // 1000 - release // 1000) / 1.0],
+                "na_poll_count": [na_polls], "total_poll_count": [na_polls + 1], "revision": [revision]})
+        self.file.update((*now, revision))
 
     def close(self) -> None:
         pass
 
 
+def _reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of the polls of a file in a batch, the earliest with a value and those before it."""
+    for batch in batches:
+        value = batch["at_us"].where(~batch["missing"])
+        first = value.groupby(batch["file_id"], dropna=False).transform("min")
+        seen = batch[(~batch["missing"]) & (batch["at_us"] == first)].drop_duplicates("file_id")
+        yield pd.concat([seen, batch[batch["missing"] & (first.isna() | (batch["at_us"] < first))]])
+
+
 def follow_visibility(manifests: DataFrame, polls: DataFrame, axis: StepAxis = StepAxis(),
                       forget_after_hours: float | None = None) -> DataFrame:
     """Stream of visibility events from a manifest stream and a stream of poll samples.
 
     ``polls(file_id, poll_ts, value)``: a missing value is a poll that saw nothing yet.
-    Hours off the axis are skipped. State is one small row per file, so a file with a
-    third of all polls costs no more than the others. A query that runs for ever should
-    give ``forget_after_hours``: a file that nothing was heard of for that long is
-    forgotten. It needs a continuous trigger, as its clock keeps ``availableNow`` busy.
+    Hours off the axis are skipped. If an earlier poll or a newer manifest is read after a
+    file was reported, it is reported again with the next ``revision``: the last one
+    (``latest_events``) does not depend on the order or the batches in which files came.
+
+    Polls after the earliest value of their batch are dropped before the shuffle. State is
+    one row per file and eight bytes for each poll before its earliest value. A query that
+    runs for ever should give ``forget_after_hours``: a file that nothing was heard of for
+    that long is forgotten. It needs a continuous trigger, as its clock keeps
+    ``availableNow`` busy.
     """
     forget_ms = None if forget_after_hours is None else int(forget_after_hours * 3_600_000)
     known = with_step_index(manifests, axis).where(F.col("step_index").isNotNull())
     left = known.select(
         "file_id", F.lit(True).alias("is_manifest"), "variable", "forecast_hour", "step_index",
         F.unix_micros(parse_iso("producer_release_utc")).alias("at_us"), F.lit(False).alias("missing"))
-    right = polls.select(
+    samples = polls.select("file_id", F.unix_micros("poll_ts").alias("at_us"), is_missing("value").alias("missing"))
+    right = samples.mapInPandas(_reduced, "file_id string, at_us bigint, missing boolean").select(
         "file_id", F.lit(False).alias("is_manifest"), F.lit(None).cast("string").alias("variable"),
-        F.lit(0).alias("forecast_hour"), F.lit(0).alias("step_index"),
-        F.unix_micros("poll_ts").alias("at_us"), is_missing("value").alias("missing"))
+        F.lit(0).alias("forecast_hour"), F.lit(0).alias("step_index"), "at_us", "missing")
     return left.unionByName(right).groupBy("file_id").transformWithStateInPandas(
         _Follower(forget_ms), EVENT, "append", "none" if forget_ms is None else "processingTime")
 
 
+def latest_events(events: DataFrame) -> DataFrame:
+    """The last revision of every file's event, combined before the shuffle."""
+    rest = [c for c in events.columns if c not in ("file_id", "revision")]
+    last = F.max(F.struct("revision", *rest)).alias("_e")
+    return events.groupBy("file_id").agg(last).select("file_id", *[f"_e.{c}" for c in rest], "_e.revision")
+
+
 def run_for(query: StreamingQuery, max_runtime_seconds: float) -> None:
     """Let a follower run for at most that long, and stop it."""
     if not query.awaitTermination(max_runtime_seconds):

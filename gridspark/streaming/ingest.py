@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import time
 from collections.abc import Callable, Iterator
@@ -13,11 +14,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gridspark.functions.scalars import parse_iso
 from gridspark.operators import publish, store, telemetry
+from gridspark.operators.joins import fits
 from gridspark.operators.store import StoreSpec
 from gridspark.runtime import materialise, new_dir, staging
 from gridspark.sources.files import list_files
 from gridspark.sources.ingest import decode_files
-from gridspark.sources.manifests import latest_manifest, readable
+from gridspark.sources.manifests import MANIFEST, quarantine, read_manifests, readable
 from gridspark.streaming import arrivals
 
 log = logging.getLogger(__name__)
@@ -37,6 +39,7 @@ BATCH_LOG = T.StructType([
     T.StructField("files_successful", T.LongType()),
     T.StructField("files_failed", T.LongType()),
     T.StructField("unresolved", T.LongType()),
+    T.StructField("corrupt", T.LongType()),
     T.StructField("processing_ms", T.DoubleType()),
     T.StructField("publish_ms", T.DoubleType()),
     T.StructField("total_ms", T.DoubleType()),
@@ -104,26 +107,49 @@ def run_batch(files: DataFrame, store_path: str, spec: StoreSpec = StoreSpec(),
     log_path = log_path or new_dir(spark, "write-log")
     with staging(spark, "batch") as folder:
         checked = materialise(store.check(decoded, spec, validate), "checked", folder)
-        good = checked.where(F.col("error").isNull())
+        # A file with any bad row is not written at all.
+        bad = materialise(checked.where(F.col("error").isNotNull()).select("source_path").distinct(), "bad", folder)
+        good = checked.where(F.col("error").isNull()).join(
+            F.broadcast(bad) if fits(bad) else bad, "source_path", "left_anti")
         if not good.isEmpty():
             store.write_region(good, store_path)
         store.write_log(checked).write.mode("overwrite").parquet(log_path)
     return spark.read.schema(WRITE_LOG).parquet(log_path)
 
 
-def _append(rows: DataFrame, path: str) -> None:
-    """Log rows of a batch; a replayed batch replaces its own rows."""
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id").parquet(path))
+def _append(rows: DataFrame, path: str, stream: str) -> None:
+    """Log rows of a batch. A replayed batch replaces its own rows; a stream that starts again with
+    another checkpoint counts its batches from 0 and has rows of its own."""
+    (rows.withColumn("stream_id", F.lit(stream)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("stream_id", "batch_id").parquet(path))
+
+
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The identity that a query keeps in its checkpoint."""
+    text = spark.read.text(f"{checkpoint}/metadata").first()
+    return json.loads(text[0])["id"]
 
 
 def _batch_files(batch: DataFrame, source: str) -> DataFrame:
+    """Every file that the batch names, whatever else carries its id."""
     if source == "files":
         return batch.select("path", F.col("modified").alias("release_ts"))
-    return latest_manifest(readable(batch)).groupBy(F.col("landing_path").alias("path")).agg(
+    return readable(batch).groupBy(F.col("landing_path").alias("path")).agg(
         F.max(parse_iso("producer_release_utc")).alias("release_ts"))
 
 
+def _again(spark: SparkSession, batch: DataFrame, waiting: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The batch with the manifests that could not be read in earlier batches, read once more, and the
+    paths that cannot be read now. ``waiting`` is the table of these paths."""
+    held = spark.read.parquet(waiting).select("manifest_path") if store.exists(spark, waiting) else None
+    paths = [] if held is None else [r[0] for r in held.distinct().collect()]
+    if paths:
+        batch = batch.select(*MANIFEST.names, "manifest_path", "corrupt").unionByName(
+            read_manifests(spark, paths).select(*MANIFEST.names, "manifest_path", "corrupt"))
+    batch = materialise(batch.select(*MANIFEST.names, "manifest_path", "corrupt"), "manifests", folder)
+    return batch, quarantine(batch)
+
+
 def batch_processor(config: IngestConfig, on_batch: Callable[[dict], None] | None = None,
                     process: Callable[[DataFrame], DataFrame] | None = None):
     """The body of each micro-batch."""
@@ -133,14 +159,20 @@ def batch_processor(config: IngestConfig, on_batch: Callable[[dict], None] | Non
         spark = batch.sparkSession
         if batch.isEmpty():
             return
+        stream = _stream_id(spark, config.checkpoint)
         with staging(spark, "ingest") as folder:
+            n_corrupt = 0
+            if config.source != "files":
+                batch, corrupt = _again(spark, batch, f"{config.logs}/waiting_manifests", folder)
+                n_corrupt = corrupt.count()
             found = materialise(resolve_paths(_batch_files(batch, config.source)), "arrivals", folder)
             known = found.where(F.col("size").isNotNull())
-            if known.isEmpty():
-                return
             result = run_batch(known, config.store, config.spec, config.validate, config.decoder, process,
                                config.bands, log_path=f"{folder}/log")
-            _append(result.withColumn("batch_id", F.lit(batch_id).cast("long")), f"{config.logs}/write_log")
+            _append(result.withColumn("batch_id", F.lit(batch_id).cast("long")), f"{config.logs}/write_log", stream)
+            if config.source != "files":
+                corrupt.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
+                    f"{config.logs}/waiting_manifests")
             processing_ms = (time.perf_counter() - started) * 1000
             publish_ms, publish_error = 0.0, None
             if config.publish_to is not None and not result.where("success").isEmpty():
@@ -149,14 +181,19 @@ def batch_processor(config: IngestConfig, on_batch: Callable[[dict], None] | Non
             unresolved = found.where(F.col("size").isNull()).agg(F.count("*").alias("n"))
             row = (telemetry.batch_summary(result.withColumn("batch_id", F.lit(batch_id).cast("long")))
                    .withColumn("unresolved", unresolved.scalar())
+                   .withColumn("corrupt", F.lit(n_corrupt).cast("long"))
                    .withColumn("processing_ms", F.lit(processing_ms))
                    .withColumn("publish_ms", F.lit(publish_ms))
                    .withColumn("total_ms", F.lit((time.perf_counter() - started) * 1000))
                    .withColumn("publish_error", F.lit(publish_error).cast("string"))).first()
-            _append(spark.createDataFrame([row], BATCH_LOG), f"{config.logs}/batch_log")
+            row = {c: None for c in BATCH_LOG.names} | {
+                "batch_id": batch_id, "files_processed": 0, "files_successful": 0, "files_failed": 0, "unresolved": found.count(),
+                "corrupt": n_corrupt, "processing_ms": processing_ms, "publish_ms": 0.0,
+                "total_ms": (time.perf_counter() - started) * 1000} if row is None else row.asDict()
+            _append(spark.createDataFrame([tuple(row[c] for c in BATCH_LOG.names)], BATCH_LOG), f"{config.logs}/batch_log", stream)
         if on_batch is not None:
             try:
-                on_batch(row.asDict())
+                on_batch(row)
             except Exception:  # the caller's mistake must not stop the stream
                 log.exception("batch callback failed")
     return run
@@ -165,11 +202,25 @@ def batch_processor(config: IngestConfig, on_batch: Callable[[dict], None] | Non
 def _publish(spark: SparkSession, config: IngestConfig, result: DataFrame, folder: str) -> str | None:
     """Copy what the batch changed; a failure is reported and the batch goes on.
 
-    Only the partitions that the batch wrote to are listed and compared.
+    Only the partitions that the batch wrote to are listed and compared, and those whose
+    last publish failed: a failure heals itself with the next batch.
     """
+    waiting = f"{config.logs}/waiting_partitions"
+    touched = result.where("success").select(*store.PARTITION).where(F.col("step_index") >= 0).distinct()
+    if not store.exists(spark, config.publish_to):
+        # What was stored before there was a published copy.
+        touched = store.open_store(spark, config.store).select(*store.PARTITION).distinct()
+    if store.exists(spark, waiting):
+        touched = touched.unionByName(spark.read.parquet(waiting).select(*store.PARTITION)).distinct()
+    touched = materialise(touched, "touched", folder)
+    error = _sync(spark, config, touched, folder)
+    left = touched if error else touched.where(F.lit(False))
+    left.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(waiting)
+    return error
+
+
+def _sync(spark: SparkSession, config: IngestConfig, touched: DataFrame, folder: str) -> str | None:
     try:
-        touched = (result.where("success").select(*store.PARTITION)
-                   .where(F.col("step_index") >= 0).distinct())
         cycles = store.touched_cycles(touched)
 
         def listing(root: str) -> DataFrame:

@@ -104,14 +104,17 @@ def test_validation(spark):
             ("t2m", 0, CYCLE, 2, 2, 4, 0), ("t2m", 0, CYCLE, 2, 2, 2, 0), ("t2m", 0, CYCLE, 9, 9, 4, 3)]
     df = spark.createDataFrame(rows, columns).coalesce(1)
     spec = store.StoreSpec(("t2m", "u10"), 3, 2, 2, StepAxis(2, 2, 2), CYCLE)
-    words = ["forecast hour 91", "variable 'zz'", "reference time", "spatial shape", "ensemble size"]
+    words = ["forecast hour 91", "variable 'zz'", "cycle 2024-01-02", "grid of 2 x 3", "4 members for 3 slots"]
     full = [r.error for r in store.check(df, spec).collect()]
     assert full[0] is None and full[6] is None
     assert all(e.startswith(w) for e, w in zip(full[1:6], words))
     minimal = [r.error for r in store.check(df, spec, "minimal").collect()]
-    assert [e is None for e in minimal] == [True, False, False, True, True, True, True, False]
+    assert [e is None for e in minimal] == [True, False, False, True, True, False, True, False]
     with pytest.raises(ValueError):
         store.check(df, spec, "some")
+    # Without a cycle there is no slot.
+    undated = df.limit(1).withColumn("cycle_time", F.lit(None).cast("timestamp"))
+    assert [r.error for r in store.check(undated, spec, "minimal").collect()] == ["no cycle time"]
 
 
 def test_open_store_with_and_without_schema(spark, tmp_path):

@@ -1,4 +1,5 @@
 import json
+import os
 import time
 from datetime import datetime, timedelta
 
@@ -10,7 +11,7 @@ from gridspark.functions.axes import StepAxis
 from gridspark.operators import store
 from gridspark.sources import files
 from gridspark.streaming import arrivals
-from gridspark.streaming.follow import follow_visibility, run_for
+from gridspark.streaming.follow import follow_visibility, latest_events, run_for
 from gridspark.streaming.ingest import IngestConfig, IngestManager, start_ingest
 
 SPEC = store.StoreSpec(variables=("t2m", "u10"), members=3, n_lat=GRID[0], n_lon=GRID[1], axis=StepAxis(2, 2, 2))
@@ -55,7 +56,52 @@ def test_manifest_stream(spark, landing, tmp_path):
 def test_duplicate_manifests_are_dropped(spark, landing, tmp_path):
     (landing / "again.grib2.json").write_text((landing / "t2m_0.grib2.json").read_text())
     rows, _ = collect(spark, arrivals.manifests(spark, str(landing), dedupe="1 day"), "m", tmp_path)
-    assert rows.count() == 8 and rows.select("file_id").distinct().count() == 8
+    good = rows.where("NOT corrupt")
+    assert good.count() == 8 and good.select("file_id").distinct().count() == 8
+    # One that cannot be read yet is not lost.
+    assert [r.manifest_path.rsplit("/", 1)[1] for r in rows.where("corrupt").collect()] == ["half.grib2.json"]
+
+
+def test_late_manifests_are_not_dropped(spark, tmp_path):
+    """Manifests of any age come through, in whatever order they arrive."""
+    folder = tmp_path / "late"
+    folder.mkdir()
+    stream = arrivals.manifests(spark, str(folder), max_files=1, dedupe="1 hour")
+    for name, day in (("new", 20), ("old", 10), ("older", 1)):
+        (folder / f"{name}.grib2.json").write_text(manifest(name, "t2m", 1, f"/x/{name}", f"2024-01-{day:02}T06:00:00.000Z"))
+        query = (stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+                 .option("checkpointLocation", str(tmp_path / "cp")).trigger(**ONCE).start())
+        query.awaitTermination()
+    (folder / "copy.grib2.json").write_text((folder / "old.grib2.json").read_text())
+    query = (stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+             .option("checkpointLocation", str(tmp_path / "cp")).trigger(**ONCE).start())
+    query.awaitTermination()
+    assert sorted(r.file_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["new", "old", "older"]
+
+
+@pytest.mark.parametrize("order", [[0, 1, 2, 3], [3, 2, 1, 0], [2, 0, 3, 1]])
+@pytest.mark.parametrize("per_trigger", [1, 10])
+def test_follower_does_not_depend_on_batches(spark, tmp_path, order, per_trigger):
+    """Four polls of one file, in any order and any batches: the same last event."""
+    released = datetime(2024, 1, 1, 6)
+    polls, seen = tmp_path / "polls", tmp_path / "manifests"
+    polls.mkdir(), seen.mkdir()
+    (seen / "a.grib2.json").write_text(manifest("a", "t2m", 3, "/x/a"))
+    samples = [(2, None), (5, 1.0), (9, None), (12, 2.0)]
+    for n, k in enumerate(order):
+        path = polls / f"{n}.json"
+        path.write_text(json.dumps({"file_id": "a", "poll_ts": (released + timedelta(seconds=samples[k][0])).isoformat() + "Z", "value": samples[k][1]}))
+        os.utime(path, (1_700_000_000 + n, 1_700_000_000 + n))
+    stream = follow_visibility(
+        arrivals.manifests(spark, str(seen)).where("NOT corrupt"),
+        spark.readStream.schema("file_id string, poll_ts timestamp, value double").option("maxFilesPerTrigger", per_trigger).json(str(polls)))
+    query = (stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+             .option("checkpointLocation", str(tmp_path / "cp")).trigger(**ONCE).start())
+    query.awaitTermination()
+    events = spark.read.parquet(str(tmp_path / "out"))
+    last = latest_events(events).first()
+    assert (last.latency_ms, last.na_poll_count, last.total_poll_count) == (5000.0, 1, 2)
+    assert sorted(r.revision for r in events.collect()) == list(range(1, events.count() + 1))
 
 
 def test_ingest_by_manifest(spark, landing, tmp_path):
@@ -104,17 +150,43 @@ def test_replay_from_a_new_checkpoint_changes_nothing(spark, landing, tmp_path):
     again = [(r.variable, r.step_index, r.number, tuple(r["values"]))
              for r in store.open_store(spark, str(tmp_path / "store")).collect()]
     assert set(again) == first and len(again) == 18
-    assert spark.read.parquet(str(tmp_path / "logs" / "batch_log")).count() == 1
+    # The second stream counts its batches from 0 as well, and keeps the logs of the first.
+    assert spark.read.parquet(str(tmp_path / "logs" / "batch_log")).count() == 2
 
 
-def test_batch_without_payload_logs_nothing(spark, tmp_path):
+def test_batch_without_payload_is_logged(spark, tmp_path):
     folder = tmp_path / "landing"
     folder.mkdir()
     (folder / "gone.grib2.json").write_text(manifest("gone", "t2m", 0, folder / "gone.grib2"))
     manager = IngestManager(spark, config(folder, tmp_path))
     manager.start()
     manager.await_termination(60)
-    assert manager.batch_log() is None and not (tmp_path / "store").exists()
+    row = manager.batch_log().first()
+    assert (row.files_processed, row.unresolved, row.corrupt) == (0, 1, 0) and not (tmp_path / "store").exists()
+
+
+def test_half_written_manifest_is_read_again(spark, landing, tmp_path):
+    start_ingest(spark, config(landing, tmp_path)).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "logs" / "batch_log")).first().corrupt == 1
+    (landing / "v.grib2").write_bytes(payload("t2m", 2))
+    (landing / "half.grib2.json").write_text(manifest("half", "t2m", 2, landing / "v.grib2"))
+    (landing / "next.grib2.json").write_text(manifest("next", "u10", 0, landing / "u10_0.grib2"))
+    start_ingest(spark, config(landing, tmp_path)).awaitTermination()
+    log = spark.read.parquet(str(tmp_path / "logs" / "write_log"))
+    assert log.where("path LIKE '%/v.grib2' AND success").count() >= 1
+
+
+def test_unpublished_partitions_are_published_later(spark, landing, tmp_path):
+    """A publish that fails heals with the next batch, and a rewritten partition has one copy of a slot."""
+    target = tmp_path / "published"
+    target.write_text("a file in the way")
+    start_ingest(spark, config(landing, tmp_path, publish_to=str(target))).awaitTermination()
+    target.unlink()
+    for n in range(2):
+        (landing / f"more{n}.grib2.json").write_text(manifest(f"more{n}", "t2m", 0, landing / "t2m_0.grib2", f"2024-01-01T07:00:0{n}.000Z"))
+        start_ingest(spark, config(landing, tmp_path, publish_to=str(target))).awaitTermination()
+        slots = store.open_store(spark, str(target)).groupBy("variable", "step_index", "number").count().collect()
+        assert len(slots) == 18 and all(r["count"] == 1 for r in slots)
 
 
 def test_publish_failure_is_reported(spark, landing, tmp_path):
