@@ -25,6 +25,9 @@ SETTINGS = {
     # A full grid row is about 1 MB: bound Arrow batches by bytes, not only by rows.
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # The shuffle files of a finished query go at once, not when the driver collects its garbage:
+    # what is needed again is a written table.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     # Keyed state of the visibility follower is kept outside the JVM heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

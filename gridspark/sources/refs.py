@@ -146,7 +146,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = []
             for where, offset, length, inline in wanted:
                 if inline is not None:
-                    data = base64.b64decode(inline[7:]) if inline.startswith("base64:") else b""
+                    data = base64.b64decode(inline[7:]) if inline.startswith("base64:") else inline.encode()
+                    if len(data) % 4:
+                        raise ValueError(f"inline text of {len(data)} bytes is no array of float32")
                 else:
                     if where != path:
                         if file is not None:
