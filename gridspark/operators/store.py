@@ -272,11 +272,16 @@ def write_log(checked: DataFrame) -> DataFrame:
         F.when(F.col("error").isNull(), F.col("n_members")).otherwise(0).alias("n_members"), "error")
 
 
-def merge(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+def merge(existing: DataFrame, incoming: DataFrame, unknown: bool = False) -> DataFrame:
     """Touched partitions as they are after the write: old slots not replaced, and the new ones.
 
-    ``incoming`` should be a written table: its slots are counted.
+    ``incoming`` should be a written table: its slots are counted. With ``unknown``, columns of
+    the slot may be NULL: a NULL then is a value like any other, and no partition is pruned.
     """
+    if unknown:
+        touched = incoming.select(*PARTITION).distinct()
+        kept = join_on(join_on(existing, touched, PARTITION, "left_semi"), incoming.select(*SLOT), SLOT, "left_anti")
+        return kept.unionByName(incoming)
     # The bound on step_index makes the optimizer see a selective side, so the scan of
     # the store is pruned at run time to the touched partitions.
     touched = incoming.select(*PARTITION).where(F.col("step_index") >= 0).distinct()
@@ -319,5 +324,7 @@ def write_region(fields: DataFrame, path: str) -> None:
         return
     with staging(spark, "write") as folder:
         incoming = materialise(newest, "incoming", folder)
-        existing = open_store(spark, path, cycles=touched_cycles(incoming))
-        save(materialise(merge(existing, incoming), "merged", folder), path)
+        cycles = touched_cycles(incoming)
+        unknown = cycles is None or not incoming.where("variable IS NULL OR step_index IS NULL").isEmpty()
+        existing = open_store(spark, path, cycles=cycles)
+        save(materialise(merge(existing, incoming, unknown), "merged", folder), path)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import tempfile
 import uuid
+import warnings
+import zipfile
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,15 +41,33 @@ SETTINGS = {
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 # Remembers the fallback of a local session; the setting above is fixed at start.
 OWN_DIR_CONF = "gridspark.shared.dir"
+# The folder of this session's intermediate tables, below the shared one.
+RUN_DIR_CONF = "gridspark.run.dir"
+SHIPPED_CONF = "gridspark.shipped"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to ``spark`` and return it."""
+    """Apply the runtime settings to ``spark``, send the package to its workers, and return it."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    _ship(spark)
     return spark
 
 
+def _ship(spark: SparkSession) -> None:
+    """Workers import the package from a zip file, unless PYTHONPATH leads them to it."""
+    root = Path(__file__).resolve().parents[1]
+    led = any(Path(p).resolve() == root for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p)
+    if led or spark.conf.get(SHIPPED_CONF, None):
+        return
+    target = Path(tempfile.mkdtemp(prefix="gridspark-package-")) / "gridspark.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for file in sorted((root / "gridspark").rglob("*.py")):
+            z.write(file, file.relative_to(root))
+    spark.sparkContext.addPyFile(str(target))
+    spark.conf.set(SHIPPED_CONF, "true")
+
+
 def session(app: str = "gridspark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings applied; ``conf`` keys use ``_`` for ``.``."""
     builder = SparkSession.builder.appName(app)
@@ -63,6 +86,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.conf.get(OWN_DIR_CONF, None)
     if named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") and hadoop_path(spark, named)[0].getScheme() == "file":
+            warnings.warn(f"{CHECKPOINT_CONF} is {named}: this must be mounted at the same place on all machines", stacklevel=2)
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder all executors can reach")
@@ -72,8 +98,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_dir(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path in the session's own part of the shared folder, that nothing else uses."""
+    run = spark.conf.get(RUN_DIR_CONF, None)
+    if run is None:
+        run = f"{shared_dir(spark)}/gridspark-run-{uuid.uuid4().hex}"
+        spark.conf.set(RUN_DIR_CONF, run)
+        atexit.register(_clean_at_exit, spark)
+    return f"{run}/{label}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this session; results that were not computed yet are lost.
+
+    It is done by itself when the driver ends.
+    """
+    run = spark.conf.get(RUN_DIR_CONF, None)
+    if run is not None:
+        fs, where = hadoop_path(spark, run)
+        fs.delete(where, True)
+        spark.conf.unset(RUN_DIR_CONF)
+
+
+def _clean_at_exit(spark: SparkSession) -> None:
+    # The session may have been stopped before.
+    with suppress(Exception):
+        clean(spark)
 
 
 def materialise(df: DataFrame, label: str, within: str | None = None) -> DataFrame:

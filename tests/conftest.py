@@ -18,6 +18,7 @@ def spark():
         spark_driver_memory="6g", spark_ui_showConsoleProgress="false")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    runtime.clean(session)
     session.stop()
 
 

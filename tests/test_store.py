@@ -175,3 +175,13 @@ def test_variables(spark):
     df = fields(spark, ("u10", 0, 0, 1, 0, "a"), ("number", 0, 0, 1, 0, "a"), ("t2m", 0, 0, 1, 0, "a"))
     assert {r.variable for r in store.variables(df).collect()} == {"t2m", "u10"}
     assert store.first_variable(df).first().variable == "t2m"
+
+
+def test_slots_without_a_cycle_keep_each_other(spark, tmp_path):
+    """A NULL in a partition column is a value: a second write replaces its own slot only."""
+    path = str(tmp_path / "s")
+    first = fields(spark, ("t2m", 0, 0, 1, 0, "a")).withColumn("cycle_time", F.lit(None).cast("timestamp"))
+    store.write_region(first, path)
+    store.write_region(first.withColumn("number", F.lit(1)), path)
+    store.write_region(first.withColumn("number", F.lit(1)), path)
+    assert sorted(r.number for r in store.open_store(spark, path).collect()) == [0, 1]
