@@ -6,8 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-# Rows of keys and a few numbers: some 40 MB at most.
-BROADCAST_ROWS = 200_000
+# Rows of keys and a few numbers, and the bytes of their strings: some 40 MB at most.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -20,25 +20,21 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left
 
 
 def fits(small: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Is ``small``, a written table of narrow rows, small enough to be broadcast?"""
-    return small.count() <= limit
+    """Is ``small``, a written table of narrow rows, small enough to be broadcast? Its strings are measured."""
+    strings = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in small.dtypes if kind in ("string", "binary")]
+    size = reduce(lambda a, b: a + b, strings, F.lit(0))
+    rows, used = small.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows <= limit and used <= BROADCAST_BYTES
 
 
-def attach(rows: DataFrame, small: DataFrame, keys: list[str], broadcast: bool,
-           salts: int = 16) -> DataFrame:
+def attach(rows: DataFrame, small: DataFrame, keys: list[str], broadcast: bool) -> DataFrame:
     """Add the columns of ``small`` (one row per key) to every row; other rows go.
 
-    With ``broadcast``, to be decided by ``fits``, ``rows`` does not move. Otherwise
-    both sides shuffle on (key, salt), so a key that holds a third of the rows is
-    spread over ``salts`` tasks.
+    With ``broadcast``, to be decided by ``fits``, ``rows`` does not move. Otherwise both
+    sides are shuffled by the key, and a partition that a hot key makes too large is split
+    into as many parts as its size asks for (``skewJoin`` in ``runtime.SETTINGS``).
     """
-    if broadcast:
-        return join_on(rows, F.broadcast(small), keys, "inner")
-    others = [c for c in rows.columns if c not in keys]
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"))
-    spread = small.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return join_on(salted, spread, [*keys, "_salt"], "inner").drop("_salt")
+    return join_on(rows, F.broadcast(small) if broadcast else small, keys, "inner")
 
 
 def resolve(manifests: DataFrame, listing: DataFrame, path: str = "landing_path",

@@ -1,10 +1,11 @@
 """Exact quantiles per group without holding a group in one task.
 
 The built-in exact ``percentile`` keeps every distinct value of a group in one
-buffer. Here a bounded sketch only proposes cut points around each wanted rank,
-exact counts between the cut points tell which interval holds the rank, and just
-the rows of those narrow intervals are sorted. The result is exact whatever the
-quality of the sketch, because the intervals cover the whole line.
+buffer. Here a bounded sketch only proposes cut points, exact counts between the cut
+points tell which interval holds a wanted rank, and only the rows of those intervals
+go on. That is repeated inside the intervals until each is small enough to be sorted in
+one task. The result is exact whatever the quality of the sketch, because the intervals
+cover the whole line.
 """
 
 from __future__ import annotations
@@ -14,9 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gridspark.operators.joins import attach, fits, join_on
 from gridspark.runtime import materialise
 
-BUFFER_ROWS = 1_000_000
-MAX_GROUPS_SENT = 10_000
-BAND = 0.001
+# Rows of a group that are sorted in one task; a larger one is cut into so many parts.
+SORTED_ROWS, PARTS = 100_000, 64
 ACCURACY = 10_000
 
 
@@ -31,57 +31,66 @@ def _rank(p: float, n: Column, method: str) -> Column:
     return rank
 
 
+def _sorted(rows: DataFrame, keys: list[str], picks: DataFrame) -> DataFrame:
+    """The values at the ranks ``_at``, each group sorted in one task, ties folded first."""
+    values = rows.groupBy(*keys, "_x").agg(F.count("*").alias("_c"))
+    end = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_x"))
+    placed = values.withColumn("_end", end)
+    return join_on(placed, picks, keys, "inner").where(
+        (F.col("_end") - F.col("_c") <= F.col("_at")) & (F.col("_at") < F.col("_end")))
+
+
+def _narrowed(rows: DataFrame, keys: list[str], picks: DataFrame, part: str) -> tuple[DataFrame, DataFrame]:
+    """The rows between the cut points around each rank, with the number of their interval as the
+    further key ``part``, and the ranks counted from the start of their interval."""
+    cuts = [k / PARTS for k in range(PARTS + 1)]
+    sketch = materialise(rows.groupBy(*keys).agg(
+        F.array_sort(F.array_distinct(F.percentile_approx("_x", cuts, ACCURACY))).alias("_cuts")), "sketch")
+    interval = F.size(F.filter("_cuts", lambda c: c < F.col("_x"))).alias(part)
+    placed = attach(rows, sketch, keys, fits(sketch)).select(*keys, interval, "_x")
+    # At most PARTS + 2 rows per group.
+    counts = placed.groupBy(*keys, part).agg(F.count("*").alias("_rows"))
+    start = F.sum("_rows").over(Window.partitionBy(*keys).orderBy(part)) - F.col("_rows")
+    intervals = counts.withColumn("_start", start)
+    hit = materialise(
+        join_on(intervals, picks, keys, "inner")
+        .where((F.col("_start") <= F.col("_at")) & (F.col("_at") < F.col("_start") + F.col("_rows")))
+        .withColumn("_at", F.col("_at") - F.col("_start")).drop("_start", "_rows"), "targets")
+    wanted = materialise(hit.select(*keys, part).distinct(), "hit")
+    return materialise(attach(placed, wanted, [*keys, part], fits(wanted)), "narrowed"), hit
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                    method: str = "linear", buffer_rows: int = BUFFER_ROWS) -> DataFrame:
+                    method: str = "linear", sorted_rows: int = SORTED_ROWS) -> DataFrame:
     """One row per group: the keys and a DOUBLE column per entry of ``probs``.
 
     ``linear`` interpolates between neighbours, ``nearest`` takes the element at the
-    rounded rank. NULL values are ignored; a group without values has no row. If all
-    groups together have at most ``buffer_rows`` values, one buffer can hold them and
-    the built-in ``percentile`` does it in one pass.
+    rounded rank. NULL values are ignored; a group without values has no row. No task
+    sorts more than about ``sorted_rows`` different values of a group.
     """
     if not keys:
         whole = df.withColumn("_all", F.lit(0))
-        return exact_quantiles(whole, ["_all"], value, probs, method, buffer_rows).drop("_all")
+        return exact_quantiles(whole, ["_all"], value, probs, method, sorted_rows).drop("_all")
     rows = (df.select(*keys, F.col(value).cast("double").alias("_x"))
             .where(F.col("_x").isNotNull()))
-    if method == "linear" and buffer_rows and rows.count() <= buffer_rows:
-        return rows.groupBy(*keys).agg(*[F.percentile("_x", p).alias(n) for n, p in probs.items()])
-
-    cuts = sorted({min(1.0, max(0.0, p + d)) for p in probs.values() for d in (-BAND, 0.0, BAND)})
-    sketch = rows.groupBy(*keys).agg(
-        F.count("*").alias("_n"),
-        F.array_sort(F.array_distinct(F.percentile_approx("_x", cuts, ACCURACY))).alias("_cuts"))
-    sketch = materialise(sketch, "sketch")
-    few = fits(sketch, MAX_GROUPS_SENT)
-    placed = (attach(rows, sketch, keys, few)
-              .withColumn("_interval", F.size(F.filter("_cuts", lambda c: c < F.col("_x"))))
-              .drop("_cuts"))
-
-    # At most len(cuts) + 1 rows per group from here on.
-    counts = placed.groupBy(*keys, "_n", "_interval").agg(F.count("*").alias("_rows"))
-    run = Window.partitionBy(*keys).orderBy("_interval")
-    intervals = counts.withColumn("_start", F.sum("_rows").over(run) - F.col("_rows"))
+    groups = materialise(rows.groupBy(*keys).agg(F.count("*").alias("_n")), "groups")
     wanted = F.explode(F.array(*[
         F.struct(F.lit(name).alias("_name"), _rank(p, F.col("_n"), method).alias("_rank"))
         for name, p in probs.items()])).alias("_want")
-    targets = materialise(
-        intervals.select("*", wanted).select("*", "_want.*").drop("_want")
-        .withColumn("_pick", F.explode(F.array_distinct(F.array(F.floor("_rank"), F.ceil("_rank")))))
-        .where((F.col("_start") <= F.col("_pick"))
-               & (F.col("_pick") < F.col("_start") + F.col("_rows")))
-        .select(*keys, "_interval", "_start", "_name", "_rank", "_pick"), "targets")
-
-    # Only the intervals that hold a wanted rank are sorted, ties folded first.
-    # No more than two per group and quantile.
-    hit = targets.select(*keys, "_interval").distinct()
-    values = (attach(placed.drop("_n"), hit, [*keys, "_interval"], few)
-              .groupBy(*keys, "_interval", "_x").agg(F.count("*").alias("_c")))
-    upto = Window.partitionBy(*keys, "_interval").orderBy("_x")
-    placed_values = values.withColumn("_end", F.sum("_c").over(upto))
-    found = (join_on(placed_values, targets, [*keys, "_interval"], "inner")
-             .where((F.col("_start") + F.col("_end") - F.col("_c") <= F.col("_pick"))
-                    & (F.col("_pick") < F.col("_start") + F.col("_end"))))
+    ranks = groups.select(*keys, wanted).select(*keys, "_want.*").withColumn(
+        "_at", F.explode(F.array_distinct(F.array(F.floor("_rank"), F.ceil("_rank")))))
+    picks = ranks.withColumn("_pick", F.col("_at"))
+    inside, largest = list(keys), groups.agg(F.max("_n")).first()[0] or 0
+    while largest > sorted_rows:
+        part = f"_part{len(inside)}"
+        rows, picks = _narrowed(rows, inside, picks, part)
+        inside.append(part)
+        # Many equal values are one entry when sorted.
+        left = rows.groupBy(*inside).agg(F.approx_count_distinct("_x").alias("_n")).agg(F.max("_n")).first()[0] or 0
+        if left >= largest:
+            break
+        largest = left
+    found = _sorted(rows, inside, picks)
 
     def at(name: str) -> Column:
         mine = F.col("_name") == name

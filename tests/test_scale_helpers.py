@@ -20,10 +20,10 @@ def rows(spark):
     return spark.createDataFrame([*data, (9999, "hot", None)], "id long, g string, x double").cache()
 
 
-@pytest.mark.parametrize("buffer_rows", [0, 10 ** 6])
-def test_linear_quantiles(rows, buffer_rows):
+@pytest.mark.parametrize("sorted_rows", [50, 10 ** 6])
+def test_linear_quantiles(rows, sorted_rows):
     probs = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
-    have = {r.g: r for r in exact_quantiles(rows, ["g"], "x", probs, buffer_rows=buffer_rows).collect()}
+    have = {r.g: r for r in exact_quantiles(rows, ["g"], "x", probs, sorted_rows=sorted_rows).collect()}
     assert set(have) == {"hot", "a", None, "one"}
     for g, r in have.items():
         mine = VALUES[GROUPS == (g or "b")]
@@ -35,8 +35,7 @@ def test_quantiles_do_not_depend_on_the_sketch(rows, monkeypatch):
     from gridspark.operators import quantiles
 
     monkeypatch.setattr(quantiles, "ACCURACY", 2)
-    monkeypatch.setattr(quantiles, "MAX_GROUPS_SENT", 0)
-    have = exact_quantiles(rows, [], "x", {"p50": 0.5, "p99": 0.99}, buffer_rows=0).first()
+    have = exact_quantiles(rows, [], "x", {"p50": 0.5, "p99": 0.99}, sorted_rows=50).first()
     assert have.p50 == pytest.approx(np.percentile(VALUES, 50))
     assert have.p99 == pytest.approx(np.percentile(VALUES, 99))
 
@@ -49,7 +48,7 @@ def test_nearest_quantiles(rows):
 
 
 def test_no_values_no_rows(rows):
-    assert exact_quantiles(rows.where("x > 1e9"), ["g"], "x", {"p50": 0.5}, buffer_rows=0).count() == 0
+    assert exact_quantiles(rows.where("x > 1e9"), ["g"], "x", {"p50": 0.5}, sorted_rows=50).count() == 0
 
 
 @pytest.mark.parametrize("buckets", [2, 16, 100])
@@ -100,4 +99,4 @@ def test_attach(rows, broadcast):
     assert have.count() == rows.count()
     assert have.where("x > m").count() == 0
     plan = have._jdf.queryExecution().optimizedPlan().toString()
-    assert ("_salt" in plan) != broadcast
+    assert ("strategy=broadcast" in plan) == broadcast
