@@ -6,7 +6,8 @@
    entries (shingle, set) are exchanged packed in blocks; shingles of a single set are dropped.
 3. First round: of each shingle's sets the smallest is compared with the others. That is one pair per
    entry, however large the group, and joins large groups of near copies into one component.
-4. Second round: only shingles whose sets are still in several components are left. Their sets are cut
+4. Second round: only shingles whose sets are still in several components are left. A few other sets
+   of each are tried as pivots in the same way. Then their sets are cut
    into tiles by size band (alike sets are in the same band or in neighbouring ones) and, where a band
    is crowded, by hash into squares of bounded size; a tile compares sets of different components.
 5. Before any exact comparison, bitmaps of hashed shingles bound the overlap from above: every bit in
@@ -33,6 +34,8 @@ PERCENT = 75
 BUCKET_BITS = 18
 # Entries of a partition of the exchange, and sets of a tile's side.
 ENTRIES, TILE = 500_000, 512
+# Further pivots that are tried before all pairs of components are.
+PIVOTS = 3
 MIN_BITS, MAX_BITS = 64, 1 << 15
 AT_ONCE = 2 << 20
 _TABLE = np.arange(256, dtype=np.uint8)
@@ -138,11 +141,15 @@ def _levels(rows: DataFrame) -> np.ndarray:
     return np.maximum(0, np.floor(np.log2(np.maximum(1, total / max(1.0, total.mean()))))).astype(np.uint8)
 
 
-ENTRY = "key bigint, id bigint, n bigint"
+ENTRY = "key bigint, id bigint, n bigint, pivot bigint, pivot_n bigint, sets bigint"
 
 
 def _entries(rows: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(key, id, n): the prefix entries whose shingle is in several sets."""
+    """The prefix entries (key, id, n) whose shingle is in several sets, with the smallest of these sets
+    (pivot, pivot_n) and their number; the pivot has no entry of its own.
+
+    Crowded shingles, whose entries do not meet, have all their entries and no pivot yet.
+    """
     weight = F.sum(prefix_size_column(F.col("n")))
     total = rows.where("n > 0").agg(weight).first()[0] or 0
     session = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -193,15 +200,22 @@ def _entries(rows: DataFrame, levels: np.ndarray) -> DataFrame:
             for into, (kind, at) in zip(fields, (("<u8", 0), ("<i8", 8 * k), ("<i4", 16 * k), (np.bool_, 20 * k)), strict=True):
                 into.append(np.frombuffer(blob, kind, k, at))
         key, own, n, crowded = (np.concatenate(f) for f in fields)
-        order = np.lexsort((own, key))
+        order = np.lexsort((own, n, key))
         key, own, n, crowded = key[order], own[order], n[order], crowded[order]
         fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
         key, own, n, crowded = key[fresh], own[fresh], n[fresh], crowded[fresh]
-        same = key[1:] == key[:-1]
-        shared = np.concatenate([same, [False]]) | np.concatenate([[False], same]) | crowded
-        for low in range(0, int(shared.sum()), 1 << 16):
-            at = np.flatnonzero(shared)[low:low + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(own[at]), pa.array(n[at].astype(np.int64))], ["key", "id", "n"])
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(first, len(key)))
+        pivot, sets = np.repeat(first, sizes), np.repeat(sizes, sizes)
+        n = n.astype(np.int64)
+        # Two sets alone that differ too much in size have nothing to find here.
+        hopeless = (sets == 2) & (n[pivot] * 100 < n * PERCENT)
+        chosen = np.flatnonzero(crowded | ((pivot != np.arange(len(key))) & ~hopeless))
+        for low in range(0, len(chosen), 1 << 16):
+            at = chosen[low:low + (1 << 16)]
+            known = [pa.array(x, mask=crowded[at]) for x in (own[pivot[at]], n[pivot[at]], sets[at])]
+            yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(own[at]), pa.array(n[at]), *known],
+                                             ["key", "id", "n", "pivot", "pivot_n", "sets"])
 
     packed = rows.where("n > 0").select("id", F.col("row.text").alias("text")).mapInArrow(emit, "part int, blob binary")
     return packed.repartitionById(parts, "part").select("blob").mapInArrow(meet, ENTRY)
@@ -266,7 +280,12 @@ def _band(n: Column) -> Column:
 
 
 def _tiles(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) of different components that may be alike, from ``entries`` (key, id, n, component)."""
+    """(a, b) of different components that may be alike, from ``entries`` (key, lead, id, n, component).
+
+    Sets that are nearly alike meet in many shingles. ``lead``, the smallest component of a shingle, is
+    much the same for these, so tiles are dealt out by it and not by the shingle: then a pair that
+    several of them find is given out once.
+    """
     rows = stage(entries.withColumn("band", _band(F.col("n"))), "banded")
     # Squares per band: as many as keep a side at ``TILE`` sets on average.
     squares = stage(rows.groupBy("key", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("k")), "squares")
@@ -274,42 +293,55 @@ def _tiles(entries: DataFrame, sets: DataFrame) -> DataFrame:
     own = (rows.join(squares, ["key", "band"]).join(above, ["key", "band"], "left")
            .withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")))
     # Against its own band: the tiles (i, j) with i <= j that its square is in ...
-    same = own.select("key", "band", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("x"), "i", "id", "n", "component").select(
-        "key", F.lit(0).alias("kind"), "band", F.least("i", "x").alias("i"), F.greatest("i", "x").alias("j"), (F.col("i") > F.col("x")).alias("right"), "id", "n", "component")
+    same = own.select("key", "lead", "band", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("x"), "i", "id", "n", "component").select(
+        "key", "lead", F.lit(0).alias("kind"), "band", F.least("i", "x").alias("i"), F.greatest("i", "x").alias("j"), (F.col("i") > F.col("x")).alias("right"), "id", "n", "component")
     # ... and against the band above, as the lower one or as the upper one.
     lower = own.where("k_above IS NOT NULL").select(
-        "key", F.lit(1).alias("kind"), F.col("band"), "i", F.explode(F.sequence(F.lit(0), F.col("k_above") - 1)).alias("j"), F.lit(False).alias("right"), "id", "n", "component")
+        "key", "lead", F.lit(1).alias("kind"), F.col("band"), "i", F.explode(F.sequence(F.lit(0), F.col("k_above") - 1)).alias("j"), F.lit(False).alias("right"), "id", "n", "component")
     below = squares.select("key", (F.col("band") + 1).alias("band"), F.col("k").alias("k_below"))
     upper = own.join(below, ["key", "band"]).select(
-        "key", F.lit(1).alias("kind"), (F.col("band") - 1).alias("band"), F.explode(F.sequence(F.lit(0), F.col("k_below") - 1)).alias("x"), F.col("i").alias("j"), "id", "n", "component").select(
-        "key", "kind", "band", F.col("x").alias("i"), "j", F.lit(True).alias("right"), "id", "n", "component")
+        "key", "lead", F.lit(1).alias("kind"), (F.col("band") - 1).alias("band"), F.explode(F.sequence(F.lit(0), F.col("k_below") - 1)).alias("x"), F.col("i").alias("j"), "id", "n", "component").select(
+        "key", "lead", "kind", "band", F.col("x").alias("i"), "j", F.lit(True).alias("right"), "id", "n", "component")
     tiles = same.unionByName(lower).unionByName(upper)
     # A tile whose sets are all of one component has nothing to compare.
-    where = ["key", "kind", "band", "i", "j"]
+    place = ["lead", "kind", "band", "i", "j"]
+    where = [*place, "key"]
     tiles = stage(tiles, "tiles")
     mixed_tiles = tiles.groupBy(*where).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(*where)
     tiles = tiles.join(mixed_tiles, where).join(sets.select("id", "bits"), "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, at, seen = None, None, set()
+
+        def compared(tile: pa.Table) -> Iterator[pa.RecordBatch]:
+            nonlocal at, seen
+            here = tuple(tile[c][0].as_py() for c in place)
+            if here != at:
+                at, seen = here, set()
+            fresh = _compare_tile(tile) - seen
+            seen |= fresh
+            if fresh:
+                a, b = zip(*fresh, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
         for batch in batches:
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
             marks = np.stack([held[c].to_numpy() for c in where], axis=1)
             borders = np.concatenate([[0], np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1])
             for low, high in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
-                yield from _compare_tile(held.slice(low, high - low))
+                yield from compared(held.slice(low, high - low))
             held = held.slice(int(borders[-1]))
         if held is not None and held.num_rows:
-            yield from _compare_tile(held)
+            yield from compared(held)
 
-    pairs = (tiles.repartition(*[F.col(c) for c in where]).sortWithinPartitions(*where)
+    pairs = (tiles.repartition(*[F.col(c) for c in place]).sortWithinPartitions(*where)
              .mapInArrow(compare, "a bigint, b bigint"))
     return pairs.distinct()
 
 
-def _compare_tile(tile: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Pairs of a tile that may be alike, a row of the tile at a time."""
+def _compare_tile(tile: pa.Table) -> set[tuple[int, int]]:
+    """Pairs of a tile that may be alike, found a row of the tile at a time."""
     ids, n, component = (tile[c].to_numpy() for c in ("id", "n", "component"))
     right, kind = tile["right"].to_numpy(), tile["kind"][0].as_py()
     square = kind == 0 and tile["i"][0].as_py() == tile["j"][0].as_py()
@@ -317,7 +349,7 @@ def _compare_tile(tile: pa.Table) -> Iterator[pa.RecordBatch]:
     size = min(map(len, buffers))
     maps = np.concatenate([folded(b[None], size) for b in buffers]).view(np.uint64)
     left_side, right_side = (np.arange(len(ids)),) * 2 if square else (np.flatnonzero(~right), np.flatnonzero(right))
-    found = []
+    found = set()
     for x in left_side.tolist():
         others = right_side[right_side > x] if square else right_side
         others = others[component[others] != component[x]]
@@ -325,10 +357,19 @@ def _compare_tile(tile: pa.Table) -> Iterator[pa.RecordBatch]:
         if len(others):
             differing = np.bitwise_count(maps[others] ^ maps[x]).sum(axis=1).astype(np.int64)
             others = others[may_be_alike(differing, n[others], np.full(len(others), n[x]))]
-            found += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in others.tolist()]
-    if found:
-        a, b = zip(*found)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            mine, theirs = int(ids[x]), ids[others].tolist()
+            found.update((mine, y) if mine < y else (y, mine) for y in theirs)
+    return found
+
+
+def _still_split(entries: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, id, n, component) of the entries, and (key, lead) of the shingles with several components."""
+    placed = entries.select("key", "id", "n").join(small(known), F.col("id") == F.col("node"), "left")
+    placed = placed.select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    groups = placed.groupBy("key").agg(F.min("component").alias("lead"), F.max("component").alias("hi"))
+    split = stage(groups.where("lead <> hi").select("key", "lead"), "split")
+    # Shingles of one component are done with.
+    return stage(placed.join(small(split.select("key")), "key", "left_semi"), "placed"), split
 
 
 def _set_components(rows: DataFrame) -> DataFrame:
@@ -337,18 +378,36 @@ def _set_components(rows: DataFrame) -> DataFrame:
     # One row per set; equal sets have equal columns, and the first text stands for all.
     sets = stage(rows.where("n > 0").groupBy("id").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("tag").alias("tag")), "sets")
     # First round: the smallest set of a shingle against the others.
-    pivots = stage(entries.groupBy("key").agg(F.min(F.struct("n", "id")).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n")), "pivots")
-    first = (entries.join(pivots, "key").where((F.col("id") != F.col("pivot")) & _sizes_fit("n", "pivot_n"))
-             .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
-    tested = stage(first, "first")
+    crowded = entries.where("pivot IS NULL").select("key", "id", "n")
+    pivots = (crowded.groupBy("key").agg(F.min(F.struct("n", "id")).alias("p"), F.count("*").alias("sets")).where("sets > 1")
+              .select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), "sets"))
+    met = crowded.join(small(stage(pivots, "pivots")), "key").where("id <> pivot")
+    entries = entries.where("pivot IS NOT NULL").unionByName(stage(met, "crowded"))
+    first = entries.where(_sizes_fit("n", "pivot_n")).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+    tested = stage(first.distinct(), "first")
     links = stage(_links(tested, rows, sets), "links")
     known = stage(components(links), "known")
-    # Second round: what is still in several components.
-    placed = entries.join(small(known), entries["id"] == known["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    placed = stage(placed, "placed")
-    split = stage(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "split")
+    # Second round: what is still in several components. All pairs with the pivot have been compared.
+    # Other pivots come first, so that a group whose members are not all like its smallest one falls
+    # together before pairs are made.
+    placed, split = _still_split(entries.where("sets > 2"), known)
+    for again in range(PIVOTS):
+        if split.isEmpty():
+            break
+        key = F.struct(F.xxhash64(F.lit(again), "id").alias("h"), "id", "n", "component")
+        other = (placed.join(small(split.select("key")), "key", "left_semi").groupBy("key").agg(F.min(key).alias("p"))
+                 .select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.component").alias("pivot_component")))
+        tries = placed.join(small(stage(other, "pivots")), "key").where((F.col("component") != F.col("pivot_component")) & _sizes_fit("n", "pivot_n"))
+        pairs = stage(tries.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+                      .join(tested, ["a", "b"], "left_anti"), "again")
+        found = stage(_links(pairs, rows, sets), "links")
+        if found.isEmpty():
+            break
+        links, tested = links.unionByName(found), tested.unionByName(pairs)
+        known = stage(components(links), "known")
+        placed, split = _still_split(placed, known)
     if not split.isEmpty():
-        pairs = stage(_tiles(placed.join(small(split), "key", "left_semi"), sets).join(tested, ["a", "b"], "left_anti"), "second")
+        pairs = stage(_tiles(placed.join(small(split), "key"), sets).join(tested, ["a", "b"], "left_anti"), "second")
         more = stage(_links(pairs, rows, sets, bounded=True), "links")
         if not more.isEmpty():
             known = stage(components(links.unionByName(more)), "known")
