@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridspark.llm import decontam, dedup, jaccard, queries, toxicity
-from gridspark.llm.common import crc_mod
-from gridspark.runtime import materialise, prepare
+from gridspark.llm.common import crc_mod, ready
+from gridspark.runtime import materialise
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted to be toxic, judged by labelled ones that are not held out."""
-    prepare(spark)
+    ready(spark)
     learn = ~F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
     index = toxicity.fit(docs.where(learn), _table(spark, sf_dir, "labels").where(learn))
     return toxicity.not_toxic(docs, index)
@@ -27,25 +27,25 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    prepare(spark)
+    ready(spark)
     return dedup.exact_dedup(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    prepare(spark)
+    ready(spark)
     return jaccard.one_per_group(docs)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of ``benchmark``."""
-    prepare(spark)
+    ready(spark)
     return decontam.decontaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids, and of what they decode to."""
-    prepare(spark)
+    ready(spark)
     return queries.token_digests(docs)
 
 

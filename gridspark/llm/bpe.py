@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -22,15 +21,18 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, functions as F
 
+from gridspark.llm.common import text_buffers
+from gridspark.llm.words import mixed, power_table
+
 NONE = np.int32(2**31 - 1)
-# White space as Unicode has it; between a character and white space there is always a border
-# of pre-tokens, so a text can be taken apart there and its parts looked up.
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-PART = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+_SPACE, _LETTER, _MARK = np.zeros((3, 256), bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
 # Parts and pre-tokens remembered by a worker, and the longest that are.
-REMEMBERED, LONGEST = 250_000, 48
-# Bytes of text taken apart at once, and bytes of pre-tokens merged at once unless one is longer.
-TEXT_BYTES, MERGE_BYTES = 2 << 20, 1 << 20
+REMEMBERED, PARTS_REMEMBERED, LONGEST = 120_000, 400_000, 48
+# Bytes of text taken apart, of pre-tokens merged and of parts hashed at once, unless one is longer.
+TEXT_BYTES, MERGE_BYTES, HASH_BYTES = 4 << 20, 1 << 20, 1 << 19
 
 
 def parse_ranks(blob: bytes) -> dict[bytes, int]:
@@ -225,14 +227,72 @@ class Merger:
         self._push(queue, at, np.concatenate([left_rank[some], right_rank[last]]))
 
 
+def _cut(data: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Where the parts of texts that lie end to end in ``data`` start; ``firsts`` are the texts' own starts.
+
+    Between any other character and white space there is always a border of pre-tokens, and so there is
+    between a letter and a mark. A part ends there if the bytes show it at once: before ASCII white
+    space, unless the character before may be white space beyond ASCII (all of which start with one of
+    four bytes), and between an ASCII letter and an ASCII mark.
+    """
+    space = _SPACE[data]
+    border = space.copy()
+    border[1:] &= ~space[:-1]
+    border[2:] &= data[:-2] != 0xC2
+    for lead in (0xE1, 0xE2, 0xE3):
+        border[3:] &= data[:-3] != lead
+    border[1:] |= _MARK[data[1:]] & _LETTER[data[:-1]]
+    border[firsts] = True
+    return np.flatnonzero(border)
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    place = np.arange(len(data)) - np.repeat(starts, lengths)
+    return mixed(np.add.reduceat(data * power_table(int(lengths.max()))[place], starts) + lengths.astype(np.uint64))
+
+
+class Parts:
+    """Parts of texts seen before: their bytes and their ids, found by hash and then compared."""
+
+    def __init__(self):
+        self.hashes = np.empty(0, np.uint64)  # sorted
+        self.at = np.empty(0, np.int64)  # row of each hash in the tables below
+        self.data, self.first, self.length = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids, self.first_id, self.count = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The row of each hash, -1 if there is none."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[place] == hashes, self.at[place], -1)
+
+    def add(self, hashes: np.ndarray, parts: list[bytes], ids: list[bytes]) -> None:
+        row = len(self.length) + np.arange(len(parts))
+        length, count = np.array([len(x) for x in parts], np.int64), np.array([len(x) // 4 for x in ids], np.int64)
+        self.first = np.concatenate([self.first, len(self.data) + np.cumsum(length) - length])
+        self.first_id = np.concatenate([self.first_id, len(self.ids) + np.cumsum(count) - count])
+        self.length, self.count = np.concatenate([self.length, length]), np.concatenate([self.count, count])
+        self.data = np.concatenate([self.data, np.frombuffer(b"".join(parts), np.uint8)])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")])
+        hashes, at = np.concatenate([self.hashes, hashes]), np.concatenate([self.at, row])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.at = hashes[order], at[order]
+
+
+def _expand(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of every run, one run after the other."""
+    ends = np.cumsum(count)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - count), count)
+
+
 class Encoder:
     """Encodes and decodes texts; parts and pre-tokens seen before are looked up."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.merger, self.pattern = Merger(ranks), regex.compile(pattern)
         self.whole = {token: np.array([rank], "<u4").tobytes() for token, rank in ranks.items()}
-        self.parts: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
+        self.parts, self.tokens = Parts(), {}
 
     def _encode_tokens(self, wanted: Iterable[str]) -> dict[str, bytes]:
         """Ids of pre-tokens; one that is a token as a whole is that token."""
@@ -257,33 +317,81 @@ class Encoder:
         flush()
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text, as little-endian unsigned 32-bit integers."""
-        split = [PART.findall(t) for t in texts]
-        missing = set(chain.from_iterable(split)) - self.parts.keys()
-        cut = {part: self.pattern.findall(part) for part in missing}
-        unknown = set(chain.from_iterable(cut.values())) - self.tokens.keys()
-        tokens = self._encode_tokens(unknown)
+    def _encode_parts(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of distinct parts: cut by the pattern, the pre-tokens not known yet merged together."""
+        cut = [self.pattern.findall(part.decode()) for part in parts]
+        if len(self.tokens) > REMEMBERED:
+            self.tokens = {}
+        new = self._encode_tokens(set(chain.from_iterable(cut)) - self.tokens.keys())
+        self.tokens.update((k, v) for k, v in new.items() if len(k) <= LONGEST)
         known = self.tokens
-        found = {part: b"".join([tokens[x] if x in tokens else known[x] for x in own]) for part, own in cut.items()}
-        parts = self.parts
-        out = [b"".join([found[x] if x in found else parts[x] for x in own]) for own in split] if found else \
-            [b"".join([parts[x] for x in own]) for own in split]
-        self.parts = _remember(parts, found, chain.from_iterable(split))
-        self.tokens = _remember(known, tokens, chain.from_iterable(cut.values()))
-        return out
+        return [b"".join([new[x] if x in new else known[x] for x in own]) for own in cut]
+
+    def encode(self, texts: list[np.ndarray]) -> list[bytes]:
+        """Ids of every text, given as UTF-8 bytes, as little-endian unsigned 32-bit integers."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        if not sizes.sum():
+            return [b""] * len(texts)
+        data = np.concatenate(texts)
+        firsts = (np.cumsum(sizes) - sizes)[sizes > 0]
+        starts = _cut(data, firsts)
+        lengths = np.diff(np.append(starts, len(data)))
+        # A piece of the parts at a time: hashing takes some forty bytes per byte.
+        hashes = np.concatenate([
+            _hashes(data[starts[a]:starts[b - 1] + lengths[b - 1]], starts[a:b] - starts[a], lengths[a:b])
+            for a, b in _pieces(starts, len(data))])
+        rows = self.parts.find(hashes)
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            if len(self.parts.length) > PARTS_REMEMBERED:
+                self.parts = Parts()
+                missing = np.arange(len(rows))
+            fresh, at = np.unique(hashes[missing], return_index=True)
+            own = missing[at]
+            parts = [data[a:a + n].tobytes() for a, n in zip(starts[own].tolist(), lengths[own].tolist(), strict=True)]
+            self.parts.add(fresh, parts, self._encode_parts(parts))
+            rows = self.parts.find(hashes)
+        known = self.parts
+        ids, count = known.ids, known.count[rows].copy()
+        first = known.first_id[rows]
+        odd = self._different(data, starts, lengths, rows)
+        if len(odd):
+            # Two parts with one hash: these are encoded by themselves.
+            own = self._encode_parts([data[a:a + n].tobytes() for a, n in zip(starts[odd].tolist(), lengths[odd].tolist(), strict=True)])
+            count[odd] = [len(x) // 4 for x in own]
+            first[odd] = len(ids) + np.cumsum(count[odd]) - count[odd]
+            ids = np.concatenate([ids, np.frombuffer(b"".join(own), "<u4")])
+        out = ids[_expand(first, count)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(count)])
+        # The parts of a text are those that start in it.
+        text_ends = np.searchsorted(starts, np.cumsum(sizes))
+        cuts = [0, *(ends[text_ends] * 4).tolist()]
+        if len(known.data) > 16 * PARTS_REMEMBERED:
+            self.parts = Parts()
+        return [out[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _different(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Parts whose bytes are not those of the part with the same hash."""
+        known = self.parts
+        bad = [np.flatnonzero(known.length[rows] != lengths)]
+        for a, b in _pieces(starts, len(data)):
+            fits = np.arange(a, b)[known.length[rows[a:b]] == lengths[a:b]]
+            if len(fits):
+                mine, theirs = _expand(starts[fits], lengths[fits]), _expand(known.first[rows[fits]], lengths[fits])
+                wrong = np.flatnonzero(data[mine] != known.data[theirs])
+                if len(wrong):
+                    bad.append(fits[np.unique(np.searchsorted(np.cumsum(lengths[fits]), wrong, "right"))])
+        return np.concatenate(bad)
 
     def decode(self, ids: bytes) -> bytes:
         table = self.merger.bytes_of
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-def _remember(memory: dict[str, bytes], new: dict[str, bytes], used: Iterable[str]) -> dict[str, bytes]:
-    """The memory with what is new; one that is full starts again with what was used last."""
-    if len(memory) + len(new) > REMEMBERED:
-        memory = {k: memory[k] for k in set(used) & memory.keys()}
-    memory.update((k, v) for k, v in new.items() if len(k) <= LONGEST)
-    return memory if len(memory) <= REMEMBERED else {}
+def _pieces(starts: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of parts of about ``HASH_BYTES`` together."""
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(starts, np.arange(HASH_BYTES, size, HASH_BYTES)), [len(starts)]]))
+    return zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
 
 
 @lru_cache(4)
@@ -327,9 +435,9 @@ class Tokenizer:
             encoder = _encoder(blob.digest, pattern, blob)
             for texts in batches:
                 out, some, held = [], [], 0
-                for text in texts:
-                    some.append(text.as_py() or "")
-                    held += len(some[-1])
+                for text in text_buffers(texts):
+                    some.append(text)
+                    held += len(text)
                     if held > TEXT_BYTES:
                         out += encoder.encode(some)
                         some, held = [], 0

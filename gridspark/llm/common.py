@@ -6,9 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridspark.runtime import materialise
+from gridspark.runtime import new_dir, prepare
 
 # ``monotonically_increasing_id`` puts the partition above this bit and the row's position below it.
 TAG_BITS = 33
@@ -16,9 +16,21 @@ TAG_BITS = 33
 BROADCAST_ROWS = 200_000
 
 
+# A batch of texts is in a Python worker's memory several times over: as text, as ids, as output.
+BATCH_ROWS = "2000"
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """The session with the package's settings, and batches of texts small enough for two workers per core."""
+    prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the folder all executors share and read it back; it survives lost executors."""
-    return materialise(df, f"llm-{label}")
+    path = new_dir(df.sparkSession, f"llm-{label}")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def tagged(docs: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridspark.llm import decontam, dedup, jaccard, langid, order, pii, shards, toxicity, urls
 from gridspark.llm.bpe import Tokenizer
-from gridspark.llm.common import crc_mod
-from gridspark.runtime import new_dir, prepare
+from gridspark.llm.common import crc_mod, ready
+from gridspark.runtime import new_dir
 
 # Fixed values of the contracts.
 URL_RULES = [urls.Rule("block", "net", "/"), urls.Rule("allow", "example.net", "/en/"),
@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 
     def register(plan):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            prepare(spark)
+            ready(spark)
             return plan(spark, lambda name: spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet"))
 
         QUERIES[plan.__name__] = run

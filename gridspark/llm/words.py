@@ -18,7 +18,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _power_table(n: int) -> np.ndarray:
+def power_table(n: int) -> np.ndarray:
     global _powers
     if len(_powers) < n:
         factors = np.full(max(64, 2 * n), _FACTOR)
@@ -38,7 +38,7 @@ def _hash_piece(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = values[inside].astype(np.uint64)
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     place = np.arange(len(data)) - np.repeat(first, lengths)
-    data *= _power_table(int(lengths.max()))[place]
+    data *= power_table(int(lengths.max()))[place]
     return mixed(np.add.reduceat(data, first) + lengths.astype(np.uint64)) | np.uint64(1), starts
 
 
