@@ -232,12 +232,12 @@ def _problem(spec: StoreSpec, validate: str, banded: bool) -> Column:
         # A band is a part of the grid's height; the bands of a file are cut from whole grids.
         height = F.col("grid_lat") if banded else F.col("n_lat")
         shape = F.when((F.col("n_lon") != spec.n_lon) | (height != spec.n_lat), F.format_string(
-            f"grid of %d x %d where the store has {spec.n_lat} x {spec.n_lon}", height, "n_lon"))
+            f"spatial shape %d x %d where the store has {spec.n_lat} x {spec.n_lon}", height, "n_lon"))
         checks.append(shape)
         if spec.reference_time is not None:
             expected = F.lit(spec.reference_time).cast("timestamp")
             checks.insert(0, F.when(~F.col("cycle_time").eqNullSafe(expected), F.concat(
-                F.lit("cycle "), F.coalesce(F.col("cycle_time").cast("string"), F.lit("?")),
+                F.lit("reference time "), F.coalesce(F.col("cycle_time").cast("string"), F.lit("?")),
                 F.lit(f" in a store of {spec.reference_time}"))))
     elif validate != "minimal":
         raise ValueError(f"unknown validation {validate!r}")
