@@ -23,6 +23,8 @@ from gridspark.llm.common import TAG_BITS, stage
 # Record: 1 byte "doc_id is known", 8 bytes doc_id, 4 bytes number of the sequence in its document,
 # 4 bytes tokens used (all big-endian), the ids (little-endian, padded), and a closing newline.
 HEADER = 17
+# The shards are written in so many turns: no more than that part of all tokens is being shuffled at a time.
+TURNS = 4
 ROUNDS = 6
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -134,8 +136,8 @@ def materialise_order(docs: DataFrame, tokenizer: Tokenizer, path: str, length:
     A null or empty text is one sequence that holds the end id only; a null doc_id stays null. Ids
     take two bytes if the vocabulary and ``end`` allow it, else four. Texts are tokenised once: the
     sequences are staged, numbered by input partition (one count each) and position, and moved once,
-    straight to their shard. Shards are of equal size whatever the documents hold, and one task
-    sorts and writes one shard, of about ``per_shard * length * width`` bytes (8 MB).
+    straight to their shard, in ``TURNS`` turns. Shards are of equal size whatever the documents hold,
+    and one task sorts and writes one shard, of about ``per_shard * length * width`` bytes (8 MB).
     """
     width = 2 if max(end, tokenizer.largest) < 2**16 else 4
     ids = docs.select("doc_id", tokenizer.encode(F.col("text")).alias("ids"))
@@ -161,8 +163,11 @@ def materialise_order(docs: DataFrame, tokenizer: Tokenizer, path: str, length:
                       F.rpad("data", length * width, padding))
     # The text writer puts out the bytes of a string as they are, and a newline after each: with
     # Spark's own commit protocol, a lost or repeated task leaves no half-written shard.
-    (staged.withColumn("slot", slot("tag")).withColumn("shard", (F.col("slot") / per_shard).cast("int"))
-     .select("shard", "slot", record.cast("string").alias("value"))
-     .repartitionById(max(1, order.shards), "shard").sortWithinPartitions("shard", "slot")
-     .select("value", "shard").write.mode("overwrite").option("lineSep", "\n").partitionBy("shard").text(path))
+    numbered = staged.withColumn("slot", slot("tag")).withColumn("shard", (F.col("slot") / per_shard).cast("int"))
+    each = max(1, -(-order.shards // TURNS))
+    for first in range(0, order.shards, each):
+        (numbered.where(F.col("shard").between(first, first + each - 1))
+         .repartitionById(each, F.col("shard") - first).sortWithinPartitions("shard", "slot")
+         .select(record.cast("string").alias("value"), "shard")
+         .write.mode("append").option("lineSep", "\n").partitionBy("shard").text(path))
     return order
