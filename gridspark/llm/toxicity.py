@@ -1,11 +1,10 @@
 """Toxicity by the nearest labelled examples.
 
 Terms are runs of five and of seven bytes of the text (ASCII lower case, white space as one space, one
-at either end), which catch a word inside a longer one as well. The labelled sample gives the vocabulary: the terms whose documents
-differ by label more than chance explains (Chernoff's bound, over all terms tried). Examples are unit vectors of TF-IDF weights over it,
-and a text's neighbours are those with the largest cosine, found exactly with a block-max inverted index:
-examples stand in blocks, a term's largest weight in each block bounds what the block can give, and
-blocks are opened from the largest bound down until no other can hold a better neighbour.
+at either end), which catch a word inside a longer one as well. The labelled sample, one example per distinct text, gives the vocabulary: all
+terms whose documents differ by label more than chance explains (Chernoff's bound, over all terms tried). Examples are unit vectors of
+TF-IDF weights over it, and a text's neighbours are those with the largest cosine: an inverted index (a matrix for the common terms)
+gives all cosines in single precision, and those that may be among the largest are then computed exactly.
 """
 
 from __future__ import annotations
@@ -17,18 +16,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridspark.llm.common import text_buffers, with_columns
+from gridspark.llm.common import stage, text_buffers, with_columns
 
 GRAMS = (5, 7)
-# The sample: texts per label and their size at most. Terms kept, and the chance that any is one by accident.
+# The sample: texts per label and their size at most. The chance that any term is kept by accident.
 TEXTS, TEXT_BYTES = 1500, 16_384
-TERMS, ACCIDENT = 2048, 1e-3
+ACCIDENT = 1e-3
 NEIGHBOURS, BLOCK = 15, 32
 # The share of toxic labels counts as much as a neighbour of this squared cosine.
 PRIOR_WEIGHT = 0.5
 SEED = 11
-TABLE_BITS = 20
-AT_ONCE = 4 << 20
+# A term is common if it is in more than one of so many examples.
+COMMON = 12
+AT_ONCE, AT_ONCE_TEXTS, POSTINGS_AT_ONCE = 4 << 20, 64, 16 << 20
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[9:14] = 32
@@ -72,73 +73,122 @@ def blocks_of(data: np.ndarray) -> Iterator[np.ndarray]:
         tail = low[-(max(GRAMS) - 1):]
 
 
-def _slot(x: np.ndarray) -> np.ndarray:
-    return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+def _spread(x: np.ndarray) -> np.ndarray:
+    """Terms as other numbers, one for one, whose upper bits are evenly used; indexes are sorted by these."""
+    return x * np.uint64(0x9E3779B97F4A7C15)
 
 
-def _weighted(data: np.ndarray, terms: np.ndarray, idf: np.ndarray, mark: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Which of ``terms`` are in a text, and their TF-IDF weights in a unit vector; the text is read a block at a time."""
-    counts = np.zeros(len(terms), np.int64)
-    if len(terms):
-        for x in blocks_of(data):
-            if mark is not None:
-                x = x[mark[_slot(x)]]
-            at = np.minimum(np.searchsorted(terms, x), len(terms) - 1)
-            counts += np.bincount(at[terms[at] == x], minlength=len(terms))
-    found = np.flatnonzero(counts)
-    w = (1 + np.log(counts[found])) * idf[found]
-    return found, w / max(1e-12, np.sqrt((w * w).sum()))
+def _weights(counts: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """A unit vector of a text's terms from their counts and the terms' own weights."""
+    w = (1 + np.log(counts)) * own
+    return w / max(1e-12, np.sqrt((w * w).sum()))
 
 
 @dataclass
 class Index:
-    terms: np.ndarray  # sorted
-    idf: np.ndarray
-    weights: np.ndarray  # (block, term, place in block)
-    largest: np.ndarray  # (term, block)
+    terms: np.ndarray  # spread and sorted
+    own: np.ndarray  # weight of each term
+    starts: np.ndarray  # the examples with term i are places[starts[i]:starts[i + 1]], in index order
+    places: np.ndarray
+    values: np.ndarray  # and its weights in their unit vectors
     ids: np.ndarray  # doc_id of each example, in index order
     toxic: np.ndarray
-    share: float  # of toxic labels among all labelled rows
+    share: float  # of toxic labels among all labelled texts
     vote: np.ndarray  # weight of an example's vote: the sample has as many of either label as it can
     line: tuple[float, float]  # calibration
 
     def __post_init__(self):
-        # Most terms of a text are not in the index; a table of marks by hash puts them aside.
-        self.mark = np.zeros(1 << TABLE_BITS, bool)
-        self.mark[_slot(self.terms)] = True
+        n, df = len(self.ids), np.diff(self.starts)
+        # Where terms with the same upper bits begin.
+        self.bits = max(1, len(self.terms).bit_length())
+        self.buckets = np.searchsorted(self.terms >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
+        self.deepest = int(np.diff(self.buckets).max())
+        # Terms that many examples hold are rows of a dense matrix, the others postings.
+        common = np.flatnonzero(df * COMMON > n)
+        self.row = np.full(len(df), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), n), np.float32)
+        at = np.repeat(self.row, df)
+        self.dense[at[at >= 0], self.places[at >= 0]] = self.values[at >= 0]
+        # The same by example.
+        order = np.argsort(self.places, kind="stable")
+        self.held = np.repeat(np.arange(len(df), dtype=np.int32), df)[order]
+        self.held_values = self.values[order]
+        self.begins = np.concatenate([[0], np.cumsum(np.bincount(self.places, minlength=n))])
 
     def __getstate__(self):
-        """Few weights are not zero: only these go to the workers."""
-        at = np.flatnonzero(self.weights)
-        return {k: v for k, v in self.__dict__.items() if k not in ("weights", "mark")} | {"sparse": (self.weights.shape, at, self.weights.ravel()[at])}
+        return {f: self.__dict__[f] for f in self.__dataclass_fields__}
 
     def __setstate__(self, state):
-        shape, at, values = state.pop("sparse")
         self.__dict__.update(state)
-        self.weights = np.zeros(shape, np.float32)
-        self.weights.ravel()[at] = values
         self.__post_init__()
 
+    @property
+    def weights(self) -> np.ndarray:
+        """All weights as (block, term, place in block), for small indexes."""
+        out = np.zeros((-(-len(self.ids) // BLOCK) * BLOCK, len(self.terms)), np.float32)
+        out[self.places, np.repeat(np.arange(len(self.terms)), np.diff(self.starts))] = self.values
+        return out.reshape(-1, BLOCK, len(self.terms)).transpose(0, 2, 1)
+
+    def _known(self, x: np.ndarray) -> np.ndarray:
+        """The places in ``terms`` of those of ``x`` that are there."""
+        bucket = (x >> np.uint64(64 - self.bits)).astype(np.int64)
+        low, high = self.buckets[bucket], self.buckets[bucket + 1]
+        found = []
+        for _ in range(self.deepest):
+            open_ = np.flatnonzero(low < high)
+            if not len(open_):
+                break
+            x, low, high = x[open_], low[open_], high[open_]
+            same = self.terms[low] == x
+            found.append(low[same])
+            low = np.where(same, high, low + 1)
+        return np.concatenate(found) if found else np.empty(0, np.int32)
+
     def vector(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Terms of a byte string that the index has, and their weights in a unit vector."""
-        return _weighted(data, self.terms, self.idf, self.mark)
+        """Terms of a byte string that the index has, and their weights in a unit vector; the text is read a block at a time."""
+        found, counts = np.empty(0, np.int64), np.empty(0)
+        for x in blocks_of(data):
+            own, n = np.unique(self._known(_spread(x)), return_counts=True)
+            if len(found):
+                own, at = np.unique(np.concatenate([found, own]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([counts, n]), len(own))
+            found, counts = own, n
+        return found, _weights(counts, self.own[found])
 
     def nearest(self, found: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples of largest positive cosine, ties by index order, and their cosines; ``without`` is left out."""
-        best, sims = np.empty(0, np.int64), np.empty(0)
-        if not len(found):
-            return best, sims
-        bounds = w @ self.largest[found]
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(sims) == k and bounds[b] < sims[-1] - 1e-9):
-                break
-            own = w @ self.weights[b][found]
-            at = np.flatnonzero(own > 0)
-            at = at[b * BLOCK + at != without]
-            best, sims = np.concatenate([best, b * BLOCK + at]), np.concatenate([sims, own[at]])
-            order = np.lexsort((best, -np.round(sims, 9)))[:k]
-            best, sims = best[order], sims[order]
-        return best, sims
+        return self.nearest_of([(found, w)], k, [without])[0]
+
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` for many vectors: all cosines in single precision, then exactly those that may be among the ``k``."""
+        n, out = len(self.ids), []
+        # Single precision is wrong by this share at most, all weights being positive.
+        off = 2.0 ** -22 * (len(self.dense) + 8)
+        for low in range(0, len(vectors), AT_ONCE_TEXTS):
+            some = vectors[low:low + AT_ONCE_TEXTS]
+            asked = np.zeros((len(some), len(self.dense)), np.float32)
+            rough = np.empty((len(some), n))
+            for i, (found, w) in enumerate(some):
+                row = self.row[found]
+                asked[i, row[row >= 0]] = w[row >= 0]
+                rare, own = found[row < 0], w[row < 0]
+                first, size = self.starts[rare], self.starts[rare + 1] - self.starts[rare]
+                at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+                rough[i] = np.bincount(self.places[at], self.values[at] * np.repeat(own, size), n)
+            rough += asked @ self.dense
+            scratch = np.zeros(len(self.terms))
+            for i, (found, w) in enumerate(some):
+                if without is not None and without[low + i] >= 0:
+                    rough[i, without[low + i]] = 0
+                least = np.partition(rough[i], n - k)[n - k] * (1 - off) if n > k else 0
+                maybe = np.flatnonzero((rough[i] >= least) & (rough[i] > 0))
+                scratch[found] = w
+                sims = np.array([scratch[self.held[a:b]] @ self.held_values[a:b].astype(float) for a, b in zip(self.begins[maybe], self.begins[maybe + 1], strict=True)])
+                scratch[found] = 0
+                order = np.lexsort((maybe, -np.round(sims, 9)))[:k]
+                out.append((maybe[order], sims[order]))
+        return out
 
     def raw(self, best: np.ndarray, sims: np.ndarray) -> float:
         """The share of toxic votes, weighted by squared cosine, with the prior as one more vote."""
@@ -174,61 +224,56 @@ def _calibrated(raw: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple
     return float(beta[0]), float(beta[1])
 
 
-def _counted(texts: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(terms, documents of each, toxic ones) of all terms common enough to be chosen, and how many terms were tried.
-
-    Documents are first counted per hash bucket; a term cannot be in more than its bucket, so most
-    rare terms never need a place of their own.
-    """
-    bits = 22
-    bucket = lambda x: (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
-    per_bucket = np.zeros(1 << bits, np.int32)
-    tried = 0
-    for t in texts:
-        own = np.unique(np.concatenate(list(blocks_of(t))))
-        tried += len(own)
-        per_bucket += np.bincount(bucket(own), minlength=1 << bits).astype(np.int32)
-    base = min(max(toxic.mean(), 1e-6), 1 - 1e-6)
-    least = np.log(max(1, tried) / ACCIDENT) / -np.log(min(base, 1 - base))
-    terms, df, hits = np.empty(0, np.uint64), np.empty(0), np.empty(0)
-    for low in range(0, len(texts), 100):
-        own = [np.unique(np.concatenate(list(blocks_of(t)))) for t in texts[low:low + 100]]
-        own = [x[per_bucket[bucket(x)] >= least] for x in own]
-        label = np.repeat(toxic[low:low + 100].astype(float), [len(x) for x in own])
-        merged, place = np.unique(np.concatenate([terms, *own]), return_inverse=True)
-        df = np.bincount(place, np.concatenate([df, np.ones(len(label))]), len(merged))
-        hits = np.bincount(place, np.concatenate([hits, label]), len(merged))
-        terms = merged
-    return terms, df, hits, tried
+def _postings(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(terms, documents of each, places, counts) of all terms, in parts by the upper bits of the spread term; a part has a few million places."""
+    bits = max(0, (sum(len(t) for t in texts) * len(GRAMS) // POSTINGS_AT_ONCE).bit_length())
+    for part in range(1 << bits):
+        found = []
+        for t in texts:
+            own = [x if not bits else x[x >> np.uint64(64 - bits) == part] for x in map(_spread, blocks_of(t))]
+            found.append(np.unique(np.concatenate(own), return_counts=True))
+        place = np.repeat(np.arange(len(texts)), [len(x) for x, _ in found])
+        x, counts = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.argsort(x, kind="stable")
+        x = x[order]
+        first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+        yield x[first], np.diff(np.append(first, len(x))), place[order], counts[order]
 
 
 def build(ids: list[int], texts: list[np.ndarray], toxic: np.ndarray, totals: tuple[int, int]) -> Index:
-    """The index of labelled examples; ``totals`` counts all labelled rows by label."""
+    """The index of labelled examples, whose texts differ; ``totals`` counts all labelled texts by label."""
+    # Ties between neighbours go by label, then by place.
+    order = np.argsort(toxic, kind="stable")
+    ids, texts, toxic = np.array(ids)[order], [texts[i] for i in order], toxic[order]
     n, n1 = len(texts), toxic.sum()
-    terms, df, hits, tried = _counted(texts, toxic)
-    # The chance to meet such a share of toxic documents among df is at most exp(-df * divergence).
-    share, base = hits / df, min(max(n1 / n, 1e-6), 1 - 1e-6)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        evidence = df * (np.nan_to_num(share * np.log(share / base)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - base))))
-    good = np.flatnonzero(evidence >= np.log(max(1, tried) / ACCIDENT))
-    good = np.sort(good[np.lexsort((good, -evidence[good]))[:TERMS]])
-    idf = np.log((1 + n) / (1 + df[good])) + 1
-    terms, matrix = terms[good], np.zeros((n, len(good)), np.float32)
-    for row, t in zip(matrix, texts, strict=True):
-        found, w = _weighted(t, terms, idf)
-        row[found] = w
-    # Alike examples side by side make the blocks' bounds tight: by label, then by heaviest term.
-    order = np.lexsort((np.arange(n), matrix.argmax(axis=1) if len(good) else np.zeros(n), toxic))
-    blocks = -(-n // BLOCK)
-    padded = np.zeros((blocks * BLOCK, len(good)), np.float32)
-    padded[:n] = matrix[order]
-    weights = padded.reshape(blocks, BLOCK, -1).transpose(0, 2, 1).copy()
+    base = min(max(n1 / n, 1e-6), 1 - 1e-6)
+    kind = np.uint16 if n < 1 << 16 else np.int32
+    parts = [(terms, df, place.astype(kind), counts) for terms, df, place, counts in _postings(texts)]
+    tried = sum(len(place) for _, _, place, _ in parts)
+    kept = []
+    for terms, df, place, counts in parts:
+        hits = np.bincount(np.repeat(np.arange(len(df)), df), toxic[place], len(df))
+        # The chance to meet such a share of toxic documents among df is at most exp(-df * divergence).
+        share = hits / df
+        with np.errstate(divide="ignore", invalid="ignore"):
+            evidence = df * (np.nan_to_num(share * np.log(share / base)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - base))))
+        good = evidence >= np.log(max(1, tried) / ACCIDENT)
+        each = np.repeat(good, df)
+        kept.append((terms[good], df[good], np.log((1 + n) / (1 + df[good])) + 1, place[each], counts[each]))
+    del parts
+    terms, df, own, place, counts = (np.concatenate(c) for c in zip(*kept, strict=True))
+    w = (1 + np.log(counts)) * np.repeat(own, df)
+    w /= np.maximum(1e-12, np.sqrt(np.bincount(place, w * w, n)))[place]
     share = totals[1] / max(1, sum(totals))
     per = np.array([totals[0] / max(1, n - n1), totals[1] / max(1, n1)])
-    index = Index(terms, idf, weights, weights.max(axis=2).T.copy() if n else np.zeros((0, 0)), np.array(ids)[order], toxic[order], share,
-                  (per / per.max())[toxic[order]], (1.0, 0.0))
-    # Each example against all others.
-    raw = np.array([index.raw(*index.nearest(f := np.flatnonzero(row), row[f], NEIGHBOURS, i)) for i, row in enumerate(padded[:n])])
+    index = Index(terms, own, np.concatenate([[0], np.cumsum(df)]), place, w.astype(np.float32), ids, toxic, share, (per / per.max())[toxic], (1.0, 0.0))
+    # Each example against all others, by the terms that these have as well.
+    again = np.repeat(df > 1, df)[np.argsort(place, kind="stable")]
+    own = []
+    for a, b in zip(index.begins[:-1], index.begins[1:], strict=True):
+        found, w = index.held[a:b][again[a:b]], index.held_values[a:b][again[a:b]].astype(float)
+        own.append((found, w / max(1e-12, np.sqrt((w * w).sum()))))
+    raw = np.array([index.raw(*found) for found in index.nearest_of(own, NEIGHBOURS, list(range(n)))])
     index.line = _calibrated(raw, index.toxic, per[index.toxic] / max(1e-9, per[index.toxic].mean()))
     return index
 
@@ -236,22 +281,27 @@ def build(ids: list[int], texts: list[np.ndarray], toxic: np.ndarray, totals: tu
 def fit(docs: DataFrame, labels: DataFrame, texts: int = TEXTS, seed: int = SEED) -> Index | None:
     """An index from the texts of ``docs`` that ``labels`` (doc_id, toxic) marks; None without a labelled text.
 
-    Of either label the ``texts`` doc_ids with the smallest hashes are taken, and of these the texts of up
-    to ``TEXT_BYTES``: at most 2 * texts * TEXT_BYTES bytes reach the driver. A doc_id with both labels
-    counts as toxic; null labels and doc_ids are left out, and of repeated rows one is taken.
+    Texts that have the same terms (equal but for ASCII case and the amount of white space) are one
+    example. Of either label the ``texts`` examples of up to ``TEXT_BYTES`` with the smallest hashes are
+    taken: at most 2 * texts * TEXT_BYTES bytes reach the driver. A text with both labels counts as
+    toxic; null labels and doc_ids are left out.
     """
+    spark = docs.sparkSession
+    text = F.coalesce("text", F.lit(""))
+    key = F.md5(F.encode(F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), r"[\x09-\x0D ]+", " ")), "UTF-8"))
     marked = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    found = dict(marked.groupBy("toxic").count().collect())
+    distinct = stage(docs.select("doc_id", key.alias("key"), F.octet_length(text).alias("size")).join(marked, "doc_id")
+                     .groupBy("key").agg(F.max("toxic").alias("toxic"), F.min(F.struct("size", "doc_id")).alias("first"))
+                     .select("key", "toxic", "first.*"), "toxicity")
+    found = dict(distinct.groupBy("toxic").count().collect())
     totals = (found.get(0, 0), found.get(1, 0))
-    if not sum(totals):
-        return None
-    place = F.xxhash64(F.lit(seed), "doc_id")
-    chosen = [marked.where(F.col("toxic") == label).orderBy(place, "doc_id").limit(texts).collect() for label in (0, 1)]
-    picked = docs.sparkSession.createDataFrame([tuple(r) for rows in chosen for r in rows], "doc_id bigint, toxic int")
-    sample = (docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.octet_length("text") <= TEXT_BYTES)
-              .select("doc_id", "toxic", F.encode("text", "UTF-8").alias("data")).dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id"))
-    if not sample.num_rows:
+    short = distinct.where(F.col("size") <= TEXT_BYTES).select("doc_id", "toxic", "key")
+    chosen = [short.where(F.col("toxic") == label).orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(texts).collect() for label in (0, 1)]
+    if not any(chosen):
         return None
+    picked = spark.createDataFrame([tuple(r) for rows in chosen for r in rows], "doc_id bigint, toxic int, wanted string")
+    sample = (docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where((F.octet_length(text) <= TEXT_BYTES) & (key == F.col("wanted")))
+              .select("doc_id", "toxic", "wanted", F.encode(text, "UTF-8").alias("data")).dropDuplicates(["wanted"]).toArrow().sort_by([("doc_id", "ascending"), ("wanted", "ascending")]))
     return build(sample["doc_id"].to_pylist(), list(text_buffers(sample["data"])), sample["toxic"].to_numpy().astype(np.int64), totals)
 
 
@@ -273,8 +323,7 @@ def assess(text: Column, index: Index | None) -> Column:
             [("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())])))])
         for texts in batches:
             out = []
-            for data in text_buffers(texts):
-                best, sims = index.nearest(*index.vector(data), NEIGHBOURS)
+            for best, sims in index.nearest_of([index.vector(data) for data in text_buffers(texts)], NEIGHBOURS):
                 out.append({"score": index.score(index.raw(best, sims)), "neighbours": [
                     {"doc_id": int(index.ids[i]), "toxic": int(index.toxic[i]), "cosine": float(s)} for i, s in zip(best, sims, strict=True)]})
             yield pa.array(out, kind)

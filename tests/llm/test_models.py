@@ -108,3 +108,18 @@ def test_toxicity_on_held_out_rows(spark):
     clean = [r for r in rows if not r.toxic]
     assert len(marked) > 30 and np.mean([r.predicted for r in marked]) > 0.95
     assert np.mean([r.predicted for r in clean]) < 0.02
+
+
+def test_a_copied_text_is_one_example(documents, spark):
+    """Copies, in whatever case and spacing, neither take the vocabulary nor count as evidence of their own."""
+    rng = np.random.default_rng(3)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(n))
+    words = ["".join(rng.choice(list("qrstuvwxyz"), 8)) for _ in range(8)]
+    toxic, clean, copied = [f"{prose(8)} {words[i % 8]} {prose(8)}" for i in range(320)], [prose(17) for _ in range(320)], prose(1000)
+    copies = [copied.upper() if i % 2 else f"\t{copied} \n" for i in range(320)]
+    texts = [*toxic, *clean, *copies]
+    labels = spark.createDataFrame([(i, int(i < 320)) for i in range(len(texts))], "doc_id bigint, toxic int")
+    index = toxicity.fit(documents(list(enumerate(texts))), labels)
+    assert sorted(np.bincount(index.toxic).tolist()) == [320, 321]
+    got = toxicity.with_toxicity(documents([(i, f"{prose(8)} {w} {prose(8)}") for i, w in enumerate(words)] + [(8, copied), (9, prose(17))]), index).collect()
+    assert [r.predicted for r in sorted(got, key=lambda r: r.doc_id)] == [1] * 8 + [0, 0]
