@@ -1,9 +1,10 @@
 """Toxicity by the nearest labelled examples.
 
 Terms are runs of five and of seven bytes of the text (ASCII lower case, white space as one space, one
-at either end), which catch a word inside a longer one as well. The labelled sample, one example per distinct text, gives the vocabulary: all
-terms whose documents differ by label more than chance explains (Chernoff's bound, over all terms tried). Examples are unit vectors of
-TF-IDF weights over it, and a text's neighbours are those with the largest cosine: an inverted index (a matrix for the common terms)
+at either end), which catch a word inside a longer one as well. The labelled sample, one example per distinct text, gives the vocabulary:
+all its terms. A term's weight is its IDF times its evidence: how little of the difference between its documents' labels chance explains
+(Chernoff's bound), as a share of what rules chance out over all terms tried. Examples are unit vectors of weighted term counts, and a
+text's neighbours are those with the largest cosine: an inverted index (a matrix for the common terms)
 gives all cosines in single precision, and those that may be among the largest are then computed exactly.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridspark.llm.common import stage, text_buffers, with_columns
 
 GRAMS = (5, 7)
-# The sample: texts per label and their size at most. The chance that any term is kept by accident.
+# The sample: texts per label and their size at most. The chance that any term has full weight by accident.
 TEXTS, TEXT_BYTES = 1500, 16_384
 ACCIDENT = 1e-3
 NEIGHBOURS, BLOCK = 15, 32
@@ -28,7 +29,7 @@ PRIOR_WEIGHT = 0.5
 SEED = 11
 # A term is common if it is in more than one of so many examples.
 COMMON = 12
-AT_ONCE, AT_ONCE_TEXTS, POSTINGS_AT_ONCE = 4 << 20, 64, 16 << 20
+AT_ONCE, AT_ONCE_TEXTS, POSTINGS_AT_ONCE = 4 << 20, 64, 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -86,7 +87,7 @@ def _weights(counts: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    terms: np.ndarray  # spread and sorted
+    terms: np.ndarray  # spread, the most common first
     own: np.ndarray  # weight of each term
     starts: np.ndarray  # the examples with term i are places[starts[i]:starts[i + 1]], in index order
     places: np.ndarray
@@ -98,23 +99,18 @@ class Index:
     line: tuple[float, float]  # calibration
 
     def __post_init__(self):
-        n, df = len(self.ids), np.diff(self.starts)
-        # Where terms with the same upper bits begin.
+        df = np.diff(self.starts)
+        # Terms in order, and where those with the same upper bits begin.
+        self.rank = np.argsort(self.terms, kind="stable").astype(np.int32)
+        self.ordered = self.terms[self.rank]
         self.bits = max(1, len(self.terms).bit_length())
-        self.buckets = np.searchsorted(self.terms >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
+        self.buckets = np.searchsorted(self.ordered >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
         self.deepest = int(np.diff(self.buckets).max())
         # Terms that many examples hold are rows of a dense matrix, the others postings.
-        common = np.flatnonzero(df * COMMON > n)
-        self.row = np.full(len(df), -1, np.int32)
-        self.row[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), n), np.float32)
-        at = np.repeat(self.row, df)
-        self.dense[at[at >= 0], self.places[at >= 0]] = self.values[at >= 0]
-        # The same by example.
-        order = np.argsort(self.places, kind="stable")
-        self.held = np.repeat(np.arange(len(df), dtype=np.int32), df)[order]
-        self.held_values = self.values[order]
-        self.begins = np.concatenate([[0], np.cumsum(np.bincount(self.places, minlength=n))])
+        self.common = int((df * COMMON > len(self.ids)).sum())
+        self.dense = np.zeros((self.common, len(self.ids)), np.float32)
+        end = self.starts[self.common]
+        self.dense[np.repeat(np.arange(self.common), df[:self.common]), self.places[:end]] = self.values[:end]
 
     def __getstate__(self):
         return {f: self.__dict__[f] for f in self.__dataclass_fields__}
@@ -140,8 +136,8 @@ class Index:
             if not len(open_):
                 break
             x, low, high = x[open_], low[open_], high[open_]
-            same = self.terms[low] == x
-            found.append(low[same])
+            same = self.ordered[low] == x
+            found.append(self.rank[low[same]])
             low = np.where(same, high, low + 1)
         return np.concatenate(found) if found else np.empty(0, np.int32)
 
@@ -164,28 +160,26 @@ class Index:
         """``nearest`` for many vectors: all cosines in single precision, then exactly those that may be among the ``k``."""
         n, out = len(self.ids), []
         # Single precision is wrong by this share at most, all weights being positive.
-        off = 2.0 ** -22 * (len(self.dense) + 8)
+        off = 2.0 ** -22 * (self.common + 8)
         for low in range(0, len(vectors), AT_ONCE_TEXTS):
             some = vectors[low:low + AT_ONCE_TEXTS]
-            asked = np.zeros((len(some), len(self.dense)), np.float32)
-            rough = np.empty((len(some), n))
+            asked = np.zeros((len(some), self.common), np.float32)
+            for row, (found, w) in zip(asked, some, strict=True):
+                split = np.searchsorted(found, self.common)
+                row[found[:split]] = w[:split]
+            dense = asked @ self.dense
             for i, (found, w) in enumerate(some):
-                row = self.row[found]
-                asked[i, row[row >= 0]] = w[row >= 0]
-                rare, own = found[row < 0], w[row < 0]
-                first, size = self.starts[rare], self.starts[rare + 1] - self.starts[rare]
+                split = np.searchsorted(found, self.common)
+                first = self.starts[found[split:]]
+                size = self.starts[found[split:] + 1] - first
                 at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
-                rough[i] = np.bincount(self.places[at], self.values[at] * np.repeat(own, size), n)
-            rough += asked @ self.dense
-            scratch = np.zeros(len(self.terms))
-            for i, (found, w) in enumerate(some):
+                rare = np.bincount(self.places[at], self.values[at] * np.repeat(w[split:], size), n)
+                rough = rare + dense[i]
                 if without is not None and without[low + i] >= 0:
-                    rough[i, without[low + i]] = 0
-                least = np.partition(rough[i], n - k)[n - k] * (1 - off) if n > k else 0
-                maybe = np.flatnonzero((rough[i] >= least) & (rough[i] > 0))
-                scratch[found] = w
-                sims = np.array([scratch[self.held[a:b]] @ self.held_values[a:b].astype(float) for a, b in zip(self.begins[maybe], self.begins[maybe + 1], strict=True)])
-                scratch[found] = 0
+                    rough[without[low + i]] = 0
+                least = np.partition(rough, n - k)[n - k] * (1 - off) if n > k else 0
+                maybe = np.flatnonzero((rough >= least) & (rough > 0))
+                sims = rare[maybe] + w[:split] @ self.dense[np.ix_(found[:split], maybe)].astype(float)
                 order = np.lexsort((maybe, -np.round(sims, 9)))[:k]
                 out.append((maybe[order], sims[order]))
         return out
@@ -226,20 +220,32 @@ def _calibrated(raw: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple
 
 def _postings(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(terms, documents of each, places, counts) of all terms, in parts by the upper bits of the spread term; a part has a few million places."""
+    kind = np.uint16 if len(texts) < 1 << 16 else np.int32
     bits = max(0, (sum(len(t) for t in texts) * len(GRAMS) // POSTINGS_AT_ONCE).bit_length())
     for part in range(1 << bits):
         found = []
         for t in texts:
             own = [x if not bits else x[x >> np.uint64(64 - bits) == part] for x in map(_spread, blocks_of(t))]
             found.append(np.unique(np.concatenate(own), return_counts=True))
-        place = np.repeat(np.arange(len(texts)), [len(x) for x, _ in found])
-        x, counts = (np.concatenate(c) for c in zip(*found, strict=True))
+        place = np.repeat(np.arange(len(texts), dtype=kind), [len(x) for x, _ in found])
+        x, counts = np.concatenate([x for x, _ in found]), np.concatenate([c.astype(np.int32) for _, c in found])
+        del found
         order = np.argsort(x, kind="stable")
         x = x[order]
         first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
         yield x[first], np.diff(np.append(first, len(x))), place[order], counts[order]
 
 
+def _spans(starts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of terms with about a million postings each."""
+    low = 0
+    while low < len(starts) - 1:
+        high = max(low + 1, int(np.searchsorted(starts, starts[low] + (1 << 20))))
+        high = min(high, len(starts) - 1)
+        yield low, high
+        low = high
+
+
 def build(ids: list[int], texts: list[np.ndarray], toxic: np.ndarray, totals: tuple[int, int]) -> Index:
     """The index of labelled examples, whose texts differ; ``totals`` counts all labelled texts by label."""
     # Ties between neighbours go by label, then by place.
@@ -247,33 +253,53 @@ def build(ids: list[int], texts: list[np.ndarray], toxic: np.ndarray, totals: tu
     ids, texts, toxic = np.array(ids)[order], [texts[i] for i in order], toxic[order]
     n, n1 = len(texts), toxic.sum()
     base = min(max(n1 / n, 1e-6), 1 - 1e-6)
-    kind = np.uint16 if n < 1 << 16 else np.int32
-    parts = [(terms, df, place.astype(kind), counts) for terms, df, place, counts in _postings(texts)]
+    parts = list(_postings(texts))
     tried = sum(len(place) for _, _, place, _ in parts)
-    kept = []
+    weighted = []
     for terms, df, place, counts in parts:
         hits = np.bincount(np.repeat(np.arange(len(df)), df), toxic[place], len(df))
         # The chance to meet such a share of toxic documents among df is at most exp(-df * divergence).
         share = hits / df
         with np.errstate(divide="ignore", invalid="ignore"):
             evidence = df * (np.nan_to_num(share * np.log(share / base)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - base))))
-        good = evidence >= np.log(max(1, tried) / ACCIDENT)
-        each = np.repeat(good, df)
-        kept.append((terms[good], df[good], np.log((1 + n) / (1 + df[good])) + 1, place[each], counts[each]))
-    del parts
-    terms, df, own, place, counts = (np.concatenate(c) for c in zip(*kept, strict=True))
-    w = (1 + np.log(counts)) * np.repeat(own, df)
-    w /= np.maximum(1e-12, np.sqrt(np.bincount(place, w * w, n)))[place]
+        weighted.append((np.log((1 + n) / (1 + df)) + 1) * np.minimum(1, np.maximum(0, evidence) / np.log(max(1, tried) / ACCIDENT)))
+    terms, df, place, counts = (np.concatenate(c) for c in zip(*parts, strict=True))
+    own = np.concatenate(weighted)
+    del parts, weighted
+    # The most common terms first: texts mostly hold these. Postings are moved and weighed a part at a time, as the driver is small.
+    order = np.argsort(-df, kind="stable")
+    first = (np.cumsum(df) - df)[order]
+    terms, df, own = terms[order], df[order], own[order]
+    starts = np.concatenate([[0], np.cumsum(df)])
+    moved, values, squares = np.empty_like(place), np.empty(len(place), np.float32), np.zeros(n)
+    for low, high in _spans(starts):
+        size, here = df[low:high], slice(starts[low], starts[high])
+        at = np.arange(size.sum()) + np.repeat(first[low:high] - starts[low:high] + starts[low], size)
+        moved[here] = place[at]
+        w = (1 + np.log(counts[at])) * np.repeat(own[low:high], size)
+        values[here] = w
+        squares += np.bincount(moved[here], w * w, n)
+    place = moved
+    del counts, moved
+    length = np.maximum(1e-12, np.sqrt(squares))
+    for low, high in _spans(starts):
+        here = slice(starts[low], starts[high])
+        values[here] = values[here] / length[place[here]]
     share = totals[1] / max(1, sum(totals))
     per = np.array([totals[0] / max(1, n - n1), totals[1] / max(1, n1)])
-    index = Index(terms, own, np.concatenate([[0], np.cumsum(df)]), place, w.astype(np.float32), ids, toxic, share, (per / per.max())[toxic], (1.0, 0.0))
+    index = Index(terms, own, starts, place, values, ids, toxic, share, (per / per.max())[toxic], (1.0, 0.0))
     # Each example against all others, by the terms that these have as well.
-    again = np.repeat(df > 1, df)[np.argsort(place, kind="stable")]
-    own = []
-    for a, b in zip(index.begins[:-1], index.begins[1:], strict=True):
-        found, w = index.held[a:b][again[a:b]], index.held_values[a:b][again[a:b]].astype(float)
-        own.append((found, w / max(1e-12, np.sqrt((w * w).sum()))))
-    raw = np.array([index.raw(*found) for found in index.nearest_of(own, NEIGHBOURS, list(range(n)))])
+    raw = []
+    shared = starts[int((df > 1).sum())]
+    for low in range(0, n, AT_ONCE_TEXTS):
+        at = np.flatnonzero((place[:shared] >= low) & (place[:shared] < low + AT_ONCE_TEXTS))
+        at = at[np.argsort(place[at], kind="stable")]
+        some = range(low, min(n, low + AT_ONCE_TEXTS))
+        ends = np.searchsorted(place[at], some[1:])
+        vectors = [(found, w / max(1e-12, np.sqrt((w * w).sum()))) for found, w in zip(
+            np.split(np.searchsorted(starts, at, "right") - 1, ends), np.split(values[at].astype(float), ends), strict=True)]
+        raw += [index.raw(*found) for found in index.nearest_of(vectors, NEIGHBOURS, list(some))]
+    raw = np.array(raw)
     index.line = _calibrated(raw, index.toxic, per[index.toxic] / max(1e-9, per[index.toxic].mean()))
     return index
 

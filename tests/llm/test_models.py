@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gridspark.llm import langid, queries, toxicity
 
 FOLDER = "/root/testdata/sf0.01"
@@ -123,3 +124,26 @@ def test_a_copied_text_is_one_example(documents, spark):
     assert sorted(np.bincount(index.toxic).tolist()) == [320, 321]
     got = toxicity.with_toxicity(documents([(i, f"{prose(8)} {w} {prose(8)}") for i, w in enumerate(words)] + [(8, copied), (9, prose(17))]), index).collect()
     assert [r.predicted for r in sorted(got, key=lambda r: r.doc_id)] == [1] * 8 + [0, 0]
+
+
+def test_a_rare_word_finds_its_example():
+    """A word that only one labelled text has is too rare to be evidence, and still leads to that text."""
+    rng = np.random.default_rng(4)
+    prose = lambda n=20: " ".join(f"w{i}x" for i in rng.integers(0, 300, n))
+    rare = ["".join(rng.choice(list("abcdefghijklmnop"), 9)) for _ in range(40)]
+    texts = [f"{prose()} {w}" for w in rare] + [prose() for _ in range(160)]
+    toxic = np.array([1] * 40 + [0] * 160)
+    index = toxicity.build(list(range(200)), [np.frombuffer(t.encode(), np.uint8) for t in texts], toxic, (160, 40))
+    near = [index.ids[index.nearest(*index.vector(np.frombuffer(f"{prose(10)} {w}".encode(), np.uint8)), toxicity.NEIGHBOURS)[0]] for w in rare]
+    alone = [index.ids[index.nearest(*index.vector(np.frombuffer(w.encode(), np.uint8)), 1)[0]].tolist() for w in rare]
+    assert np.mean([i in ids for i, ids in enumerate(near)]) > 0.9 and alone == [[i] for i in range(40)]
+
+
+
+def test_stage_rejects_on_the_smallest_table(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = corpus_pipeline.not_toxic(spark, docs, folder).select("doc_id")
+    gone = docs.join(kept, "doc_id", "anti").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id", "left").collect()
+    toxic = spark.read.parquet(f"{folder}/labels.parquet").where("toxic = 1").count()
+    assert sum(r.toxic == 1 for r in gone) > toxic / 2 and sum(r.toxic == 0 for r in gone) <= 2
