@@ -1,21 +1,15 @@
 """Benchmark passages in documents, by edit distance over words.
 
-The CGK embedding walks over a sequence: at every step it writes down the word it stands on, and a
-random bit, drawn for the step and the word, says whether it moves on. Two sequences with few edits
-between them fall out of step at an edit and soon walk together again, so that their embeddings
-agree in most places: edit distance has become Hamming distance. Bit sampling hashes a few places
-of an embedding; several walks with places of their own make the recall.
-
-Windows of a document start at every ``STRIDE``-th word. An item enters the index from every word on that
-leaves room for a walk, so a passage meets the index in step wherever its windows fall, and a long
-passage has many chances. A hit names the item and where it should start; there an item-sized window
-of the document is compared with the item exactly.
+An item that may have e edits is cut into e + 1 pieces of almost equal size. Each edit spoils one
+piece at most, so every passage close enough holds a piece as it is, in step: recall is 1 at every
+item size, by construction. Windows of a document start at every word, one for each size of a piece, and
+meet the index of pieces by hash. A hit names the item and where it should start; there an item-sized
+window of the document, wider by the edits, is compared with the item exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -36,47 +30,14 @@ for _c in (*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)):
     _TABLE[_c] = _c + 32 if 65 <= _c <= 90 else _c
 
 
-@dataclass(frozen=True)
-class Plan:
-    """Walks of ``steps`` over windows at every ``stride``-th word; ``samples`` places of each of
-    ``walks``, one from each part of the walk, make a key."""
-
-    stride: int
-    steps: int
-    samples: int
-    walks: int
-    seed: int = 5
-    places: list = field(init=False, compare=False)
-    salts: np.ndarray = field(init=False, compare=False)
-
-    def __post_init__(self):
-        rng = np.random.default_rng(self.seed)
-        object.__setattr__(self, "places", [
-            (rng.integers(0, self.steps // self.samples, self.samples) + np.arange(self.samples) * (self.steps // self.samples)).tolist()
-            for _ in range(self.walks)])
-        object.__setattr__(self, "salts", rng.integers(1, 2**63, self.walks, dtype=np.uint64) | np.uint64(1))
-
-    @property
-    def room(self) -> int:
-        """Words a walk needs, nearly always."""
-        return self.steps // 2 + 2
-
-    def keys(self, words: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
-        """The key of every start, walk by walk. A word 0 ends a text: a walk stays there."""
-        for walk in range(self.walks):
-            at = starts.copy()
-            bits = words * self.salts[walk]
-            key = np.full(len(starts), self.salts[walk])
-            for step in range(self.places[walk][-1] + 1):
-                if step in self.places[walk]:
-                    key = (key ^ words[at]) * np.uint64(0x9E3779B97F4A7C15)
-                    key ^= key >> np.uint64(29)
-                at += ((bits[at] >> np.uint64(24 + step)) & np.uint64(1)).astype(at.dtype)
-            yield key
-
-
-# Items of at least 14 words, and shorter ones, whose windows start at every word.
-LONG, SHORT = Plan(stride=4, steps=18, samples=6, walks=12), Plan(stride=1, steps=6, samples=3, walks=4)
+def windows(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` words from every word on, as far as there are so many."""
+    n = max(0, len(words) - size + 1)
+    key = np.full(n, size, np.uint64)
+    for k in range(size):
+        key = (key ^ words[k:k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
 
 
 class Pattern:
@@ -125,40 +86,35 @@ class Items:
     def __init__(self, texts: list[bytes]):
         words = word_hashes([np.frombuffer(t, np.uint8) for t in texts], _TABLE)
         self.patterns = [Pattern(w.tolist()) for w in words]
-        self.plans = []
-        for plan, own in ((LONG, [i for i, w in enumerate(words) if len(w) >= LONG.room + LONG.stride - 1]),
-                          (SHORT, [i for i, w in enumerate(words) if 0 < len(w) < LONG.room + LONG.stride - 1])):
-            if not own:
-                continue
-            item = np.concatenate([np.full(max(1, len(words[i]) - plan.room + 1), i) for i in own])
-            offset = np.concatenate([np.arange(max(1, len(words[i]) - plan.room + 1)) for i in own])
-            joined = np.concatenate([x for i in own for x in (words[i], np.zeros(1, np.uint64))])
-            first = dict(zip(own, np.concatenate([[0], np.cumsum([len(words[i]) + 1 for i in own])[:-1]]).tolist(), strict=True))
-            starts = np.array([first[i] for i in item.tolist()]) + offset
-            tables = []
-            for key in plan.keys(joined, starts):
-                order = np.argsort(key, kind="stable")
-                tables.append((key[order], item[order], offset[order]))
+        # By size of a piece: keys in order, the items they are of, and where in these.
+        found: dict[int, list[tuple[np.ndarray, int, np.ndarray]]] = {}
+        for i, w in enumerate(words):
+            borders = np.arange(self.patterns[i].allowed + 2) * len(w) // (self.patterns[i].allowed + 1)
+            sizes = np.diff(borders)
+            for size in set(sizes.tolist()) - {0}:
+                at = borders[:-1][sizes == size]
+                found.setdefault(size, []).append((windows(w, size)[at], i, at))
+        self.tables = {}
+        for size, parts in sorted(found.items()):
+            key, item, offset = (np.concatenate(c) for c in zip(*[(key, np.full(len(key), i), at) for key, i, at in parts], strict=True))
+            order = np.argsort(key, kind="stable")
             marks = np.zeros(1 << 20, bool)
-            for key, _, _ in tables:
-                marks[key >> np.uint64(44)] = True
-            self.plans.append((plan, tables, marks))
+            marks[key >> np.uint64(44)] = True
+            self.tables[size] = key[order], item[order], offset[order], marks
 
     def candidates(self, words: np.ndarray, firsts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """(text, item, start) that share a key; texts lie end to end in ``words``, each closed by a 0."""
+        """(text, item, start) that share a piece; texts lie end to end in ``words``, each closed by a 0, which is in no piece."""
         found = []
-        for plan, tables, marks in self.plans:
-            counts = -(-(ends - firsts) // plan.stride)
-            text = np.repeat(np.arange(len(firsts)), counts)
-            starts = (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * plan.stride + firsts[text]
-            for key, (known, item, offset) in zip(plan.keys(words, starts), tables, strict=True):
-                at = np.flatnonzero(marks[key >> np.uint64(44)])
-                low, high = np.searchsorted(known, key[at], "left"), np.searchsorted(known, key[at], "right")
-                n = high - low
-                at, low, n = at[n > 0], low[n > 0], n[n > 0]
-                entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-                window = np.repeat(at, n)
-                found.append(np.stack([text[window], item[entry], starts[window] - firsts[text[window]] - offset[entry]], axis=1))
+        for size, (known, item, offset, marks) in self.tables.items():
+            key = windows(words, size)
+            at = np.flatnonzero(marks[key >> np.uint64(44)])
+            low, high = np.searchsorted(known, key[at], "left"), np.searchsorted(known, key[at], "right")
+            n = high - low
+            at, low, n = at[n > 0], low[n > 0], n[n > 0]
+            entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+            window = np.repeat(at, n)
+            text = np.searchsorted(firsts, window, "right") - 1
+            found.append(np.stack([text, item[entry], window - firsts[text] - offset[entry]], axis=1))
         return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
 
     def find(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int, int]]]:

@@ -97,3 +97,23 @@ def test_word_hashes_do_not_depend_on_the_batch(monkeypatch, vocabulary):
     assert [len(w) for w in whole] == [0, 1, 50, 900, 1, 0] and len({h for w in whole for h in w}) == len(set(vocabulary[:900])) + 1
     monkeypatch.setattr("gridspark.llm.words.PIECE", 64)
     assert [w.tolist() for w in word_hashes(texts, decontam._TABLE)] == whole
+
+
+@pytest.mark.parametrize("size", [8, 11, 14, 15, 16, 17, 18, 20, 24, 40])
+def test_all_are_found_at_the_full_distance(vocabulary, size):
+    """With as many edits as allowed no close passage is missed, whatever the size of the item."""
+    random.seed(size)
+    items = [random.choices(vocabulary, k=size) for _ in range(100)]
+    index = Items([" ".join(i).encode() for i in items])
+    texts = []
+    for item in items:
+        words = list(item)
+        for _ in range(int(decontam.EDITS * size)):
+            p = random.randrange(len(words))
+            words[p:p + random.choice([0, 1, 1])] = random.choices(vocabulary, k=random.choice([0, 1]))
+        texts.append(random.choices(vocabulary, k=random.randrange(40)) + words + random.choices(vocabulary, k=random.randrange(40)))
+    found = index.find([view(t) for t in texts])
+    close = [k for k, (i, t) in enumerate(zip(items, texts, strict=True)) if edits(i, t) <= Pattern(i).allowed]
+    assert len(close) > 80
+    for k in close:
+        assert [e for i, e, _, _ in found[k] if i == k] == [edits(items[k], texts[k])]
