@@ -117,3 +117,12 @@ def test_all_are_found_at_the_full_distance(vocabulary, size):
     assert len(close) > 80
     for k in close:
         assert [e for i, e, _, _ in found[k] if i == k] == [edits(items[k], texts[k])]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 6, 7])
+def test_short_items_are_found_exactly(vocabulary, size):
+    random.seed(size)
+    items = [random.choices(vocabulary, k=size) for _ in range(100)]
+    index = Items([" ".join(i).encode() for i in items])
+    texts = [random.choices(vocabulary, k=random.randrange(40)) + i + random.choices(vocabulary, k=random.randrange(40)) for i in items]
+    assert all(any(i == k and e == 0 for i, e, _, _ in row) for k, row in enumerate(index.find([view(t) for t in texts])))
