@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridspark.llm.common import text_buffers, with_columns
 
 WINDOW, DEPTH, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
-# The sample: texts per language and their size at most, windows per text, and languages at most (the most frequent).
-TEXTS, TEXT_BYTES, WINDOWS, LANGUAGES = 400, 16_384, 4, 256
+# The sample: texts per language, windows per text, and languages at most (the most frequent).
+TEXTS, WINDOWS, LANGUAGES = 400, 4, 256
 EPOCHS, BATCH, RATE, SEED = 8, 64, 4e-3, 7
 UNKNOWN = "und"
 # Windows put through the network at once: what they make stays in a core's cache.
@@ -111,11 +111,11 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: i
 def fit(labelled: DataFrame, texts: int = TEXTS, seed: int = SEED) -> Network | None:
     """A network from ``labelled`` (doc_id, text, lang); None if no row has a language and a letter.
 
-    Of every language about ``texts`` texts with the smallest hashes of doc_id are taken, at most
-    ``TEXT_BYTES`` long each, and up to ``WINDOWS`` windows of each, evenly over the text: at most
-    ``LANGUAGES * texts * TEXT_BYTES`` bytes reach the driver, whatever the table's size.
+    Of every language about ``texts`` texts with a letter, of any length, with the smallest hashes of doc_id
+    are taken, and up to ``WINDOWS`` windows of each, evenly over the text: about ``LANGUAGES * texts *
+    WINDOWS * WINDOW`` bytes reach the driver, whatever the table's size.
     """
-    rows = labelled.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", "text")
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.rlike("text", F.lit(r"\p{L}"))).select("doc_id", "lang", "text")
     # One row per language.
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
@@ -124,19 +124,20 @@ def fit(labelled: DataFrame, texts: int = TEXTS, seed: int = SEED) -> Network |
     cuts = labelled.sparkSession.createDataFrame(
         [(r["lang"], min(buckets, int(1.3 * texts / r["count"] * buckets) + 1)) for r in counts], "lang string, cut bigint")
     place = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(buckets))
+    last = F.expr(f"(octet_length(text) - 1) div {WINDOW}")
+    chosen = F.array_distinct(F.array(*[F.floor(last * k / (WINDOWS - 1)).cast("int") for k in range(WINDOWS)]))
+    data = F.encode("text", "UTF-8")
     sample = (rows.withColumn("place", place).join(F.broadcast(cuts), "lang").where("place < cut")
-              .where((F.octet_length("text") <= TEXT_BYTES) & F.rlike("text", F.lit(r"\p{L}")))
-              .select("lang", "place", "doc_id", F.encode("text", "UTF-8").alias("data")).toArrow().sort_by([("place", "ascending"), ("doc_id", "ascending")]))
+              .select("lang", "place", "doc_id", F.transform(chosen, lambda i: F.substring(data, i * WINDOW + 1, F.lit(WINDOW))).alias("windows"))
+              .toArrow().sort_by([("place", "ascending"), ("doc_id", "ascending")]))
     languages = sorted(r["lang"] for r in counts)
     taken, windows, labels = dict.fromkeys(languages, 0), [], []
-    for lang, data in zip(sample["lang"].to_pylist(), text_buffers(sample["data"]), strict=True):
+    for lang, own in zip(sample["lang"].to_pylist(), sample["windows"].to_pylist(), strict=True):
         if taken[lang] == texts:
             continue
         taken[lang] += 1
-        all_windows, lengths = cut(data)
-        chosen = np.unique(np.linspace(0, len(all_windows) - 1, WINDOWS).astype(int))
-        windows.append(all_windows[chosen])
-        labels += [languages.index(lang)] * len(chosen)
+        windows += [cut(np.frombuffer(w, np.uint8))[0] for w in own]
+        labels += [languages.index(lang)] * len(own)
     if not windows:
         return None
     return train(np.concatenate(windows), np.array(labels), languages, seed)

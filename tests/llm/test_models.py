@@ -147,3 +147,14 @@ def test_stage_rejects_on_the_smallest_table(spark):
     gone = docs.join(kept, "doc_id", "anti").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id", "left").collect()
     toxic = spark.read.parquet(f"{folder}/labels.parquet").where("toxic = 1").count()
     assert sum(r.toxic == 1 for r in gone) > toxic / 2 and sum(r.toxic == 0 for r in gone) <= 2
+
+
+def test_a_language_of_long_texts_is_learned(documents):
+    """Texts of any length teach, and rows without a letter neither count nor name a language."""
+    rng = np.random.default_rng(5)
+    prose = lambda letters, n: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))
+    rows = [(i, prose("abcdefgh", 60), "x") for i in range(60)] + [(100 + i, prose("stuvwxyz", 4000), "y") for i in range(60)] + [(200, "123", "z")]
+    net = langid.fit(documents(rows, "lang string"), texts=40)
+    assert net.languages == ["x", "y"]
+    got = langid.with_language(documents([(1, prose("abcdefgh", 50)), (2, prose("stuvwxyz", 50))]), net).collect()
+    assert [r.lang_pred for r in sorted(got, key=lambda r: r.doc_id)] == ["x", "y"]
