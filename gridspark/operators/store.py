@@ -215,7 +215,7 @@ def latest_fields(fields: DataFrame) -> DataFrame:
     return join_on(fields, winner, [*SLOT, *key], "left_semi").dropDuplicates(SLOT)
 
 
-def _problem(spec: StoreSpec, validate: str, banded: bool) -> Column:
+def _problem(spec: StoreSpec, validate: str, given: Sequence[str]) -> Column:
     hour = F.when(F.col("step_index").isNull(), F.concat(
         F.lit("forecast hour "), F.coalesce(F.col("forecast_hour").cast("string"), F.lit("?")),
         F.lit(" not in step mapping")))
@@ -226,11 +226,13 @@ def _problem(spec: StoreSpec, validate: str, banded: bool) -> Column:
     undated = F.when(F.col("cycle_time").isNull(), F.lit("no cycle time"))
     # Either way a file with more members than there are slots is refused as a whole.
     members = F.when(F.col("n_members") > spec.members, F.format_string(
-        f"%d members for {spec.members} slots", "n_members"))
-    checks = [hour, variable, undated, members]
+        f"ensemble size %d for {spec.members} slots", "n_members"))
+    checks = [hour, variable]
+    if "cycle_time" in given:
+        checks.append(undated)
     if validate == "full":
         # A band is a part of the grid's height; the bands of a file are cut from whole grids.
-        height = F.col("grid_lat") if banded else F.col("n_lat")
+        height = F.col("grid_lat") if "grid_lat" in given else F.col("n_lat")
         shape = F.when((F.col("n_lon") != spec.n_lon) | (height != spec.n_lat), F.format_string(
             f"spatial shape %d x %d where the store has {spec.n_lat} x {spec.n_lon}", height, "n_lon"))
         checks.append(shape)
@@ -241,6 +243,8 @@ def _problem(spec: StoreSpec, validate: str, banded: bool) -> Column:
                 F.lit(f" in a store of {spec.reference_time}"))))
     elif validate != "minimal":
         raise ValueError(f"unknown validation {validate!r}")
+    if "n_members" in given:
+        checks.append(members)
     # Either way there is no slot for a member beyond the axis.
     checks.append(F.when(F.col("number") >= spec.members, F.lit("member beyond the ensemble axis")))
     return F.coalesce(*checks)
@@ -252,12 +256,13 @@ def check(incoming: DataFrame, spec: StoreSpec, validate: str = "full") -> DataF
     ``full`` checks reference time, hour, variable, grid shape and member count; ``minimal``
     leaves out the reference time and the shape. A row without a cycle time, or of a file with
     more members than slots, is refused either way. An ``error`` of the decoder stays. Bands
-    tell the height of the grid they are cut from in ``grid_lat``.
+    tell the height of the grid they are cut from in ``grid_lat``. Rows that have no column for the
+    cycle time or the number of members, as of a listing, are not checked for it.
     """
     if "step_index" not in incoming.columns:
         incoming = with_step_index(incoming, spec.axis)
     earlier = F.col("error") if "error" in incoming.columns else F.lit(None).cast("string")
-    return incoming.withColumn("error", F.coalesce(earlier, _problem(spec, validate, "grid_lat" in incoming.columns)))
+    return incoming.withColumn("error", F.coalesce(earlier, _problem(spec, validate, incoming.columns)))
 
 
 def write_log(checked: DataFrame) -> DataFrame:

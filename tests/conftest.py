@@ -1,14 +1,12 @@
-import json
 import sys
 from pathlib import Path
 
-import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from gridspark import runtime  # noqa: E402
-from gridspark.sources.messages import encode  # noqa: E402
+from tests.grids import manifest, payload  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -22,32 +20,6 @@ def spark():
     session.stop()
 
 
-GRID = (4, 5)
-
-
-def field(variable, hour, member):
-    """Values that tell which field they belong to."""
-    base = {"t2m": 0, "u10": 1000}.get(variable, 5000) + 100 * hour + 20 * member
-    return (base + np.arange(GRID[0] * GRID[1])).astype("<f4")
-
-
-def header(variable, hour, member, members, date=20240101, time=600):
-    return {"shortName": {"t2m": "2t", "u10": "10u"}.get(variable, variable), "cfVarName": variable,
-            "dataDate": date, "dataTime": time, "step": hour, "perturbationNumber": member + 1,
-            "numberOfForecastsInEnsemble": members, "Nj": GRID[0], "Ni": GRID[1]}
-
-
-def payload(variable, hour, members=3, **kw):
-    return b"".join(encode(header(variable, hour, m, members, **kw), field(variable, hour, m).tobytes())
-                    for m in range(members))
-
-
-def manifest(file_id, variable, hour, path, release="2024-01-01T06:00:00.000Z"):
-    return json.dumps({
-        "file_id": file_id, "variable": variable, "forecast_hour": hour, "landing_path": str(path),
-        "producer_write_start_utc": release, "producer_release_utc": release}, indent=2) + "\n"
-
-
 @pytest.fixture
 def landing(tmp_path):
     """Six good payloads with manifests, one manifest cut short, one without payload, one

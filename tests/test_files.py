@@ -5,7 +5,7 @@ import json
 
 import numpy as np
 import pytest
-from conftest import GRID, field, header, manifest, payload
+from tests.grids import GRID, field, header, manifest, payload
 from pyspark.sql import functions as F
 
 from gridspark.functions.axes import StepAxis
@@ -145,7 +145,7 @@ def test_batch_isolates_failures(spark, landing, tmp_path):
     assert {n for n, r in log.items() if not r.success} == {
         "far.grib2", "other.grib2", "big.grib2", "short.grib2", "empty.grib2"}
     assert log["far.grib2"].error == "forecast hour 77 not in step mapping" and log["far.grib2"].step_index == -1
-    assert log["big.grib2"].error == "4 members for 3 slots"
+    assert log["big.grib2"].error == "ensemble size 4 for 3 slots"
     assert log["u10_2.grib2"].n_members == 3 and log["u10_2.grib2"].step_index == 2
     assert store.open_store(spark, path).count() == 18
 

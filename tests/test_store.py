@@ -104,7 +104,7 @@ def test_validation(spark):
             ("t2m", 0, CYCLE, 2, 2, 4, 0), ("t2m", 0, CYCLE, 2, 2, 2, 0), ("t2m", 0, CYCLE, 9, 9, 4, 3)]
     df = spark.createDataFrame(rows, columns).coalesce(1)
     spec = store.StoreSpec(("t2m", "u10"), 3, 2, 2, StepAxis(2, 2, 2), CYCLE)
-    words = ["forecast hour 91", "variable 'zz'", "reference time 2024-01-02", "spatial shape 2 x 3", "4 members for 3 slots"]
+    words = ["forecast hour 91", "variable 'zz'", "reference time 2024-01-02", "spatial shape 2 x 3", "ensemble size 4 for 3 slots"]
     full = [r.error for r in store.check(df, spec).collect()]
     assert full[0] is None and full[6] is None
     assert all(e.startswith(w) for e, w in zip(full[1:6], words))

@@ -4,7 +4,7 @@ import time
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import GRID, manifest, payload
+from tests.grids import GRID, manifest, payload
 from pyspark.sql import functions as F
 
 from gridspark.functions.axes import StepAxis
