@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridspark.llm import decontam, dedup, jaccard, langid, order, pii, shards, toxicity, urls
+from gridspark.llm import align, decontam, dedup, jaccard, langid, order, packing, pii, search, shards, toxicity, urls
 from gridspark.llm.bpe import Tokenizer
 from gridspark.llm.common import crc_mod, ready
 from gridspark.runtime import new_dir
@@ -191,3 +191,37 @@ def op6_decontamination(spark, table):
 @query()
 def op7_jaccard_join(spark, table):
     return jaccard.near_duplicates(table("documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("""
+    WITH docs AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                         '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
+    items AS (SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                         '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+    asked AS (SELECT item, item_id, term, count(*) AS q FROM items GROUP BY ALL),
+    corpus AS (SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM docs WHERE len(terms) > 0),
+    posting AS (SELECT row, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM docs),
+    tf AS (SELECT row, doc_id, n, term, count(*)::BIGINT AS tf FROM posting WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+    weight AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, corpus GROUP BY term, n_docs),
+    score AS (SELECT item, item_id, row, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+              FROM asked JOIN tf USING (term) JOIN weight USING (term), corpus GROUP BY ALL),
+    best AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM score WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM best WHERE rank <= 10""")
+def op11_search(spark, table):
+    """Each item's ten best documents."""
+    return search.ranked(table("documents").select("doc_id", "text"), table("benchmark").select("item_id", "text"))
+
+
+@query()
+def op12_packing(spark, table):
+    """The place of every piece of every document."""
+    tokenizer = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    return packing.packed(table("documents").select("doc_id", "text"), tokenizer)
+
+
+@query()
+def op13_alignment(spark, table):
+    """How the tokens of every document under two tokenizers are linked."""
+    found = align.alignment(table("documents").select("doc_id", "text"), align.ByteTokens(public_tokenizers.path("byte_bpe_50k.json")),
+                            align.PieceTokens(public_tokenizers.path("piece_bpe_32k.model")))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
