@@ -23,15 +23,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from gridspark.llm.chunks import Content, Remembered, binary_array, slices, sums
+from gridspark.llm.chunks import Content, binary_array, expand, slices, sums
 from gridspark.llm.common import stage, tagged
 
 # Stands for a chunk whose ids do not spell its bytes.
-WRONG = np.uint32(0xFFFFFFFF)
+WRONG = -1
 # Links of distinct ids joined at once, distinct pairs counted before they leave a task, and pairs sent to all tasks.
 LINKS_AT_ONCE, PAIRS_HELD, FREQUENT = 1 << 21, 1 << 20, 200_000
-# Bytes of text aligned at once, unless one text is longer.
-TEXTS = 1 << 20
+# Bytes of text aligned at once, unless one text is longer, of distinct chunks encoded at once, and of chunks remembered by a worker.
+TEXTS, JOINED, KNOWN_BYTES = 1 << 20, 1 << 16, 8 << 20
 
 
 class ByteTokens:
@@ -52,8 +52,7 @@ class ByteTokens:
         table: dict[int, bytes] = {}
         for entry, i in library.get_vocab(with_added_tokens=True).items():
             table[i] = bytes(byte_of[c] for c in entry) if all(c in byte_of for c in entry) else entry.encode()
-        encode = lambda chunks: [e.ids for e in library.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
-        return table, encode
+        return table, lambda texts: [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class PieceTokens:
@@ -75,35 +74,113 @@ class PieceTokens:
             raise ValueError("a piece goes on after a white space: texts cannot be cut there")
         space = library.piece_to_id("▁")
 
-        def encode(chunks: list[bytes]) -> list[list[int]]:
-            # A chunk starts with the space that the model adds; of a lone space it would see nothing.
-            found = library.encode([c[1:].decode() for c in chunks], num_threads=1)
-            return [ids if len(c) > 1 else [space] for c, ids in zip(chunks, found, strict=True)]
+        def encode(texts: list[str]) -> list[list[int]]:
+            # A text starts with the space that the model adds; of a lone space it would see nothing.
+            found = library.encode([t[1:] for t in texts], num_threads=1)
+            return [ids if len(t) > 1 else [space] for t, ids in zip(texts, found, strict=True)]
 
         return table, encode
 
 
-class Side:
-    """One tokenizer in a worker: ids of chunks, whose bytes they must spell, and byte lengths of ids."""
-
-    def __init__(self, tokens: ByteTokens | PieceTokens):
-        table, encode = tokens.build()
-        self.lengths = np.zeros(max(table) + 1, np.int64)
-        for i, data in table.items():
-            self.lengths[i] = len(data)
+def _may_end_in_space(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the last character before each of ``ends`` may be white space or a control character.
 
-        def checked(chunks: list[bytes]) -> list[list[int]]:
-            return [ids if b"".join([table[i] for i in ids]) == chunk else [WRONG]
-                    for chunk, ids in zip(chunks, encode(chunks), strict=True)]
+    White space beyond ASCII starts with one of four bytes.
+    """
+    out = data[ends - 1] <= 32
+    for back, leads in ((2, (0xC2,)), (3, (0xE1, 0xE2, 0xE3))):
+        at = np.maximum(ends - back, 0)
+        out |= np.isin(data[at], leads) & (ends >= back)
+    return out
 
-        self.remembered = Remembered(checked)
 
+class Side:
+    """One tokenizer in a worker: ids of chunks, whose bytes they must spell, and byte lengths of ids."""
 
-@lru_cache(4)
-def _side(kind: type, content: Content) -> Side:
-    tokens = kind.__new__(kind)
-    tokens.content = content
-    return Side(tokens)
+    def __init__(self, tokens: ByteTokens | PieceTokens):
+        self.table, self.encode = tokens.build()
+        entries = [self.table.get(i, b"") for i in range(max(self.table) + 1)]
+        self.lengths = np.array([len(x) for x in entries], np.int64)
+        self.data, self.first = np.frombuffer(b"".join(entries), np.uint8), np.cumsum(self.lengths) - self.lengths
+
+    def __call__(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the chunks one after the other, and their number in every chunk."""
+        if not len(distinct):
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        offsets = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset:distinct.offset + len(distinct) + 1]
+        data = np.frombuffer(distinct.buffers()[2], np.uint8)
+        starts, ends = offsets[:-1], offsets[1:]
+        # Chunks are encoded many at once, end to end, but for those whose end could run into the next one.
+        alone = _may_end_in_space(data, ends)
+        counts = np.zeros(len(distinct), np.int64)
+        plain = np.flatnonzero(~alone)
+        sizes = np.cumsum((ends - starts)[plain])
+        cuts = np.unique(np.searchsorted(sizes, np.arange(JOINED, (int(sizes[-1]) if len(plain) else 0) + JOINED, JOINED), "right"))
+        flat, order, single = [], [], [np.flatnonzero(alone)]
+        for group in np.split(plain, cuts):
+            if not len(group):
+                continue
+            joined = data[expand(starts[group], (ends - starts)[group])]
+            found = np.array(self.encode([joined.tobytes().decode()])[0], np.int64)
+            token_ends, borders = np.cumsum(self.lengths[found]), np.cumsum((ends - starts)[group])
+            at = np.searchsorted(token_ends, borders)
+            if (len(token_ends) and token_ends[-1] == len(joined) and (token_ends[at] == borders).all()
+                    and (self.data[expand(self.first[found], self.lengths[found])] == joined).all()):
+                flat.append(found)
+                order.append(group)
+                counts[group] = np.diff(np.concatenate([[0], at + 1]))
+            else:  # some chunk is not spelled by its ids
+                single.append(group)
+        rest = np.concatenate(single)
+        if len(rest):
+            texts = [data[starts[i]:ends[i]].tobytes() for i in rest.tolist()]
+            found = [x if b"".join([self.table[i] for i in x]) == t else [WRONG] for t, x in zip(texts, self.encode([t.decode() for t in texts]), strict=True)]
+            counts[rest] = [len(x) for x in found]
+            flat.append(np.array([i for x in found for i in x], np.int64))
+            order.append(rest)
+        order = np.concatenate(order)
+        first = np.empty(len(distinct), np.int64)
+        first[order] = np.cumsum(counts[order]) - counts[order]
+        return np.concatenate(flat)[expand(first, counts)].astype(np.int32), counts
+
+
+class Sides:
+    """Both tokenizers in a worker, and the ids of chunks seen before."""
+
+    def __init__(self, *tokens: ByteTokens | PieceTokens):
+        self.sides = [Side(t) for t in tokens]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known = pa.array([], pa.large_binary())
+        self.ids = [np.empty(0, np.int32) for _ in self.sides]
+        self.counts = [np.empty(0, np.int64) for _ in self.sides]
+
+    def __call__(self, chunks: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For either side all ids of the chunks one after the other, and their number in every chunk."""
+        if self.known.nbytes > KNOWN_BYTES:
+            self._clear()
+        coded = chunks.dictionary_encode()
+        rows = pc.index_in(coded.dictionary, value_set=self.known)
+        new = coded.dictionary.filter(rows.is_null())
+        rows = pc.fill_null(rows, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        rows[rows < 0] = len(self.known) + np.arange(len(new))
+        self.known = pa.concat_arrays([self.known, new])
+        rows, out = rows[coded.indices.to_numpy()], []
+        for k, side in enumerate(self.sides):
+            ids, counts = side(new)
+            self.ids[k], self.counts[k] = np.concatenate([self.ids[k], ids]), np.concatenate([self.counts[k], counts])
+            first = np.cumsum(self.counts[k]) - self.counts[k]
+            out.append((self.ids[k][expand(first[rows], self.counts[k][rows])], self.counts[k][rows]))
+        return out
+
+
+@lru_cache(1)
+def _sides(kinds: tuple[type, type], contents: tuple[Content, Content]) -> Sides:
+    tokens = [k.__new__(k) for k in kinds]
+    for t, c in zip(tokens, contents, strict=True):
+        t.content = c
+    return Sides(*tokens)
 
 
 def _chunks(texts: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
@@ -111,45 +188,39 @@ def _chunks(texts: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
 
     No token of either side goes over such a cut: the byte-level splitter ends a pre-token wherever white space
     follows something else, and no piece holds a space after another character. A space after a control
-    character or after what may be white space beyond ASCII (all of that starts with one of four bytes) is left alone.
+    character or after what may be white space beyond ASCII is left alone.
     """
     space = np.full(1, 32, np.uint8)
     sizes = np.array([len(t) + 1 if len(t) else 0 for t in texts], np.int64)
     if not sizes.sum():
         return pa.array([], pa.large_binary()), sizes
     data = np.concatenate([x for t in texts if len(t) for x in (space, t)])
-    cut = data == 32
-    cut[1:] &= data[:-1] > 32
-    cut[2:] &= data[:-2] != 0xC2
-    for lead in (0xE1, 0xE2, 0xE3):
-        cut[3:] &= data[:-3] != lead
     firsts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    spaces = np.flatnonzero(data == 32)[1:]  # the first byte is one
+    cut = np.zeros(len(data), bool)
+    cut[spaces[~_may_end_in_space(data, spaces)]] = True
     cut[firsts] = True
     starts = np.flatnonzero(cut)
     counts = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)])))
     return binary_array(data, np.append(starts[1:], len(data))), counts
 
 
-def _lists(side: Side, chunks: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All ids, the number of ids of every text, and whether they spell it."""
-    ids, per_chunk = side.remembered(chunks)
-    wrong = ids == WRONG
-    per_text = sums(per_chunk, counts)
-    return ids, per_text, sums(wrong, per_text) == 0
-
-
 def _list_array(ids: np.ndarray, counts: np.ndarray, good: np.ndarray) -> pa.Array:
     kept = ids[np.repeat(good, counts)].astype(np.int64)
     return pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(good, counts, 0))]), pa.array(kept))
 
 
+# A document's number is above these bits of a key, a byte's place in it (or an id) below.
+PLACE_BITS = 40
+
+
 def _ends(lists: pa.Array, lengths: np.ndarray) -> pa.Table:
-    """(doc, end, id, at) of every token: its document, the byte where it ends in it, and its place in the batch."""
+    """(key, at, id) of every token: its document and the byte where it ends in it, as one key, its place in the batch, its id."""
     ids, doc = pc.list_flatten(lists), pc.list_parent_indices(lists)
     total = pc.cumulative_sum(pc.take(pa.array(lengths), ids))
     before = pa.array(np.concatenate([[0], total.to_numpy()])[lists.offsets.to_numpy()[:-1]])
-    return pa.table({"doc": doc, "end": pc.subtract(total, pc.take(before, doc)), "id": ids,
-                     "at": pa.array(np.arange(len(ids)))})
+    key = pc.add(pc.shift_left(doc, pa.scalar(PLACE_BITS, pa.int64())), pc.subtract(total, pc.take(before, doc)))
+    return pa.table({"key": key, "at": pa.array(np.arange(len(ids))), "id": ids})
 
 
 def _joined(ids: pa.Array, separators: np.ndarray) -> pa.Array:
@@ -181,62 +252,68 @@ def _digests(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndar
             for s, e, k in zip(starts.tolist(), ends.tolist(), n_groups.tolist(), strict=True)]
 
 
-def _counted(group: np.ndarray, ids: pa.Array) -> pa.Table:
+def _counted(group: np.ndarray, ids: np.ndarray) -> pa.Table:
     """How often each id is in each group, by group."""
-    table = pa.table({"group": group, "id": ids}).group_by(["group", "id"], use_threads=False).aggregate([([], "count_all")])
-    return table.sort_by("group")
+    keys, n = np.unique(group << PLACE_BITS | ids, return_counts=True)
+    return pa.table({"group": keys >> PLACE_BITS, "id": keys & ((1 << PLACE_BITS) - 1), "count_all": n})
 
 
-def _pairs(a: pa.Table, b: pa.Table, doc_of: np.ndarray) -> pa.Table:
+def _links(group_a: np.ndarray, a: np.ndarray, group_b: np.ndarray, b: np.ndarray, doc_of: np.ndarray) -> pa.Table:
     """(doc, key, n): how many links of each pair of ids every document has; key is A's id * 2^32 + B's."""
-    wide = np.bincount(b.column("group").to_numpy(), minlength=len(doc_of))
-    work = np.cumsum(wide[a.column("group").to_numpy()])
-    cuts = np.unique(np.searchsorted(work, np.arange(LINKS_AT_ONCE, (int(work[-1]) if len(work) else 0) + LINKS_AT_ONCE, LINKS_AT_ONCE), "left"))
-    out, start = [], 0
-    group_b = b.column("group").to_numpy()
-    for stop in [*(cuts + 1).tolist(), a.num_rows]:
+    single = (np.bincount(group_a, minlength=len(doc_of)) == 1) & (np.bincount(group_b, minlength=len(doc_of)) == 1)
+    in_a, in_b = single[group_a], single[group_b]
+    # One token on either side: nothing to join.
+    one = pa.table({"doc": doc_of[single], "key": a[in_a] << 32 | b[in_b], "n": np.ones(int(single.sum()), np.int64)})
+    rest = _pairs(_counted(group_a[~in_a], a[~in_a]), _counted(group_b[~in_b], b[~in_b]), doc_of)
+    found = pa.concat_tables([one, *rest]).group_by(["doc", "key"], use_threads=False).aggregate([("n", "sum")])
+    return found.select(["doc", "key", "n_sum"]).sort_by("doc")
+
+
+def _pairs(a: pa.Table, b: pa.Table, doc_of: np.ndarray) -> Iterator[pa.Table]:
+    """The links of all groups, joined a bounded number of pairs of distinct ids at a time."""
+    group_a, group_b = (t.column("group").to_numpy() for t in (a, b))
+    work = np.cumsum(np.bincount(group_b, minlength=len(doc_of))[group_a])
+    cuts = np.searchsorted(work, np.arange(LINKS_AT_ONCE, (int(work[-1]) if len(work) else 0) + LINKS_AT_ONCE, LINKS_AT_ONCE)) + 1
+    start = 0
+    for stop in [*np.unique(cuts).tolist(), a.num_rows]:
         part = a.slice(start, max(0, min(stop, a.num_rows) - start))
         if not part.num_rows:
             continue
+        low, high = np.searchsorted(group_b, [group_a[start], group_a[start + part.num_rows - 1] + 1])
         start += part.num_rows
-        groups = part.column("group").to_numpy()
-        low, high = np.searchsorted(group_b, [groups[0], groups[-1] + 1])
         linked = part.join(b.slice(low, high - low).rename_columns(["group", "id_b", "n_b"]), "group", join_type="inner", use_threads=False)
         table = pa.table({
             "doc": doc_of[linked.column("group").to_numpy()],
             "key": pc.add(pc.multiply(linked.column("id"), pa.scalar(1 << 32, pa.int64())), linked.column("id_b")),
             "n": pc.multiply(linked.column("count_all"), linked.column("n_b"))})
-        out.append(table.group_by(["doc", "key"], use_threads=False).aggregate([("n", "sum")]))
-    if not out:
-        return pa.table({"doc": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "n_sum": pa.array([], pa.int64())})
-    found = out[0] if len(out) == 1 else pa.concat_tables(out).rename_columns(["doc", "key", "n"]).group_by(
-        ["doc", "key"], use_threads=False).aggregate([("n", "sum")])
-    return found.select(["doc", "key", "n_sum"]).sort_by("doc")
+        yield table.group_by(["doc", "key"], use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["doc", "key", "n"])
 
 
 ALIGNED = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, keys array<bigint>, times array<bigint>"
 
 
-def align_texts(texts: list[np.ndarray], side_a: Side, side_b: Side) -> pa.RecordBatch:
+def align_texts(texts: list[np.ndarray], both: Sides) -> pa.RecordBatch:
     """The columns ``ALIGNED`` of some texts, given as UTF-8 bytes."""
     chunks, counts = _chunks(texts)
-    (ids_a, count_a, good_a), (ids_b, count_b, good_b) = (_lists(s, chunks, counts) for s in (side_a, side_b))
-    good = good_a & good_b & (counts > 0)
-    a, b = (_ends(_list_array(i, c, good), s.lengths) for i, c, s in ((ids_a, count_a, side_a), (ids_b, count_b, side_b)))
-    shared = a.join(b.select(["doc", "end", "at"]), ["doc", "end"], join_type="inner", right_suffix="_b", use_threads=False)
+    (ids_a, per_a), (ids_b, per_b) = both(chunks)
+    count_a, count_b = sums(per_a, counts), sums(per_b, counts)
+    good = (sums(ids_a == WRONG, count_a) == 0) & (sums(ids_b == WRONG, count_b) == 0) & (counts > 0)
+    a, b = (_ends(_list_array(i, c, good), s.lengths) for i, c, s in zip((ids_a, ids_b), (count_a, count_b), both.sides, strict=True))
+    shared = a.select(["key", "at"]).join(b.select(["key", "at"]), "key", join_type="inner", right_suffix="_b", use_threads=False)
     # The number of a token's group: how many shared ends come before its own end, in the whole batch.
     groups = []
     for side, at in ((a, "at"), (b, "at_b")):
         last = np.zeros(side.num_rows, np.int64)
         last[shared.column(at).to_numpy()] = 1
         groups.append(np.cumsum(last) - last)
-    n_groups = np.bincount(shared.column("doc").to_numpy(), minlength=len(texts))
+    n_groups = np.bincount(shared.column("key").to_numpy() >> PLACE_BITS, minlength=len(texts))
     doc_of = np.repeat(np.arange(len(texts)), n_groups)
     size_a, size_b = (np.bincount(g, minlength=len(doc_of)) for g in groups)
-    pairs = _pairs(_counted(groups[0], a.column("id")), _counted(groups[1], b.column("id")), doc_of)
+    flat_a, flat_b = (t.column("id").to_numpy() for t in (a, b))
+    pairs = _links(groups[0], flat_a, groups[1], flat_b, doc_of)
     cuts = pa.array(np.searchsorted(pairs.column("doc").to_numpy(), np.arange(len(texts) + 1)), pa.int32())
     lists = [pa.ListArray.from_arrays(cuts, pairs.column(c).combine_chunks()) for c in ("key", "n_sum")]
-    digests = _digests(a.column("id").to_numpy(), b.column("id").to_numpy(), *groups, n_groups)
+    digests = _digests(flat_a, flat_b, *groups, n_groups)
     number = lambda x: pa.array(np.asarray(x, np.int64))
     return pa.RecordBatch.from_arrays(
         [number(np.where(good, count_a, 0)), number(np.where(good, count_b, 0)), number(n_groups), number(sums(size_a * size_b, n_groups)),
@@ -248,10 +325,10 @@ def aligned(docs: DataFrame, a: ByteTokens, b: PieceTokens) -> DataFrame:
     kinds, contents = (type(a), type(b)), (a.content, b.content)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side_a, side_b = (_side(k, c) for k, c in zip(kinds, contents, strict=True))
+        both = _sides(kinds, contents)
         for batch in batches:
             for first, texts in slices(batch.column("text"), TEXTS):
-                out = align_texts(texts, side_a, side_b)
+                out = align_texts(texts, both)
                 own = [batch.column(c).slice(first, len(texts)) for c in ("tag", "doc_id")]
                 yield pa.RecordBatch.from_arrays([*own, *out.columns], ["tag", "doc_id", *out.schema.names])
 

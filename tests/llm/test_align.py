@@ -89,7 +89,6 @@ def test_documents(spark, brute):
 def test_wide_groups_are_joined_in_slices(monkeypatch):
     """Groups with many ids on both sides, whatever the number of pairs joined at once."""
     import numpy as np
-    import pyarrow as pa
 
     rng = np.random.default_rng(4)
     sides = []
@@ -101,7 +100,7 @@ def test_wide_groups_are_joined_in_slices(monkeypatch):
     want = Counter((int(doc_of[g]), int(x) << 32 | int(y)) for g, x in zip(ga, a, strict=True) for h, y in zip(gb, b, strict=True) if g == h)
     for at_once in (1, 50, 1 << 20):
         monkeypatch.setattr(align, "LINKS_AT_ONCE", at_once)
-        found = align._pairs(align._counted(ga, pa.array(a)), align._counted(gb, pa.array(b)), doc_of)
+        found = align._links(ga, a, gb, b, doc_of)
         assert {(r["doc"], r["key"]): r["n_sum"] for r in found.to_pylist()} == want
 
 
