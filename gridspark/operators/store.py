@@ -298,6 +298,23 @@ def merge(existing: DataFrame, incoming: DataFrame, unknown: bool = False) -> Da
     return kept.unionByName(incoming)
 
 
+# What orders the writes of a slot: the release, and the file where two were released at once.
+WRITE_ORDER = ["release_ts", "source_path"]
+
+
+def outdated(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Slots of ``incoming`` for which the store holds a later release.
+
+    Only the keys of both sides are read. A row without a release time has no place in the order: it
+    is a plain write and replaces what is there, as any dated row replaces it. The same file again is not outdated.
+    """
+    mine = incoming.select(*SLOT, *WRITE_ORDER).where(F.col("release_ts").isNotNull())
+    theirs = existing.where(F.col("release_ts").isNotNull()).select(*SLOT, F.struct(*WRITE_ORDER).alias("_stored"))
+    touched = mine.select(*PARTITION).distinct()
+    theirs = join_on(theirs, F.broadcast(touched) if fits(touched) else touched, PARTITION, "left_semi")
+    return join_on(mine, theirs, SLOT, "inner").where(F.col("_stored") > F.struct(*WRITE_ORDER)).select(*SLOT)
+
+
 def save(fields: DataFrame, path: str) -> None:
     """Replace the partitions that occur in ``fields``.
 
@@ -317,6 +334,8 @@ def save(fields: DataFrame, path: str) -> None:
 def write_region(fields: DataFrame, path: str) -> None:
     """Put fields into their slots; the rest of each touched partition is kept.
 
+    A slot keeps its last write by release time, then path, whatever the order in which writes come:
+    a late file of an earlier release leaves the stored one in place.
     The merged partitions are written to the shared folder first. A job that dies
     while it replaces partitions can be repeated from there or from its input; both
     give the same store, because a write replaces slots and never adds to them.
@@ -332,4 +351,9 @@ def write_region(fields: DataFrame, path: str) -> None:
         cycles = touched_cycles(incoming)
         unknown = cycles is None or not incoming.where("variable IS NULL OR step_index IS NULL").isEmpty()
         existing = open_store(spark, path, cycles=cycles)
+        late = materialise(outdated(existing, incoming), "late", folder)
+        if not late.isEmpty():
+            incoming = materialise(join_on(incoming, F.broadcast(late) if fits(late) else late, SLOT, "left_anti"), "in-order", folder)
+            if incoming.isEmpty():
+                return
         save(materialise(merge(existing, incoming, unknown), "merged", folder), path)

@@ -392,6 +392,25 @@ def region_write(t: Tables) -> DataFrame:
     return shaped(rows, ["cycle_year", "step_index", "number"], ["value"], ["variable"])
 
 
+@query(f"""WITH {WRITES}
+SELECT CAST(turn AS BIGINT) AS turn, CAST(cycle_year AS BIGINT) AS cycle_year, variable, CAST(step_index AS BIGINT) AS step_index,
+       CAST(number AS BIGINT) AS number, round(value, 6) AS value FROM winners, (SELECT unnest([0, 1]) AS turn)""")
+def late_releases(t: Tables) -> DataFrame:
+    """Two batches that both hold early and late releases of the same slots, written in either order: one store."""
+    incoming = write_fields(t)
+    odd = F.crc32("source_path") % 2
+    stores = []
+    for turn in (0, 1):
+        path = new_dir(t.spark, "store")
+        for part in (turn, 1 - turn):
+            store.write_region(incoming.where(odd == part), path)
+        stores.append(store.open_store(t.spark, path).withColumn("turn", F.lit(turn)))
+    rows = stores[0].unionByName(stores[1]).select(
+        "turn", F.year("cycle_time").alias("cycle_year"), "variable", "step_index", "number", F.get("values", F.lit(0)).alias("value"))
+    return shaped(rows, ["turn", "cycle_year", "step_index", "number"], ["value"], ["variable"])
+
+
+
 @query("""WITH hours AS (SELECT DISTINCT event_id % 361 AS h FROM events),
 axis AS (SELECT h, row_number() OVER (ORDER BY h) - 1 AS step_index FROM hours)
 SELECT CAST(h AS BIGINT) AS forecast_hour, step_index FROM axis""")

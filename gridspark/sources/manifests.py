@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gridspark.functions.naming import emit_name
 from gridspark.sources.files import MANIFEST_GLOB
@@ -22,6 +22,11 @@ MANIFEST = T.StructType([
 WITH_CORRUPT = T.StructType([*MANIFEST.fields, T.StructField("_corrupt_record", T.StringType())])
 
 
+def file_path() -> Column:
+    """The path of the file that a row was read from, as file systems know it: Spark gives it as an escaped URI."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def read_manifests(spark: SparkSession, landing: str | list[str]) -> DataFrame:
     """All manifests of a landing folder, or the given ones; a half-written one is a row with ``corrupt``.
 
@@ -30,7 +35,7 @@ def read_manifests(spark: SparkSession, landing: str | list[str]) -> DataFrame:
     rows = (spark.read.schema(WITH_CORRUPT).option("multiLine", True).option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", "_corrupt_record")
             .option("pathGlobFilter", MANIFEST_GLOB).option("ignoreMissingFiles", True).json(landing))
-    return mark_corrupt(rows.select("*", F.col("_metadata.file_path").alias("manifest_path")))
+    return mark_corrupt(rows.select("*", file_path().alias("manifest_path")))
 
 
 def mark_corrupt(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridspark.sources.files import LISTING, MANIFEST_GLOB, MESSAGE_GLOB
-from gridspark.sources.manifests import WITH_CORRUPT, mark_corrupt
+from gridspark.sources.manifests import WITH_CORRUPT, file_path, mark_corrupt
 
 
 def _after(column: Column, since: datetime | str | None) -> Column:
@@ -41,7 +41,7 @@ def manifests(spark: SparkSession, landing: str, max_files: int = 100,
             .option("pathGlobFilter", MANIFEST_GLOB).option("recursiveFileLookup", True)
             .option("ignoreMissingFiles", True)
             .option("maxFilesPerTrigger", max_files).json(landing))
-    rows = rows.select("*", F.col("_metadata.file_path").alias("manifest_path"),
+    rows = rows.select("*", file_path().alias("manifest_path"), F.col("_metadata.file_size").alias("size"),
                        F.col("_metadata.file_modification_time").alias("modified"))
     rows = mark_corrupt(rows.where(_after(F.col("modified"), since)))
     if dedupe is None:

@@ -19,8 +19,9 @@ from gridspark.operators.store import StoreSpec
 from gridspark.runtime import materialise, new_dir, staging
 from gridspark.sources.files import list_files
 from gridspark.sources.ingest import decode_files
-from gridspark.sources.manifests import MANIFEST, quarantine, read_manifests, readable
+from gridspark.sources.manifests import MANIFEST, readable
 from gridspark.streaming import arrivals
+from gridspark.streaming.waiting import STATE, waiting_manifests
 
 log = logging.getLogger(__name__)
 
@@ -138,16 +139,17 @@ def _batch_files(batch: DataFrame, source: str) -> DataFrame:
         F.max(parse_iso("producer_release_utc")).alias("release_ts"))
 
 
-def _again(spark: SparkSession, batch: DataFrame, waiting: str, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The batch with the manifests that could not be read in earlier batches, read once more, and the
-    paths that cannot be read now. ``waiting`` is the table of these paths."""
-    held = spark.read.parquet(waiting).select("manifest_path") if store.exists(spark, waiting) else None
-    paths = [] if held is None else [r[0] for r in held.distinct().collect()]
-    if paths:
-        batch = batch.select(*MANIFEST.names, "manifest_path", "corrupt").unionByName(
-            read_manifests(spark, paths).select(*MANIFEST.names, "manifest_path", "corrupt"))
-    batch = materialise(batch.select(*MANIFEST.names, "manifest_path", "corrupt"), "manifests", folder)
-    return batch, quarantine(batch)
+SEEN = [*MANIFEST.names, "manifest_path", "modified_ms", "size", "corrupt"]
+
+
+def _still_waiting(spark: SparkSession, batch: DataFrame, table: str) -> DataFrame:
+    """The manifests that cannot be read after ``batch``, with the state in which they were read: those of
+    the batch, and those of ``table`` that the batch does not hold."""
+    now = batch.where("corrupt").groupBy("manifest_path").agg(F.max(F.struct("modified_ms", "size")).alias("s")).select("manifest_path", "s.*")
+    if not store.exists(spark, table):
+        return now
+    before = spark.read.schema(STATE).parquet(table).join(batch.select("manifest_path"), "manifest_path", "left_anti")
+    return before.unionByName(now)
 
 
 def batch_processor(config: IngestConfig, on_batch: Callable[[dict], None] | None = None,
@@ -162,8 +164,10 @@ def batch_processor(config: IngestConfig, on_batch: Callable[[dict], None] | Non
         stream = _stream_id(spark, config.checkpoint)
         with staging(spark, "ingest") as folder:
             n_corrupt = 0
+            waiting = f"{config.logs}/waiting_manifests"
             if config.source != "files":
-                batch, corrupt = _again(spark, batch, f"{config.logs}/waiting_manifests", folder)
+                batch = materialise(batch.select(*SEEN), "manifests", folder)
+                corrupt = materialise(_still_waiting(spark, batch, waiting), "waiting", folder)
                 n_corrupt = corrupt.count()
             found = materialise(resolve_paths(_batch_files(batch, config.source)), "arrivals", folder)
             known = found.where(F.col("size").isNotNull())
@@ -171,8 +175,7 @@ def batch_processor(config: IngestConfig, on_batch: Callable[[dict], None] | Non
                                config.bands, log_path=f"{folder}/log")
             _append(result.withColumn("batch_id", F.lit(batch_id).cast("long")), f"{config.logs}/write_log", stream)
             if config.source != "files":
-                corrupt.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
-                    f"{config.logs}/waiting_manifests")
+                corrupt.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(waiting)
             processing_ms = (time.perf_counter() - started) * 1000
             publish_ms, publish_error = 0.0, None
             if config.publish_to is not None and not result.where("success").isEmpty():
@@ -248,7 +251,10 @@ def start_ingest(spark: SparkSession, config: IngestConfig,
     if config.source == "files":
         stream = arrivals.arrivals(spark, config.landing, max_files=config.max_files, since=config.since)
     else:
-        stream = arrivals.manifests(spark, config.landing, config.max_files, config.since, config.dedupe)
+        new = arrivals.manifests(spark, config.landing, config.max_files, config.since, config.dedupe)
+        new = new.withColumn("modified_ms", F.unix_millis("modified"))
+        again = waiting_manifests(spark, f"{config.logs}/waiting_manifests", config.max_files)
+        stream = new.select(*SEEN).unionByName(again.select(*SEEN))
     return (stream.writeStream.foreachBatch(batch_processor(config, on_batch, process))
             .option("checkpointLocation", config.checkpoint)
             .trigger(**config.trigger).start())

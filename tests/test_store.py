@@ -185,3 +185,23 @@ def test_slots_without_a_cycle_keep_each_other(spark, tmp_path):
     store.write_region(first.withColumn("number", F.lit(1)), path)
     store.write_region(first.withColumn("number", F.lit(1)), path)
     assert sorted(r.number for r in store.open_store(spark, path).collect()) == [0, 1]
+
+
+def test_the_last_release_stays_in_any_order(spark, tmp_path):
+    """A late file of an earlier release changes nothing; the same release is decided by path; undated rows just write."""
+    from itertools import permutations
+
+    def row(value, release, source):
+        return fields(spark, ("t2m", 0, 0, value, 0, source)).withColumn("release_ts", F.lit(release).cast("timestamp"))
+
+    writes = [row(1, "2024-01-01 06:00:00", "b"), row(2, "2024-01-01 12:00:00", "a"), row(3, "2024-01-01 12:00:00", "c")]
+    for n, order in enumerate(permutations(writes)):
+        path = str(tmp_path / f"store{n}")
+        for w in order:
+            store.write_region(w, path)
+        stored = store.open_store(spark, path).collect()
+        assert [(r["values"][0], r.source_path) for r in stored] == [(3.0, "c")]
+    store.write_region(row(9, None, "undated"), path)
+    assert [r["values"][0] for r in store.open_store(spark, path).collect()] == [9.0]
+    store.write_region(writes[0], path)
+    assert [r["values"][0] for r in store.open_store(spark, path).collect()] == [1.0]

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from gridspark.functions.axes import StepAxis
 from gridspark.operators import store
 from gridspark.sources import files
-from gridspark.streaming import arrivals
+from gridspark.sources.manifests import MANIFEST
+from gridspark.streaming import arrivals, waiting
 from gridspark.streaming.follow import follow_visibility, latest_events, run_for
 from gridspark.streaming.ingest import IngestConfig, IngestManager, start_ingest
 
@@ -176,6 +177,56 @@ def test_half_written_manifest_is_read_again(spark, landing, tmp_path):
     assert log.where("path LIKE '%/v.grib2' AND success").count() >= 1
 
 
+@pytest.mark.parametrize("name", ["half", "with space", "per%20cent"])
+def test_completed_manifest_is_read_though_nothing_else_arrives(spark, tmp_path, name):
+    """Also one cut short several times, one that never becomes whole, and any name."""
+    folder = tmp_path / "landing"
+    folder.mkdir()
+    (folder / "v.grib2").write_bytes(payload("t2m", 2))
+    (folder / "never.grib2.json").write_text("{")
+    place, whole = folder / f"{name}.grib2.json", manifest("half", "t2m", 2, folder / "v.grib2")
+    seen = []
+    for text in (whole[:9], whole[:40], whole, None):
+        if text is not None:
+            place.write_text(text)
+        start_ingest(spark, config(folder, tmp_path), on_batch=seen.append).awaitTermination()
+    assert [(r["files_processed"], r["corrupt"]) for r in seen] == [(0, 2), (0, 2), (1, 1)]
+    assert store.open_store(spark, str(tmp_path / "store")).count() == 3
+    waits = spark.read.parquet(str(tmp_path / "logs" / "waiting_manifests")).collect()
+    assert [r.manifest_path.rsplit("/", 1)[1] for r in waits] == ["never.grib2.json"]
+
+
+def test_completed_manifest_is_read_within_a_trigger(spark, tmp_path):
+    """A running stream, a manifest completed, and no other file."""
+    folder = tmp_path / "landing"
+    folder.mkdir()
+    (folder / "v.grib2").write_bytes(payload("t2m", 2))
+    (folder / "half.grib2.json").write_text("{")
+    manager = IngestManager(spark, config(folder, tmp_path, trigger={"processingTime": "500 milliseconds"}))
+    manager.start()
+    try:
+        for done, text in ((1, None), (2, manifest("half", "t2m", 2, folder / "v.grib2"))):
+            if text:
+                (folder / "half.grib2.json").write_text(text)
+            deadline = time.time() + 60
+            while time.time() < deadline and ((rows := manager.batch_log()) is None or rows.count() < done):
+                time.sleep(0.5)
+        assert manager.metrics()["total_files_processed"] == 1
+    finally:
+        manager.stop()
+    # Triggers without a change are no batches.
+    assert manager.batch_log().count() == 2
+
+
+def test_manifest_of_any_kind_of_damage():
+    whole = json.loads(manifest("a", "t2m", 1, "/x/a"))
+    assert waiting.parse(json.dumps(whole).encode()) == tuple(whole[f.name] for f in MANIFEST.fields)
+    for change in ({"file_id": None}, {"forecast_hour": "1"}, {"forecast_hour": True}, {"landing_path": 5}):
+        assert waiting.parse(json.dumps(whole | change).encode()) is None
+    assert waiting.parse(json.dumps(whole | {"variable": None, "more": [1]}).encode())[1] is None
+    assert waiting.parse(b"") is None and waiting.parse(b"[1]") is None and waiting.parse(b"\xff") is None
+
+
 def test_unpublished_partitions_are_published_later(spark, landing, tmp_path):
     """A publish that fails heals with the next batch, and a rewritten partition has one copy of a slot."""
     target = tmp_path / "published"
