@@ -2,56 +2,40 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridspark.operators.joins import attach, fits
 from gridspark.runtime import materialise
 
-SAMPLE_PER_BUCKET = 32
-ROWS_PER_BUCKET = 1_000_000
-HASHES = 1 << 30
-
-
-def _buckets(rows: int) -> int:
-    """As many as keep a bucket at ``ROWS_PER_BUCKET`` rows, 16 at least."""
-    return max(16, -(-rows // ROWS_PER_BUCKET))
-
-
-def _bucket_of(key: Column, bounds: Column, coarse: Column, width: int) -> Column:
-    """How many sorted bounds are <= key: first by every ``width``-th one, then between two."""
-    block = F.size(F.filter(coarse, lambda b: b <= key)) * width
-    # A one-element array holds the block, so it is searched once.
-    return F.get(F.transform(F.array(block), lambda start: start + F.size(
-        F.filter(F.slice(bounds, start + 1, F.lit(width)), lambda b: b <= key))), F.lit(0))
+# ``monotonically_increasing_id`` has the partition above this bit and the row's position in it below.
+POSITION_BITS = 33
+# Buckets whose sizes are added up by one window.
+BLOCK = 1024
 
 
 def _bucketed(df: DataFrame, order: list[str], buckets: int | None) -> DataFrame:
-    """Rows with the number of the key range they are in, as ``_bucket``.
+    """Rows in ``order``, with the number of the key range they are in as ``_bucket`` and their place in it as ``_within``.
 
-    The bounds are quantiles of a sample that every retry draws again: the keys with
-    the smallest hashes, about ``SAMPLE_PER_BUCKET`` per bucket. How small follows from
-    the number of rows, so no task sends more than its part of the sample.
+    A range exchange: its bounds come from a sample of fixed size per range, and stay with the exchange. Without
+    ``buckets`` there are as many ranges as shuffle partitions, of which small ones may be read together.
     """
-    rows = df.count()
-    n = buckets or _buckets(rows)
-    width = math.isqrt(n - 1) + 1
-    wanted = n * SAMPLE_PER_BUCKET
-    keyed = df.withColumn("_key", F.struct(*order))
-    smallest = min(HASHES, int(HASHES * wanted / max(1, rows)))
-    hashed = F.pmod(F.xxhash64("_key"), F.lit(HASHES))
-    sample = (keyed.select("_key").where(hashed < smallest).orderBy(hashed).limit(2 * wanted)
-              .agg(F.array_sort(F.collect_list("_key")).alias("s")))
-    every = F.greatest(F.ceil(F.size("s") / n), F.lit(1))
-    bounds = sample.select(F.filter("s", lambda x, i: (i > 0) & (i % every == 0)).alias("b"))
-    # One row, written because two plans use it.
-    bounds = materialise(bounds.withColumn(
-        "c", F.filter("b", lambda x, i: i % width == width - 1)), "bounds")
-    return (keyed.withColumn("_bounds", bounds.select("b").scalar())
-            .withColumn("_coarse", bounds.select("c").scalar())
-            .withColumn("_bucket", _bucket_of(F.col("_key"), F.col("_bounds"), F.col("_coarse"), width))
-            .drop("_bounds", "_coarse", "_key"))
+    ranged = df.repartitionByRange(buckets, *order) if buckets else df.repartitionByRange(*order)
+    place = F.col("_place")
+    return (ranged.sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+            .withColumn("_bucket", F.shiftright(place, POSITION_BITS))
+            .withColumn("_within", place.bitwiseAND((1 << POSITION_BITS) - 1)).drop("_place"))
+
+
+def _offsets(bucketed: DataFrame) -> DataFrame:
+    """``(_bucket, _before)``: how many rows are in the buckets before. Buckets are added up in blocks, then the blocks:
+    the one window over all of them sees a row for every ``BLOCK`` buckets."""
+    sizes = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n")).withColumn("_block", F.floor(F.col("_bucket") / BLOCK))
+    blocks = sizes.groupBy("_block").agg(F.sum("_n").alias("_n"))
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_blocks_before"))
+    inside = Window.partitionBy("_block").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return (sizes.withColumn("_in_block", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(blocks, "_block")
+            .select("_bucket", (F.col("_blocks_before") + F.col("_in_block")).alias("_before")))
 
 
 def global_row_number(df: DataFrame, order: list[str], name: str = "row_number",
@@ -60,19 +44,13 @@ def global_row_number(df: DataFrame, order: list[str], name: str = "row_number",
 
     ``order`` must identify a row: put a unique column last. Then a value shared by a
     third of the table is split over buckets as well, because bounds are drawn from
-    the whole key. Rows per bucket give each bucket its offset, and a window per
-    bucket numbers its rows.
+    the whole key. The rows are sorted once, into buckets by range, and written so; a row's number is its place in its bucket and
+    what the buckets before hold, which is a prefix sum in two levels. Nothing that grows with the table is in one row, one task or the driver.
     """
-    bucketed = _bucketed(df, order, buckets)
-    # One row per bucket: the window over all of them and the broadcast are bounded.
-    offsets = (bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-               .select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n"))
-                       .alias("_before")))
-    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
-    return (bucketed.withColumn("_within", within)
-            .join(F.broadcast(offsets), "_bucket", "left")
-            .withColumn(name, F.col("_before") + F.col("_within"))
-            .drop("_bucket", "_within", "_before"))
+    ordered = materialise(_bucketed(df, order, buckets), "ordered")
+    offsets = materialise(_offsets(ordered), "offsets")
+    return (attach(ordered, offsets, ["_bucket"], fits(offsets))
+            .withColumn(name, F.col("_before") + F.col("_within")).drop("_bucket", "_within", "_before"))
 
 
 def concat_index(df: DataFrame, path: str = "path", name: str = "concat_index") -> DataFrame:
