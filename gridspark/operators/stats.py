@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gridspark.functions.axes import cells
 from gridspark.functions.scalars import is_missing, valid
@@ -68,6 +69,85 @@ def ensemble_mean_blocks(fields: DataFrame, by: list[str] = SLOT) -> DataFrame:
                     "n_members"))
 
 
+# Tasks that a group's partial sums are merged in before the last merge.
+FAN_IN = 16
+
+
+def _merged(schema: pa.Schema, keys: list[str]):
+    """Rows sorted by ``keys`` with arrays ``sums`` and ``counts``, those of equal keys added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sums, counts = None, None, None
+
+        def out() -> pa.RecordBatch:
+            columns = [*[pa.array([held[k]], schema.field(k).type) for k in keys],
+                       pa.array([sums], schema.field("sums").type), pa.array([counts], schema.field("counts").type)]
+            return pa.RecordBatch.from_arrays(columns, [*keys, "sums", "counts"])
+
+        for batch in batches:
+            owner = batch.select(keys).to_pylist()
+            for i, key in enumerate(owner):
+                own_sums, own_counts = (batch.column(c)[i].values.to_numpy() for c in ("sums", "counts"))
+                if key == held:
+                    sums += own_sums
+                    counts += own_counts
+                    continue
+                if held is not None:
+                    yield out()
+                held, sums, counts = key, own_sums.copy(), own_counts.copy()
+        if held is not None:
+            yield out()
+
+    return run
+
+
+def ensemble_mean_arrays(fields: DataFrame, by: list[str] = SLOT) -> DataFrame:
+    """``ensemble_mean`` without a row per cell: per slot and band the arrays ``mean`` (NULL where every member is missing) and ``n_members``.
+
+    Every task adds up whole arrays; the partial arrays of a band are merged in two levels, ``FAN_IN`` tasks first,
+    so that neither the shuffle nor a task holds more than one array per band and task of the level before. Use
+    ``mean_cells`` for a row per cell.
+    """
+    keys = [*by, "lat_start", "n_lat", "n_lon"]
+    keep = fields.select(*keys, "values")
+    schema = T.StructType([*[f for f in keep.schema.fields if f.name != "values"],
+                           T.StructField("sums", T.ArrayType(T.DoubleType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+    partial = keep.mapInArrow(_running_sums(to_arrow_schema(schema), keys), schema).withColumn("_part", F.spark_partition_id() % FAN_IN)
+    merge = _merged(to_arrow_schema(schema), keys)
+    some = partial.repartition(*keys, "_part").sortWithinPartitions(*keys).drop("_part").mapInArrow(merge, schema)
+    whole = some.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merge, schema)
+    mean = F.zip_with("sums", "counts", lambda s, n: F.when(n > 0, s / n))
+    return whole.select(*keys, mean.alias("mean"), F.col("counts").alias("n_members"))
+
+
+def _running_sums(schema: pa.Schema, keys: list[str]):
+    """Sums and counts of the valid cells, an array per key, added up while a task's rows of a key follow each other."""
+    merge = _merged(schema, keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def prepared() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                # The rows of a key together: a store has the members of a band one after the other.
+                order = batch.select(keys).append_column("_row", pa.array(range(batch.num_rows))).sort_by([(k, "ascending") for k in keys])
+                for i in order.column("_row").to_pylist():
+                    values = np.asarray(batch.column("values")[i].values, dtype=np.float64)
+                    valid_cells = ~np.isnan(values)
+                    yield pa.RecordBatch.from_arrays(
+                        [*[batch.column(k).slice(i, 1) for k in keys], pa.array([np.where(valid_cells, values, 0.0)], pa.list_(pa.float64())),
+                         pa.array([valid_cells.astype(np.int64)], pa.list_(pa.int64()))], [*keys, "sums", "counts"])
+
+        yield from merge(prepared())
+
+    return run
+
+
+def mean_cells(means: DataFrame) -> DataFrame:
+    """The arrays of ``ensemble_mean_arrays`` as the rows of ``ensemble_mean``."""
+    zipped = means.withColumn("values", F.arrays_zip("mean", "n_members")).drop("mean", "n_members")
+    rest = [c for c in means.columns if c not in ("lat_start", "n_lat", "n_lon", "mean", "n_members")]
+    return cells(zipped).select(*rest, *CELL, "value.mean", "value.n_members")
+
+
 def _values(fields: DataFrame, by: list[str]) -> DataFrame:
     """Only the grouping columns and the cell values: the explode stays narrow."""
     return fields.select(*by, F.explode("values").alias("value"))

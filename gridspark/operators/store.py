@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from gridspark.functions.axes import StepAxis, with_step_index
 from gridspark.functions.scalars import as_float32
+from gridspark.operators import moments
 from gridspark.operators.joins import fits, join_on
 from gridspark.operators.ranking import concat_index
 from gridspark.runtime import hadoop_path, materialise, staging
@@ -34,6 +35,9 @@ FIELDS = T.StructType([
     T.StructField("step_index", T.IntegerType()),
 ])
 
+# What is in the files: the moments of every grid beside it, which ``open_store`` leaves unread.
+IN_FILES = T.StructType([*FIELDS.fields, T.StructField("moments", moments.MOMENTS)])
+
 
 @dataclass(frozen=True)
 class StoreSpec:
@@ -72,6 +76,21 @@ def open_store(spark: SparkSession, path: str, schema: T.StructType | None = FIE
     return reader.option("basePath", path).parquet(*present)
 
 
+def open_moments(spark: SparkSession, path: str, cycles: Sequence[datetime] | None = None) -> DataFrame:
+    """A store with ``moments`` in place of its grids, for the statistics of ``operators.moments``: no grid is read."""
+    return open_store(spark, path, T.StructType([f for f in IN_FILES.fields if f.name != "values"]), cycles)
+
+
+def add_moments(spark: SparkSession, path: str) -> None:
+    """Give the grids of a store that was written without moments theirs; only partitions that lack some are written."""
+    lacking = open_moments(spark, path).where("moments IS NULL").select(*PARTITION).distinct()
+    with staging(spark, "moments") as folder:
+        lacking = materialise(lacking, "lacking", folder)
+        if not lacking.isEmpty():
+            rows = join_on(open_store(spark, path), F.broadcast(lacking) if fits(lacking) else lacking, PARTITION, "left_semi")
+            save(materialise(rows, "grids", folder), path)
+
+
 def touched_cycles(fields: DataFrame) -> list[datetime] | None:
     """The cycles of a write, one name each; None (look at the whole store) if one is unknown."""
     rows = fields.select(F.date_format("cycle_time", "yyyy-MM-dd HH:mm:ss").alias("c")).distinct().collect()
@@ -319,11 +338,14 @@ def save(fields: DataFrame, path: str) -> None:
     """Replace the partitions that occur in ``fields``.
 
     A file holds up to ``MEMBERS_PER_FILE`` members of one band of one slot, which is
-    also the most that one shuffle key can hold, so no task gets a huge share.
+    also the most that one shuffle key can hold, so no task gets a huge share. Grids that come without
+    their ``moments`` get them here.
     """
     tasks = int(fields.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     piece = [*PARTITION, "lat_start", F.floor(F.col("number") / MEMBERS_PER_FILE)]
-    (fields.select(*FIELDS.names)
+    if "moments" not in fields.columns:
+        fields = fields.withColumn("moments", moments.of("values"))
+    (fields.select(*IN_FILES.names)
      .repartition(tasks, *piece)
      .sortWithinPartitions(*PARTITION, "lat_start", "number")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -347,10 +369,10 @@ def write_region(fields: DataFrame, path: str) -> None:
         save(newest, path)
         return
     with staging(spark, "write") as folder:
-        incoming = materialise(newest, "incoming", folder)
+        incoming = materialise(newest.withColumn("moments", moments.of("values")), "incoming", folder)
         cycles = touched_cycles(incoming)
         unknown = cycles is None or not incoming.where("variable IS NULL OR step_index IS NULL").isEmpty()
-        existing = open_store(spark, path, cycles=cycles)
+        existing = open_store(spark, path, IN_FILES, cycles)
         late = materialise(outdated(existing, incoming), "late", folder)
         if not late.isEmpty():
             incoming = materialise(join_on(incoming, F.broadcast(late) if fits(late) else late, SLOT, "left_anti"), "in-order", folder)

@@ -209,5 +209,18 @@ dst AS (
   UNION ALL SELECT 'page/' || page_id, length(url) FROM pages)"""
 
 
+def put_texts(files: DataFrame) -> int:
+    """Write ``files(path, content)``; the number of files."""
+    def put(batches):
+        from gridspark.sources.files import put_file
+
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                put_file(path, content.encode())
+            yield batch[["path"]]
+
+    return files.select("path", "content").mapInPandas(put, "path string").count()
+
+
 def cycle() -> Column:
     return cycle_name("cycle_time", "").alias("cycle")

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gridspark.functions import chunking
-from gridspark.functions.scalars import is_missing, iso_ms
-from gridspark.operators import publish, stats, store
+from gridspark.functions.scalars import grib_time, is_missing, iso_ms
+from gridspark.operators import moments, publish, stats, store
 from gridspark.plans.files import STORED, _landing, _stored
-from gridspark.plans.fixtures import (ACCESS, ARRIVALS, CELLS, FIELDS, POLLS, SPEC, access, arrivals, cycle, fields, polls)
+from gridspark.plans.fixtures import (ACCESS, ARRIVALS, CELLS, FIELDS, POLLS, SPEC, access, arrivals, cycle, fields, polls, put_texts)
 from gridspark.plans.registry import Tables, big, query, r6, shaped
 from gridspark.runtime import materialise, new_dir
 from gridspark.sinks import convert, reports
-from gridspark.sources import ingest, logs, refs, synth
+from gridspark.sources import grids, ingest, logs, refs, synth
 from gridspark.sources.files import list_files
-from gridspark.sources.manifests import write_manifests
+from gridspark.sources.manifests import to_json, write_manifests
 from gridspark.streaming import arrivals as streams
 
 # Rows of a band; eight rows make bands of three, three and two.
@@ -76,6 +76,29 @@ def dense_store_banded(t: Tables) -> DataFrame:
         ["step_index", "n_slots", "n_arrived", "n_missing"], ["total"], ["cycle", "variable"])
 
 
+@query(f"""WITH {CELLS}
+SELECT cycle, variable, step_index, count(*) AS n_cells, count(value) AS n, round(100.0 * (count(*) - count(value)) / count(*), 6) AS nan_pct,
+       round(min(value), 6) AS min, round(max(value), 6) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std
+FROM cells GROUP BY cycle, variable, step_index""")
+def statistics_from_moments(t: Tables) -> DataFrame:
+    """Statistics of a store, written in two rounds, from the moments kept beside its grids."""
+    path = new_dir(t.spark, "store")
+    rows = fields(t, True)
+    for odd in (0, 1):
+        store.write_region(rows.where(F.col("number") % 2 == odd), path)
+    found = moments.describe(store.open_moments(t.spark, path), ["cycle_time", "variable", "step_index"])
+    return shaped(found.withColumn("cycle", cycle()), ["step_index", "n_cells", "n"], ["nan_pct", "min", "max", "mean", "std"], ["cycle", "variable"])
+
+
+@query(f"""WITH {CELLS}
+SELECT cycle, variable, step_index, lat_idx, lon_idx, round(avg(value), 6) AS mean, count(value) AS n_members
+FROM cells GROUP BY cycle, variable, step_index, lat_idx, lon_idx""")
+def ensemble_mean_arrays(t: Tables) -> DataFrame:
+    """Means over members of banded grids, whole arrays merged in two levels."""
+    means = stats.mean_cells(stats.ensemble_mean_arrays(banded(fields(t, True))))
+    return shaped(means.withColumn("cycle", cycle()), ["step_index", "lat_idx", "lon_idx", "n_members"], ["mean"], ["cycle", "variable"])
+
+
 # -- conversions and references ---------------------------------------------------------
 
 def _converted(df: DataFrame) -> DataFrame:
@@ -148,6 +171,40 @@ def chunk_shapes(t: Tables) -> DataFrame:
     return shaped(chunking.shape(fields(t)), ["step_chunk", "number_chunk", "lat_chunk", "lon_chunk"], keep=["variable"])
 
 
+# -- byte ranges --------------------------------------------------------------------------
+
+@query(f"""WITH {CELLS}
+SELECT cycle, variable, step_index, number, count(*) AS n_cells, round(sum(raw), 6) AS total, 192 AS read_length
+FROM cells WHERE variable = 'u10' AND step_index <= 1 AND number < 30 AND lat_idx BETWEEN 2 AND 4 AND lon_idx BETWEEN 1 AND 5
+GROUP BY cycle, variable, step_index, number""")
+def select_box_of_files(t: Tables) -> DataFrame:
+    """A box straight from payload files: of every message two bands of three rows are read, as one read of 6 * 8 * 4 bytes."""
+    landing, _ = _landing(t)
+    rows = grids.open_grids(t.spark, landing, bands=BAND, gap=0, member_from="metadata").where("variable = 'u10' AND forecast_hour <= 1 AND number < 30")
+    part = grids.box(rows, slice(2, 5), slice(1, 6), BAND).withColumn("cycle_time", grib_time("data_date", "data_time"))
+    values = part.withColumn("v", F.explode("values")).withColumnRenamed("forecast_hour", "step_index")
+    return shaped(values.groupBy(cycle(), "variable", "step_index", "number").agg(
+        F.count("*").alias("n_cells"), F.sum(F.col("v").cast("double")).alias("total"), F.max("read_length").alias("read_length")),
+        ["step_index", "number", "n_cells", "read_length"], ["total"], ["cycle", "variable"])
+
+
+@query(f"""WITH {CELLS}, files AS (
+  SELECT cycle, variable, step_index, count(DISTINCT number) AS n_refs, round(sum(raw), 6) AS total FROM cells GROUP BY ALL)
+SELECT cycle, variable, step_index, n_refs, 1 AS n_reads, total FROM files""")
+def coalesced_references(t: Tables) -> DataFrame:
+    """The references of every payload file are near each other: one read per file brings all of them."""
+    landing, _ = _landing(t)
+    indexed = refs.index_files(list_files(t.spark, landing)).where(F.col("length").isNotNull())
+    opened = materialise(refs.open_refs(indexed.repartition("path"), report=True), "opened")
+    total = opened.select("path", F.explode("values").alias("v")).groupBy("path").agg(F.sum(F.col("v").cast("double")).alias("total"))
+    named = F.regexp_extract("path", r"/(\d{8}_\d{2})/", 1).alias("cycle")
+    # A file may be shared by two tasks, each with a read of its own: their reads follow each other.
+    found = refs.reads(opened).join(total, "path").join(opened.groupBy("path").agg(F.first("variable").alias("variable")), "path")
+    step = F.regexp_extract("path", r"_step(\d+)", 1).cast("long").alias("step_index")
+    return shaped(found.select("*", named, step).withColumn("n_reads", F.least("n_reads", F.lit(1))),
+                  ["step_index", "n_refs", "n_reads"], ["total"], ["cycle", "variable"])
+
+
 # -- streams ------------------------------------------------------------------------------
 
 @query(STORED)
@@ -182,6 +239,36 @@ def late_manifests(t: Tables) -> DataFrame:
     return rows.groupBy("file_id", "producer_release_utc").agg(F.count("*").alias("copies"))
 
 
+@query(f"""WITH {POLLS}
+SELECT file_id, strftime(min(poll_ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS producer_release_utc,
+       CASE WHEN CAST(file_id AS BIGINT) % 3 = 0 THEN 1 ELSE 0 END AS turn FROM polls GROUP BY file_id""")
+def completed_manifests(t: Tables) -> DataFrame:
+    """Every third manifest is cut short when it is seen, and completed while nothing else arrives: all are read, once each."""
+    from gridspark.streaming.ingest import SEEN, still_waiting
+    from gridspark.streaming.waiting import waiting_manifests
+
+    base = new_dir(t.spark, "completed")
+    at = iso_ms("at")
+    released = polls(t).groupBy("file_id").agg(F.min("poll_ts").alias("at")).select(
+        "file_id", F.lit("t2m").alias("variable"), F.lit(0).alias("forecast_hour"), F.concat(F.lit("/landing/"), "file_id").alias("landing_path"),
+        at.alias("producer_write_start_utc"), at.alias("producer_release_utc"))
+    texts = to_json(released, "content").select("file_id", "content", F.concat(F.lit(f"{base}/landing/"), "file_id", F.lit(".grib2.json")).alias("path"))
+    cut = F.col("file_id").cast("long") % 3 == 0
+    put_texts(texts.withColumn("content", F.when(cut, F.substring("content", 1, 40)).otherwise(F.col("content"))))
+
+    def read(stream: DataFrame, turn: int) -> DataFrame:
+        (stream.writeStream.format("parquet").option("path", f"{base}/out{turn}").option("checkpointLocation", f"{base}/checkpoint{turn}")
+         .trigger(availableNow=True).start().awaitTermination())
+        return t.spark.read.parquet(f"{base}/out{turn}").withColumn("turn", F.lit(turn))
+
+    new = streams.manifests(t.spark, f"{base}/landing", max_files=100_000).withColumn("modified_ms", F.unix_millis("modified"))
+    first = read(new.select(*SEEN), 0)
+    still_waiting(t.spark, first, f"{base}/waiting").write.parquet(f"{base}/waiting")
+    put_texts(texts.where(cut))
+    again = read(waiting_manifests(t.spark, f"{base}/waiting", 1_000_000).select(*SEEN), 1)
+    return shaped(first.unionByName(again).where("NOT corrupt"), ["turn"], keep=["file_id", "producer_release_utc"])
+
+
 @query(f"""WITH {ARRIVALS}
 SELECT count(*) AS files_outstanding, CAST(coalesce(sum(100 + event_id % 7), 0) AS BIGINT) AS bytes_outstanding FROM arrivals WHERE NOT success""")
 def stream_backlog(t: Tables) -> DataFrame:

@@ -21,7 +21,7 @@ MESSAGE = ("source_path string, short_name string, cf_var string, data_date int,
 CONTEXT = ["shortName", "cfVarName", "dataDate", "dataTime", "step", "Nj", "Ni"]
 
 
-def _members(messages: list, member_from: str) -> list[int]:
+def members(messages: list, member_from: str) -> list[int]:
     """The member of every message: its position, or its perturbation number counted from 0.
 
     The control run has no perturbation (or 0) and comes after the perturbed members. Two
@@ -56,10 +56,10 @@ def _rows(path, size, context, carried, decoder, bands, with_values, member_from
             for m in messages:
                 if (m.header["Nj"], m.header["Ni"]) != shape:
                     raise ValueError("messages of one file differ in shape")
-            members = _members(messages, member_from)
+            numbers = members(messages, member_from)
             if size < max(m.offset + m.length for m in messages):
                 raise ValueError("file is cut short")
-            for number, m in zip(members, messages if with_values else messages[:1]):
+            for number, m in zip(numbers, messages if with_values else messages[:1]):
                 row = base | {"number": number, "n_lon": shape[1], "grid_lat": shape[0],
                               "perturbation": m.header.get("perturbationNumber")}
                 if not with_values:

@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from gridspark.operators.ranking import concat_index
 from gridspark.sources.files import match
 from gridspark.sources.messages import DECODERS
+from gridspark.sources.ranges import GAP, MOST, Files, read_ranges
 
 INDEXED = T.StructType([
     T.StructField("ref_set", T.StringType()),
@@ -136,33 +137,48 @@ def open_many(spark: SparkSession, folder: str) -> DataFrame:
     return concat_index(load_json(spark, folder), "ref_set")
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from gridspark.sources.files import open_input
+# Bytes of values in one batch of rows that leaves a reader.
+BATCH_BYTES = 32 << 20
 
-    path, file = None, None
-    try:
-        for batch in batches:
-            wanted = zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "length", "inline")))
-            values = []
-            for where, offset, length, inline in wanted:
-                if inline is not None:
-                    data = base64.b64decode(inline[7:]) if inline.startswith("base64:") else inline.encode()
-                    if len(data) % 4:
-                        raise ValueError(f"inline text of {len(data)} bytes is no array of float32")
-                else:
-                    if where != path:
-                        if file is not None:
-                            file.close()
-                        path, file = where, open_input(where)
-                    file.seek(offset)
-                    data = file.read(length)
-                    if len(data) != length:
-                        raise ValueError(f"{where} ends before {offset} + {length}")
-                values.append(np.frombuffer(data, "<f4"))
-            yield batch.append_column("values", pa.array(values, pa.list_(pa.float32())))
-    finally:
-        if file is not None:
-            file.close()
+
+def _inline(text: str) -> bytes:
+    data = base64.b64decode(text[7:]) if text.startswith("base64:") else text.encode()
+    if len(data) % 4:
+        raise ValueError(f"inline text of {len(data)} bytes is no array of float32")
+    return data
+
+
+def _read(gap: int, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = Files()
+        try:
+            for batch in batches:
+                inline = batch.column("inline").to_pylist()
+                lengths = [len(t) if t is not None else n for t, n in zip(inline, batch.column("length").to_pylist(), strict=True)]
+                paths, offsets = batch.column("path").to_pylist(), batch.column("offset").to_pylist()
+                start, held = 0, 0
+                for stop, n in enumerate(lengths, 1):
+                    held += n
+                    if held >= BATCH_BYTES or stop == len(lengths):
+                        yield part(files, batch.slice(start, stop - start), inline[start:stop],
+                                   list(zip(paths[start:stop], offsets[start:stop], lengths[start:stop], strict=True)))
+                        start, held = stop, 0
+        finally:
+            files.close()
+
+    def part(files: Files, rows: pa.RecordBatch, inline: list, ranges: list) -> pa.RecordBatch:
+        values, reads = [None] * len(inline), [(None, 0)] * len(inline)
+        for i, text in enumerate(inline):
+            if text is not None:
+                values[i] = np.frombuffer(_inline(text), "<f4")
+        stored = [i for i, text in enumerate(inline) if text is None]
+        for k, data, offset, length in read_ranges(files, [ranges[i] for i in stored], gap, most):
+            values[stored[k]], reads[stored[k]] = np.frombuffer(data, "<f4"), (offset, length)
+        return (rows.append_column("values", pa.array(values, pa.list_(pa.float32())))
+                .append_column("read_offset", pa.array([o for o, _ in reads], pa.int64()))
+                .append_column("read_length", pa.array([n for _, n in reads], pa.int64())))
+
+    return run
 
 
 def save(refs: DataFrame, path: str) -> None:
@@ -171,17 +187,26 @@ def save(refs: DataFrame, path: str) -> None:
      .write.mode("overwrite").parquet(path))
 
 
-def open_refs(refs: DataFrame, variable: str | None = None) -> DataFrame:
+def open_refs(refs: DataFrame, variable: str | None = None, gap: int = GAP, most: int = MOST, report: bool = False) -> DataFrame:
     """References with the float32 ``values`` they point to.
 
     Filter the references before: only those rows are read. They are range-partitioned
     by file and offset, so a task reads a few files front to back, and one file with a
-    third of all references is shared by several tasks.
+    third of all references is shared by several tasks. References that are at most ``gap`` bytes apart are
+    one read of up to ``most`` bytes; with ``report``, ``read_offset`` and ``read_length`` tell which (see ``reads``).
     """
     rows = refs if variable is None else refs.where(F.col("variable") == variable)
-    schema = T.StructType([*rows.schema.fields, T.StructField("values", T.ArrayType(T.FloatType()))])
+    schema = T.StructType([*rows.schema.fields, T.StructField("values", T.ArrayType(T.FloatType())),
+                           T.StructField("read_offset", T.LongType()), T.StructField("read_length", T.LongType())])
     ordered = rows.repartitionByRange("path", "offset", "chunk_key").sortWithinPartitions("path", "offset")
-    return ordered.mapInArrow(_read, schema)
+    found = ordered.mapInArrow(_read(gap, most), schema)
+    return found if report else found.drop("read_offset", "read_length")
+
+
+def reads(opened: DataFrame) -> DataFrame:
+    """What ``open_refs(report=True)`` read of every file: references, reads and bytes."""
+    each = (opened.where(F.col("read_offset").isNotNull()).groupBy("path", "read_offset", "read_length").agg(F.count("*").alias("n")))
+    return each.groupBy("path").agg(F.sum("n").alias("n_refs"), F.count("*").alias("n_reads"), F.sum("read_length").alias("bytes_read"))
 
 
 def to_json(refs: DataFrame) -> DataFrame:
@@ -191,4 +216,4 @@ def to_json(refs: DataFrame) -> DataFrame:
 
 
 __all__ = ["check_identical", "combine", "index_files", "index_summary", "load_json", "open_many",
-           "open_refs", "parse_entries", "save", "to_json"]
+           "open_refs", "parse_entries", "reads", "save", "to_json"]

@@ -142,7 +142,7 @@ def _batch_files(batch: DataFrame, source: str) -> DataFrame:
 SEEN = [*MANIFEST.names, "manifest_path", "modified_ms", "size", "corrupt"]
 
 
-def _still_waiting(spark: SparkSession, batch: DataFrame, table: str) -> DataFrame:
+def still_waiting(spark: SparkSession, batch: DataFrame, table: str) -> DataFrame:
     """The manifests that cannot be read after ``batch``, with the state in which they were read: those of
     the batch, and those of ``table`` that the batch does not hold."""
     now = batch.where("corrupt").groupBy("manifest_path").agg(F.max(F.struct("modified_ms", "size")).alias("s")).select("manifest_path", "s.*")
@@ -167,7 +167,7 @@ def batch_processor(config: IngestConfig, on_batch: Callable[[dict], None] | Non
             waiting = f"{config.logs}/waiting_manifests"
             if config.source != "files":
                 batch = materialise(batch.select(*SEEN), "manifests", folder)
-                corrupt = materialise(_still_waiting(spark, batch, waiting), "waiting", folder)
+                corrupt = materialise(still_waiting(spark, batch, waiting), "waiting", folder)
                 n_corrupt = corrupt.count()
             found = materialise(resolve_paths(_batch_files(batch, config.source)), "arrivals", folder)
             known = found.where(F.col("size").isNotNull())
