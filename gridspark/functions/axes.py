@@ -109,3 +109,42 @@ def cells(fields: DataFrame, value: str = "value") -> DataFrame:
 def cell_position(lat_idx, lon_idx, n_lon) -> Column:
     """Row-major position of a cell in ``values``."""
     return _col(lat_idx) * _col(n_lon) + _col(lon_idx)
+
+
+# Halvings that find a place in an axis of any length an array can have.
+HALVINGS = 32
+
+
+def nearest_index(axis: Column, value: Column, circle: float | None = None) -> Column:
+    """0-based index of the value of a sorted axis that is nearest to ``value``: binary search, ascending or descending, any spacing.
+
+    Of two values equally near, the one with the lower index. With ``circle`` (360 for degrees of longitude) the axis is
+    part of a circle: ``value`` may be given in any turn, and the ends of the axis are neighbours. NULL for a NULL or NaN value and for an empty axis.
+    """
+    axis, value = axis.cast("array<double>"), value.cast("double")
+    n = F.size(axis)
+    low, high = F.element_at(axis, 1), F.element_at(axis, -1)
+    sign = F.when(high >= low, 1.0).otherwise(-1.0)
+    if circle is not None:
+        start = F.least(low, high)
+        value = start + F.pmod(value - start, F.lit(float(circle)))
+    at = lambda i: F.get(axis, i)
+    # Invariant: everything before ``a`` lies before the value, nothing from ``b`` on does.
+    whole = F.struct(F.lit(0).alias("a"), n.alias("b"))
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.shiftright(state["a"] + state["b"], 1)
+        before = (state["a"] < state["b"]) & (sign * at(middle) < sign * value)
+        return F.struct(F.when(before, middle + 1).otherwise(state["a"]).alias("a"),
+                        F.when(before | (state["a"] >= state["b"]), state["b"]).otherwise(middle).alias("b"))
+
+    place = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), whole, halve, lambda state: state["a"])
+    candidates = [place - 1, place]
+    apart = lambda i: F.abs(at(i) - value)
+    if circle is not None:
+        candidates += [F.lit(0), n - 1]
+        turn = F.lit(float(circle))
+        apart = lambda i: F.least(F.abs(at(i) - value), turn - F.abs(at(i) - value))
+    ranked = F.array(*[F.struct(apart(c).alias("d"), c.alias("i")) for c in candidates])
+    best = F.array_min(F.filter(ranked, lambda r: (r["i"] >= 0) & (r["i"] < n)))
+    return F.when(value.isNotNull() & ~F.isnan(value) & (n > 0), best["i"]).cast("int")

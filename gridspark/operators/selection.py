@@ -10,7 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridspark.functions.axes import cells, nearest_index
 from gridspark.functions.scalars import clamp_index
+from gridspark.operators.joins import fits
 
 
 def step(fields: DataFrame, variable: str, step_index: int) -> DataFrame:
@@ -78,16 +80,20 @@ def hyperslab(fields: DataFrame, variable: str, step: slice | Sequence[int] = sl
 
 
 def point(fields: DataFrame, lat: int = 180, lon: int = 360, number: int | None = 0,
-          clamp: bool = False) -> DataFrame:
+          clamp: bool = False, members: int | None = None) -> DataFrame:
     """Value of one cell per row; index -1 is the last of an axis.
 
+    A negative ``number`` counts from the end of the member axis, whose length is ``members`` (that of the store's spec): a
+    member that has not arrived gives no rows. Without it the axis is taken to end with the last member that is there.
     ``clamp`` moves an index beyond the grid to its last one. Bands without the cell
     are filtered out, and an index outside the grid gives no rows. A column ``grid_lat``
     with the number of latitudes saves a look at the bands for -1 and ``clamp``.
     """
     rows = fields
     if number is not None:
-        if number < 0:
+        if number < 0 and members is not None:
+            rows = rows.where(F.col("number") == members + number)
+        elif number < 0:
             # An ensemble has a handful of members: one bounded row decides.
             last = fields.agg(F.max("number").alias("last"))
             rows = rows.withColumn("_last", last.scalar()).where(
@@ -114,3 +120,32 @@ def point(fields: DataFrame, lat: int = 180, lon: int = 360, number: int | None
             .withColumn("lat_idx", lat_idx).withColumn("lon_idx", lon_idx)
             .withColumn("value", F.get("values", position))
             .drop("values"))
+
+
+def locate(points: DataFrame, axes: DataFrame) -> DataFrame:
+    """``points(latitude, longitude, ...)`` with the nearest cell as ``lat_idx`` and ``lon_idx``.
+
+    ``axes`` is one row of coordinates (``store.open_axes``). Longitudes go round; latitudes beyond the grid have its first or last row.
+    """
+    held = points.withColumn("_lat", axes.select("latitude").scalar()).withColumn("_lon", axes.select("longitude").scalar())
+    return (held.withColumn("lat_idx", nearest_index(F.col("_lat"), F.col("latitude")))
+            .withColumn("lon_idx", nearest_index(F.col("_lon"), F.col("longitude"), 360.0)).drop("_lat", "_lon"))
+
+
+def at_points(fields: DataFrame, points: DataFrame, axes: DataFrame) -> DataFrame:
+    """The value nearest to every point, for every row of ``fields`` whose band has its cell; all columns of ``points`` come along.
+
+    ``points`` should be a written table. Cells are matched by their indexes, so the work is that of the bands that hold a point.
+    """
+    wanted = locate(points, axes)
+    rows = wanted.select("lat_idx").distinct()
+    near = fits(points)
+    held = fields.join(F.broadcast(rows) if near else rows,
+                       (F.col("lat_idx") >= F.col("lat_start")) & (F.col("lat_idx") < F.col("lat_start") + F.col("n_lat")), "left_semi") if near else fields
+    return cells(held).join(F.broadcast(wanted) if near else wanted, ["lat_idx", "lon_idx"])
+
+
+def nearest(fields: DataFrame, axes: DataFrame, lat: float, lon: float, number: int | None = 0, members: int | None = None) -> DataFrame:
+    """``point`` by degrees: the cell whose coordinates are nearest."""
+    where = axes.select(nearest_index(F.col("latitude"), F.lit(lat)).alias("lat_idx"), nearest_index(F.col("longitude"), F.lit(lon), 360.0).alias("lon_idx")).first()
+    return point(fields, where.lat_idx, where.lon_idx, number, members=members)

@@ -211,22 +211,29 @@ def size_estimate(fields: DataFrame, bytes_per_cell: int = 4) -> DataFrame:
 
 
 def verify(fields: DataFrame, by: list[str] = SLOT, lat_range=(90.0, -90.0),
-           lon_range=(0.0, 359.5)) -> DataFrame:
-    """Per data file: members, their range, grid size and coordinate range."""
+           lon_range=(0.0, 359.5), axes: DataFrame | None = None) -> DataFrame:
+    """Per data file: members, their range, grid size and coordinate range.
+
+    The coordinates are those of ``axes`` (one row, ``store.open_axes``): the first and the last that the file's cells have, NULL where the
+    grid goes beyond them. Without ``axes`` a regular grid over the given ranges is taken for granted.
+    """
 
     def last(start, stop, n):
         return F.when(n > 1, F.lit(float(stop))).otherwise(F.lit(float(start)))
 
-    return fields.groupBy(*by).agg(
+    sizes = fields.groupBy(*by).agg(
         _axis_size("number").alias("n_members"),
         F.min("number").cast("long").alias("first_member"),
         F.max("number").cast("long").alias("last_member"),
         F.max(F.col("lat_start") + F.col("n_lat")).cast("long").alias("n_lat"),
-        F.max("n_lon").cast("long").alias("n_lon"),
-    ).select("*", F.lit(float(lat_range[0])).alias("lat_first"),
-             last(*lat_range, F.col("n_lat")).alias("lat_last"),
-             F.lit(float(lon_range[0])).alias("lon_first"),
-             last(*lon_range, F.col("n_lon")).alias("lon_last"))
+        F.max("n_lon").cast("long").alias("n_lon"))
+    if axes is None:
+        return sizes.select("*", F.lit(float(lat_range[0])).alias("lat_first"), last(*lat_range, F.col("n_lat")).alias("lat_last"),
+                            F.lit(float(lon_range[0])).alias("lon_first"), last(*lon_range, F.col("n_lon")).alias("lon_last"))
+    held = sizes.withColumn("_lat", axes.select("latitude").scalar()).withColumn("_lon", axes.select("longitude").scalar())
+    ends = [F.get(axis, at).cast("double").alias(name) for axis, size, names in (("_lat", "n_lat", ("lat_first", "lat_last")), ("_lon", "n_lon", ("lon_first", "lon_last")))
+            for name, at in zip(names, (F.lit(0), (F.col(size) - 1).cast("int")), strict=True)]
+    return held.select("*", *ends).drop("_lat", "_lon")
 
 
 def stack(fields: DataFrame, capacity: int, by: list[str] = SLOT) -> DataFrame:

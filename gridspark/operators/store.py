@@ -149,6 +149,21 @@ def first_variable(fields: DataFrame) -> DataFrame:
     return variables(fields).agg(F.min("variable").alias("variable"))
 
 
+# -- coordinates -----------------------------------------------------------------
+
+AXES = T.StructType([T.StructField("latitude", T.ArrayType(T.FloatType())), T.StructField("longitude", T.ArrayType(T.FloatType()))])
+
+
+def save_axes(axes: DataFrame, path: str) -> None:
+    """Keep the coordinates of a store's cells, one row of ``AXES``, beside its partitions (in a folder that listings leave out)."""
+    axes.select(*[F.col(f.name).cast(f.dataType) for f in AXES.fields]).coalesce(1).write.mode("overwrite").parquet(f"{path}/_axes/current")
+
+
+def open_axes(spark: SparkSession, path: str) -> DataFrame:
+    """The coordinates that ``save_axes`` kept, also as a template for another store."""
+    return spark.read.schema(AXES).parquet(f"{path}/_axes/current")
+
+
 # -- initialising --------------------------------------------------------------
 
 def init_cycle(cycles: DataFrame, spec: StoreSpec = StoreSpec(), fill: float | None = None) -> DataFrame:

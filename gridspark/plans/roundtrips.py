@@ -222,6 +222,65 @@ def ingest_resumed(t: Tables) -> DataFrame:
     return _stored(store.open_store(t.spark, config.store))
 
 
+@query(f"""WITH {CELLS}
+SELECT cycle, variable, step_index, count(DISTINCT number) AS n_members, count(*) AS n_cells, round(sum(raw), 6) AS total
+FROM cells WHERE step_index % 2 = 1 GROUP BY cycle, variable, step_index""")
+def ingest_since(t: Tables) -> DataFrame:
+    """A clean start: of files in two rounds only those released after the given time are ingested."""
+    import time
+
+    from gridspark.streaming.ingest import IngestConfig, start_ingest
+
+    base, landing = new_dir(t.spark, "since"), new_dir(t.spark, "landing")
+    rows = fields(t).withColumn("forecast_hour", F.col("step_index"))
+    materialise(synth.release_files(rows.where(F.col("step_index") % 2 == 0), landing), "released")
+    since = list_files(t.spark, landing).agg(F.date_format(F.max("modified"), "yyyy-MM-dd HH:mm:ss.SSS")).first()[0]
+    time.sleep(1.1)  # some file systems keep whole seconds
+    materialise(synth.release_files(rows.where(F.col("step_index") % 2 == 1), landing), "released")
+    config = IngestConfig(landing=landing, store=f"{base}/store", checkpoint=f"{base}/checkpoint", logs=f"{base}/logs", spec=SPEC,
+                          source="files", max_files=100_000, trigger={"availableNow": True}, since=since)
+    start_ingest(t.spark, config).awaitTermination()
+    return _stored(store.open_store(t.spark, config.store))
+
+
+@query(f"""WITH {CELLS}, files AS (SELECT cycle, variable, step_index, round(2 * sum(raw), 6) AS total FROM cells GROUP BY ALL),
+damaged AS (SELECT cycle, CAST(count(*) AS BIGINT) AS n FROM files GROUP BY cycle)
+SELECT 'stored' AS kind, cycle || '/' || variable || '/' || step_index AS name, 1 AS n, total FROM files
+UNION ALL SELECT 'failed', cycle, 1, NULL FROM damaged
+UNION ALL SELECT 'batches', 'with files', 1, NULL
+UNION ALL SELECT 'processed', 'files', (SELECT count(*) FROM files) + (SELECT count(*) FROM damaged), NULL""")
+def managed_ingest(t: Tables) -> DataFrame:
+    """A managed stream with a processor of its own (values doubled), a callback that fails, a damaged file in every cycle,
+    and a start without new files: the good files are stored, the damaged ones are log rows, and the empty batch is none."""
+    from gridspark.streaming.ingest import IngestConfig, IngestManager
+
+    base, (landing, released) = new_dir(t.spark, "managed"), _landing(t)
+    cycles = released.select(F.regexp_extract("path", r"/(\d{8}_\d{2})/", 1).alias("c")).distinct()
+    put_texts(cycles.select(F.concat(F.lit(f"{landing}/"), "c", F.lit("/damaged.grib2")).alias("path"), F.lit("GSF1 and no more").alias("content")))
+    config = IngestConfig(landing=landing, store=f"{base}/store", checkpoint=f"{base}/checkpoint", logs=f"{base}/logs", spec=SPEC,
+                          source="files", max_files=100_000, trigger={"availableNow": True})
+
+    def doubled(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("values", F.transform("values", lambda v: (v * 2).cast("float")))
+
+    def broken(result: dict) -> None:
+        raise RuntimeError("the caller's mistake")
+
+    manager = IngestManager(t.spark, config)
+    for _ in range(2):
+        manager.start(on_batch=broken, process=doubled)
+        manager.await_termination()
+    rows = store.open_store(t.spark, config.store).select("*", cycle())
+    stored = rows.select(F.concat_ws("/", "cycle", "variable", "step_index").alias("name"), F.explode("values").alias("v")).groupBy("name").agg(
+        F.sum(F.col("v").cast("double")).alias("total")).select(F.lit("stored").alias("kind"), "name", F.lit(1).alias("n"), "total")
+    none = F.lit(None).cast("double").alias("total")
+    failed = t.spark.read.parquet(f"{config.logs}/write_log").where("NOT success").groupBy(F.regexp_extract("path", r"/(\d{8}_\d{2})/", 1).alias("name")).agg(
+        F.count("*").alias("n")).select(F.lit("failed").alias("kind"), "name", "n", none)
+    batches = manager.batch_log().agg(F.count("*").alias("n")).select(F.lit("batches").alias("kind"), F.lit("with files").alias("name"), "n", none)
+    processed = manager.batch_log().agg(F.sum("files_processed").alias("n")).select(F.lit("processed").alias("kind"), F.lit("files").alias("name"), "n", none)
+    return shaped(stored.union(failed).union(batches).union(processed), ["n"], ["total"], ["kind", "name"])
+
+
 @query(f"""WITH {POLLS}
 SELECT file_id, strftime(min(poll_ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS producer_release_utc, 1 AS copies FROM polls GROUP BY file_id""")
 def late_manifests(t: Tables) -> DataFrame:

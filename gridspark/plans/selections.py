@@ -11,7 +11,7 @@ from gridspark.operators.ranking import concat_index
 from gridspark.plans.fixtures import (CELLS, FIELDS, SPEC, WRITE_ORDER, WRITES, cycle, fields, write_fields,
                                       writes)
 from gridspark.plans.registry import Tables, big, query, r6, shaped
-from gridspark.runtime import new_dir
+from gridspark.runtime import materialise, new_dir
 
 SLOT = ["cycle", "variable"]
 
@@ -89,6 +89,13 @@ def select_last_point(t: Tables) -> DataFrame:
     return _points(selection.point(fields(t, True), -1, -1, number=-1))
 
 
+@query(POINT + "number = 49 AND lat_idx = 7 AND lon_idx = 7 AND (cycle_no * 50 + number) % 3 > 0")
+def select_last_member(t: Tables) -> DataFrame:
+    """The last member of the axis, not of those that are there: slots whose member 49 has not arrived give no row."""
+    arrived = fields(t, True).where(F.substring_index("source_path", "/", -1).cast("long") % 3 > 0)
+    return _points(selection.point(arrived, -1, -1, number=-1, members=SPEC.members))
+
+
 @query(f"""WITH {WRITES}
 SELECT cycle_year, CAST(number AS BIGINT) AS number, count(*) AS n, round(sum(value), 6) AS total
 FROM winners WHERE variable = 'R' AND step_index >= 2 AND step_index < 5 GROUP BY ALL""")
@@ -432,3 +439,51 @@ def custom_step_axis(t: Tables) -> DataFrame:
     return shaped(t("events").groupBy("event_type").agg(
         F.count("*").alias("n"), F.count_if(on_axis).alias("on_axis"),
         F.sum(F.when(on_axis, hour)).alias("hour_sum")), ["n", "on_axis", "hour_sum"], keep=["event_type"])
+
+
+# Coordinates made from the nations: latitudes descend in growing steps, longitudes ascend in even ones.
+AXES = """axis AS (
+  SELECT n_nationkey AS i, 90.0 - n_nationkey * n_nationkey AS latitude, 10.0 + 45.0 * n_nationkey AS longitude FROM nation WHERE n_nationkey < 8)"""
+
+
+def _axes(t: Tables) -> DataFrame:
+    key = F.col("n_nationkey")
+    # Eight rows, as many as the grid has rows and columns.
+    return t("nation").where(key < 8).agg(
+        F.transform(F.array_sort(F.collect_list(key)), lambda k: (90.0 - k * k).cast("float")).alias("latitude"),
+        F.transform(F.array_sort(F.collect_list(key)), lambda k: (10.0 + 45.0 * k).cast("float")).alias("longitude"))
+
+
+def _stored_axes(t: Tables) -> DataFrame:
+    path = new_dir(t.spark, "store")
+    store.save_axes(_axes(t), path)
+    return store.open_axes(t.spark, path)
+
+
+@query(f"""WITH {CELLS}, {AXES}, points AS (
+  SELECT s_suppkey, 30.0 + s_suppkey % 70 + 0.25 AS lat, (s_suppkey * 37) % 720 - 360 + 0.125 AS lon FROM supplier),
+la AS (SELECT s_suppkey, i AS lat_idx FROM (SELECT s_suppkey, i, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(latitude - lat), i) AS r FROM points, axis) WHERE r = 1),
+lo AS (SELECT s_suppkey, i AS lon_idx FROM (
+  SELECT s_suppkey, i, row_number() OVER (PARTITION BY s_suppkey ORDER BY least(d, 360 - d), i) AS r
+  FROM (SELECT s_suppkey, i, abs(((longitude - lon) % 360 + 360) % 360) AS d FROM points, axis)) WHERE r = 1)
+SELECT s_suppkey, CAST(lat_idx AS BIGINT) AS lat_idx, CAST(lon_idx AS BIGINT) AS lon_idx, count(*) AS n, round(sum(raw), 6) AS total
+FROM la JOIN lo USING (s_suppkey) JOIN cells USING (lat_idx, lon_idx) WHERE variable = 't2m' GROUP BY ALL""")
+def select_nearest_points(t: Tables) -> DataFrame:
+    """Fields at points given in degrees, by coordinates stored beside the grids: uneven, descending and round axes."""
+    key = F.col("s_suppkey")
+    points = materialise(t("supplier").select("s_suppkey", (30.0 + key % 70 + 0.25).alias("latitude"), ((key * 37) % 720 - 360 + 0.125).alias("longitude")), "points")
+    found = selection.at_points(fields(t).where("variable = 't2m'"), points, _stored_axes(t))
+    return shaped(found.groupBy("s_suppkey", "lat_idx", "lon_idx").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("double")).alias("total")),
+                  ["s_suppkey", "lat_idx", "lon_idx", "n"], ["total"])
+
+
+@query(f"""WITH {FIELDS}, {AXES}
+SELECT cycle, variable, step_index, count(DISTINCT number) AS n_members, min(number) AS first_member, max(number) AS last_member,
+       CAST(8 AS BIGINT) AS n_lat, CAST(8 AS BIGINT) AS n_lon, (SELECT max(latitude) FROM axis)::DOUBLE AS lat_first, (SELECT min(latitude) FROM axis)::DOUBLE AS lat_last,
+       (SELECT min(longitude) FROM axis)::DOUBLE AS lon_first, (SELECT max(longitude) FROM axis)::DOUBLE AS lon_last
+FROM fields GROUP BY cycle, variable, step_index""")
+def verify_coordinates(t: Tables) -> DataFrame:
+    """Files verified against the coordinates that are stored."""
+    found = stats.verify(fields(t).withColumn("cycle", cycle()), [*SLOT, "step_index"], axes=_stored_axes(t))
+    return shaped(found, ["step_index", "n_members", "first_member", "last_member", "n_lat", "n_lon"],
+                  ["lat_first", "lat_last", "lon_first", "lon_last"], SLOT)
