@@ -161,7 +161,7 @@ def _url_sql() -> str:
             SELECT host AS source, translate(unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)), {lower}) AS target FROM h WHERE host <> '')
           WHERE target <> source GROUP BY ALL),
     steps AS (SELECT 'trust' AS kind, source AS host, target AS "to", n / sum(n) OVER (PARTITION BY source) AS share FROM e
-              UNION ALL SELECT 'distrust', target, source, n / sum(n) OVER (PARTITION BY target) FROM e),
+              UNION ALL SELECT 'distrust', target, source, n / sum(n) OVER (PARTITION BY source) FROM e),
     {", ".join(rounds)},
     m AS (SELECT host, coalesce(sum(value) FILTER (kind = 'distrust'), 0) - coalesce(sum(value) FILTER (kind = 'trust'), 0) AS margin FROM {values} GROUP BY host)
     SELECT page_id, v.host, path, rule, coalesce(decided, CASE WHEN margin >= {urls.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict

@@ -11,7 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridspark.llm.common import small, stage
+from gridspark.llm.common import stage
+from gridspark.operators.joins import fits
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Absolute and protocol-relative links; relative ones stay on their host.
@@ -59,13 +60,15 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, roun
     """(host, trust, distrust) after so many rounds; ``seeds`` is (host, trust, distrust), ``links`` is staged.
 
     A value is (1 - damping) * seed + damping * what comes in, over (1 - damping): a host without
-    links keeps its seed. Trust goes along links and distrust against them, each host giving its
-    value in equal parts per link. Every round joins two narrow tables and adds up per host with
+    links keeps its seed. Trust goes along links, each host giving its value in equal parts per link. Distrust goes
+    against them: a host takes over its targets' distrust by the share of its own links that go there, so
+    it does not matter how many others link to the same target. Every round joins two narrow tables and adds up per host with
     partial sums first; it is staged, so a lost executor costs a round at most.
     """
-    total = lambda by: links.groupBy(by).agg(F.sum("links").alias("all"))
-    along = links.join(total("source"), "source").select(F.lit("trust").alias("kind"), F.col("source").alias("host"), F.col("target").alias("to"), (F.col("links") / F.col("all")).alias("share"))
-    against = links.join(total("target"), "target").select(F.lit("distrust").alias("kind"), F.col("target").alias("host"), F.col("source").alias("to"), (F.col("links") / F.col("all")).alias("share"))
+    shares = stage(links.join(links.groupBy("source").agg(F.sum("links").alias("all")), "source")
+                   .select("source", "target", (F.col("links") / F.col("all")).alias("share")), "shares")
+    along = shares.select(F.lit("trust").alias("kind"), F.col("source").alias("host"), F.col("target").alias("to"), "share")
+    against = shares.select(F.lit("distrust").alias("kind"), F.col("target").alias("host"), F.col("source").alias("to"), "share")
     steps = stage(along.unionByName(against), "steps")
     values = seed = stage(seeds.select("host", F.explode(F.create_map(F.lit("trust"), F.col("trust"), F.lit("distrust"), F.col("distrust"))).alias("kind", "value"))
                           .where("value > 0"), "seeds")
@@ -94,7 +97,7 @@ def judge(pages: DataFrame, rules: list[Rule], damping: float = DAMPING, rounds:
     seeds = rows.where("host <> ''").groupBy("host").agg(decided("allow").alias("trust"), decided("block").alias("distrust"))
     links = stage(edges(rows.select("host", F.col("row.html").alias("html"))), "links")
     scores = stage(propagate(seeds, links, damping, rounds), "hosts")
-    scored = rows.join(small(scores).withColumnRenamed("host", "of"), F.col("host") == F.col("of"), "left")
+    scored = rows.join((F.broadcast(scores) if fits(scores) else scores).withColumnRenamed("host", "of"), F.col("host") == F.col("of"), "left")
     distrusted = F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0.0)) >= threshold
     new = {"host": F.col("host"), "path": F.col("path"), "rule": F.col("rule.name"),
            "verdict": F.coalesce("rule.verdict", F.when(distrusted, "block").otherwise("allow")),

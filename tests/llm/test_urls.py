@@ -38,16 +38,16 @@ def brute(seeds, links, damping, rounds):
     """The same by dictionaries."""
     out = {}
     for kind, flip in (("trust", False), ("distrust", True)):
-        edges = [(t, s, n) if flip else (s, t, n) for (s, t), n in links.items()]
         total = {}
-        for s, _, n in edges:
+        for (s, _), n in links.items():
             total[s] = total.get(s, 0) + n
+        edges = [(t, s, n / total[s]) if flip else (s, t, n / total[s]) for (s, t), n in links.items()]
         value = dict(seeds[kind])
         for _ in range(rounds):
             new = dict(seeds[kind])
-            for s, t, n in edges:
+            for s, t, share in edges:
                 if s in value:
-                    new[t] = new.get(t, 0) + damping * value[s] * n / total[s]
+                    new[t] = new.get(t, 0) + damping * value[s] * share
             value = new
         out[kind] = value
     return out
@@ -69,6 +69,15 @@ def test_propagation_against_brute_force(spark):
     assert got[3].verdict == "block" and got[1].verdict == got[6].verdict == got[7].verdict == "allow"
 
 
+@pytest.mark.parametrize("linkers", [1, 2, 10, 100])
+def test_many_linkers_to_one_blocked_host(spark, linkers):
+    """At the production threshold: hosts that link nowhere else are blocked however many there are, one with mostly other links is not."""
+    link = lambda *hosts: "".join(f'<a href="https://{h}/p">x</a>' for h in hosts)
+    rows = [("http://bad.com/", None), *[(f"http://farm{i}.x/", link("bad.com")) for i in range(linkers)], ("http://news.x/", link("bad.com", "a.x", "b.x", "c.x"))]
+    got = judged(spark, rows, [Rule("block", "bad.com", "/")])
+    assert [got[i].verdict for i in range(1, linkers + 2)] == ["block"] * linkers + ["allow"]
+
+
 def test_clashing_columns_repeats_and_empty_table(spark):
     table = spark.createDataFrame([(1, "http://a.net/x", None, "h", 5)] * 3, "page_id bigint, url string, html string, host string, trust int")
     got = urls.judge(table, URL_RULES).collect()
