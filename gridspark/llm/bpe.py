@@ -279,6 +279,18 @@ class Parts:
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.at = hashes[order], at[order]
 
+    def only(self, rows: np.ndarray) -> Parts:
+        """The parts of these rows, which are sorted."""
+        out = Parts()
+        hash_of = np.empty(len(self.length), np.uint64)
+        hash_of[self.at] = self.hashes
+        out.length, out.count = self.length[rows], self.count[rows]
+        out.first, out.first_id = np.cumsum(out.length) - out.length, np.cumsum(out.count) - out.count
+        out.data, out.ids = self.data[_expand(self.first[rows], out.length)], self.ids[_expand(self.first_id[rows], out.count)]
+        out.at = np.argsort(hash_of[rows], kind="stable")
+        out.hashes = hash_of[rows][out.at]
+        return out
+
 
 def _expand(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The numbers first, first + 1, ... of every run, one run after the other."""
@@ -344,8 +356,8 @@ class Encoder:
         missing = np.flatnonzero(rows < 0)
         if len(missing):
             if len(self.parts.length) > PARTS_REMEMBERED:
-                self.parts = Parts()
-                missing = np.arange(len(rows))
+                # Full: what is still met stays.
+                self.parts = self.parts.only(np.unique(rows[rows >= 0]))
             fresh, at = np.unique(hashes[missing], return_index=True)
             own = missing[at]
             parts = [data[a:a + n].tobytes() for a, n in zip(starts[own].tolist(), lengths[own].tolist(), strict=True)]
@@ -367,7 +379,9 @@ class Encoder:
         text_ends = np.searchsorted(starts, np.cumsum(sizes))
         cuts = [0, *(ends[text_ends] * 4).tolist()]
         if len(known.data) > 16 * PARTS_REMEMBERED:
-            self.parts = Parts()
+            self.parts = known.only(np.unique(rows))
+            if len(self.parts.data) > 8 * PARTS_REMEMBERED:
+                self.parts = Parts()  # a batch of hardly any repeats
         return [out[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def _different(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
