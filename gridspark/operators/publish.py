@@ -6,10 +6,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gridspark.operators.joins import fits
-from gridspark.runtime import materialise
+from gridspark.runtime import hadoop_path, materialise
 from gridspark.sources.files import relative_to
 
 LOG = "path string, action string, size long, success boolean, error string"
@@ -148,3 +148,112 @@ def incremental(source: DataFrame, destination: DataFrame, src_root: str, dst_ro
     """``plan`` and ``apply`` in one call."""
     how = {k: options.pop(k) for k in ("dry_run", "within") if k in options}
     return apply(plan(source, destination, **options), src_root, dst_root, **how)
+
+
+# -- versions ------------------------------------------------------------------------
+#
+# A published folder holds the files of a partition below ``data/version=N/...``, where N is the publish that brought them, a
+# manifest per publish (which folder every partition has then), and a file that names the current manifest. A publish only adds files;
+# putting that one file in place is what readers see of it, so they have all of one publish or all of another.
+
+VERSIONS = "folder string, version bigint, n_files bigint, n_bytes bigint, digest bigint"
+
+
+def digests(listing: DataFrame) -> DataFrame:
+    """Per folder of a listing ``(path, size, modified)``: its files, bytes, and a digest of names, sizes and times in any order."""
+    folder, name = F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.substring_index("path", "/", -1)
+    return listing.groupBy(folder.alias("folder")).agg(
+        F.count("*").alias("n_files"), F.sum("size").alias("n_bytes"), F.bit_xor(F.xxhash64(name, "size", F.unix_millis("modified"))).alias("digest"))
+
+
+def current_version(root: str) -> int | None:
+    """The publish that readers see; None before the first."""
+    from gridspark.sources.files import open_input
+
+    try:
+        with open_input(f"{root}/_current") as file:
+            return int(file.read())
+    except FileNotFoundError:
+        return None
+
+
+def manifest(spark: SparkSession, root: str, version: int) -> DataFrame:
+    """The folders of one publish."""
+    return spark.read.schema(VERSIONS).parquet(f"{root}/manifests/{version}")
+
+
+def _copy_versions(src_root: str, dst_root: str, version: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from gridspark.sources.files import copy_file
+
+        for batch in batches:
+            errors = [_tried(copy_file, f"{src_root}/{p}", f"{dst_root}/data/version={version}/{p}") for p in batch["path"]]
+            yield batch[["path", "size"]].assign(success=[e is None for e in errors], error=errors)
+
+    return run
+
+
+def publish_version(listing: DataFrame, src_root: str, dst_root: str, partitions: DataFrame | None = None) -> DataFrame:
+    """Publish the folders of ``listing`` whose digest is not the published one; the log ``(path, size, success, error)`` of the files copied.
+
+    ``listing`` has all of a store, or with ``partitions`` (one column ``folder``) all of those folders, the others staying
+    as they are. A folder that is not listed any more is no longer published. If any copy fails, readers go on seeing the last publish, and the
+    next one copies what is missing. One publisher at a time.
+    """
+    spark = listing.sparkSession
+    before = current_version(dst_root)
+    published = manifest(spark, dst_root, before) if before is not None else spark.createDataFrame([], VERSIONS)
+    version = 0 if before is None else before + 1
+    listing = materialise(listing.withColumn("folder", F.regexp_extract("path", "^(.*)/[^/]*$", 1)), "listing")
+    now = digests(listing)
+    held = published.select("folder", "version", F.struct("n_files", "n_bytes", "digest").alias("_held"))
+    state = materialise(now.join(held, "folder", "left").withColumn(
+        "changed", ~F.struct("n_files", "n_bytes", "digest").eqNullSafe(F.col("_held"))).drop("_held"), "state")
+    wanted = state.where("changed").select("folder")
+    files = listing.join(F.broadcast(wanted) if fits(wanted) else wanted, "folder", "left_semi").select("path", "size")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    log = materialise(files.repartition(tasks, F.xxhash64("path")).mapInPandas(
+        _copy_versions(src_root, dst_root, version), "path string, size bigint, success boolean, error string"), "publish-log")
+    if not log.where("NOT success").isEmpty():
+        return log
+    after = state.select("folder", F.when(F.col("changed"), version).otherwise(F.col("version")).cast("long").alias("version"), "n_files", "n_bytes", "digest")
+    if partitions is not None:
+        after = after.unionByName(published.join(partitions.select("folder"), "folder", "left_anti"))
+    from gridspark.sources.files import put_file
+
+    after.write.mode("overwrite").parquet(f"{dst_root}/manifests/{version}")
+    put_file(f"{dst_root}/_current", str(version).encode())
+    return log
+
+
+def open_published(spark: SparkSession, root: str, schema: T.StructType, version: int | None = None, folders: Column | None = None) -> DataFrame:
+    """What the current publish (or ``version``) holds, with ``version`` telling which publish brought a row.
+
+    Only the named folders are listed; ``folders`` is a condition on ``folder`` that leaves out others.
+    """
+    version = current_version(root) if version is None else version
+    if version is None:
+        raise FileNotFoundError(f"nothing is published at {root}")
+    rows = manifest(spark, root, version)
+    named = [f"{root}/data/version={r.version}/{r.folder}" for r in (rows if folders is None else rows.where(folders)).select("version", "folder").collect()]
+    full = T.StructType([*schema.fields, T.StructField("version", T.LongType())])
+    reader = spark.read.schema(full)
+    return reader.option("basePath", f"{root}/data").parquet(*named) if named else spark.createDataFrame([], full)
+
+
+def prune(spark: SparkSession, root: str, keep: int = 2) -> list[int]:
+    """Remove the manifests before the last ``keep`` publishes, and the versions none of whose folders these hold; the versions removed."""
+    last = current_version(root)
+    if last is None:
+        return []
+    kept = [v for v in range(max(0, last - keep + 1), last + 1)]
+    used = {r.version for r in spark.read.schema(VERSIONS).parquet(*[f"{root}/manifests/{v}" for v in kept]).select("version").distinct().collect()}
+    gone = []
+    for v in range(kept[0]):
+        fs, where = hadoop_path(spark, f"{root}/manifests/{v}")
+        fs.delete(where, True)
+        fs, where = hadoop_path(spark, f"{root}/data/version={v}")
+        if v not in used and fs.exists(where):
+            fs.delete(where, True)
+            gone.append(v)
+    return gone

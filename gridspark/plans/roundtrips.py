@@ -351,6 +351,28 @@ def publish_rewritten(t: Tables) -> DataFrame:
                   ["step_index", "n_slots", "copies"], keep=["cycle", "variable"])
 
 
+@query(f"""WITH {FIELDS}, stored AS (SELECT cycle, variable, step_index, count(*) AS n FROM fields GROUP BY ALL)
+SELECT cycle, variable, step_index, n AS n_slots, 1 AS copies, CASE WHEN step_index = 1 THEN 1 ELSE 0 END AS version FROM stored""")
+def publish_versions(t: Tables) -> DataFrame:
+    """A store published, one step of it written again, and only those partitions looked at and copied; readers follow the pointer."""
+    base = new_dir(t.spark, "versions")
+    root, out = f"{base}/store", f"{base}/published"
+
+    def listing() -> DataFrame:
+        return publish.store_listing(store.open_store(t.spark, root), root)
+
+    store.write_region(fields(t), root)
+    publish.publish_version(listing(), root, out)
+    again = fields(t).where("step_index = 1")
+    store.write_region(again, root)
+    touched = publish.store_listing(store.open_store(t.spark, root), root, again.select(*store.PARTITION).distinct())
+    publish.publish_version(touched, root, out, publish.digests(touched).select("folder"))
+    rows = publish.open_published(t.spark, out, store.FIELDS)
+    slots = rows.groupBy(*store.SLOT, "version").agg(F.count("*").alias("copies"))
+    return shaped(slots.groupBy(cycle(), "variable", "step_index", "version").agg(F.count("*").alias("n_slots"), F.max("copies").alias("copies")),
+                  ["step_index", "n_slots", "copies", "version"], keep=["cycle", "variable"])
+
+
 # -- logs and reports -----------------------------------------------------------------------
 
 @query(f"""WITH {ACCESS}
