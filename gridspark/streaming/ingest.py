@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 import logging
+import threading
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from contextlib import nullcontext
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from gridspark.functions.scalars import parse_iso
 from gridspark.operators import publish, store, telemetry
@@ -153,14 +155,18 @@ def still_waiting(spark: SparkSession, batch: DataFrame, table: str) -> DataFram
 
 
 def batch_processor(config: IngestConfig, on_batch: Callable[[dict], None] | None = None,
-                    process: Callable[[DataFrame], DataFrame] | None = None):
-    """The body of each micro-batch."""
+                    process: Callable[[DataFrame], DataFrame] | None = None, turn: threading.Lock | None = None):
+    """The body of each micro-batch; of several queries with one ``turn`` only one is at work at a time."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        started = time.perf_counter()
-        spark = batch.sparkSession
         if batch.isEmpty():
             return
+        with turn or nullcontext():
+            work(batch, batch_id)
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        started = time.perf_counter()
+        spark = batch.sparkSession
         stream = _stream_id(spark, config.checkpoint)
         with staging(spark, "ingest") as folder:
             n_corrupt = 0
@@ -240,6 +246,35 @@ def _sync(spark: SparkSession, config: IngestConfig, touched: DataFrame, folder:
         return f"{type(e).__name__}: {e}"
 
 
+class _Stops(StreamingQueryListener):
+    """Stops a query when another one ends."""
+
+    def __init__(self, leader: StreamingQuery, follower: StreamingQuery):
+        self.leader, self.follower = str(leader.runId), follower
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.runId) == self.leader:
+            self.follower.stop()
+
+
+def _again(spark: SparkSession, config: IngestConfig, *how) -> StreamingQuery:
+    """The query over manifests that wait. It has a checkpoint of its own: Spark cuts a backlog into batches only if every
+    source of a query can, and a query cannot go on from a checkpoint with other sources than it has."""
+    own = replace(config, checkpoint=f"{config.checkpoint.rstrip('/')}-waiting")
+    rows = waiting_manifests(spark, f"{config.logs}/waiting_manifests", config.max_files).select(*SEEN)
+    return (rows.writeStream.foreachBatch(batch_processor(own, *how)).option("checkpointLocation", own.checkpoint)
+            .trigger(**config.trigger).start())
+
+
 def start_ingest(spark: SparkSession, config: IngestConfig,
                  on_batch: Callable[[dict], None] | None = None,
                  process: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
@@ -247,17 +282,25 @@ def start_ingest(spark: SparkSession, config: IngestConfig,
 
     Progress is checkpointed. A batch that is replayed writes the same slots and the
     same log partitions again, so the store is as if it had run once.
+
+    Manifests that wait are read by a second query. With a trigger that ends by itself it runs before the first one; else both run until
+    the returned one is stopped, and their batches take turns.
     """
     if config.source == "files":
         stream = arrivals.arrivals(spark, config.landing, max_files=config.max_files, since=config.since)
     else:
         new = arrivals.manifests(spark, config.landing, config.max_files, config.since, config.dedupe)
-        new = new.withColumn("modified_ms", F.unix_millis("modified"))
-        again = waiting_manifests(spark, f"{config.logs}/waiting_manifests", config.max_files)
-        stream = new.select(*SEEN).unionByName(again.select(*SEEN))
-    return (stream.writeStream.foreachBatch(batch_processor(config, on_batch, process))
-            .option("checkpointLocation", config.checkpoint)
-            .trigger(**config.trigger).start())
+        stream = new.withColumn("modified_ms", F.unix_millis("modified")).select(*SEEN)
+    how = (on_batch, process, threading.Lock())
+    ends = bool({"availableNow", "once"} & config.trigger.keys())
+    if config.source != "files" and ends and store.exists(spark, f"{config.logs}/waiting_manifests"):
+        _again(spark, config, *how).awaitTermination()
+    query = (stream.writeStream.foreachBatch(batch_processor(config, *how))
+             .option("checkpointLocation", config.checkpoint)
+             .trigger(**config.trigger).start())
+    if config.source != "files" and not ends:
+        spark.streams.addListener(_Stops(query, _again(spark, config, *how)))
+    return query
 
 
 class IngestManager:
