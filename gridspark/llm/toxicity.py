@@ -1,11 +1,15 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are runs of five and of seven bytes of the text (ASCII lower case, white space as one space, one
-at either end), which catch a word inside a longer one as well. The labelled sample, one example per distinct text, gives the vocabulary:
-all its terms. A term's weight is its IDF times its evidence: how little of the difference between its documents' labels chance explains
-(Chernoff's bound), as a share of what rules chance out over all terms tried. Examples are unit vectors of weighted term counts, and a
-text's neighbours are those with the largest cosine: an inverted index (a matrix for the common terms)
-gives all cosines in single precision, and those that may be among the largest are then computed exactly.
+Terms are the words of the text (runs of letters, digits and bytes beyond ASCII, in ASCII lower case); a run of more than
+``LONG`` bytes, as in scripts that set no spaces, gives its runs of ``RUN`` bytes instead. The labelled sample, one example
+per distinct text, gives the vocabulary: all its terms. A term's weight is its squared IDF (so that a word of one example is not
+drowned by many common ones) times its evidence: how little of the difference between its documents' labels chance explains
+(Chernoff's bound), as a share of what rules chance out over all terms tried. Examples are unit vectors of weighted term counts, and a text's neighbours are those with the largest cosine.
+
+They are found by a block-max inverted index: examples with the same heaviest term stand together in blocks, and each term
+has the largest weight in every block beside its postings. The largest weights bound what any example of a block can
+reach; blocks are scored from the highest bound on, and those whose bound is below the k-th cosine are skipped. Nothing that could be
+among the nearest is left out.
 """
 
 from __future__ import annotations
@@ -18,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridspark.llm.common import stage, text_buffers, with_columns
+from gridspark.llm.words import mixed, power_table
 
-GRAMS = (5, 7)
+# Longer runs of word bytes give their runs of so many bytes.
+LONG, RUN = 24, 7
 # The sample: texts per label and their size at most. The chance that any term has full weight by accident.
 TEXTS, TEXT_BYTES = 1500, 16_384
 ACCIDENT = 1e-3
@@ -27,56 +33,58 @@ NEIGHBOURS, BLOCK = 15, 32
 # The share of toxic labels counts as much as a neighbour of this squared cosine.
 PRIOR_WEIGHT = 0.5
 SEED = 11
-# A term is common if it is in more than one of so many examples.
-COMMON = 12
-AT_ONCE, AT_ONCE_TEXTS, POSTINGS_AT_ONCE = 4 << 20, 64, 4 << 20
+# Blocks scored first; each round scores twice as many as the one before. Cosines this close are equal.
+FIRST_BLOCKS, CLOSE = 4, 1e-9
+AT_ONCE, POSTINGS_AT_ONCE = 4 << 20, 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_LOWER[9:14] = 32
-
-
-def flat(data: np.ndarray) -> np.ndarray:
-    """A text's bytes as terms see them: lower case, and every run of white space one space."""
-    low = _LOWER[data]
-    if len(low) > 1:
-        space = low == 32
-        low = low[~(space & np.concatenate([[False], space[:-1]]))]
-    return low
-
-
-def grams(low: np.ndarray) -> np.ndarray:
-    """All terms of flat bytes, as numbers: the bytes, and above them how many they are."""
-    found = []
-    for n in GRAMS:
-        if len(low) >= n:
-            x = low[:len(low) - n + 1].astype(np.uint64) | np.uint64(n << 8)
-            for k in range(1, n):
-                x = x << np.uint64(8) | low[k:len(low) - n + 1 + k]
-            found.append(x)
-    return np.concatenate(found) if found else np.empty(0, np.uint64)
+# A byte as words see it, 0 between words.
+_WORD = np.zeros(256, np.uint8)
+for _c in (*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)):
+    _WORD[_c] = _c + 32 if 65 <= _c <= 90 else _c
+
+
+def _terms(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of ``values``: odd ones of whole words, even ones of the pieces of long runs."""
+    size = ends - starts
+    n = size[~long]
+    place = ranges(np.zeros(len(n), np.int64), n)
+    data = values[ranges(starts[~long], n)].astype(np.uint64) * power_table(LONG)[place]
+    words = np.add.reduceat(data, np.cumsum(n) - n) + n.astype(np.uint64) if len(n) else np.empty(0, np.uint64)
+    at = ranges(starts[long], np.maximum(0, size[long] - RUN + 1))
+    pieces = np.zeros(len(at), np.uint64)
+    for k in range(RUN):
+        pieces = pieces << np.uint64(8) | values[at + k]
+    return np.concatenate([mixed(words) | np.uint64(1), mixed(pieces) & ~np.uint64(1)])
 
 
 def blocks_of(data: np.ndarray) -> Iterator[np.ndarray]:
-    """The terms of a whole text, a block of bytes at a time; each block takes up the end of the one before."""
-    tail = np.array([32], np.uint8)
-    end = np.array([32], np.uint8)
+    """The terms of a whole text, a block of bytes at a time; each block takes up the word at the end of the one before."""
+    tail, within = np.empty(0, np.uint8), False
     for start in range(0, max(1, len(data)), AT_ONCE):
-        last = start + AT_ONCE >= len(data)
-        low = flat(np.concatenate([tail, data[start:start + AT_ONCE], end] if last else [tail, data[start:start + AT_ONCE]]))
-        x = grams(low)
-        if start:
-            # Terms that lie in the tail altogether were there before.
-            inside = [max(0, len(tail) - n + 1) for n in GRAMS]
-            sizes = [max(0, len(low) - n + 1) for n in GRAMS]
-            x = np.concatenate([x[sum(sizes[:i]) + inside[i]:sum(sizes[:i + 1])] for i in range(len(GRAMS))])
-        yield x
-        tail = low[-(max(GRAMS) - 1):]
+        values = np.concatenate([tail, _WORD[data[start:start + AT_ONCE]]])
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], values != 0, [False]]).astype(np.int8)))
+        starts, ends = edge[::2], edge[1::2]
+        long = ends - starts > LONG
+        if within:
+            # The tail is the end of a long run whose pieces are known.
+            long[0] = True
+        tail, within = tail[:0], False
+        if start + AT_ONCE < len(data) and len(ends) and ends[-1] == len(values):
+            if long[-1]:
+                tail, within = values[1 - RUN:], True
+            else:
+                tail, starts, ends, long = values[starts[-1]:], starts[:-1], ends[:-1], long[:-1]
+        yield _terms(values, starts, ends, long)
+
+
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that start at ``first`` and have so many numbers, one after the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)
 
 
-def _spread(x: np.ndarray) -> np.ndarray:
-    """Terms as other numbers, one for one, whose upper bits are evenly used; indexes are sorted by these."""
-    return x * np.uint64(0x9E3779B97F4A7C15)
+def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(x, return_counts=True)
 
 
 def _weights(counts: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -87,7 +95,7 @@ def _weights(counts: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    terms: np.ndarray  # spread, the most common first
+    terms: np.ndarray  # hashes, in order
     own: np.ndarray  # weight of each term
     starts: np.ndarray  # the examples with term i are places[starts[i]:starts[i + 1]], in index order
     places: np.ndarray
@@ -99,18 +107,16 @@ class Index:
     line: tuple[float, float]  # calibration
 
     def __post_init__(self):
-        df = np.diff(self.starts)
-        # Terms in order, and where those with the same upper bits begin.
-        self.rank = np.argsort(self.terms, kind="stable").astype(np.int32)
-        self.ordered = self.terms[self.rank]
-        self.bits = max(1, len(self.terms).bit_length())
-        self.buckets = np.searchsorted(self.ordered >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
-        self.deepest = int(np.diff(self.buckets).max())
-        # Terms that many examples hold are rows of a dense matrix, the others postings.
-        self.common = int((df * COMMON > len(self.ids)).sum())
-        self.dense = np.zeros((self.common, len(self.ids)), np.float32)
-        end = self.starts[self.common]
-        self.dense[np.repeat(np.arange(self.common), df[:self.common]), self.places[:end]] = self.values[:end]
+        """The block maxima: an entry per term and block of ``BLOCK`` examples in which it is."""
+        block = self.places // BLOCK
+        new = np.concatenate([[True], block[1:] != block[:-1]])[:len(block)]
+        new[self.starts[:-1]] = True
+        first = np.flatnonzero(new)
+        self.blocks = -(-len(self.ids) // BLOCK)
+        self.entry_block = block[first].astype(np.int32)
+        self.entry_max = np.maximum.reduceat(self.values, first) if len(first) else self.values
+        self.entry_first = np.append(first, len(block))
+        self.entries = np.searchsorted(first, self.starts)
 
     def __getstate__(self):
         return {f: self.__dict__[f] for f in self.__dataclass_fields__}
@@ -122,30 +128,19 @@ class Index:
     @property
     def weights(self) -> np.ndarray:
         """All weights as (block, term, place in block), for small indexes."""
-        out = np.zeros((-(-len(self.ids) // BLOCK) * BLOCK, len(self.terms)), np.float32)
+        out = np.zeros((self.blocks * BLOCK, len(self.terms)), np.float32)
         out[self.places, np.repeat(np.arange(len(self.terms)), np.diff(self.starts))] = self.values
         return out.reshape(-1, BLOCK, len(self.terms)).transpose(0, 2, 1)
 
-    def _known(self, x: np.ndarray) -> np.ndarray:
-        """The places in ``terms`` of those of ``x`` that are there."""
-        bucket = (x >> np.uint64(64 - self.bits)).astype(np.int64)
-        low, high = self.buckets[bucket], self.buckets[bucket + 1]
-        found = []
-        for _ in range(self.deepest):
-            open_ = np.flatnonzero(low < high)
-            if not len(open_):
-                break
-            x, low, high = x[open_], low[open_], high[open_]
-            same = self.ordered[low] == x
-            found.append(self.rank[low[same]])
-            low = np.where(same, high, low + 1)
-        return np.concatenate(found) if found else np.empty(0, np.int32)
-
     def vector(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Terms of a byte string that the index has, and their weights in a unit vector; the text is read a block at a time."""
         found, counts = np.empty(0, np.int64), np.empty(0)
         for x in blocks_of(data):
-            own, n = np.unique(self._known(_spread(x)), return_counts=True)
+            x, n = _counted(x)
+            at = np.searchsorted(self.terms, x)
+            at[at == len(self.terms)] = 0
+            there = self.terms[at] == x if len(self.terms) else np.zeros(len(x), bool)
+            own, n = at[there], n[there]
             if len(found):
                 own, at = np.unique(np.concatenate([found, own]), return_inverse=True)
                 n = np.bincount(at, np.concatenate([counts, n]), len(own))
@@ -154,35 +149,40 @@ class Index:
 
     def nearest(self, found: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples of largest positive cosine, ties by index order, and their cosines; ``without`` is left out."""
-        return self.nearest_of([(found, w)], k, [without])[0]
-
-    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """``nearest`` for many vectors: all cosines in single precision, then exactly those that may be among the ``k``."""
-        n, out = len(self.ids), []
-        # Single precision is wrong by this share at most, all weights being positive.
-        off = 2.0 ** -22 * (self.common + 8)
-        for low in range(0, len(vectors), AT_ONCE_TEXTS):
-            some = vectors[low:low + AT_ONCE_TEXTS]
-            asked = np.zeros((len(some), self.common), np.float32)
-            for row, (found, w) in zip(asked, some, strict=True):
-                split = np.searchsorted(found, self.common)
-                row[found[:split]] = w[:split]
-            dense = asked @ self.dense
-            for i, (found, w) in enumerate(some):
-                split = np.searchsorted(found, self.common)
-                first = self.starts[found[split:]]
-                size = self.starts[found[split:] + 1] - first
-                at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
-                rare = np.bincount(self.places[at], self.values[at] * np.repeat(w[split:], size), n)
-                rough = rare + dense[i]
-                if without is not None and without[low + i] >= 0:
-                    rough[without[low + i]] = 0
-                least = np.partition(rough, n - k)[n - k] * (1 - off) if n > k else 0
-                maybe = np.flatnonzero((rough >= least) & (rough > 0))
-                sims = rare[maybe] + w[:split] @ self.dense[np.ix_(found[:split], maybe)].astype(float)
-                order = np.lexsort((maybe, -np.round(sims, 9)))[:k]
-                out.append((maybe[order], sims[order]))
-        return out
+        sims, _ = self.cosines(found, w, k, without)
+        maybe = np.flatnonzero(sims > 0)
+        if len(maybe) > k:
+            maybe = maybe[sims[maybe] >= np.partition(sims[maybe], -k)[-k] - CLOSE]
+        order = np.lexsort((maybe, -np.round(sims[maybe], 9)))[:k]
+        return maybe[order], sims[maybe[order]]
+
+    def cosines(self, found: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, int]:
+        """The cosines of all examples that may be among the ``k`` nearest, 0 in the blocks skipped; and how many blocks were scored."""
+        n, scored = len(self.ids), 0
+        sims = np.zeros(n)
+        size = np.diff(self.entries)[found] if len(found) else found
+        entry, weight = ranges(self.entries[found], size), np.repeat(w, size)
+        block = self.entry_block[entry]
+        bound = np.bincount(block, self.entry_max[entry] * weight, self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        least, step = 0.0, FIRST_BLOCKS
+        while scored < self.blocks:
+            now = order[scored:scored + step]
+            now = now[(bound[now] > 0) & (bound[now] * (1 + CLOSE) + 2 * CLOSE >= least)]
+            if not len(now):
+                break
+            scored, step = scored + len(now), 2 * step
+            chosen = np.zeros(self.blocks, bool)
+            chosen[now] = True
+            mine = np.flatnonzero(chosen[block])
+            first = self.entry_first[entry[mine]]
+            size = self.entry_first[entry[mine] + 1] - first
+            at = ranges(first, size)
+            sims += np.bincount(self.places[at], self.values[at] * np.repeat(weight[mine], size), n)
+            if without >= 0:
+                sims[without] = 0
+            least = np.partition(sims, n - k)[n - k] if n > k else 0.0
+        return sims, scored
 
     def raw(self, best: np.ndarray, sims: np.ndarray) -> float:
         """The share of toxic votes, weighted by squared cosine, with the prior as one more vote."""
@@ -219,14 +219,14 @@ def _calibrated(raw: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple
 
 
 def _postings(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(terms, documents of each, places, counts) of all terms, in parts by the upper bits of the spread term; a part has a few million places."""
+    """(terms, documents of each, places, counts) of all terms in order, in parts by the upper bits of the term; a part has a few million places."""
     kind = np.uint16 if len(texts) < 1 << 16 else np.int32
-    bits = max(0, (sum(len(t) for t in texts) * len(GRAMS) // POSTINGS_AT_ONCE).bit_length())
+    bits = max(0, (sum(len(t) for t in texts) // POSTINGS_AT_ONCE).bit_length())
     for part in range(1 << bits):
         found = []
         for t in texts:
-            own = [x if not bits else x[x >> np.uint64(64 - bits) == part] for x in map(_spread, blocks_of(t))]
-            found.append(np.unique(np.concatenate(own), return_counts=True))
+            own = [x if not bits else x[x >> np.uint64(64 - bits) == part] for x in blocks_of(t)]
+            found.append(_counted(np.concatenate(own)))
         place = np.repeat(np.arange(len(texts), dtype=kind), [len(x) for x, _ in found])
         x, counts = np.concatenate([x for x, _ in found]), np.concatenate([c.astype(np.int32) for _, c in found])
         del found
@@ -247,11 +247,11 @@ def _spans(starts: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def build(ids: list[int], texts: list[np.ndarray], toxic: np.ndarray, totals: tuple[int, int]) -> Index:
-    """The index of labelled examples, whose texts differ; ``totals`` counts all labelled texts by label."""
-    # Ties between neighbours go by label, then by place.
-    order = np.argsort(toxic, kind="stable")
-    ids, texts, toxic = np.array(ids)[order], [texts[i] for i in order], toxic[order]
-    n, n1 = len(texts), toxic.sum()
+    """The index of labelled examples, whose texts differ; ``totals`` counts all labelled texts by label.
+
+    Index order, by which ties between neighbours go, is by label, then heaviest term, then the order given.
+    """
+    ids, n, n1 = np.array(ids), len(texts), toxic.sum()
     base = min(max(n1 / n, 1e-6), 1 - 1e-6)
     parts = list(_postings(texts))
     tried = sum(len(place) for _, _, place, _ in parts)
@@ -262,43 +262,50 @@ def build(ids: list[int], texts: list[np.ndarray], toxic: np.ndarray, totals: tu
         share = hits / df
         with np.errstate(divide="ignore", invalid="ignore"):
             evidence = df * (np.nan_to_num(share * np.log(share / base)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - base))))
-        weighted.append((np.log((1 + n) / (1 + df)) + 1) * np.minimum(1, np.maximum(0, evidence) / np.log(max(1, tried) / ACCIDENT)))
+        weighted.append((np.log((1 + n) / (1 + df)) + 1) ** 2 * np.minimum(1, np.maximum(0, evidence) / np.log(max(1, tried) / ACCIDENT)))
     terms, df, place, counts = (np.concatenate(c) for c in zip(*parts, strict=True))
     own = np.concatenate(weighted)
     del parts, weighted
-    # The most common terms first: texts mostly hold these. Postings are moved and weighed a part at a time, as the driver is small.
-    order = np.argsort(-df, kind="stable")
-    first = (np.cumsum(df) - df)[order]
-    terms, df, own = terms[order], df[order], own[order]
     starts = np.concatenate([[0], np.cumsum(df)])
-    moved, values, squares = np.empty_like(place), np.empty(len(place), np.float32), np.zeros(n)
+    # Postings are weighed, and then moved, a part at a time, as the driver is small.
+    values, squares = np.empty(len(place), np.float32), np.zeros(n)
+    heaviest, most = np.full(n, -1), np.zeros(n, np.float32)
     for low, high in _spans(starts):
-        size, here = df[low:high], slice(starts[low], starts[high])
-        at = np.arange(size.sum()) + np.repeat(first[low:high] - starts[low:high] + starts[low], size)
-        moved[here] = place[at]
-        w = (1 + np.log(counts[at])) * np.repeat(own[low:high], size)
+        here, size = slice(starts[low], starts[high]), df[low:high]
+        w = (1 + np.log(counts[here])) * np.repeat(own[low:high], size)
         values[here] = w
-        squares += np.bincount(moved[here], w * w, n)
-    place = moved
-    del counts, moved
+        squares += np.bincount(place[here], w * w, n)
+        # Of terms that several examples have, the last one written stays: the heaviest of each example.
+        shared = np.flatnonzero(np.repeat(size > 1, size))
+        term, owner, weight = np.repeat(np.arange(low, high), size)[shared], place[here][shared], values[here][shared]
+        order = np.lexsort((term, weight))
+        top, best = np.full(n, -1), np.zeros(n, np.float32)
+        top[owner[order]], best[owner[order]] = term[order], weight[order]
+        heaviest, most = np.where(best > most, top, heaviest), np.maximum(best, most)
+    del counts
+    order = np.lexsort((np.arange(n), heaviest, toxic))
+    rank = np.empty(n, place.dtype)
+    rank[order] = np.arange(n)
+    ids, toxic = ids[order], toxic[order]
     length = np.maximum(1e-12, np.sqrt(squares))
     for low, high in _spans(starts):
         here = slice(starts[low], starts[high])
-        values[here] = values[here] / length[place[here]]
+        to = rank[place[here]]
+        sort = np.lexsort((to, np.repeat(np.arange(low, high), df[low:high])))
+        values[here] = (values[here] / length[place[here]])[sort]
+        place[here] = to[sort]
     share = totals[1] / max(1, sum(totals))
     per = np.array([totals[0] / max(1, n - n1), totals[1] / max(1, n1)])
     index = Index(terms, own, starts, place, values, ids, toxic, share, (per / per.max())[toxic], (1.0, 0.0))
     # Each example against all others, by the terms that these have as well.
     raw = []
-    shared = starts[int((df > 1).sum())]
-    for low in range(0, n, AT_ONCE_TEXTS):
-        at = np.flatnonzero((place[:shared] >= low) & (place[:shared] < low + AT_ONCE_TEXTS))
-        at = at[np.argsort(place[at], kind="stable")]
-        some = range(low, min(n, low + AT_ONCE_TEXTS))
-        ends = np.searchsorted(place[at], some[1:])
-        vectors = [(found, w / max(1e-12, np.sqrt((w * w).sum()))) for found, w in zip(
-            np.split(np.searchsorted(starts, at, "right") - 1, ends), np.split(values[at].astype(float), ends), strict=True)]
-        raw += [index.raw(*found) for found in index.nearest_of(vectors, NEIGHBOURS, list(some))]
+    common = np.flatnonzero(np.repeat(df > 1, df))
+    common = common[np.argsort(place[common], kind="stable")]
+    ends = np.searchsorted(place[common], np.arange(1, n))
+    for i, own_postings in enumerate(np.split(common, ends)):
+        w = values[own_postings].astype(float)
+        found = np.searchsorted(starts, own_postings, "right") - 1
+        raw.append(index.raw(*index.nearest(found, w / max(1e-12, np.sqrt((w * w).sum())), NEIGHBOURS, i)))
     raw = np.array(raw)
     index.line = _calibrated(raw, index.toxic, per[index.toxic] / max(1e-9, per[index.toxic].mean()))
     return index
@@ -345,14 +352,19 @@ def assess(text: Column, index: Index | None) -> Column:
 
     @F.arrow_udf(FOUND)
     def assessed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.struct([("score", pa.float64()), ("neighbours", pa.list_(pa.struct(
-            [("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())])))])
         for texts in batches:
-            out = []
-            for best, sims in index.nearest_of([index.vector(data) for data in text_buffers(texts)], NEIGHBOURS):
-                out.append({"score": index.score(index.raw(best, sims)), "neighbours": [
-                    {"doc_id": int(index.ids[i]), "toxic": int(index.toxic[i]), "cosine": float(s)} for i, s in zip(best, sims, strict=True)]})
-            yield pa.array(out, kind)
+            scores, sizes, examples, cosines = [], [0], [], []
+            for data in text_buffers(texts):
+                best, sims = index.nearest(*index.vector(data), NEIGHBOURS)
+                scores.append(index.score(index.raw(best, sims)))
+                sizes.append(len(best))
+                examples.append(best)
+                cosines.append(sims)
+            at = np.concatenate([*examples, np.empty(0, np.int64)]).astype(np.int64)
+            near = pa.StructArray.from_arrays([pa.array(index.ids[at], pa.int64()), pa.array(index.toxic[at].astype(np.int32)),
+                                               pa.array(np.concatenate([*cosines, np.empty(0)]))], ["doc_id", "toxic", "cosine"])
+            yield pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.ListArray.from_arrays(np.cumsum(sizes).astype(np.int32), near)],
+                                             ["score", "neighbours"])
 
     return assessed(text)
 

@@ -1,5 +1,9 @@
 """The two operators that learn: accuracy on held-out rows, and the parts that must be exact."""
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +162,106 @@ def test_a_language_of_long_texts_is_learned(documents):
     assert net.languages == ["x", "y"]
     got = langid.with_language(documents([(1, prose("abcdefgh", 50)), (2, prose("stuvwxyz", 50))]), net).collect()
     assert [r.lang_pred for r in sorted(got, key=lambda r: r.doc_id)] == ["x", "y"]
+
+
+def pieces(text):
+    """The terms of a text, by a plain loop."""
+    out = []
+    for run in re.findall(rb"[0-9a-z\x80-\xff]+", text.lower() if isinstance(text, bytes) else text.encode().lower()):
+        out += [run] if len(run) <= toxicity.LONG else [(run[k:k + toxicity.RUN],) for k in range(len(run) - toxicity.RUN + 1)]
+    return Counter(out)
+
+
+def brute_scores(texts, toxic, asked):
+    """(raw score, neighbours) of every asked text, from IDF to votes, without anything of the operator."""
+    n, base = len(texts), sum(toxic) / len(texts)
+    counts = [pieces(t) for t in texts]
+    holders = {}
+    for i, c in enumerate(counts):
+        for term in c:
+            holders.setdefault(term, []).append(i)
+    tried, own = sum(map(len, counts)), {}
+    for term, at in holders.items():
+        share = sum(toxic[i] for i in at) / len(at)
+        divergence = sum(p * math.log(p / q) for p, q in ((share, base), (1 - share, 1 - base)) if p)
+        own[term] = (math.log((1 + n) / (1 + len(at))) + 1) ** 2 * min(1, len(at) * divergence / math.log(tried / toxicity.ACCIDENT))
+
+    def unit(c):
+        w = {term: (1 + math.log(k)) * own[term] for term, k in c.items() if term in own}
+        size = math.sqrt(sum(x * x for x in w.values()))
+        return {term: x / max(size, 1e-12) for term, x in w.items()}
+
+    units = [unit(c) for c in counts]
+    out = []
+    for text in asked:
+        q = unit(pieces(text))
+        sims = sorted(((sum(x * u.get(term, 0) for term, x in q.items()), i) for i, u in enumerate(units)), reverse=True)
+        best = [(c, i) for c, i in sims if c > 1e-12][:toxicity.NEIGHBOURS]
+        yes = sum(c * c for c, i in best if toxic[i])
+        out.append(((yes + toxicity.PRIOR_WEIGHT * base) / (sum(c * c for c, i in best) + toxicity.PRIOR_WEIGHT), best))
+    return out
+
+
+@pytest.fixture(scope="module")
+def mixed_texts():
+    """Prose in a few hundred words, texts without spaces, and two words that mark the toxic ones."""
+    rng = np.random.default_rng(9)
+    texts, toxic = [], []
+    for i in range(150):
+        words = [f"w{k}x" for k in rng.zipf(1.4, rng.integers(1, 60)) % 400]
+        toxic.append(int(i % 4 == 0))
+        words += [str(rng.choice(["Grumble", "snarl!"]))] * int(rng.integers(1, 3)) * toxic[-1]
+        if i % 10 == 0:
+            words.append("".join(rng.choice(list("\u4e00\u4e8c\u4e09\u56db"), 30)))
+        rng.shuffle(words)
+        texts.append(f"{i} " + " ".join(words))
+    return texts, toxic
+
+
+def test_scores_against_brute_force(mixed_texts):
+    texts, toxic = mixed_texts
+    index = toxicity.build(list(range(150)), [np.frombuffer(t.encode(), np.uint8) for t in texts], np.array(toxic), (150 - sum(toxic), sum(toxic)))
+    asked = [f"{a[:60]} {b[-60:]}" for a, b in zip(texts[:60], texts[60:120], strict=True)] + ["grumble", "nothing known", ""]
+    for text, (raw, best) in zip(asked, brute_scores(texts, toxic, asked), strict=True):
+        near, sims = index.nearest(*index.vector(np.frombuffer(text.encode(), np.uint8)), toxicity.NEIGHBOURS)
+        assert np.allclose(sims, [c for c, _ in best], atol=1e-6) and len(near) == len(best)
+        assert abs(index.raw(near, sims) - raw) < 1e-5
+        sure = {i for c, i in best if c > best[-1][0] + 1e-6}
+        assert sure <= {int(index.ids[i]) for i in near}
+        logit = math.log(raw / (1 - raw))
+        assert abs(index.score(raw) - 1 / (1 + math.exp(-(index.line[0] * logit + index.line[1])))) < 1e-9
+
+
+def test_calibration_is_the_least_loss(mixed_texts):
+    """Scores of the examples among themselves: no other line near by has a smaller loss."""
+    raw, label = np.random.default_rng(2).random(200), np.random.default_rng(3).integers(0, 2, 200)
+    a, b = toxicity._calibrated(raw, label, np.ones(200))
+
+    def loss(a, b):
+        z = a * np.log(raw / (1 - raw)) + b
+        return (np.log1p(np.exp(z)) - label * z).sum() + ((a - 1) ** 2 + b * b) / 2
+
+    assert all(loss(a, b) <= loss(a + da, b + db) + 1e-9 for da in (-0.01, 0, 0.01) for db in (-0.01, 0, 0.01))
+
+
+def test_blocks_are_skipped_and_nothing_is_lost():
+    index, views = index_of(400)
+    scored = []
+    for view in views:
+        found, w = index.vector(view)
+        sims, blocks = index.cosines(found, w, 5)
+        whole, every = index.cosines(found, w, len(index.ids))
+        assert every >= blocks and np.allclose(np.sort(sims)[-5:], np.sort(whole)[-5:])
+        scored.append(blocks)
+    assert np.mean(scored) < 0.8 * index.blocks
+
+
+def test_words_in_scripts_without_spaces(documents):
+    """A run too long for a word is known by its pieces, wherever it is cut."""
+    rng = np.random.default_rng(8)
+    run = lambda n: "".join(rng.choice(list("\u3042\u3044\u3046\u3048\u304a\u304b\u304d\u304f"), n))
+    bad = "\u99ac\u9e7f\u91ce\u90ce"
+    texts = [run(40) + bad * (i % 2) + run(40) for i in range(200)]
+    index = toxicity.build(list(range(200)), [np.frombuffer(t.encode(), np.uint8) for t in texts], np.arange(200) % 2, (100, 100))
+    got = toxicity.with_toxicity(documents([(1, run(30) + bad + run(50)), (2, run(80))]), index).collect()
+    assert [r.predicted for r in sorted(got, key=lambda r: r.doc_id)] == [1, 0]
