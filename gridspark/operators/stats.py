@@ -159,8 +159,13 @@ def global_mean(fields: DataFrame, by: list[str] = ()) -> DataFrame:
 
 def describe(fields: DataFrame, by: list[str] = ("variable",)) -> DataFrame:
     """min, max, mean and population standard deviation of the valid cells."""
+    return valid_cell_stats(_values(fields, list(by)), by)
+
+
+def valid_cell_stats(cells: DataFrame, by: list[str] = ("variable",)) -> DataFrame:
+    """``valid_stats`` of rows that are cells with a ``value`` already."""
     v = valid("value")
-    return _values(fields, list(by)).groupBy(*by).agg(
+    return cells.groupBy(*by).agg(
         F.min(v).alias("min"), F.max(v).alias("max"),
         F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
 

@@ -142,7 +142,7 @@ SELECT concurrency AS optimal_concurrency,
 FROM levels WHERE successful_writes > 0
 ORDER BY successful_writes / (elapsed_ms / 1000) DESC, concurrency LIMIT 1""")
 def optimal_concurrency(t: Tables) -> DataFrame:
-    return shaped(telemetry.best(telemetry.by_concurrency(access(t))),
+    return shaped(telemetry.best(telemetry.concurrency_rates(access(t))),
                   ["optimal_concurrency"], ["optimal_writes_per_second"])
 
 

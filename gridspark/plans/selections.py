@@ -177,9 +177,8 @@ FROM cells GROUP BY cycle, variable, step_index, lat_idx, lon_idx""")
 def valid_statistics(t: Tables) -> DataFrame:
     """Per cell, so cells without any valid member occur."""
     by = ["cycle", "variable", "step_index", "lat_idx", "lon_idx"]
-    exploded = cells(fields(t, True)).select(
-        cycle(), "variable", "step_index", "lat_idx", "lon_idx", F.array("value").alias("values"))
-    return shaped(stats.valid_stats(exploded, by), ["step_index", "lat_idx", "lon_idx"],
+    exploded = cells(fields(t, True)).select(cycle(), "variable", "step_index", "lat_idx", "lon_idx", "value")
+    return shaped(stats.valid_cell_stats(exploded, by), ["step_index", "lat_idx", "lon_idx"],
                   ["nan_pct", "data_min", "data_max", "data_mean"], SLOT)
 
 

@@ -8,11 +8,11 @@ import tempfile
 import uuid
 import warnings
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Runtime settings every plan here relies on. They are SQL settings, so they can
 # be applied to a session somebody else created.
@@ -138,6 +138,16 @@ def materialise(df: DataFrame, label: str, within: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, **counters: Column) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """``df`` with counters that the next job over it takes on its way, and a function that tells them after it.
+
+    To be written as it is: behind a shuffle, a stage that runs again would count again.
+    """
+    seen = Observation()
+    # Spark leaves out what it knows to be empty, and its counters too.
+    return df.observe(seen, *[c.alias(k) for k, c in counters.items()]), lambda: {k: seen.get.get(k) or 0 for k in counters}
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """File system and Hadoop path object of ``path``."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import base64
+import codecs
+import json
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from gridspark.operators.ranking import concat_index
-from gridspark.sources.files import match
+from gridspark.sources.files import match, open_input
 from gridspark.sources.messages import DECODERS
 from gridspark.sources.ranges import GAP, MOST, Files, read_ranges
 
@@ -105,19 +108,100 @@ def check_identical(refs: DataFrame, dims: Sequence[str], value: str = "inline")
             .select("variable", "chunk_key", "n_sets", F.col("_low").eqNullSafe(F.col("_high")).alias("identical")))
 
 
+# Characters of a reference file read at once, and entries in a batch of rows.
+TEXT_AT_ONCE, ENTRIES_AT_ONCE = 1 << 20, 10_000
+
+
+class _Text:
+    """The JSON values of a text stream, one at a time; only the text of the one at hand is held."""
+
+    def __init__(self, stream):
+        self.stream, self.text, self.at, self.ended = codecs.getreader("utf-8")(stream), "", 0, False
+
+    def _more(self) -> None:
+        # As much again as is held, so that a long value is not tried too often.
+        more = self.stream.read(max(TEXT_AT_ONCE, len(self.text) - self.at))
+        self.text, self.at, self.ended = self.text[self.at:] + more, 0, not more
+
+    def peek(self) -> str:
+        """The next character that is no white space, empty at the end."""
+        while True:
+            while self.at < len(self.text) and self.text[self.at] in " \t\r\n":
+                self.at += 1
+            if self.at < len(self.text) or self.ended:
+                return self.text[self.at:self.at + 1]
+            self._more()
+
+    def take(self, wanted: str) -> None:
+        if self.peek() != wanted:
+            raise ValueError(f"{wanted!r} expected, {self.peek()!r} found")
+        self.at += 1
+
+    def value(self):
+        self.peek()
+        while True:
+            try:
+                found, end = _DECODER.raw_decode(self.text, self.at)
+                # A number may go on beyond what is held.
+                if end < len(self.text) or self.ended:
+                    self.at = end
+                    return found
+            except json.JSONDecodeError:
+                if self.ended:
+                    raise
+            self._more()
+
+    def keys(self) -> Iterator[str]:
+        """The keys of an object; its values are to be taken in turn."""
+        self.take("{")
+        while self.peek() != "}":
+            key = self.value()
+            self.take(":")
+            yield key
+            if self.peek() != "}":
+                self.take(",")
+        self.take("}")
+
+
+_DECODER = json.JSONDecoder()
+
+
+def entries_of(stream) -> Iterator[tuple[str, str]]:
+    """(key, entry) of the ``refs`` of a reference file, in order; whatever is no text is given as JSON."""
+    text = _Text(stream)
+    for name in text.keys():
+        if name != "refs" or text.peek() != "{":
+            text.value()
+            continue
+        for key in text.keys():
+            value = text.value()
+            yield key, value if isinstance(value, str) else json.dumps(value, separators=(",", ":"))
+
+
+def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for ref_set, path in zip(batch["ref_set"].to_pylist(), batch["path"].to_pylist(), strict=True):
+            with open_input(path) as stream:
+                try:
+                    entries = entries_of(stream)
+                    while part := list(islice(entries, ENTRIES_AT_ONCE)):
+                        yield pa.RecordBatch.from_pydict({"ref_set": [ref_set] * len(part), "chunk_key": [k for k, _ in part], "entry": [e for _, e in part]},
+                                                         pa.schema([(c, pa.string()) for c in ("ref_set", "chunk_key", "entry")]))
+                except ValueError as e:
+                    raise ValueError(f"{path} is no reference file: {e}") from e
+
+
 def load_json(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Reference JSON files (``refs``: inline text or ``[path, offset, length]``) as rows.
 
-    ``master.json`` is left out where a folder of sets is read.
+    ``master.json`` is left out where a folder of sets is read. A file is read a part at a time, however many
+    references it has; one that is cut short or no JSON is an error that names it.
     """
-    text = (spark.read.option("wholetext", True).text(paths)
-            .select(F.col("_metadata.file_path").alias("ref_set"), "value"))
+    files = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("ref_set"), "path")
     many = not isinstance(paths, str) or not paths.endswith(".json")
     if many:
-        text = text.where(match(F.col("ref_set"), exclude="master.json"))
-    entries = text.select("ref_set", F.explode(
-        F.from_json("value", "struct<refs:map<string,string>>")["refs"]).alias("chunk_key", "entry"))
-    return parse_entries(entries)
+        files = files.where(match(F.col("ref_set"), exclude="master.json"))
+    return parse_entries(files.mapInArrow(_load, "ref_set string, chunk_key string, entry string"))
 
 
 def parse_entries(entries: DataFrame) -> DataFrame:

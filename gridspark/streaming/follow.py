@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ EVENT = ("file_id string, variable string, forecast_hour int, step_index int, "
          "producer_release_utc timestamp, consumer_visible_utc timestamp, latency_ms double, "
          "na_poll_count long, total_poll_count long, revision int")
 # Known manifest (if any), time of the earliest poll with a value (if any), number of polls
-# before it, and how often the file was reported.
+# before it, how often the file was reported, polls that are only a number, and the newest poll.
 STATE = T.StructType([
     T.StructField("variable", T.StringType()),
     T.StructField("forecast_hour", T.IntegerType()),
@@ -25,28 +26,47 @@ STATE = T.StructType([
     T.StructField("visible_us", T.LongType()),
     T.StructField("na_polls", T.LongType()),
     T.StructField("revision", T.IntegerType()),
+    T.StructField("settled", T.LongType()),
+    T.StructField("newest_us", T.LongType()),
 ])
-MISSED = T.StructType([T.StructField("at_us", T.LongType())])
+# Polls that saw nothing, by hour: how many, and their times within the hour.
+BUCKET_US = 3_600_000_000
+BUCKET = T.StructType([T.StructField("bucket", T.LongType())])
+MISSED = T.StructType([T.StructField("n", T.LongType()), T.StructField("times", T.BinaryType())])
+# What the polls of a batch come to before the shuffle: a row per file with its earliest value, and one per hour with misses.
+REDUCED = ("file_id string, is_manifest boolean, variable string, forecast_hour int, step_index int, "
+           "at_us bigint, seen boolean, bucket bigint, newest_us bigint, misses binary")
+
+
+def pack(times: np.ndarray) -> bytes:
+    """Times within an hour as compressed steps; those of a regular poller take next to nothing."""
+    return zlib.compress(np.diff(np.sort(times), prepend=0).astype("<u4").tobytes(), 1)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), "<u4"), dtype=np.int64)
 
 
 class _Follower(StatefulProcessor):
     """An event per file when its manifest and a poll with a value are known, and again when it changes.
 
     The answer is a function of the polls and manifests read so far and not of the batches
-    they came in: the earliest poll with a value, and all polls before it.
+    they came in: the earliest poll with a value, and all polls before it. Only the hour of that
+    poll is ever looked into; all others are numbers to be added.
     """
 
-    def __init__(self, forget_ms: int | None):
-        self.forget_ms = forget_ms
+    def __init__(self, forget_ms: int | None, settle_us: int | None = None):
+        self.forget_ms, self.settle_us = forget_ms, settle_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.file = handle.getValueState("file", STATE, self.forget_ms)
-        self.missed = handle.getListState("missed", MISSED, self.forget_ms)
+        self.file = handle.getValueState("followed", STATE, self.forget_ms)
+        self.missed = handle.getMapState("missed_by_hour", BUCKET, MISSED, self.forget_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.file.get() if self.file.exists() else (None, None, None, None, None, 0, 0)
-        variable, hour, step, release, visible, na_polls, revision = known
-        empty, first = [], visible
+        known = tuple(self.file.get()) if self.file.exists() else (None, None, None, None, None, 0, 0, 0, None)
+        variable, hour, step, release, visible, na_polls, revision, settled, newest = known
+        closed, last = self._closed(newest), newest
+        fresh, first = {}, visible
         # The rows of a key come in several parts and in any order.
         for part in rows:
             for m in part[part["is_manifest"]].itertuples(index=False):
@@ -54,25 +74,29 @@ class _Follower(StatefulProcessor):
                 told = (int(m.at_us), m.variable, int(m.forecast_hour), int(m.step_index))
                 if release is None or told > (release, variable, hour, step):
                     release, variable, hour, step = told
-            polled = part[~part["is_manifest"]]
-            at, missing = polled["at_us"].to_numpy(), polled["missing"].to_numpy(dtype=bool)
-            if not missing.all():
-                earliest = int(at[~missing].min())
-                first = earliest if first is None else min(first, earliest)
-            empty.append(at[missing])
-        # Only polls before the earliest value are kept: eight bytes each.
-        new = np.concatenate(empty) if empty else np.array([], dtype="int64")
-        new = new if first is None else new[new < first]
-        if first != visible and na_polls:
-            held = np.array([r[0] for r in self.missed.get()], dtype="int64")
-            new = np.concatenate([held[held < first], new])
-            self.missed.clear()
-            na_polls = 0
-        if len(new):
-            self.missed.appendList([(int(x),) for x in new])
-            na_polls += len(new)
+            for m in part[~part["is_manifest"]].itertuples(index=False):
+                last = int(m.newest_us) if last is None else max(last, int(m.newest_us))
+                if not m.seen:
+                    fresh.setdefault(int(m.bucket), []).append(bytes(m.misses))
+                elif (closed is None or m.bucket >= closed) and (first is None or m.at_us < first):
+                    first = int(m.at_us)
+        if first != visible:
+            na_polls = settled + self._before(first)
+        for bucket, packed in fresh.items():
+            times = np.concatenate([unpack(p) for p in packed])
+            if first is not None:
+                times = times[times < first - bucket * BUCKET_US]
+            na_polls += len(times)
+            if closed is not None and bucket < closed:
+                settled += len(times)
+            elif len(times):
+                if self.missed.containsKey((bucket,)):
+                    times = np.concatenate([unpack(self.missed.getValue((bucket,))[1]), times])
+                self.missed.updateValue((bucket,), (len(times), pack(times)))
+        if self._closed(last) != closed:
+            settled += self._settle(self._closed(last))
         now = (variable, hour, step, release, first, na_polls)
-        if release is not None and first is not None and (revision == 0 or now != tuple(known)[:6]):
+        if release is not None and first is not None and (revision == 0 or now != known[:6]):
             revision += 1
             yield pd.DataFrame({
                 "file_id": [key[0]], "variable": [variable], "forecast_hour": [hour], "step_index": [step],
@@ -80,47 +104,84 @@ class _Follower(StatefulProcessor):
                 "consumer_visible_utc": [pd.Timestamp(first, unit="us")],
                 "latency_ms": [(first // 1000 - release // 1000) / 1.0],
                 "na_poll_count": [na_polls], "total_poll_count": [na_polls + 1], "revision": [revision]})
-        self.file.update((*now, revision))
+        self.file.update((*now, revision, settled, last))
+
+    def _closed(self, newest: int | None) -> int | None:
+        """The hour before which nothing is looked into any more."""
+        return None if self.settle_us is None or newest is None else (newest - self.settle_us) // BUCKET_US
+
+    def _before(self, first: int) -> int:
+        """How many of the polls kept are before ``first``; the others go."""
+        n, limit = 0, first // BUCKET_US
+        for (bucket,), (size, times) in list(self.missed.iterator()):
+            if bucket < limit:
+                n += size
+                continue
+            left = unpack(times) if bucket == limit else np.empty(0, np.int64)
+            left = left[left < first - limit * BUCKET_US]
+            if len(left):
+                self.missed.updateValue((bucket,), (len(left), pack(left)))
+            else:
+                self.missed.removeKey((bucket,))
+            n += len(left)
+        return n
+
+    def _settle(self, closed: int) -> int:
+        n = 0
+        for (bucket,), (size, _) in list(self.missed.iterator()):
+            if bucket < closed:
+                n += size
+                self.missed.removeKey((bucket,))
+        return n
 
     def close(self) -> None:
         pass
 
 
-def _reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of the polls of a file in a batch, the earliest with a value and those before it."""
+def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of the polls of a file in a batch, the earliest with a value, and by hour those before it."""
     for batch in batches:
-        value = batch["at_us"].where(~batch["missing"])
-        first = value.groupby(batch["file_id"], dropna=False).transform("min")
-        seen = batch[(~batch["missing"]) & (batch["at_us"] == first)].drop_duplicates("file_id")
-        yield pd.concat([seen, batch[batch["missing"] & (first.isna() | (batch["at_us"] < first))]])
+        own = batch.groupby("file_id", dropna=False)
+        batch = batch.assign(
+            newest_us=own["at_us"].transform("max"), bucket=batch["at_us"] // BUCKET_US,
+            first=batch["at_us"].where(~batch["missing"]).groupby(batch["file_id"], dropna=False).transform("min"))
+        values = batch[~batch["missing"] & (batch["at_us"] == batch["first"])].drop_duplicates("file_id")
+        found = [(m.file_id, m.at_us, True, m.bucket, m.newest_us, None) for m in values.itertuples(index=False)]
+        misses = batch[batch["missing"] & (batch["first"].isna() | (batch["at_us"] < batch["first"]))]
+        for (file, bucket), rows in misses.groupby(["file_id", "bucket"], dropna=False):
+            times = rows["at_us"].to_numpy() - bucket * BUCKET_US
+            found.append((None if pd.isna(file) else file, 0, False, bucket, int(rows["newest_us"].iloc[0]), pack(times)))
+        out = pd.DataFrame(found, columns=["file_id", "at_us", "seen", "bucket", "newest_us", "misses"])
+        yield out.assign(is_manifest=False, variable=None, forecast_hour=0, step_index=0)[[c.split()[0] for c in REDUCED.split(", ")]]
 
 
 def follow_visibility(manifests: DataFrame, polls: DataFrame, axis: StepAxis = StepAxis(),
-                      forget_after_hours: float | None = None) -> DataFrame:
+                      forget_after_hours: float | None = None, settle_after_hours: float | None = None) -> DataFrame:
     """Stream of visibility events from a manifest stream and a stream of poll samples.
 
     ``polls(file_id, poll_ts, value)``: a missing value is a poll that saw nothing yet.
-    Hours off the axis are skipped. If an earlier poll or a newer manifest is read after a
+    Hours off the axis are skipped, and so are polls without a time. If an earlier poll or a newer manifest is read after a
     file was reported, it is reported again with the next ``revision``: the last one
     (``latest_events``) does not depend on the order or the batches in which files came.
 
-    Polls after the earliest value of their batch are dropped before the shuffle. State is
-    one row per file and eight bytes for each poll before its earliest value. A query that
-    runs for ever should give ``forget_after_hours``: a file that nothing was heard of for
-    that long is forgotten. It needs a continuous trigger, as its clock keeps
-    ``availableNow`` busy.
+    Polls after the earliest value of their batch are dropped before the shuffle; the others of a batch are a row per
+    file and hour. State is one row per file, and one for every hour with polls before its earliest value: their number
+    and compressed times. With ``settle_after_hours``, hours that are so much older than the file's
+    newest poll become a number, so that the state of a file that is polled for ever stays small: a value that is read
+    later than that is left out. A query that runs for ever should give ``forget_after_hours``: a file that nothing was heard of for
+    that long is forgotten. It needs a continuous trigger, as its clock keeps ``availableNow`` busy.
     """
     forget_ms = None if forget_after_hours is None else int(forget_after_hours * 3_600_000)
+    settle_us = None if settle_after_hours is None else int(settle_after_hours * BUCKET_US)
     known = with_step_index(manifests, axis).where(F.col("step_index").isNotNull())
     left = known.select(
         "file_id", F.lit(True).alias("is_manifest"), "variable", "forecast_hour", "step_index",
-        F.unix_micros(parse_iso("producer_release_utc")).alias("at_us"), F.lit(False).alias("missing"))
-    samples = polls.select("file_id", F.unix_micros("poll_ts").alias("at_us"), is_missing("value").alias("missing"))
-    right = samples.mapInPandas(_reduced, "file_id string, at_us bigint, missing boolean").select(
-        "file_id", F.lit(False).alias("is_manifest"), F.lit(None).cast("string").alias("variable"),
-        F.lit(0).alias("forecast_hour"), F.lit(0).alias("step_index"), "at_us", "missing")
-    return left.unionByName(right).groupBy("file_id").transformWithStateInPandas(
-        _Follower(forget_ms), EVENT, "append", "none" if forget_ms is None else "processingTime")
+        F.unix_micros(parse_iso("producer_release_utc")).alias("at_us"), F.lit(False).alias("seen"), F.lit(0).cast("long").alias("bucket"),
+        F.lit(0).cast("long").alias("newest_us"), F.lit(None).cast("binary").alias("misses")).where("at_us IS NOT NULL")
+    samples = polls.where(F.col("poll_ts").isNotNull()).select(
+        "file_id", F.unix_micros("poll_ts").alias("at_us"), is_missing("value").alias("missing"))
+    return left.unionByName(samples.mapInPandas(reduced, REDUCED)).groupBy("file_id").transformWithStateInPandas(
+        _Follower(forget_ms, settle_us), EVENT, "append", "none" if forget_ms is None else "processingTime")
 
 
 def latest_events(events: DataFrame) -> DataFrame:

@@ -16,9 +16,9 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from gridspark.functions.scalars import parse_iso
 from gridspark.operators import publish, store, telemetry
-from gridspark.operators.joins import fits
+from gridspark.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS
 from gridspark.operators.store import StoreSpec
-from gridspark.runtime import materialise, new_dir, staging
+from gridspark.runtime import materialise, new_dir, observed, staging
 from gridspark.sources.files import list_files
 from gridspark.sources.ingest import decode_files
 from gridspark.sources.manifests import MANIFEST, readable
@@ -101,6 +101,12 @@ def run_batch(files: DataFrame, store_path: str, spec: StoreSpec = StoreSpec(),
     from there. ``process`` may change the decoded fields before they are checked. The
     log is written to ``log_path``, or to a folder of its own.
     """
+    return _run_batch(files, store_path, spec, validate, decoder, process, bands, log_path)[0]
+
+
+def _run_batch(files: DataFrame, store_path: str, spec: StoreSpec, validate: str, decoder: str | Callable,
+               process: Callable[[DataFrame], DataFrame] | None, bands: int | None, log_path: str | None) -> tuple[DataFrame, dict]:
+    """The log of ``run_batch`` and its counters, which are taken while the rows are written."""
     spark = files.sparkSession
     if "release_ts" not in files.columns:
         files = files.withColumn("release_ts", F.lit(None).cast("timestamp"))
@@ -109,15 +115,23 @@ def run_batch(files: DataFrame, store_path: str, spec: StoreSpec = StoreSpec(),
         decoded = process(decoded)
     log_path = log_path or new_dir(spark, "write-log")
     with staging(spark, "batch") as folder:
-        checked = materialise(store.check(decoded, spec, validate), "checked", folder)
-        # A file with any bad row is not written at all.
-        bad = materialise(checked.where(F.col("error").isNotNull()).select("source_path").distinct(), "bad", folder)
-        good = checked.where(F.col("error").isNull()).join(
-            F.broadcast(bad) if fits(bad) else bad, "source_path", "left_anti")
-        if not good.isEmpty():
+        rows, n = observed(store.check(decoded, spec, validate), rows=F.count("*"), refused=F.count("error"))
+        good = checked = materialise(rows, "checked", folder)
+        n = n()
+        if n["refused"]:
+            # A file with any bad row is not written at all.
+            rows, size = observed(checked.where(F.col("error").isNotNull()).select("source_path").distinct(),
+                                  rows=F.count("*"), bytes=F.sum(F.octet_length("source_path")))
+            bad = materialise(rows, "bad", folder)
+            size = size()
+            small = size["rows"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES
+            good = checked.where(F.col("error").isNull()).join(F.broadcast(bad) if small else bad, "source_path", "left_anti")
+        if n["rows"] > n["refused"] and not (n["refused"] and good.isEmpty()):
             store.write_region(good, store_path)
-        store.write_log(checked).write.mode("overwrite").parquet(log_path)
-    return spark.read.schema(WRITE_LOG).parquet(log_path)
+        rows, files_n = observed(store.write_log(checked), files_processed=F.count("*"),
+                                 files_successful=F.count_if("success"), files_failed=F.count_if(~F.col("success")))
+        rows.write.mode("overwrite").parquet(log_path)
+    return spark.read.schema(WRITE_LOG).parquet(log_path), files_n()
 
 
 def _append(rows: DataFrame, path: str, stream: str) -> None:
@@ -158,6 +172,8 @@ def batch_processor(config: IngestConfig, on_batch: Callable[[dict], None] | Non
                     process: Callable[[DataFrame], DataFrame] | None = None, turn: threading.Lock | None = None):
     """The body of each micro-batch; of several queries with one ``turn`` only one is at work at a time."""
 
+    stream = None
+
     def run(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
@@ -165,41 +181,38 @@ def batch_processor(config: IngestConfig, on_batch: Callable[[dict], None] | Non
             work(batch, batch_id)
 
     def work(batch: DataFrame, batch_id: int) -> None:
+        nonlocal stream
         started = time.perf_counter()
         spark = batch.sparkSession
-        stream = _stream_id(spark, config.checkpoint)
+        stream = stream or _stream_id(spark, config.checkpoint)
         with staging(spark, "ingest") as folder:
-            n_corrupt = 0
+            n_corrupt, corrupt = 0, None
             waiting = f"{config.logs}/waiting_manifests"
             if config.source != "files":
-                batch = materialise(batch.select(*SEEN), "manifests", folder)
-                corrupt = materialise(still_waiting(spark, batch, waiting), "waiting", folder)
-                n_corrupt = corrupt.count()
-            found = materialise(resolve_paths(_batch_files(batch, config.source)), "arrivals", folder)
-            known = found.where(F.col("size").isNotNull())
-            result = run_batch(known, config.store, config.spec, config.validate, config.decoder, process,
-                               config.bands, log_path=f"{folder}/log")
+                rows, n = observed(batch.select(*SEEN), corrupt=F.count_if("corrupt"))
+                batch = materialise(rows, "manifests", folder)
+                # Nothing waits and nothing waited: the usual case.
+                if n()["corrupt"] or store.exists(spark, waiting):
+                    rows, n = observed(still_waiting(spark, batch, waiting), rows=F.count("*"))
+                    corrupt = materialise(rows, "waiting", folder)
+                    n_corrupt = n()["rows"]
+            rows, n = observed(resolve_paths(_batch_files(batch, config.source)), unresolved=F.count_if(F.col("size").isNull()))
+            found = materialise(rows, "arrivals", folder)
+            unresolved = n()["unresolved"]
+            result, counted = _run_batch(found.where(F.col("size").isNotNull()), config.store, config.spec, config.validate,
+                                         config.decoder, process, config.bands, f"{folder}/log")
             _append(result.withColumn("batch_id", F.lit(batch_id).cast("long")), f"{config.logs}/write_log", stream)
-            if config.source != "files":
+            if corrupt is not None:
                 corrupt.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(waiting)
             processing_ms = (time.perf_counter() - started) * 1000
             publish_ms, publish_error = 0.0, None
-            if config.publish_to is not None and not result.where("success").isEmpty():
+            if config.publish_to is not None and counted["files_successful"]:
                 publish_error = _publish(spark, config, result, folder)
                 publish_ms = (time.perf_counter() - started) * 1000 - processing_ms
-            unresolved = found.where(F.col("size").isNull()).agg(F.count("*").alias("n"))
-            row = (telemetry.batch_summary(result.withColumn("batch_id", F.lit(batch_id).cast("long")))
-                   .withColumn("unresolved", unresolved.scalar())
-                   .withColumn("corrupt", F.lit(n_corrupt).cast("long"))
-                   .withColumn("processing_ms", F.lit(processing_ms))
-                   .withColumn("publish_ms", F.lit(publish_ms))
-                   .withColumn("total_ms", F.lit((time.perf_counter() - started) * 1000))
-                   .withColumn("publish_error", F.lit(publish_error).cast("string"))).first()
-            row = {c: None for c in BATCH_LOG.names} | {
-                "batch_id": batch_id, "files_processed": 0, "files_successful": 0, "files_failed": 0, "unresolved": found.count(),
-                "corrupt": n_corrupt, "processing_ms": processing_ms, "publish_ms": 0.0,
-                "total_ms": (time.perf_counter() - started) * 1000} if row is None else row.asDict()
-            _append(spark.createDataFrame([tuple(row[c] for c in BATCH_LOG.names)], BATCH_LOG), f"{config.logs}/batch_log", stream)
+            row = counted | {"batch_id": batch_id, "unresolved": unresolved, "corrupt": n_corrupt, "processing_ms": processing_ms,
+                             "publish_ms": publish_ms, "total_ms": (time.perf_counter() - started) * 1000, "publish_error": publish_error}
+            row = {c: row[c] for c in BATCH_LOG.names}
+            _append(spark.createDataFrame([tuple(row.values())], BATCH_LOG), f"{config.logs}/batch_log", stream)
         if on_batch is not None:
             try:
                 on_batch(row)

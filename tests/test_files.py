@@ -1,6 +1,7 @@
 """Listings, manifests, decoding, references, publishing, conversion, reports."""
 
 import base64
+import io
 import json
 
 import numpy as np
@@ -212,6 +213,30 @@ def test_reference_json(spark, landing, tmp_path):
     assert round_trip.select(*single.columns).exceptAll(single).count() == 0
 
 
+def test_reference_json_is_read_a_part_at_a_time(monkeypatch):
+    """Whatever the part, the same entries; and no more text is held than the longest entry asks for."""
+    entries = {"a/0": ["/x y.bin", 0, 12], "quote\" /0": 'te"xt, [1, 2] }', "long": "base64:" + "A" * 3000, "n": 17, "u": "\u00e9\u4e00\U0001f600", "o": {"k": [1, {}]}, "": ""}
+    want = [(k, v if isinstance(v, str) else json.dumps(v, separators=(",", ":"))) for k, v in entries.items()]
+    for form in ({}, {"indent": 2}, {"ensure_ascii": False}):
+        text = json.dumps({"version": 1, "templates": {"refs": {"not": "these"}}, "refs": entries, "gen": []}, **form).encode()
+        for size in (1, 2, 7, 100, 1 << 20):
+            monkeypatch.setattr(refs, "TEXT_AT_ONCE", size)
+            assert list(refs.entries_of(io.BytesIO(text))) == want
+    for bad in (b'{"refs": {"a": "b"', b'{"refs": {"a" "b"}}', b"no json", b'{"refs": {"a": "b"} "c": 1}'):
+        with pytest.raises(ValueError):
+            list(refs.entries_of(io.BytesIO(bad)))
+    assert list(refs.entries_of(io.BytesIO(b'{"refs": {}}'))) == list(refs.entries_of(io.BytesIO(b'{"refs": null, "x": 1}'))) == []
+
+
+def test_many_references_in_one_file(spark, tmp_path):
+    (tmp_path / "big.json").write_text(json.dumps({"refs": {f"v/{i}": ["/raw.bin", 4 * i, 4] for i in range(200_000)}}))
+    loaded = refs.load_json(spark, str(tmp_path / "big.json"))
+    assert tuple(loaded.selectExpr("count(*)", "max(offset)", "count(DISTINCT chunk_key)").first()) == (200_000, 799_996, 200_000)
+    (tmp_path / "cut.json").write_text('{"refs": {"a": "b", ')
+    with pytest.raises(Exception, match="cut.json is no reference file"):
+        refs.load_json(spark, str(tmp_path / "cut.json")).collect()
+
+
 def test_range_beyond_the_file_fails(spark, tmp_path):
     (tmp_path / "raw.bin").write_bytes(b"\0" * 8)
     bad = spark.createDataFrame([("s", "v", "v/0", str(tmp_path / "raw.bin"), 4, 8, None)],

@@ -256,6 +256,19 @@ def test_backlog(spark, landing, tmp_path):
     assert rest.files_outstanding == 1 and rest.bytes_outstanding == (landing / "short.grib2").stat().st_size
 
 
+def test_jobs_of_a_batch(spark, landing, tmp_path):
+    """Counters are taken while rows are written: a batch of good files needs no job only to count."""
+    for name in ("short.grib2", "short.grib2.json", "gone.grib2.json", "half.grib2.json"):
+        (landing / name).unlink()
+    query = start_ingest(spark, config(landing, tmp_path, source="files"))
+    query.awaitTermination()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(str(query.runId))
+    row = spark.read.parquet(str(tmp_path / "logs" / "batch_log")).first()
+    assert (row.files_processed, row.files_successful, row.files_failed, row.unresolved, row.corrupt) == (6, 6, 0, 0, 0)
+    print("jobs", len(jobs))
+    assert len(jobs) <= 14
+
+
 def test_stop(spark, landing, tmp_path):
     manager = IngestManager(spark, config(landing, tmp_path, trigger={"processingTime": "0 seconds"}))
     manager.start()
