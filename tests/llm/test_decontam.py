@@ -126,3 +126,61 @@ def test_short_items_are_found_exactly(vocabulary, size):
     index = Items([" ".join(i).encode() for i in items])
     texts = [random.choices(vocabulary, k=random.randrange(40)) + i + random.choices(vocabulary, k=random.randrange(40)) for i in items]
     assert all(any(i == k and e == 0 for i, e, _, _ in row) for k, row in enumerate(index.find([view(t) for t in texts])))
+
+
+@pytest.mark.parametrize("size", [8, 9, 10, 11, 13, 15, 16, 17, 18, 19, 22, 28, 40, 64])
+def test_recall_reaches_the_target(vocabulary, size):
+    """Items with all the edits they may have, each at another word: at least ``TARGET`` of those that are close are found."""
+    random.seed(100 + size)
+    items = [random.choices(vocabulary, k=size) for _ in range(400)]
+    texts = []
+    for item in items:
+        spoiled = set(random.sample(range(size), Pattern(item).allowed))
+        words = []
+        for p, word in enumerate(item):
+            kind = random.choice("replaced inserted deleted".split()) if p in spoiled else ""
+            words += [random.choice(vocabulary)] * (kind != "" and kind != "deleted") + [word] * (kind in ("", "inserted"))
+        texts.append(random.choices(vocabulary, k=30) + words + random.choices(vocabulary, k=30))
+    found = Items([" ".join(i).encode() for i in items]).find([view(t) for t in texts])
+    close = [k for k, (i, t) in enumerate(zip(items, texts, strict=True)) if edits(i, t) <= Pattern(i).allowed]
+    hit = [k for k in close if any(i == k for i, _, _, _ in found[k])]
+    assert len(close) == 400 and len(hit) >= decontam.TARGET * len(close)
+
+
+def test_items_in_step_share_keys_and_foreign_ones_do_not(vocabulary):
+    """A walk is a function of the words it reads, wherever they stand."""
+    words = word_hashes([view(vocabulary[:50])], decontam._TABLE)[0]
+    for repeat in range(decontam.REPEATS):
+        whole = decontam.sampled(*decontam.walks(words, repeat))
+        later = decontam.sampled(*decontam.walks(words[20:], repeat))
+        assert (whole[20:] == later).all() and len(set(whole.tolist())) == 50
+        # Step by step, as the embedding is defined.
+        for start in range(40):
+            at, read = start, []
+            for step in range(decontam.STEPS):
+                if step in decontam.COORDINATES[repeat]:
+                    read.append(at)
+                at += int(decontam.mixed(words[at:at + 1] ^ decontam.SEEDS[repeat])[0]) >> step & 1
+            assert [p[start] for p in decontam.walks(words, repeat)[1]] == read
+
+
+def test_many_items_alike_in_a_repeated_text(vocabulary, monkeypatch):
+    """Hits are looked at in parts; items that share words are told apart by the exact distance alone."""
+    common = vocabulary[:20]
+    items = [common + vocabulary[100 + k:104 + k] for k in range(0, 200, 4)]
+    text = (common + vocabulary[900:905]) * 50 + items[7] + common * 30
+    want = sorted(i for i, item in enumerate(items) if edits(item, text) <= Pattern(item).allowed)
+    index = Items([" ".join(i).encode() for i in items])
+    whole = index.find([view(text)])
+    assert sorted(i for i, _, _, _ in whole[0]) == want and (7, 0) in {(i, e) for i, e, _, _ in whole[0]}
+    monkeypatch.setattr(decontam, "HITS_AT_ONCE", 10)
+    monkeypatch.setattr(decontam, "WORDS_AT_ONCE", 100)
+    assert index.find([view(text)]) == whole
+
+
+def test_items_in_blocks_of_bytes(spark, documents, vocabulary, monkeypatch):
+    monkeypatch.setattr(decontam, "BYTES_AT_ONCE", 300)
+    items = [" ".join(vocabulary[k * 20:k * 20 + 20]) for k in range(12)]
+    bench = spark.createDataFrame([(k % 3, t) for k, t in enumerate(items)], "item_id bigint, text string")
+    got = decontam.contaminated(documents([(i, f"a {t} b") for i, t in enumerate(items)]), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i % 3) for i in range(12)]
