@@ -7,17 +7,18 @@
 3. First round: of each shingle's sets the smallest is compared with the others. That is one pair per
    entry, however large the group, and joins large groups of near copies into one component.
 4. Second round: only shingles whose sets are still in several components are left. A few other sets
-   of each are tried as pivots in the same way. Then their sets are cut
-   into tiles by size band (alike sets are in the same band or in neighbouring ones) and, where a band
-   is crowded, by hash into squares of bounded size; a tile compares sets of different components.
-5. Before any exact comparison, bitmaps of hashed shingles bound the overlap from above: every bit in
-   which two differ stands for a shingle that one set lacks. What is left is decided by intersecting
-   the sorted arrays.
+   of each are tried as pivots in the same way. Then sets are brought together by the smallest component
+   that their shingles reach, once each, and cut into tiles by size band (alike sets are in the same band
+   or in neighbouring ones) and, where a band is crowded, by hash into squares of bounded size.
+5. In a tile, bitmaps of hashed shingles bound the overlap from above: every bit in which two differ
+   stands for a shingle that one set lacks. Sets that a bitmap leaves in doubt meet again in their tile
+   with their sorted shingles, which are intersected; of the links found there only those that join two
+   components leave it, so no tile gives out more links than it has sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,13 @@ PERCENT = 75
 BUCKET_BITS = 18
 # Entries of a partition of the exchange, and sets of a tile's side.
 ENTRIES, TILE = 500_000, 512
+# Shingles of a tile's side, about.
+TILE_SHINGLES = 2_000_000
 # Further pivots that are tried before all pairs of components are.
 PIVOTS = 3
 MIN_BITS, MAX_BITS = 64, 1 << 15
+# Where the shingles themselves are at hand, bitmaps have so many bits for each.
+FINE, MAX_FINE_BITS = 8, 1 << 22
 AT_ONCE = 2 << 20
 _TABLE = np.arange(256, dtype=np.uint8)
 _TABLE[65:91] += 32
@@ -84,6 +89,13 @@ def folded(maps: np.ndarray, size: int) -> np.ndarray:
     return maps
 
 
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many numbers two sorted arrays without repeats share."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
 def may_be_alike(differing: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Can sets of n and m shingles be alike if their bitmaps differ in so many bits?"""
     overlap = np.minimum((n + m - differing) // 2, np.minimum(n, m))
@@ -126,18 +138,20 @@ def _described(rows: DataFrame) -> DataFrame:
 def _levels(rows: DataFrame) -> np.ndarray:
     """The level of every hash bucket: 0 up to twice the mean count, then one more per doubling.
 
-    The counts of the batches (1 MB each) are added up in a few tasks; eight sums reach the driver.
+    The counts of the batches (1 MB each) are added up where they are read and then in a few tasks; eight sums reach the driver.
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        total, some = np.zeros(1 << BUCKET_BITS), False
         for batch in batches:
             for blob in batch.column(0):
                 total += np.frombuffer(blob.as_py(), "<i4")
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f4").tobytes()])], ["counts"])
+                some = True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, (1 << 31) - 1).astype("<i4").tobytes()])], ["counts"])
 
-    counts = rows.where("counts IS NOT NULL").select("counts").repartition(8).mapInArrow(add, "counts binary").collect()
-    total = sum((np.frombuffer(c[0], "<f4").astype(np.float64) for c in counts), np.zeros(1 << BUCKET_BITS))
+    counts = rows.where("counts IS NOT NULL").select("counts").mapInArrow(add, "counts binary").repartition(8).mapInArrow(add, "counts binary").collect()
+    total = sum((np.frombuffer(c[0], "<i4").astype(np.float64) for c in counts), np.zeros(1 << BUCKET_BITS))
     return np.maximum(0, np.floor(np.log2(np.maximum(1, total / max(1.0, total.mean()))))).astype(np.uint8)
 
 
@@ -240,13 +254,8 @@ def _bound(a: pa.Array, b: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
 
 @F.arrow_udf(LongType())
 def _overlap(a: pa.Array, b: pa.Array) -> pa.Array:
-    out = np.empty(len(a), np.int64)
-    for i, (x, y) in enumerate(zip(text_buffers(a), text_buffers(b), strict=True)):
-        x, y = np.frombuffer(x.tobytes(), "<u8"), np.frombuffer(y.tobytes(), "<u8")
-        if len(x) > len(y):
-            x, y = y, x
-        out[i] = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()
-    return pa.array(out)
+    sides = zip(text_buffers(a), text_buffers(b), strict=True)
+    return pa.array([common(np.frombuffer(x.tobytes(), "<u8"), np.frombuffer(y.tobytes(), "<u8")) for x, y in sides], pa.int64())
 
 
 def _shingles(rows: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -261,12 +270,11 @@ def _shingles(rows: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.withColumn("shingles", arrays("text")).select("id", "shingles")
 
 
-def _links(pairs: DataFrame, rows: DataFrame, sets: DataFrame, bounded: bool = False) -> DataFrame:
-    """The (a, b) of ``pairs`` (staged, a < b) that are alike: bitmaps first unless they have been compared, then arrays."""
+def _links(pairs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` (staged, a < b) that are alike: bitmaps first, then arrays."""
     side = lambda x, table, *columns: table.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
     maybe = pairs.join(side("a", sets, "n", "bits"), "a").join(side("b", sets, "n", "bits"), "b")
-    if not bounded:
-        maybe = maybe.where(_bound("bits_a", "bits_b", "n_a", "n_b"))
+    maybe = maybe.where(_bound("bits_a", "bits_b", "n_a", "n_b"))
     maybe = stage(maybe.select("a", "b", "n_a", "n_b"), "maybe")
     wanted = stage(maybe.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
     arrays = stage(_shingles(rows, sets, wanted), "arrays")
@@ -279,87 +287,115 @@ def _band(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / PERCENT))).cast("int")
 
 
-def _tiles(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) of different components that may be alike, from ``entries`` (key, lead, id, n, component).
+PLACE = ["lead", "kind", "band", "i", "j"]
+MEMBER = "lead bigint, kind int, band int, i int, j int, upper boolean, id bigint, n bigint, component bigint"
+
+
+def _tiles(entries: DataFrame) -> DataFrame:
+    """The sets of every tile (``MEMBER``), from ``entries`` (lead, id, n, component).
 
     Sets that are nearly alike meet in many shingles. ``lead``, the smallest component of a shingle, is
-    much the same for these, so tiles are dealt out by it and not by the shingle: then a pair that
-    several of them find is given out once.
+    much the same for these, so sets meet by it and not by the shingle, once each. Tile (i, j) of kind 0 is
+    square i against square j of a band, of kind 1 against square j of the band above (whose sets are ``upper``).
     """
-    rows = stage(entries.withColumn("band", _band(F.col("n"))), "banded")
-    # Squares per band: as many as keep a side at ``TILE`` sets on average.
-    squares = stage(rows.groupBy("key", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("k")), "squares")
-    above = squares.select("key", (F.col("band") - 1).alias("band"), F.col("k").alias("k_above"))
-    own = (rows.join(squares, ["key", "band"]).join(above, ["key", "band"], "left")
-           .withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")))
-    # Against its own band: the tiles (i, j) with i <= j that its square is in ...
-    same = own.select("key", "lead", "band", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("x"), "i", "id", "n", "component").select(
-        "key", "lead", F.lit(0).alias("kind"), "band", F.least("i", "x").alias("i"), F.greatest("i", "x").alias("j"), (F.col("i") > F.col("x")).alias("right"), "id", "n", "component")
-    # ... and against the band above, as the lower one or as the upper one.
-    lower = own.where("k_above IS NOT NULL").select(
-        "key", "lead", F.lit(1).alias("kind"), F.col("band"), "i", F.explode(F.sequence(F.lit(0), F.col("k_above") - 1)).alias("j"), F.lit(False).alias("right"), "id", "n", "component")
-    below = squares.select("key", (F.col("band") + 1).alias("band"), F.col("k").alias("k_below"))
-    upper = own.join(below, ["key", "band"]).select(
-        "key", "lead", F.lit(1).alias("kind"), (F.col("band") - 1).alias("band"), F.explode(F.sequence(F.lit(0), F.col("k_below") - 1)).alias("x"), F.col("i").alias("j"), "id", "n", "component").select(
-        "key", "lead", "kind", "band", F.col("x").alias("i"), "j", F.lit(True).alias("right"), "id", "n", "component")
-    tiles = same.unionByName(lower).unionByName(upper)
+    rows = stage(entries.distinct().withColumn("band", _band(F.col("n"))), "banded")
+    # Squares per band: as many as keep a side at ``TILE`` sets and ``TILE_SHINGLES`` shingles on average.
+    k = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
+    own = rows.join(rows.groupBy("lead", "band").agg(k.alias("k")), ["lead", "band"])
+    own = stage(own.select("lead", "band", F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("i"), "id", "n", "component"), "own")
+    squares = stage(own.groupBy("lead", "band", "i").agg(F.min("component").alias("lo"), F.max("component").alias("hi")), "squares")
+    lower = squares.select("lead", "band", "i", F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"))
+
+    def pairs(kind: int) -> DataFrame:
+        other = squares.select("lead", (F.col("band") - kind).alias("band"), F.col("i").alias("j"), "lo", "hi")
+        found = lower.join(other, ["lead", "band"])
+        return (found if kind else found.where("i <= j")).withColumn("kind", F.lit(kind))
+
     # A tile whose sets are all of one component has nothing to compare.
-    place = ["lead", "kind", "band", "i", "j"]
-    where = [*place, "key"]
-    tiles = stage(tiles, "tiles")
-    mixed_tiles = tiles.groupBy(*where).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(*where)
-    tiles = tiles.join(mixed_tiles, where).join(sets.select("id", "bits"), "id")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at, seen = None, None, set()
-
-        def compared(tile: pa.Table) -> Iterator[pa.RecordBatch]:
-            nonlocal at, seen
-            here = tuple(tile[c][0].as_py() for c in place)
-            if here != at:
-                at, seen = here, set()
-            fresh = _compare_tile(tile) - seen
-            seen |= fresh
-            if fresh:
-                a, b = zip(*fresh, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    tiles = pairs(0).unionByName(pairs(1)).where(F.least("lo", "lo_i") != F.greatest("hi", "hi_i"))
+    tiles = stage(tiles.select(*PLACE), "tiles")
+    left = tiles.join(own, ["lead", "band", "i"]).withColumn("upper", F.lit(False))
+    right = (tiles.where("kind = 1 OR i < j").withColumn("at", F.col("band") + F.col("kind"))
+             .join(own.withColumnsRenamed({"band": "at", "i": "j"}), ["lead", "at", "j"]).withColumn("upper", F.lit(True)))
+    columns = [*PLACE, "upper", "id", "n", "component"]
+    return left.select(*columns).unionByName(right.select(*columns))
+
+
+def _tile_links(entries: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components of ``entries`` (lead, id, n, component) as far as sets in them are alike."""
+    doubtful = _each_tile(_tiles(entries).join(sets.select("id", "bits"), "id"), _in_doubt, MEMBER)
+    doubtful = stage(doubtful, "doubtful")
+    arrays = stage(_shingles(rows, sets, stage(doubtful.select("id").distinct(), "wanted")), "arrays")
+    return _each_tile(doubtful.join(arrays, "id"), _joining, "a bigint, b bigint").distinct()
+
 
+def _each_tile(members: DataFrame, judge: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``judge`` applied to the rows of each tile."""
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            marks = np.stack([held[c].to_numpy() for c in where], axis=1)
-            borders = np.concatenate([[0], np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1])
-            for low, high in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
-                yield from compared(held.slice(low, high - low))
-            held = held.slice(int(borders[-1]))
-        if held is not None and held.num_rows:
-            yield from compared(held)
-
-    pairs = (tiles.repartition(*[F.col(c) for c in place]).sortWithinPartitions(*where)
-             .mapInArrow(compare, "a bigint, b bigint"))
-    return pairs.distinct()
-
-
-def _compare_tile(tile: pa.Table) -> set[tuple[int, int]]:
-    """Pairs of a tile that may be alike, found a row of the tile at a time."""
-    ids, n, component = (tile[c].to_numpy() for c in ("id", "n", "component"))
-    right, kind = tile["right"].to_numpy(), tile["kind"][0].as_py()
-    square = kind == 0 and tile["i"][0].as_py() == tile["j"][0].as_py()
-    buffers = list(text_buffers(tile["bits"]))
-    size = min(map(len, buffers))
-    maps = np.concatenate([folded(b[None], size) for b in buffers]).view(np.uint64)
-    left_side, right_side = (np.arange(len(ids)),) * 2 if square else (np.flatnonzero(~right), np.flatnonzero(right))
-    found = set()
-    for x in left_side.tolist():
-        others = right_side[right_side > x] if square else right_side
-        others = others[component[others] != component[x]]
+            marks = np.stack([table[c].to_numpy() for c in PLACE], axis=1)
+            borders = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(marks)]
+            for low, high in zip(borders[:-1], borders[1:], strict=True):
+                part = table.slice(low, high - low)
+                if held and any(held[0][c][0] != part[c][0] for c in PLACE):
+                    yield from judge(pa.concat_tables(held)).to_batches()
+                    held = []
+                held.append(part)
+        if held:
+            yield from judge(pa.concat_tables(held)).to_batches()
+
+    return members.repartition(*[F.col(c) for c in PLACE]).sortWithinPartitions(*PLACE, "id").mapInArrow(judged, schema)
+
+
+def _sides(tile: pa.Table, maps: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows) of a tile that may be alike by their sizes and bitmaps; ``label`` is looked at as it is by then."""
+    n, upper = tile["n"].to_numpy(), tile["upper"].to_numpy()
+    within = tile["kind"][0].as_py() == 0 and tile["i"][0].as_py() == tile["j"][0].as_py()
+    left, right = (np.arange(len(n)),) * 2 if within else (np.flatnonzero(~upper), np.flatnonzero(upper))
+    for x in left.tolist():
+        others = right[right > x] if within else right
+        others = others[label[others] != label[x]]
         others = others[(n[others] * 100 >= n[x] * PERCENT) & (n[x] * 100 >= n[others] * PERCENT)]
         if len(others):
             differing = np.bitwise_count(maps[others] ^ maps[x]).sum(axis=1).astype(np.int64)
             others = others[may_be_alike(differing, n[others], np.full(len(others), n[x]))]
-            mine, theirs = int(ids[x]), ids[others].tolist()
-            found.update((mine, y) if mine < y else (y, mine) for y in theirs)
-    return found
+            if len(others):
+                yield x, others
+
+
+def _in_doubt(tile: pa.Table) -> pa.Table:
+    """The sets of a tile that may be like one of another component."""
+    buffers = list(text_buffers(tile["bits"]))
+    size = min(map(len, buffers))
+    maps = np.concatenate([folded(b[None], size) for b in buffers]).view(np.uint64)
+    doubt = np.zeros(len(buffers), bool)
+    for x, others in _sides(tile, maps, tile["component"].to_numpy()):
+        doubt[x] = True
+        doubt[others] = True
+    return tile.filter(pa.array(doubt)).select([*PLACE, "upper", "id", "n", "component"])
+
+
+def _joining(tile: pa.Table) -> pa.Table:
+    """Links (a, b) of a tile, each between two components that the links before have not joined."""
+    sets = [np.frombuffer(b.tobytes(), "<u8") for b in text_buffers(tile["shingles"])]
+    ids, n = tile["id"].to_numpy(), tile["n"].to_numpy()
+    label = tile["component"].to_numpy().copy()
+    bits = min(MAX_FINE_BITS, max(MIN_BITS, 1 << int(FINE * n.max() - 1).bit_length()))
+    maps = np.zeros((len(sets), bits // 8), np.uint8)
+    for row, shingles in zip(maps, sets, strict=True):
+        marks = np.zeros(bits, bool)
+        marks[(shingles >> np.uint64(40)).astype(np.int64) & (bits - 1)] = True
+        row[:] = np.packbits(marks, bitorder="little")
+    links = []
+    for x, others in _sides(tile, maps.view(np.uint64), label):
+        for y in others.tolist():
+            if label[x] != label[y] and (100 + PERCENT) * common(sets[x], sets[y]) >= PERCENT * int(n[x] + n[y]):
+                label[label == label[y]] = label[x]
+                links.append(sorted((int(ids[x]), int(ids[y]))))
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
 def _still_split(entries: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -407,8 +443,7 @@ def _set_components(rows: DataFrame) -> DataFrame:
         known = stage(components(links), "known")
         placed, split = _still_split(placed, known)
     if not split.isEmpty():
-        pairs = stage(_tiles(placed.join(small(split), "key"), sets).join(tested, ["a", "b"], "left_anti"), "second")
-        more = stage(_links(pairs, rows, sets, bounded=True), "links")
+        more = stage(_tile_links(placed.join(small(split), "key").select("lead", "id", "n", "component"), rows, sets), "links")
         if not more.isEmpty():
             known = stage(components(links.unionByName(more)), "known")
     return known.select(F.col("node").alias("id"), "component")
