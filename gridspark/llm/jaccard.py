@@ -11,8 +11,8 @@
    that their shingles reach, once each, and cut into tiles by size band (alike sets are in the same band
    or in neighbouring ones) and, where a band is crowded, by hash into squares of bounded size.
 5. In a tile, bitmaps of hashed shingles bound the overlap from above: every bit in which two differ
-   stands for a shingle that one set lacks. Sets that a bitmap leaves in doubt meet again in their tile
-   with their sorted shingles, which are intersected; of the links found there only those that join two
+   stands for a shingle that one set lacks. Sets that this leaves in doubt meet again in their tile with
+   bitmaps of more bits, and then with their sorted shingles, which are intersected; of the links found there only those that join two
    components leave it, so no tile gives out more links than it has sets.
 """
 
@@ -40,7 +40,7 @@ TILE_SHINGLES = 2_000_000
 # Further pivots that are tried before all pairs of components are.
 PIVOTS = 3
 MIN_BITS, MAX_BITS = 64, 1 << 15
-# Where the shingles themselves are at hand, bitmaps have so many bits for each.
+# Bitmaps of sets in doubt have so many bits for each shingle.
 FINE, MAX_FINE_BITS = 8, 1 << 22
 AT_ONCE = 2 << 20
 _TABLE = np.arange(256, dtype=np.uint8)
@@ -74,8 +74,8 @@ def prefix_size(n: np.ndarray | int):
     return n - (PERCENT * n + 99) // 100 + 1
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << int(len(shingles) - 1).bit_length()))
+def bitmap(shingles: np.ndarray, per_shingle: int = 1, most: int = MAX_BITS) -> bytes:
+    bits = min(most, max(MIN_BITS, 1 << int(per_shingle * len(shingles) - 1).bit_length()))
     out = np.zeros(bits, np.uint8)
     out[(shingles >> np.uint64(40)).astype(np.int64) & (bits - 1)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -258,16 +258,24 @@ def _overlap(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([common(np.frombuffer(x.tobytes(), "<u8"), np.frombuffer(y.tobytes(), "<u8")) for x, y in sides], pa.int64())
 
 
-def _shingles(rows: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, shingles) of the sets of these ids, from one text of each."""
+def _array(shingles: np.ndarray) -> bytes:
+    return shingles.astype("<u8").tobytes()
+
+
+def _fine(shingles: np.ndarray) -> bytes:
+    return bitmap(shingles, FINE, MAX_FINE_BITS)
+
+
+def _shingles(rows: DataFrame, sets: DataFrame, wanted: DataFrame, name: str = "shingles", form: Callable[[np.ndarray], bytes] = _array) -> DataFrame:
+    """(id, ``name``) of the sets of these ids, from one text of each: the shingles in this form."""
 
     @F.arrow_udf("binary")
-    def arrays(texts: pa.Array) -> pa.Array:
-        return pa.array([s.astype("<u8").tobytes() for _, some in _batched(texts) for s in some], pa.binary())
+    def formed(texts: pa.Array) -> pa.Array:
+        return pa.array([form(s) for _, some in _batched(texts) for s in some], pa.binary())
 
     chosen = stage(sets.join(small(wanted), "id", "left_semi").select("tag"), "chosen")
     texts = rows.select("tag", "id", F.col("row.text").alias("text")).join(small(chosen), "tag", "left_semi")
-    return texts.withColumn("shingles", arrays("text")).select("id", "shingles")
+    return texts.withColumn(name, formed("text")).select("id", name)
 
 
 def _links(pairs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -325,6 +333,8 @@ def _tile_links(entries: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFra
     """Links (a, b) that join the components of ``entries`` (lead, id, n, component) as far as sets in them are alike."""
     doubtful = _each_tile(_tiles(entries).join(sets.select("id", "bits"), "id"), _in_doubt, MEMBER)
     doubtful = stage(doubtful, "doubtful")
+    fine = stage(_shingles(rows, sets, stage(doubtful.select("id").distinct(), "wanted"), "bits", _fine), "fine")
+    doubtful = stage(_each_tile(doubtful.join(fine, "id"), _in_doubt, MEMBER), "doubtful")
     arrays = stage(_shingles(rows, sets, stage(doubtful.select("id").distinct(), "wanted")), "arrays")
     return _each_tile(doubtful.join(arrays, "id"), _joining, "a bigint, b bigint").distinct()
 
@@ -383,12 +393,9 @@ def _joining(tile: pa.Table) -> pa.Table:
     sets = [np.frombuffer(b.tobytes(), "<u8") for b in text_buffers(tile["shingles"])]
     ids, n = tile["id"].to_numpy(), tile["n"].to_numpy()
     label = tile["component"].to_numpy().copy()
-    bits = min(MAX_FINE_BITS, max(MIN_BITS, 1 << int(FINE * n.max() - 1).bit_length()))
-    maps = np.zeros((len(sets), bits // 8), np.uint8)
-    for row, shingles in zip(maps, sets, strict=True):
-        marks = np.zeros(bits, bool)
-        marks[(shingles >> np.uint64(40)).astype(np.int64) & (bits - 1)] = True
-        row[:] = np.packbits(marks, bitorder="little")
+    buffers = [np.frombuffer(_fine(shingles), np.uint8) for shingles in sets]
+    size = min(map(len, buffers))
+    maps = np.concatenate([folded(b[None], size) for b in buffers])
     links = []
     for x, others in _sides(tile, maps.view(np.uint64), label):
         for y in others.tolist():
