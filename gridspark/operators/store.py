@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
+from itertools import groupby
+from operator import itemgetter
 from urllib.parse import unquote
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gridspark.functions.axes import StepAxis, with_step_index
@@ -349,23 +354,105 @@ def outdated(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return join_on(mine, theirs, SLOT, "inner").where(F.col("_stored") > F.struct(*WRITE_ORDER)).select(*SLOT)
 
 
+# What Hive and Spark escape in the names of partition folders.
+_ESCAPED = {c: f"%{c:02X}" for c in [*range(1, 32), 127, *map(ord, "\"#%'*/:=?\\{[]^")]}
+
+
+def partition_folder(values: Sequence[str | None]) -> str:
+    """The folder of a partition, as Spark names it, from its values as text."""
+    named = [v.translate(_ESCAPED) if v else "__HIVE_DEFAULT_PARTITION__" for v in values]
+    return "/".join(f"{c}={v}" for c, v in zip(PARTITION, named, strict=True))
+
+
+def _hidden(name: str) -> str:
+    """The name of a file that is not to be seen yet."""
+    return f"_next.{name}"
+
+
+def _stage(path: str, run: str):
+    """Write the rows of a task, which are in the order of their folders, a file per folder, under names that no reader lists."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+        from pyspark import TaskContext
+
+        from gridspark.sources.files import new_file
+
+        name = f"part-{TaskContext.get().partitionId():05d}-{run}.parquet"
+        for folder, parts in groupby(pieces(batches), key=itemgetter(0)):
+            folder = partition_folder(folder)
+            with new_file(f"{path}/{folder}/{_hidden(name)}") as out:
+                writer, pending, held = None, [], 0
+                for _, part in parts:
+                    writer = writer or pq.ParquetWriter(out, part.schema)
+                    pending, held = [*pending, part], held + part.nbytes
+                    if held >= ROW_GROUP_BYTES:
+                        flush(writer, pending, held)
+                        pending, held = [], 0
+                if pending:
+                    flush(writer, pending, held)
+                writer.close()
+            yield pa.RecordBatch.from_pydict({"folder": [folder], "name": [name]})
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+        for batch in batches:
+            keys = list(zip(*(batch.column(f"_{c}").to_pylist() for c in PARTITION), strict=True))
+            rows = batch.select([c for c in batch.schema.names if c[1:] not in PARTITION])
+            start = 0
+            for key, same in groupby(keys):
+                n = len(list(same))
+                yield key, rows.slice(start, n)
+                start += n
+
+    def flush(writer, parts: list[pa.RecordBatch], held: int) -> None:
+        table = pa.Table.from_batches(parts)
+        writer.write_table(table, row_group_size=max(1, len(table) * ROW_GROUP_BYTES // max(1, held)))
+
+    return write
+
+
+def _replace(path: str):
+    """Per folder, whose files are in one task: what was there goes, the new files get their names. Doing it again changes nothing."""
+
+    def swap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from gridspark.sources.files import clear_folder, move_file
+
+        rows = pd.concat(list(batches) or [pd.DataFrame(columns=["folder", "name"])])
+        for folder, own in rows.groupby("folder"):
+            names = own["name"].tolist()
+            clear_folder(f"{path}/{folder}", {*names, *map(_hidden, names)})
+            for name in names:
+                move_file(f"{path}/{folder}/{_hidden(name)}", f"{path}/{folder}/{name}")
+        yield rows[["folder"]]
+
+    return swap
+
+
 def save(fields: DataFrame, path: str) -> None:
     """Replace the partitions that occur in ``fields``.
 
     A file holds up to ``MEMBERS_PER_FILE`` members of one band of one slot, which is
     also the most that one shuffle key can hold, so no task gets a huge share. Grids that come without
     their ``moments`` get them here.
+
+    Tasks write the files under hidden names; when all are there, each folder's old files go and the new ones get
+    their names, by the tasks as well: a store has a folder per slot, and neither its files nor its folders pass one by one through the driver.
     """
-    tasks = int(fields.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = fields.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     piece = [*PARTITION, "lat_start", F.floor(F.col("number") / MEMBERS_PER_FILE)]
     if "moments" not in fields.columns:
         fields = fields.withColumn("moments", moments.of("values"))
-    (fields.select(*IN_FILES.names)
-     .repartition(tasks, *piece)
-     .sortWithinPartitions(*PARTITION, "lat_start", "number")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .option("parquet.block.size", ROW_GROUP_BYTES)
-     .partitionBy(*PARTITION).parquet(path))
+    fs, where = hadoop_path(spark, path)
+    fs.mkdirs(where)
+    named = [f"_{c}" for c in PARTITION]
+    rows = (fields.select(*IN_FILES.names).repartition(tasks, *piece)
+            .select(*[c for c in IN_FILES.names if c not in PARTITION], *[F.col(c).cast("string").alias(f"_{c}") for c in PARTITION])
+            .sortWithinPartitions(*named, "lat_start", "number"))
+    with staging(spark, "save") as folder:
+        written = materialise(rows.mapInArrow(_stage(path, uuid.uuid4().hex), "folder string, name string"), "written", folder)
+        written.repartition(tasks, "folder").mapInPandas(_replace(path), "folder string").count()
+    spark.catalog.refreshByPath(path)
 
 
 def write_region(fields: DataFrame, path: str) -> None:

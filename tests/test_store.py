@@ -205,3 +205,22 @@ def test_the_last_release_stays_in_any_order(spark, tmp_path):
     assert [r["values"][0] for r in store.open_store(spark, path).collect()] == [9.0]
     store.write_region(writes[0], path)
     assert [r["values"][0] for r in store.open_store(spark, path).collect()] == [1.0]
+
+
+def test_tasks_write_and_replace_the_folders_that_spark_would_name(spark, tmp_path):
+    """No file goes through a committer on the driver; names, rows and what is replaced are as Spark has them."""
+    rows = fields(spark, ("t2m", 0, 0, 1, 0, "a"), ("t2m", 0, 1, 2, 0, "a"), ("a/b%c: {d", 1, 0, 3, 0, "b"), (None, 2, 0, 4, 0, "c"), ("", 1, 1, 5, 0, "d"))
+    here, there = tmp_path / "store", tmp_path / "spark"
+    rows.write.partitionBy(*store.PARTITION).parquet(str(there))
+
+    def folders(root):
+        return sorted({str(f.parent.relative_to(root)) for f in root.rglob("*.parquet") if f.name[0] not in "._"})
+
+    store.save(rows, str(here))
+    assert folders(here) == folders(there)
+    again = fields(spark, ("t2m", 0, 0, 9, 1, "e"))
+    store.save(again, str(here))
+    want = [(r.variable or None, r.step_index, r.number, r["values"][0]) for r in rows.where("NOT variable <=> 't2m'").collect()]
+    found = [(r.variable, r.step_index, r.number, r["values"][0]) for r in store.open_store(spark, str(here)).collect()]
+    assert sorted(map(str, found)) == sorted(map(str, [*want, ("t2m", 0, 0, 9.0)]))
+    assert folders(here) == folders(there) and [f for f in here.rglob("*") if f.is_file() and f.name[0] in "._"] == []
