@@ -249,9 +249,13 @@ def latest_fields(fields: DataFrame) -> DataFrame:
     twice = fields.groupBy(*SLOT).agg(F.count("*").alias("n")).where("n > 1")
     if twice.isEmpty():
         return fields
-    winner = latest(fields.select(*SLOT, *key), SLOT, key)
+    # The last release of a slot, and the last path of those released then: a maximum of a number is added up in a hash table, one of
+    # a struct or a text needs its rows sorted, so only those of the last releases come to it.
+    newest = fields.groupBy(*SLOT).agg(F.max("release_ts").alias("release_ts"))
+    last = join_on(fields, newest, [*SLOT, "release_ts"], "left_semi")
+    winner = last.groupBy(*SLOT, "release_ts").agg(F.max("source_path").alias("source_path"))
     # Identical replays of a file agree in every column.
-    return join_on(fields, winner, [*SLOT, *key], "left_semi").dropDuplicates(SLOT)
+    return join_on(last, winner, [*SLOT, *key], "left_semi").dropDuplicates(SLOT)
 
 
 def _problem(spec: StoreSpec, validate: str, given: Sequence[str]) -> Column:

@@ -224,3 +224,14 @@ def test_tasks_write_and_replace_the_folders_that_spark_would_name(spark, tmp_pa
     found = [(r.variable, r.step_index, r.number, r["values"][0]) for r in store.open_store(spark, str(here)).collect()]
     assert sorted(map(str, found)) == sorted(map(str, [*want, ("t2m", 0, 0, 9.0)]))
     assert folders(here) == folders(there) and [f for f in here.rglob("*") if f.is_file() and f.name[0] in "._"] == []
+
+
+def test_last_writes_are_those_of_a_maximum_over_release_and_path(spark):
+    rows = fields(spark, ("t2m", 0, 0, 1, 1, "b"), ("t2m", 0, 0, 2, 3, "a"), ("t2m", 0, 0, 3, 3, "c"), ("t2m", 0, 1, 4, 2, None),
+                  ("t2m", 0, 1, 5, 2, "x"), ("u10", 0, 0, 6, 0, "p"), ("u10", 0, 0, 7, 0, "q"), ("sp", 1, 0, 8, 5, "only"))
+    rows = rows.withColumn("release_ts", F.when(F.col("variable") != "u10", F.col("release_ts")))
+    found = store.latest_fields(rows)
+    assert {(r.variable, r.number, r["values"][0]) for r in found.collect()} == {("t2m", 0, 3.0), ("t2m", 1, 5.0), ("u10", 0, 7.0), ("sp", 0, 8.0)}
+    # Texts are only compared among the rows of the last release.
+    sorts = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "max(release_ts" in sorts and "max(struct(" not in sorts
