@@ -142,10 +142,10 @@ def reference_json_round_trip(t: Tables) -> DataFrame:
     files = refs.to_json(indexed).groupBy("ref_set").agg(F.map_from_entries(F.collect_list(entry)).alias("refs"))
     out = new_dir(t.spark, "refs")
     name = F.regexp_extract("ref_set", r"/(\d{8}_\d{2}/[^/]+)$", 1)
-    (files.select(F.regexp_replace(name, "/", "-").alias("set"), F.to_json(F.struct("refs")).alias("value"))
-     .repartition("set").write.partitionBy("set").text(out))
-    listed = [r[0] for r in t.spark.read.format("binaryFile").load(out).select("path").collect()]
-    opened = refs.parse_entries(refs.load_json(t.spark, listed).select("ref_set", "chunk_key", F.coalesce(
+    # A folder per file, so that the listing is shared by tasks.
+    put_texts(files.select(F.concat(F.lit(f"{out}/set="), F.regexp_replace(name, "/", "-"), F.lit("/refs.json")).alias("path"),
+                           F.to_json(F.struct("refs")).alias("content")))
+    opened = refs.parse_entries(refs.load_json(t.spark, out).select("ref_set", "chunk_key", F.coalesce(
         "inline", F.to_json(F.array("path", F.col("offset").cast("string"), F.col("length").cast("string")))).alias("entry")))
     from gridspark.operators.ranking import concat_index
     rows = concat_index(opened, "ref_set")

@@ -328,3 +328,17 @@ def test_report_keeps_every_row(spark, tmp_path):
 
 def test_manifest_helper_is_pretty_printed():
     assert manifest("a", "t2m", 1, "/x").count("\n") == 8
+
+
+def test_reference_files_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    """A file per payload file, without a Spark writer per folder and without their names in the driver."""
+    from gridspark.plans import roundtrips
+    from gridspark.plans.registry import Tables
+
+    spark.createDataFrame([(v, [float(v)] * 64, v % 3) for v in range(120)], "vec_id long, embedding array<float>, label int").write.parquet(
+        f"{tmp_path}/embeddings.parquet")
+    counts, put = [], roundtrips.put_texts
+    monkeypatch.setattr(roundtrips, "put_texts", lambda files: counts.append(put(files)) or counts[-1])
+    rows = roundtrips.reference_json_round_trip(Tables(spark, str(tmp_path))).collect()
+    assert counts == [9] and sum(r.n_refs for r in rows) == 120 and sum(r.n_bytes for r in rows) == 120 * 256
+    assert sorted(r.concat_index for r in rows) == list(range(9))
