@@ -63,23 +63,25 @@ class _Follower(StatefulProcessor):
         self.missed = handle.getMapState("missed_by_hour", BUCKET, MISSED, self.forget_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = tuple(self.file.get()) if self.file.exists() else (None, None, None, None, None, 0, 0, 0, None)
+        # A call of the state is a round trip to the JVM, and a file comes in every batch in which it is polled: as few as can be.
+        known = tuple(self.file.get() or (None, None, None, None, None, 0, 0, 0, None))
         variable, hour, step, release, visible, na_polls, revision, settled, newest = known
         closed, last = self._closed(newest), newest
         fresh, first = {}, visible
         # The rows of a key come in several parts and in any order.
         for part in rows:
-            for m in part[part["is_manifest"]].itertuples(index=False):
-                # The newest manifest of a file counts, whenever it is read.
-                told = (int(m.at_us), m.variable, int(m.forecast_hour), int(m.step_index))
-                if release is None or told > (release, variable, hour, step):
-                    release, variable, hour, step = told
-            for m in part[~part["is_manifest"]].itertuples(index=False):
-                last = int(m.newest_us) if last is None else max(last, int(m.newest_us))
-                if not m.seen:
-                    fresh.setdefault(int(m.bucket), []).append(bytes(m.misses))
-                elif (closed is None or m.bucket >= closed) and (first is None or m.at_us < first):
-                    first = int(m.at_us)
+            for is_manifest, var, at_hour, at_step, at_us, seen, bucket, newest_us, misses in zip(*(part[c].tolist() for c in _COLUMNS), strict=True):
+                if is_manifest:
+                    # The newest manifest of a file counts, whenever it is read.
+                    told = (int(at_us), var, int(at_hour), int(at_step))
+                    if release is None or told > (release, variable, hour, step):
+                        release, variable, hour, step = told
+                    continue
+                last = int(newest_us) if last is None else max(last, int(newest_us))
+                if not seen:
+                    fresh.setdefault(int(bucket), []).append(bytes(misses))
+                elif (closed is None or bucket >= closed) and (first is None or at_us < first):
+                    first = int(at_us)
         if first != visible:
             na_polls = settled + self._before(first)
         for bucket, packed in fresh.items():

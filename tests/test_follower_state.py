@@ -103,3 +103,19 @@ def test_settled_hours_are_a_number():
     assert feed(f, [START + 30_000_000], np.array([np.nan])) is None
     event = feed(f, [at[-1] + 1, at[-1] - 30_000_000], np.array([1.0, 2.0]))
     assert event.na_poll_count == 600 and event.latency_ms == (at[-1] - 30_000_000 - START) // 1000
+
+
+def test_a_batch_reads_and_writes_the_row_of_a_file_once():
+    calls = []
+
+    class Counted(Value):
+        def __getattribute__(self, name):
+            if name in ("exists", "get", "update"):
+                calls.append(name)
+            return super().__getattribute__(name)
+
+    f = follower()
+    row, f.file = f.file.row, Counted()
+    f.file.row = row
+    assert feed(f, np.array([START + 5, START + 9]), np.array([np.nan, 1.0]))["na_poll_count"] == 1
+    assert calls == ["get", "update"]
