@@ -36,6 +36,7 @@ MISSED = T.StructType([T.StructField("n", T.LongType()), T.StructField("times",
 # What the polls of a batch come to before the shuffle: a row per file with its earliest value, and one per hour with misses.
 REDUCED = ("file_id string, is_manifest boolean, variable string, forecast_hour int, step_index int, "
            "at_us bigint, seen boolean, bucket bigint, newest_us bigint, misses binary")
+_COLUMNS = ["is_manifest", "variable", "forecast_hour", "step_index", "at_us", "seen", "bucket", "newest_us", "misses"]
 
 
 def pack(times: np.ndarray) -> bytes:
