@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -30,7 +30,9 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 # Parts and pre-tokens remembered by a worker, and the longest that are.
-REMEMBERED, PARTS_REMEMBERED, LONGEST = 120_000, 400_000, 48
+REMEMBERED, PARTS_REMEMBERED, LONGEST = 120_000, 800_000, 48
+# A pattern's alternative that takes a space and letters as one pre-token.
+WORD = r" ?\p{L}+"
 # Bytes of text taken apart, of pre-tokens merged and of parts hashed at once, unless one is longer.
 TEXT_BYTES, MERGE_BYTES, HASH_BYTES = 4 << 20, 1 << 20, 1 << 19
 
@@ -133,13 +135,19 @@ class Merger:
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of every pre-token, as little-endian unsigned 32-bit integers."""
-        n = sum(map(len, pieces))
-        if not n:
-            return [b""] * len(pieces)
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        piece = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
+        ids, count = self.merge_flat(np.frombuffer(b"".join(pieces), np.uint8), lengths)
+        blob, cuts = ids.tobytes(), [0, *(np.cumsum(count) * 4).tolist()]
+        return [blob[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def merge_flat(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens that lie end to end in ``data``, end to end as well, and how many each has."""
+        n = len(data)
+        if not n:
+            return np.empty(0, "<u4"), np.zeros(len(lengths), np.int64)
+        piece = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         # Position n stands for "nothing there".
-        token = np.append(self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)], np.int32(-1))
+        token = np.append(self.byte_ids[data], np.int32(-1))
         after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         full = lengths > 0
         ends = np.cumsum(lengths)[full]
@@ -158,9 +166,8 @@ class Merger:
             if len(pos):
                 self._merge_rank(queue, r, pos, token, after, before, rank, piece, n)
         alive = after[:n] != -1
-        ids = token[:n][alive].astype("<u4").tobytes()
-        counts = np.concatenate([[0], np.cumsum(alive)])[np.concatenate([[0], np.cumsum(lengths)])] * 4
-        return [ids[a:b] for a, b in zip(counts[:-1].tolist(), counts[1:].tolist(), strict=True)]
+        before_each = np.concatenate([[0], np.cumsum(alive)])[np.concatenate([[0], np.cumsum(lengths)])]
+        return token[:n][alive].astype("<u4"), np.diff(before_each)
 
     @staticmethod
     def _push(queue: RankQueue, at: np.ndarray, ranks: np.ndarray) -> None:
@@ -251,33 +258,71 @@ def _hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
     return mixed(np.add.reduceat(data * power_table(int(lengths.max()))[place], starts) + lengths.astype(np.uint64))
 
 
+def _plain(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which parts the bytes show to be letters, ASCII ones and those of U+00C0 to U+00FF, after a space or none."""
+    fits = _LETTER[data] | (data == 0xC3)
+    fits[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0xC0) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    fits[starts] |= (data[starts] == 32) & (lengths > 1)
+    return np.logical_and.reduceat(fits, starts)
+
+
 class Parts:
     """Parts of texts seen before: their bytes and their ids, found by hash and then compared."""
 
     def __init__(self):
-        self.hashes = np.empty(0, np.uint64)  # sorted
-        self.at = np.empty(0, np.int64)  # row of each hash in the tables below
-        self.data, self.first, self.length = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.ids, self.first_id, self.count = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.hashes = np.empty(0, np.uint64)
+        self.bits = 12
+        self.table = np.full(1 << self.bits, -1, np.int32)  # rows, by hash; half full at most
+        self.data, self.first, self.length = np.empty(0, np.uint8), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.ids, self.first_id, self.count = np.empty(0, "<u4"), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.own = 0, 0  # parts and bytes there from the start
+
+    def copy(self) -> "Parts":
+        other = Parts()
+        other.__dict__.update(self.__dict__, table=self.table.copy(), own=(len(self.length), len(self.data)))
+        return other
+
+    def seen(self) -> tuple[int, int]:
+        """How many parts were added since the copy was made, and their bytes."""
+        return len(self.length) - self.own[0], len(self.data) - self.own[1]
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The row of each hash, -1 if there is none."""
         if not len(self.hashes):
-            return np.full(len(hashes), -1)
-        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[place] == hashes, self.at[place], -1)
-
-    def add(self, hashes: np.ndarray, parts: list[bytes], ids: list[bytes]) -> None:
-        row = len(self.length) + np.arange(len(parts))
-        length, count = np.array([len(x) for x in parts], np.int64), np.array([len(x) // 4 for x in ids], np.int64)
-        self.first = np.concatenate([self.first, len(self.data) + np.cumsum(length) - length])
-        self.first_id = np.concatenate([self.first_id, len(self.ids) + np.cumsum(count) - count])
-        self.length, self.count = np.concatenate([self.length, length]), np.concatenate([self.count, count])
-        self.data = np.concatenate([self.data, np.frombuffer(b"".join(parts), np.uint8)])
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")])
-        hashes, at = np.concatenate([self.hashes, hashes]), np.concatenate([self.at, row])
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.at = hashes[order], at[order]
+            return np.full(len(hashes), -1, np.int32)
+        slot = self._slot(hashes)
+        rows = self.table[slot]
+        todo = np.flatnonzero((rows >= 0) & (self.hashes[rows] != hashes))
+        slot = slot[todo]
+        while len(todo):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            there = self.table[slot]
+            rows[todo] = there
+            on = (there >= 0) & (self.hashes[there] != hashes[todo])
+            todo, slot = todo[on], slot[on]
+        return rows
+
+    def add(self, hashes: np.ndarray, data: np.ndarray, length: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """Parts with hashes that differ and are not there yet; bytes and ids lie end to end."""
+        rows = np.arange(len(self.length), len(self.length) + len(length), dtype=np.int32)
+        self.first = np.concatenate([self.first, (len(self.data) + np.cumsum(length) - length).astype(np.int32)])
+        self.first_id = np.concatenate([self.first_id, (len(self.ids) + np.cumsum(count) - count).astype(np.int32)])
+        self.length, self.count = np.concatenate([self.length, length.astype(np.int32)]), np.concatenate([self.count, count.astype(np.int32)])
+        self.data, self.ids = np.concatenate([self.data, data]), np.concatenate([self.ids, ids])
+        self.hashes = np.concatenate([self.hashes, hashes])
+        if 2 * len(self.hashes) > len(self.table):
+            self.bits = int(2 * len(self.hashes) - 1).bit_length()
+            self.table = np.full(1 << self.bits, -1, np.int32)
+            rows = np.arange(len(self.hashes), dtype=np.int32)
+        slot = self._slot(self.hashes[rows])
+        while len(rows):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = rows[free]  # of several rows for a slot, the last one gets it
+            on = self.table[slot] != rows
+            rows, slot = rows[on], (slot[on] + 1) & ((1 << self.bits) - 1)
 
 
 def _expand(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -292,40 +337,71 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.merger, self.pattern = Merger(ranks), regex.compile(pattern)
         self.whole = {token: np.array([rank], "<u4").tobytes() for token, rank in ranks.items()}
-        self.parts, self.tokens = Parts(), {}
-
-    def _encode_tokens(self, wanted: Iterable[str]) -> dict[str, bytes]:
-        """Ids of pre-tokens; one that is a token as a whole is that token."""
-        out, texts, pieces, held = {}, [], [], 0
-
-        def flush():
-            out.update(zip(texts, self.merger.merge(pieces), strict=True))
-            texts.clear()
-            pieces.clear()
-
-        for text in wanted:
-            data = text.encode()
-            if (ids := self.whole.get(data)) is not None:
-                out[text] = ids
-                continue
-            texts.append(text)
-            pieces.append(data)
-            held += len(data)
-            if held > MERGE_BYTES:
-                flush()
-                held = 0
-        flush()
-        return out
-
-    def _encode_parts(self, parts: list[bytes]) -> list[bytes]:
-        """Ids of distinct parts: cut by the pattern, the pre-tokens not known yet merged together."""
+        # Letters after a space or none are one pre-token if all that the pattern tries before starts with an apostrophe.
+        tried = pattern.split("|")
+        self.words = WORD in tried and all(x.startswith("'") for x in tried[:tried.index(WORD)])
+        self.vocabulary = self._vocabulary(ranks) if self.words else Parts()
+        self.parts, self.tokens = self.vocabulary.copy(), {}
+
+    def _vocabulary(self, ranks: dict[bytes, int]) -> Parts:
+        """The tokens that may be a plain part: such a part is that token, whatever its merges give."""
+        lengths = np.array([len(x) for x in ranks], np.int64)
+        data, starts, ids = np.frombuffer(b"".join(ranks), np.uint8), np.cumsum(lengths) - lengths, np.array(list(ranks.values()), "<u4")
+        hashes = _hashes(data, starts, lengths)
+        plain = np.flatnonzero(_plain(data, starts, lengths))
+        # Of tokens with one hash the others are found to differ, as all parts are compared.
+        own = plain[np.unique(hashes[plain], return_index=True)[1]]
+        known = Parts()
+        known.add(hashes[own], data[_expand(starts[own], lengths[own])], lengths[own], ids[own], np.ones(len(own), np.int64))
+        return known
+
+    def _merged(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens that lie end to end, about ``MERGE_BYTES`` merged at once; the more at once, the fewer steps per rank."""
+        ends = np.cumsum(lengths)
+        if len(data) <= MERGE_BYTES:
+            return self.merger.merge_flat(data, lengths)
+        cuts = np.unique([0, *np.searchsorted(ends, np.arange(MERGE_BYTES, len(data), MERGE_BYTES), "right"), len(lengths)])
+        found = [self.merger.merge_flat(data[ends[low] - lengths[low]:ends[high - 1]], lengths[low:high])
+                 for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+    def _encode_parts(self, parts: list[bytes], data: np.ndarray, lengths: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Ids of distinct parts, cut by the pattern, and of the plain words in ``data``: all that is not known yet is merged together.
+
+        A pre-token that is a token as a whole is that token; no plain word is one.
+        """
         cut = [self.pattern.findall(part.decode()) for part in parts]
         if len(self.tokens) > REMEMBERED:
             self.tokens = {}
-        new = self._encode_tokens(set(chain.from_iterable(cut)) - self.tokens.keys())
-        self.tokens.update((k, v) for k, v in new.items() if len(k) <= LONGEST)
-        known = self.tokens
-        return [b"".join([new[x] if x in new else known[x] for x in own]) for own in cut]
+        known, new, texts, pieces = self.tokens, {}, [], []
+        for text in set(chain.from_iterable(cut)) - known.keys():
+            if (ids := self.whole.get(piece := text.encode())) is not None:
+                new[text] = ids
+            else:
+                texts.append(text)
+                pieces.append(piece)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ids, count = self._merged(np.concatenate([data, np.frombuffer(b"".join(pieces), np.uint8)]), np.concatenate([lengths, sizes]))
+        own = int(count[:len(lengths)].sum())
+        blob, cuts = ids[own:].tobytes(), [0, *(np.cumsum(count[len(lengths):]) * 4).tolist()]
+        new.update((x, blob[a:b]) for x, a, b in zip(texts, cuts[:-1], cuts[1:], strict=True))
+        known.update((k, v) for k, v in new.items() if len(k) <= LONGEST)
+        return [b"".join([new[x] if x in new else known[x] for x in own_cut]) for own_cut in cut], ids[:own], count[:len(lengths)]
+
+    def _encode_new(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct parts, none of them a plain token of the vocabulary: plain words need no pattern."""
+        starts = np.cumsum(lengths) - lengths
+        plain = _plain(data, starts, lengths) if self.words else np.zeros(len(lengths), bool)
+        word, other = np.flatnonzero(plain), np.flatnonzero(~plain)
+        parts = [data[a:a + n].tobytes() for a, n in zip(starts[other].tolist(), lengths[other].tolist(), strict=True)]
+        count = np.empty(len(lengths), np.int64)
+        blobs, ids, count[word] = self._encode_parts(parts, data[_expand(starts[word], lengths[word])], lengths[word])
+        count[other] = [len(x) // 4 for x in blobs]
+        # Back to the order of the parts.
+        order = np.concatenate([word, other])
+        first = np.empty(len(lengths), np.int64)
+        first[order] = np.cumsum(count[order]) - count[order]
+        return np.concatenate([ids, np.frombuffer(b"".join(blobs), "<u4")])[_expand(first, count)], count
 
     def encode(self, texts: list[np.ndarray]) -> list[bytes]:
         """Ids of every text, given as UTF-8 bytes, as little-endian unsigned 32-bit integers."""
@@ -343,21 +419,23 @@ class Encoder:
         rows = self.parts.find(hashes)
         missing = np.flatnonzero(rows < 0)
         if len(missing):
-            if len(self.parts.length) > PARTS_REMEMBERED:
-                self.parts = Parts()
-                missing = np.arange(len(rows))
+            if self.parts.seen()[0] > PARTS_REMEMBERED:
+                self.parts = self.vocabulary.copy()
+                rows = self.parts.find(hashes)
+                missing = np.flatnonzero(rows < 0)
             fresh, at = np.unique(hashes[missing], return_index=True)
             own = missing[at]
-            parts = [data[a:a + n].tobytes() for a, n in zip(starts[own].tolist(), lengths[own].tolist(), strict=True)]
-            self.parts.add(fresh, parts, self._encode_parts(parts))
-            rows = self.parts.find(hashes)
+            new = data[_expand(starts[own], lengths[own])]
+            self.parts.add(fresh, new, lengths[own], *self._encode_new(new, lengths[own]))
+            rows[missing] = self.parts.find(hashes[missing])
         known = self.parts
-        ids, count = known.ids, known.count[rows].copy()
-        first = known.first_id[rows]
+        ids, count = known.ids, known.count[rows].astype(np.int64)
+        first = known.first_id[rows].astype(np.int64)
         odd = self._different(data, starts, lengths, rows)
         if len(odd):
             # Two parts with one hash: these are encoded by themselves.
-            own = self._encode_parts([data[a:a + n].tobytes() for a, n in zip(starts[odd].tolist(), lengths[odd].tolist(), strict=True)])
+            own, _, _ = self._encode_parts([data[a:a + n].tobytes() for a, n in zip(starts[odd].tolist(), lengths[odd].tolist(), strict=True)],
+                                           data[:0], lengths[:0])
             count[odd] = [len(x) // 4 for x in own]
             first[odd] = len(ids) + np.cumsum(count[odd]) - count[odd]
             ids = np.concatenate([ids, np.frombuffer(b"".join(own), "<u4")])
@@ -366,8 +444,8 @@ class Encoder:
         # The parts of a text are those that start in it.
         text_ends = np.searchsorted(starts, np.cumsum(sizes))
         cuts = [0, *(ends[text_ends] * 4).tolist()]
-        if len(known.data) > 16 * PARTS_REMEMBERED:
-            self.parts = Parts()
+        if known.seen()[1] > 16 * PARTS_REMEMBERED:
+            self.parts = self.vocabulary.copy()
         return [out[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def _different(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:

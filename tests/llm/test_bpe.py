@@ -83,6 +83,25 @@ def test_other_ranks_than_trained_ones():
         assert [np.frombuffer(x, "<u4").tolist() for x in encoded(mine, texts)] == [theirs.encode_ordinary(t) for t in texts]
 
 
+def test_plain_words_are_merged_where_they_lie(monkeypatch):
+    """Words of letters go to the merger without the pattern, each once, and a token as a whole stays that token."""
+    encoder, cut = Encoder(RANKS, public_tokenizers.PATTERN), []
+    parts = encoder._encode_parts
+    monkeypatch.setattr(encoder, "_encode_parts", lambda some, *words: cut.extend(some) or parts(some, *words))
+    monkeypatch.setattr(bpe, "MERGE_BYTES", 50)
+    random.seed(6)
+    words = ["".join(random.choice("abcéüß") for _ in range(random.randrange(1, 9))) for _ in range(300)]
+    check(encoder, [" ".join(words), "\u00d7a b\u00d7 c\u00f7d \u00aa \u00b5x \u00c3\u00d7", "I'll d'un ' s 's", " the The  the", "\u00ff\u00c0 \u0100 x1 \u4e2d"])
+    assert not {w.encode() for w in words} & {p.strip() for p in cut}
+    for _ in range(20):
+        ranks = {bytes([b]): b for b in range(256)}
+        tokens = list({bytes(random.choice(b" abc") for _ in range(random.randrange(2, 6))) for _ in range(60)})
+        ranks |= {t: 256 + i for i, t in enumerate(random.sample(tokens, len(tokens)))}
+        theirs = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        texts = ["".join(random.choice("aabbcc ") for _ in range(random.randrange(200))) for _ in range(10)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoded(Encoder(ranks, public_tokenizers.PATTERN), texts)] == [theirs.encode_ordinary(t) for t in texts]
+
+
 def test_queue_gives_the_lowest_rank():
     random.seed(3)
     queue, held = RankQueue(300_000), []
