@@ -49,12 +49,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     about as many rounds as the logarithm of the longest path; that tasks make stars of ``EDGES`` edges
     each first shortens the paths. A round takes a minimum per node, which
     is combined before the shuffle, and a join that splits the edges of a hub; nothing is gathered. Every
-    round is staged.
+    round is staged. ``edges`` is counted first, so it should be a written table.
     """
-    links = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    # A round has no more edges than the one before: each of the larger neighbours is handed on once.
+    size = 2 * edges.count()
+    links = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", size)
     count = links.count()
     if count:
-        links = stage(links.repartition(-(-count // EDGES)).mapInArrow(_stars, "a bigint, b bigint").distinct(), "links")
+        links = stage(links.repartition(-(-count // EDGES)).mapInArrow(_stars, "a bigint, b bigint").distinct(), "links", size)
     before = _state(links)
     for _ in range(rounds):
         if not before[0]:
@@ -63,11 +65,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = stage(large, "large")
+        large = stage(large, "large", size)
         # The smaller neighbours of a node, and the node, to the smallest of them.
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = stage(moved.unionByName(lowest.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "links")
+        links = stage(moved.unionByName(lowest.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "links", size)
         now = _state(links)
         if now == before:
             break

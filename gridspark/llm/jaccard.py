@@ -42,6 +42,8 @@ PIVOTS = 3
 MIN_BITS, MAX_BITS = 64, 1 << 15
 # Bitmaps of sets in doubt have so many bits for each shingle.
 FINE, MAX_FINE_BITS = 8, 1 << 22
+# Shingles of a pair's sets that take as much room as a narrow row.
+ROW_SHINGLES = 5
 AT_ONCE = 2 << 20
 _TABLE = np.arange(256, dtype=np.uint8)
 _TABLE[65:91] += 32
@@ -273,21 +275,23 @@ def _shingles(rows: DataFrame, sets: DataFrame, wanted: DataFrame, name: str = "
     def formed(texts: pa.Array) -> pa.Array:
         return pa.array([form(s) for _, some in _batched(texts) for s in some], pa.binary())
 
-    chosen = stage(sets.join(small(wanted), "id", "left_semi").select("tag"), "chosen")
+    chosen = stage(sets.join(small(wanted), "id", "left_semi").select("tag"), "chosen", sets.count())
     texts = rows.select("tag", "id", F.col("row.text").alias("text")).join(small(chosen), "tag", "left_semi")
     return texts.withColumn(name, formed("text")).select("id", name)
 
 
 def _links(pairs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` (staged, a < b) that are alike: bitmaps first, then arrays."""
+    """The (a, b) of ``pairs`` (staged, a < b) that are alike, staged: bitmaps first, then arrays."""
     side = lambda x, table, *columns: table.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
     maybe = pairs.join(side("a", sets, "n", "bits"), "a").join(side("b", sets, "n", "bits"), "b")
     maybe = maybe.where(_bound("bits_a", "bits_b", "n_a", "n_b"))
-    maybe = stage(maybe.select("a", "b", "n_a", "n_b"), "maybe")
-    wanted = stage(maybe.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    maybe = stage(maybe.select("a", "b", "n_a", "n_b"), "maybe", pairs.count() + sets.count())
+    count, shingles = maybe.agg(F.count("*"), F.sum(F.col("n_a") + F.col("n_b"))).first()
+    wanted = stage(maybe.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted", 2 * count)
     arrays = stage(_shingles(rows, sets, wanted), "arrays")
     whole = maybe.join(side("a", arrays, "shingles"), "a").join(side("b", arrays, "shingles"), "b").withColumn("overlap", _overlap("shingles_a", "shingles_b"))
-    return whole.where((100 + PERCENT) * F.col("overlap") >= PERCENT * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    alike = whole.where((100 + PERCENT) * F.col("overlap") >= PERCENT * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return stage(alike, "links", count + (shingles or 0) // ROW_SHINGLES)
 
 
 def _band(n: Column) -> Column:
@@ -299,19 +303,19 @@ PLACE = ["lead", "kind", "band", "i", "j"]
 MEMBER = "lead bigint, kind int, band int, i int, j int, upper boolean, id bigint, n bigint, component bigint"
 
 
-def _tiles(entries: DataFrame) -> DataFrame:
-    """The sets of every tile (``MEMBER``), from ``entries`` (lead, id, n, component).
+def _tiles(entries: DataFrame, size: int) -> DataFrame:
+    """The sets of every tile (``MEMBER``), from ``entries`` (lead, id, n, component), ``size`` rows at most.
 
     Sets that are nearly alike meet in many shingles. ``lead``, the smallest component of a shingle, is
     much the same for these, so sets meet by it and not by the shingle, once each. Tile (i, j) of kind 0 is
     square i against square j of a band, of kind 1 against square j of the band above (whose sets are ``upper``).
     """
-    rows = stage(entries.distinct().withColumn("band", _band(F.col("n"))), "banded")
+    rows = stage(entries.distinct().withColumn("band", _band(F.col("n"))), "banded", size)
     # Squares per band: as many as keep a side at ``TILE`` sets and ``TILE_SHINGLES`` shingles on average.
     k = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
     own = rows.join(rows.groupBy("lead", "band").agg(k.alias("k")), ["lead", "band"])
-    own = stage(own.select("lead", "band", F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("i"), "id", "n", "component"), "own")
-    squares = stage(own.groupBy("lead", "band", "i").agg(F.min("component").alias("lo"), F.max("component").alias("hi")), "squares")
+    own = stage(own.select("lead", "band", F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("i"), "id", "n", "component"), "own", size)
+    squares = stage(own.groupBy("lead", "band", "i").agg(F.min("component").alias("lo"), F.max("component").alias("hi")), "squares", size)
     lower = squares.select("lead", "band", "i", F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"))
 
     def pairs(kind: int) -> DataFrame:
@@ -329,9 +333,9 @@ def _tiles(entries: DataFrame) -> DataFrame:
     return left.select(*columns).unionByName(right.select(*columns))
 
 
-def _tile_links(entries: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
+def _tile_links(entries: DataFrame, rows: DataFrame, sets: DataFrame, size: int) -> DataFrame:
     """Links (a, b) that join the components of ``entries`` (lead, id, n, component) as far as sets in them are alike."""
-    doubtful = _each_tile(_tiles(entries).join(sets.select("id", "bits"), "id"), _in_doubt, MEMBER)
+    doubtful = _each_tile(_tiles(entries, size).join(sets.select("id", "bits"), "id"), _in_doubt, MEMBER)
     doubtful = stage(doubtful, "doubtful")
     fine = stage(_shingles(rows, sets, stage(doubtful.select("id").distinct(), "wanted"), "bits", _fine), "fine")
     doubtful = stage(_each_tile(doubtful.join(fine, "id"), _in_doubt, MEMBER), "doubtful")
@@ -405,14 +409,14 @@ def _joining(tile: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
-def _still_split(entries: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, id, n, component) of the entries, and (key, lead) of the shingles with several components."""
+def _still_split(entries: DataFrame, known: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(key, id, n, component) of the entries, ``size`` at most, and (key, lead) of the shingles with several components."""
     placed = entries.select("key", "id", "n").join(small(known), F.col("id") == F.col("node"), "left")
     placed = placed.select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     groups = placed.groupBy("key").agg(F.min("component").alias("lead"), F.max("component").alias("hi"))
-    split = stage(groups.where("lead <> hi").select("key", "lead"), "split")
+    split = stage(groups.where("lead <> hi").select("key", "lead"), "split", size)
     # Shingles of one component are done with.
-    return stage(placed.join(small(split.select("key")), "key", "left_semi"), "placed"), split
+    return stage(placed.join(small(split.select("key")), "key", "left_semi"), "placed", size), split
 
 
 def _set_components(rows: DataFrame) -> DataFrame:
@@ -421,52 +425,53 @@ def _set_components(rows: DataFrame) -> DataFrame:
     # One row per set; equal sets have equal columns, and the first text stands for all.
     sets = stage(rows.where("n > 0").groupBy("id").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("tag").alias("tag")), "sets")
     # First round: the smallest set of a shingle against the others.
+    size = entries.count() + sets.count()
     crowded = entries.where("pivot IS NULL").select("key", "id", "n")
     pivots = (crowded.groupBy("key").agg(F.min(F.struct("n", "id")).alias("p"), F.count("*").alias("sets")).where("sets > 1")
               .select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), "sets"))
-    met = crowded.join(small(stage(pivots, "pivots")), "key").where("id <> pivot")
-    entries = entries.where("pivot IS NOT NULL").unionByName(stage(met, "crowded"))
+    met = crowded.join(small(stage(pivots, "pivots", size)), "key").where("id <> pivot")
+    entries = entries.where("pivot IS NOT NULL").unionByName(stage(met, "crowded", size))
     first = entries.where(_sizes_fit("n", "pivot_n")).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-    tested = stage(first.distinct(), "first")
-    links = stage(_links(tested, rows, sets), "links")
-    known = stage(components(links), "known")
+    tested = stage(first.distinct(), "first", size)
+    links = _links(tested, rows, sets)
+    known = stage(components(links), "known", size)
     # Second round: what is still in several components. All pairs with the pivot have been compared.
     # Other pivots come first, so that a group whose members are not all like its smallest one falls
     # together before pairs are made.
-    placed, split = _still_split(entries.where("sets > 2"), known)
+    placed, split = _still_split(entries.where("sets > 2"), known, size)
     for again in range(PIVOTS):
         if split.isEmpty():
             break
         key = F.struct(F.xxhash64(F.lit(again), "id").alias("h"), "id", "n", "component")
         other = (placed.join(small(split.select("key")), "key", "left_semi").groupBy("key").agg(F.min(key).alias("p"))
                  .select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.component").alias("pivot_component")))
-        tries = placed.join(small(stage(other, "pivots")), "key").where((F.col("component") != F.col("pivot_component")) & _sizes_fit("n", "pivot_n"))
+        tries = placed.join(small(stage(other, "pivots", size)), "key").where((F.col("component") != F.col("pivot_component")) & _sizes_fit("n", "pivot_n"))
         pairs = stage(tries.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-                      .join(tested, ["a", "b"], "left_anti"), "again")
-        found = stage(_links(pairs, rows, sets), "links")
+                      .join(tested, ["a", "b"], "left_anti"), "again", size)
+        found = _links(pairs, rows, sets)
         if found.isEmpty():
             break
         links, tested = links.unionByName(found), tested.unionByName(pairs)
-        known = stage(components(links), "known")
-        placed, split = _still_split(placed, known)
+        known = stage(components(links), "known", size)
+        placed, split = _still_split(placed, known, size)
     if not split.isEmpty():
-        more = stage(_tile_links(placed.join(small(split), "key").select("lead", "id", "n", "component"), rows, sets), "links")
+        more = stage(_tile_links(placed.join(small(split), "key").select("lead", "id", "n", "component"), rows, sets, size), "links")
         if not more.isEmpty():
-            known = stage(components(links.unionByName(more)), "known")
+            known = stage(components(links.unionByName(more)), "known", size)
     return known.select(F.col("node").alias("id"), "component")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """Every row (``tag, row``) with n_shingles, component_id and kept (see ``near_duplicates``)."""
     rows = stage(_described(tagged(docs)), "described")
-    linked = _set_components(rows)
+    linked, size = _set_components(rows), rows.count()
     # Per set its smallest doc_id, then per component, then back to the sets of groups of several rows.
     order = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("doc"), F.col("tag").alias("at"))
     own = (rows.where("n > 0").select("id", "tag", F.col("row.doc_id").alias("doc_id")).groupBy("id")
            .agg(F.min(order).alias("first"), F.count("*").alias("rows")))
-    named = stage(own.join(linked, "id", "left").where("component IS NOT NULL OR rows > 1").withColumn("component", F.coalesce("component", "id")), "named")
+    named = stage(own.join(linked, "id", "left").where("component IS NOT NULL OR rows > 1").withColumn("component", F.coalesce("component", "id")), "named", size)
     best = named.groupBy("component").agg(F.min("first").alias("best"))
-    groups = stage(named.join(best, "component").select("id", F.col("best.doc").alias("best_doc"), F.col("best.at").alias("best_tag")), "groups")
+    groups = stage(named.join(best, "component").select("id", F.col("best.doc").alias("best_doc"), F.col("best.at").alias("best_tag")), "groups", size)
     found = rows.join(small(groups.withColumnRenamed("id", "set")), (F.col("id") == F.col("set")) & (F.col("n") > 0), "left")
     return found.select("tag", "row", F.col("n").alias("n_shingles"),
                         F.when(F.col("best_tag").isNull(), F.col("row.doc_id")).otherwise(F.col("best_doc")).alias("component_id"),

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from gridspark.llm import jaccard
+from gridspark.llm import common, jaccard
 from gridspark.llm.components import components
 from gridspark.llm.jaccard import bitmap, folded, may_be_alike, prefix_size, shingle_sets
 
@@ -149,3 +149,26 @@ def test_components(spark, monkeypatch):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(4)).collect()}
     assert got == {x: root(x) for x in parent}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_narrow_tables_take_few_files(spark, monkeypatch, tmp_path):
+    """However many partitions a session has, as each file costs a local file system several processes."""
+    made = iter(range(1000))
+    monkeypatch.setattr(common, "new_dir", lambda spark, label: f"{tmp_path}/{label}-{next(made)}")
+    own = {"spark.sql.shuffle.partitions": "150", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    held = {k: spark.conf.get(k) for k in own}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 900) if i % 9], "a bigint, b bigint").repartition(8)
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        got = {r.node: r.component for r in components(edges).collect()}
+        files = [len(list(d.glob("part-*"))) for d in tmp_path.iterdir()]
+        assert got == {i: (i - 1) // 9 * 9 + 1 for i in range(1, 901)}
+        few = 2 * spark.sparkContext.defaultParallelism
+        assert len(files) > 3 and 0 < max(files) <= few
+        # More rows take more files.
+        monkeypatch.setattr(common, "FILE_ROWS", 10)
+        assert len(common.stage(spark.range(400).repartition(100, "id"), "many", 400).inputFiles()) > few
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
