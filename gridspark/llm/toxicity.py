@@ -8,14 +8,15 @@ drowned by many common ones) times its evidence: how little of the difference be
 
 They are found by a block-max inverted index: examples with the same heaviest term stand together in blocks, and each term
 has the largest weight in every block beside its postings. The largest weights bound what any example of a block can
-reach; blocks are scored from the highest bound on, and those whose bound is below the k-th cosine are skipped. Nothing that could be
+reach; those with the highest bounds are scored first, and of the others those whose bound is below the k-th cosine so far are skipped. Nothing that could be
 among the nearest is left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,11 @@ NEIGHBOURS, BLOCK = 15, 32
 # The share of toxic labels counts as much as a neighbour of this squared cosine.
 PRIOR_WEIGHT = 0.5
 SEED = 11
-# Blocks scored first; each round scores twice as many as the one before. Cosines this close are equal.
-FIRST_BLOCKS, CLOSE = 4, 1e-9
+# Blocks scored first, at least, and as a share of all: one round more costs as much as a few blocks. Cosines this close are equal.
+FIRST_BLOCKS, FIRST_SHARE, CLOSE = 4, 4, 1e-9
 AT_ONCE, POSTINGS_AT_ONCE = 4 << 20, 4 << 20
+# Bytes of short texts taken apart together.
+TOGETHER = 1 << 19
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # A byte as words see it, 0 between words.
 _WORD = np.zeros(256, np.uint8)
@@ -57,6 +60,18 @@ def _terms(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, long: np.nd
     return np.concatenate([mixed(words) | np.uint64(1), mixed(pieces) & ~np.uint64(1)])
 
 
+def terms_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of several texts, and the text that each is in."""
+    # A zero after each text keeps its last word apart from the next text.
+    values = np.concatenate([x for t in texts for x in (_WORD.take(t), _WORD[:1])])
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], values != 0]).astype(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    size = ends - starts
+    long = size > LONG
+    own = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in texts]]))))
+    return _terms(values, starts, ends, long), np.concatenate([own[~long], np.repeat(own[long], size[long] - RUN + 1)])
+
+
 def blocks_of(data: np.ndarray) -> Iterator[np.ndarray]:
     """The terms of a whole text, a block of bytes at a time; each block takes up the word at the end of the one before."""
     tail, within = np.empty(0, np.uint8), False
@@ -117,6 +132,9 @@ class Index:
         self.entry_max = np.maximum.reduceat(self.values, first) if len(first) else self.values
         self.entry_first = np.append(first, len(block))
         self.entries = np.searchsorted(first, self.starts)
+        # Where the terms of each value of the upper bits start, for some four values a term.
+        self.bits = len(self.terms).bit_length() + 2
+        self.upper = np.searchsorted(self.terms, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
 
     def __getstate__(self):
         return {f: self.__dict__[f] for f in self.__dataclass_fields__}
@@ -132,21 +150,57 @@ class Index:
         out[self.places, np.repeat(np.arange(len(self.terms)), np.diff(self.starts))] = self.values
         return out.reshape(-1, BLOCK, len(self.terms)).transpose(0, 2, 1)
 
+    def _places(self, x: np.ndarray) -> np.ndarray:
+        """The place of every hash among the terms; -1 if it is none."""
+        at = self.upper[x >> np.uint64(64 - self.bits)].astype(np.int64)
+        todo = np.flatnonzero(at < len(self.terms))
+        at[at == len(self.terms)] = -1
+        while len(todo):
+            there = self.terms[at[todo]]
+            at[todo[there > x[todo]]] = -1
+            todo = todo[there < x[todo]]
+            at[todo] += 1
+            at[todo[at[todo] == len(self.terms)]] = -1
+            todo = todo[at[todo] >= 0]
+        return at
+
     def vector(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Terms of a byte string that the index has, and their weights in a unit vector; the text is read a block at a time."""
         found, counts = np.empty(0, np.int64), np.empty(0)
         for x in blocks_of(data):
             x, n = _counted(x)
-            at = np.searchsorted(self.terms, x)
-            at[at == len(self.terms)] = 0
-            there = self.terms[at] == x if len(self.terms) else np.zeros(len(x), bool)
-            own, n = at[there], n[there]
+            at = self._places(x)
+            own, n = at[at >= 0], n[at >= 0]
             if len(found):
                 own, at = np.unique(np.concatenate([found, own]), return_inverse=True)
                 n = np.bincount(at, np.concatenate([counts, n]), len(own))
             found, counts = own, n
         return found, _weights(counts, self.own[found])
 
+    def vectors(self, texts: Iterable[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``vector`` of every text; short ones are taken apart together."""
+        some, held = [], 0
+        for text in texts:
+            if some and held + len(text) > TOGETHER:
+                yield from self._vectors(some)
+                some, held = [], 0
+            some.append(text)
+            held += len(text)
+        yield from self._vectors(some)
+
+    def _vectors(self, texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if len(texts) < 2:
+            yield from map(self.vector, texts)
+            return
+        x, own = terms_of(texts)
+        at = self._places(x)
+        there = at >= 0
+        found, counts = _counted(own[there] * len(self.terms) + at[there])
+        cuts = np.searchsorted(found, np.arange(len(texts) + 1) * len(self.terms)).tolist()
+        found -= np.repeat(np.arange(len(texts)) * len(self.terms), np.diff(cuts))
+        for low, high in pairwise(cuts):
+            yield found[low:high], _weights(counts[low:high], self.own[found[low:high]])
+
     def nearest(self, found: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples of largest positive cosine, ties by index order, and their cosines; ``without`` is left out."""
         sims, _ = self.cosines(found, w, k, without)
@@ -160,28 +214,30 @@ class Index:
         """The cosines of all examples that may be among the ``k`` nearest, 0 in the blocks skipped; and how many blocks were scored."""
         n, scored = len(self.ids), 0
         sims = np.zeros(n)
-        size = np.diff(self.entries)[found] if len(found) else found
-        entry, weight = ranges(self.entries[found], size), np.repeat(w, size)
-        block = self.entry_block[entry]
-        bound = np.bincount(block, self.entry_max[entry] * weight, self.blocks)
+        first = self.entries.take(found)
+        size = self.entries.take(found + 1) - first
+        entry, weight = ranges(first, size), np.repeat(w, size)
+        block = self.entry_block.take(entry)
+        bound = np.bincount(block, self.entry_max.take(entry) * weight, self.blocks)
         order = np.argsort(-bound, kind="stable")
-        least, step = 0.0, FIRST_BLOCKS
-        while scored < self.blocks:
-            now = order[scored:scored + step]
-            now = now[(bound[now] > 0) & (bound[now] * (1 + CLOSE) + 2 * CLOSE >= least)]
+        least, split = 0.0, max(FIRST_BLOCKS, self.blocks // FIRST_SHARE)
+        for blocks in (order[:split], order[split:]):
+            now = blocks[(bound[blocks] > 0) & (bound[blocks] * (1 + CLOSE) + 2 * CLOSE >= least)]
             if not len(now):
                 break
-            scored, step = scored + len(now), 2 * step
+            scored += len(now)
             chosen = np.zeros(self.blocks, bool)
             chosen[now] = True
-            mine = np.flatnonzero(chosen[block])
-            first = self.entry_first[entry[mine]]
-            size = self.entry_first[entry[mine] + 1] - first
+            mine = np.flatnonzero(chosen.take(block))
+            own = entry.take(mine)
+            first = self.entry_first.take(own)
+            size = self.entry_first.take(own + 1) - first
             at = ranges(first, size)
-            sims += np.bincount(self.places[at], self.values[at] * np.repeat(weight[mine], size), n)
+            sims += np.bincount(self.places.take(at), self.values.take(at) * np.repeat(weight.take(mine), size), n)
             if without >= 0:
                 sims[without] = 0
-            least = np.partition(sims, n - k)[n - k] if n > k else 0.0
+            if n > k and scored == split:
+                least = np.partition(sims, n - k)[n - k]
         return sims, scored
 
     def raw(self, best: np.ndarray, sims: np.ndarray) -> float:
@@ -354,8 +410,8 @@ def assess(text: Column, index: Index | None) -> Column:
     def assessed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             scores, sizes, examples, cosines = [], [0], [], []
-            for data in text_buffers(texts):
-                best, sims = index.nearest(*index.vector(data), NEIGHBOURS)
+            for vector in index.vectors(text_buffers(texts)):
+                best, sims = index.nearest(*vector, NEIGHBOURS)
                 scores.append(index.score(index.raw(best, sims)))
                 sizes.append(len(best))
                 examples.append(best)

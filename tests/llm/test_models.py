@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,3 +266,36 @@ def test_words_in_scripts_without_spaces(documents):
     index = toxicity.build(list(range(200)), [np.frombuffer(t.encode(), np.uint8) for t in texts], np.arange(200) % 2, (100, 100))
     got = toxicity.with_toxicity(documents([(1, run(30) + bad + run(50)), (2, run(80))]), index).collect()
     assert [r.predicted for r in sorted(got, key=lambda r: r.doc_id)] == [1, 0]
+
+
+def test_short_texts_are_taken_apart_together(monkeypatch):
+    """One pass over many short texts gives what each gives by itself; a long one is read by itself."""
+    index, views = index_of()
+    texts = [np.frombuffer(t, np.uint8) for t in (b"", b"w1x", b"w1x W1X w2x", b" ", b"w3x" * 30, b"no term", b"grumble", b"w5x " * 90)] + views[:40]
+    alone = [index.vector(t) for t in texts]
+    calls, whole = [], toxicity._terms
+    monkeypatch.setattr(toxicity, "_terms", lambda *a: calls.append(1) or whole(*a))
+    for limit, most in ((300, len(texts) - 1), (1 << 20, 1)):
+        monkeypatch.setattr(toxicity, "TOGETHER", limit)
+        calls.clear()
+        together = list(index.vectors(iter(texts)))
+        assert len(calls) <= most and len(together) == len(alone)
+        assert all(a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist() for a, b in zip(alone, together, strict=True))
+
+
+def test_tasks_take_texts_apart_together(monkeypatch):
+    """The function that tasks run does not go through the steps of a text for each."""
+    index, views = index_of()
+    monkeypatch.setattr(toxicity.F, "arrow_udf", lambda kind: lambda f: lambda text: f)
+    calls, whole = [], toxicity._terms
+    monkeypatch.setattr(toxicity, "_terms", lambda *a: calls.append(1) or whole(*a))
+    got = next(toxicity.assess(None, index)(iter([pa.array([v.tobytes().decode() for v in views])])))
+    assert len(calls) == 1
+    for row, view in zip(got.to_pylist(), views, strict=True):
+        best, sims = index.nearest(*index.vector(view), toxicity.NEIGHBOURS)
+        assert row["score"] == index.score(index.raw(best, sims)) and [x["doc_id"] for x in row["neighbours"]] == index.ids[best].tolist()
+
+
+def test_an_index_without_terms():
+    index = toxicity.build([1], [np.empty(0, np.uint8)], np.array([0]), (1, 0))
+    assert [x.tolist() for v in index.vectors([np.frombuffer(b"a b", np.uint8)] * 2) for x in v] == [[]] * 4
