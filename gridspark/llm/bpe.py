@@ -14,7 +14,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,8 @@ REMEMBERED, PARTS_REMEMBERED, LONGEST = 120_000, 800_000, 48
 WORD = r" ?\p{L}+"
 # Bytes of text taken apart, of pre-tokens merged and of parts hashed at once, unless one is longer.
 TEXT_BYTES, MERGE_BYTES, HASH_BYTES = 4 << 20, 1 << 20, 1 << 19
+# Pairs looked up, and ids decoded, at once.
+PAIRS, IDS = 1 << 17, 1 << 17
 
 
 def parse_ranks(blob: bytes) -> dict[bytes, int]:
@@ -155,7 +157,9 @@ class Merger:
         before[ends - lengths[full]] = n
         after[n] = before[n] = n
         rank = np.full(n + 1, NONE, np.int32)
-        rank[:n] = self.pair_ranks(token[:n], token[after[:n]])
+        for low in range(0, n, PAIRS):
+            high = min(n, low + PAIRS)
+            rank[low:high] = self.pair_ranks(token[low:high], token[after[low:high]])
         queue = RankQueue(self.size)
         at = np.flatnonzero(rank != NONE).astype(np.int32)
         self._push(queue, at, rank[at])
@@ -439,7 +443,7 @@ class Encoder:
             count[odd] = [len(x) // 4 for x in own]
             first[odd] = len(ids) + np.cumsum(count[odd]) - count[odd]
             ids = np.concatenate([ids, np.frombuffer(b"".join(own), "<u4")])
-        out = ids[_expand(first, count)].tobytes()
+        out = b"".join([ids[_expand(first[a:b], count[a:b])].tobytes() for a, b in _pieces(starts, len(data))])
         ends = np.concatenate([[0], np.cumsum(count)])
         # The parts of a text are those that start in it.
         text_ends = np.searchsorted(starts, np.cumsum(sizes))
@@ -466,6 +470,45 @@ class Encoder:
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
+class Decoder:
+    """The bytes of ids: all that a worker needs which only decodes."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        size = max(ranks.values()) + 1
+        by_rank = sorted(ranks.items(), key=lambda x: x[1])
+        length = np.array([len(token) for token, _ in by_rank], np.int64)
+        at = np.array([rank for _, rank in by_rank], np.int64)
+        self.data = np.frombuffer(b"".join([token for token, _ in by_rank]), np.uint8)
+        self.first, self.length = np.zeros(size, np.int64), np.full(size, -1, np.int64)
+        self.first[at], self.length[at] = np.cumsum(length) - length, length
+
+    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The bytes of every sequence of ids, given as little-endian unsigned 32-bit integers."""
+        out, some, held = [], [], 0
+        for x in ids:
+            if some and held + len(x) > IDS * 4:
+                out += self._decode(some)
+                some, held = [], 0
+            some.append(x)
+            held += len(x)
+        return out + self._decode(some)
+
+    def _decode(self, ids: list[np.ndarray]) -> list[bytes]:
+        if not ids:
+            return []
+        flat, ends, whole = np.concatenate(ids).view("<u4").astype(np.int64), np.zeros(1, np.int64), []
+        # A long sequence by itself is still taken in pieces.
+        for low in range(0, len(flat), IDS):
+            x = flat[low:low + IDS]
+            length = self.length[x]
+            if (length < 0).any():
+                raise KeyError(int(x[length < 0][0]))
+            whole.append(self.data[_expand(self.first[x], length)].tobytes())
+            ends = np.append(ends, ends[-1] + np.cumsum(length))
+        blob, cuts = b"".join(whole), ends[np.cumsum([0, *[len(x) // 4 for x in ids]])].tolist()
+        return [blob[a:b] for a, b in pairwise(cuts)]
+
+
 def _pieces(starts: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
     """Ranges of parts of about ``HASH_BYTES`` together."""
     cuts = np.unique(np.concatenate([[0], np.searchsorted(starts, np.arange(HASH_BYTES, size, HASH_BYTES)), [len(starts)]]))
@@ -477,6 +520,25 @@ def _encoder(digest: str, pattern: str, blob: "Blob") -> Encoder:
     return Encoder(parse_ranks(blob.data), pattern)
 
 
+@lru_cache(4)
+def _decoder(digest: str, blob: "Blob") -> Decoder:
+    return Decoder(parse_ranks(blob.data))
+
+
+def _encoded(encoder: Encoder, texts: pa.Array) -> list[bytes]:
+    """The ids of a batch of texts, taken in parts of about the same size: the largest decides how much memory a worker keeps."""
+    size = sum(map(len, text_buffers(texts)))
+    most = size // -(-size // TEXT_BYTES) if size else 0
+    out, some, held = [], [], 0
+    for text in text_buffers(texts):
+        some.append(text)
+        held += len(text)
+        if held > most:
+            out += encoder.encode(some)
+            some, held = [], 0
+    return out + encoder.encode(some)
+
+
 class Blob:
     """File content, equal by digest, so that a worker builds an encoder once."""
 
@@ -512,29 +574,40 @@ class Tokenizer:
         def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             encoder = _encoder(blob.digest, pattern, blob)
             for texts in batches:
-                out, some, held = [], [], 0
-                for text in text_buffers(texts):
-                    some.append(text)
-                    held += len(text)
-                    if held > TEXT_BYTES:
-                        out += encoder.encode(some)
-                        some, held = [], 0
-                yield pa.array(out + encoder.encode(some), pa.binary())
+                yield pa.array(_encoded(encoder, texts), pa.binary())
 
         return encode(text)
 
     def decode(self, ids: Column | str) -> Column:
         """The bytes that ids stand for; null for null."""
-        blob, pattern = self.blob, self.pattern
+        blob = self.blob
 
         @F.arrow_udf("binary")
         def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            encoder = _encoder(blob.digest, pattern, blob)
+            decoder = _decoder(blob.digest, blob)
             for batch in batches:
-                yield pa.array([None if (x := i.as_py()) is None else encoder.decode(x) for i in batch], pa.binary())
+                yield pa.array(decoder.decode(list(text_buffers(batch))), pa.binary(), mask=batch.is_null().to_numpy(zero_copy_only=False))
 
         return decode(ids)
 
+    def encode_and_decode(self, text: Column | str) -> Column:
+        """struct(ids, decoded): the ids of a text and the bytes that these ids stand for.
+
+        Both are done by one worker. Apart they take two workers per core, and as Spark gives a task any
+        idle worker, each of these comes to keep an encoder with all that it remembers.
+        """
+        blob, pattern = self.blob, self.pattern
+
+        @F.arrow_udf("struct<ids:binary,decoded:binary>")
+        def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            encoder, decoder = _encoder(blob.digest, pattern, blob), _decoder(blob.digest, blob)
+            for texts in batches:
+                ids = pa.array(_encoded(encoder, texts), pa.binary())
+                decoded = pa.array(decoder.decode(list(text_buffers(ids))), pa.binary())
+                yield pa.StructArray.from_arrays([ids, decoded], ["ids", "decoded"])
+
+        return both(text)
+
 
 def id_array(ids: Column | str) -> Column:
     """Binary ids as an array of integers."""

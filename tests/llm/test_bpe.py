@@ -1,12 +1,14 @@
+import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
 
-from gridspark.llm import bpe
+from gridspark.llm import bpe, queries
 from gridspark.llm.bpe import Encoder, RankQueue, Tokenizer, id_array, parse_ranks
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -123,3 +125,54 @@ def test_columns(spark, documents):
     for r in rows.collect():
         assert r.list == REFERENCE.encode_ordinary(r.text or "") and bytes(r.back) == (r.text or "").encode()
     assert documents([]).select(tokenizer.encode("text")).count() == 0
+
+
+def task(monkeypatch, name):
+    """The function that tasks run for a column function of ``Tokenizer``."""
+    monkeypatch.setattr(bpe.F, "arrow_udf", lambda kind: lambda f: lambda column: f)
+    return getattr(Tokenizer(PATH, public_tokenizers.PATTERN), name)(None)
+
+
+def test_decoding_needs_no_encoder(monkeypatch, encoder):
+    """A worker that decodes holds the bytes of the ids only, and takes many rows, or a part of a long one, at once."""
+    def never(*_):
+        raise AssertionError("an encoder was built to decode")
+
+    texts = ["", "naïve café 中", "a" * 70, " two  words ", "😀" * 9, "the cat " * 50]
+    ids = [*encoded(encoder, texts), None, b""]
+    monkeypatch.setattr(bpe, "_encoder", never)
+    monkeypatch.setattr(bpe, "Encoder", never)
+    for at_once in (3, 20, 1 << 17):
+        monkeypatch.setattr(bpe, "IDS", at_once)
+        got = list(task(monkeypatch, "decode")(iter([pa.array(ids, pa.binary()), pa.array([], pa.binary()), pa.array([None], pa.binary())])))
+        assert [x.to_pylist() for x in got] == [[*[t.encode() for t in texts], None, b""], [], [None]]
+    for wrong in (len(RANKS), 2**32 - 1):
+        with pytest.raises((KeyError, IndexError)):
+            list(task(monkeypatch, "decode")(iter([pa.array([np.array([wrong], "<u4").tobytes()])])))
+
+
+def test_a_batch_is_taken_in_equal_parts(monkeypatch):
+    """No call of the encoder gets much more than its share: the largest decides how much memory a worker keeps."""
+    sizes, whole = [], Encoder.encode
+    monkeypatch.setattr(bpe, "TEXT_BYTES", 1000)
+    monkeypatch.setattr(Encoder, "encode", lambda self, texts: sizes.append(sum(map(len, texts))) or whole(self, texts))
+    texts = [f"some text {i:02}" for i in range(100)]  # 1,200 bytes
+    out = next(task(monkeypatch, "encode")(iter([pa.array(texts)])))
+    assert max(sizes) < 650 and sum(sizes) == 1200
+    assert [np.frombuffer(x, "<u4").tolist() for x in out.to_pylist()] == [REFERENCE.encode_ordinary(t) for t in texts]
+    assert [x.to_pylist() for x in task(monkeypatch, "encode")(iter([pa.array(["", None]), pa.array([], pa.string())]))] == [[b"", b""], []]
+
+
+def test_digests_take_one_worker(documents):
+    """Encoding and decoding for the digests are one step, so that a core has one worker that holds an encoder."""
+    texts = ["the cat", None, "", "naïve café 中", "a" * 300]
+    table = documents(list(enumerate(texts)))
+    got = queries.token_digests(table)
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    for row in got.collect():
+        text = (texts[row.doc_id] or "").encode()
+        ids = np.array(REFERENCE.encode_ordinary(text.decode()), "<u4")
+        assert (row.n_tokens, row.ids_sha256, row.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest())
+    bpe = queries.tokenizer()
+    apart = table.select("doc_id", bpe.encode("text").alias("ids")).withColumn("decoded", bpe.decode("ids"))
+    assert table.select("doc_id", bpe.encode_and_decode("text").alias("b")).select("doc_id", "b.*").exceptAll(apart).isEmpty()
