@@ -137,7 +137,7 @@ def classes(docs: DataFrame, moduli: tuple[int, int] = MODULI) -> DataFrame:
     """
     rows = stage(_fingerprinted(tagged(docs), moduli), "fingerprints")
     narrow = rows.select("tag", F.col("row.doc_id").alias("doc_id"), *KEYS)
-    groups = stage(_first(narrow, KEYS), "groups")
+    groups = stage(_first(narrow, KEYS), "groups", rows.count())
     lookup = small(groups)
     texts = rows.join(lookup.select(*KEYS), KEYS, "left_semi").select(*KEYS, "tag", F.col("row.doc_id").alias("doc_id"),
                                                             normalised(F.col("row.text")).alias("norm"))

@@ -381,7 +381,7 @@ def fit(docs: DataFrame, labels: DataFrame, texts: int = TEXTS, seed: int = SEED
     marked = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     distinct = stage(docs.select("doc_id", key.alias("key"), F.octet_length(text).alias("size")).join(marked, "doc_id")
                      .groupBy("key").agg(F.max("toxic").alias("toxic"), F.min(F.struct("size", "doc_id")).alias("first"))
-                     .select("key", "toxic", "first.*"), "toxicity")
+                     .select("key", "toxic", "first.*"), "toxicity", labels.count())
     found = dict(distinct.groupBy("toxic").count().collect())
     totals = (found.get(0, 0), found.get(1, 0))
     short = distinct.where(F.col("size") <= TEXT_BYTES).select("doc_id", "toxic", "key")
