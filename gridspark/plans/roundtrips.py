@@ -10,7 +10,7 @@ from gridspark.operators import moments, publish, stats, store
 from gridspark.plans.files import STORED, _landing, _stored
 from gridspark.plans.fixtures import (ACCESS, ARRIVALS, CELLS, FIELDS, POLLS, SPEC, access, arrivals, cycle, fields, polls, put_texts)
 from gridspark.plans.registry import Tables, big, query, r6, shaped
-from gridspark.runtime import materialise, new_dir
+from gridspark.runtime import materialise, new_dir, stream_settings
 from gridspark.sinks import convert, reports
 from gridspark.sources import grids, ingest, logs, refs, synth
 from gridspark.sources.files import list_files
@@ -291,9 +291,10 @@ def late_manifests(t: Tables) -> DataFrame:
         iso_ms("at").alias("producer_write_start_utc"), iso_ms("at").alias("producer_release_utc"))
     for copy in ("a", "b"):
         materialise(write_manifests(released, f"{base}/manifests/{copy}"), "manifests")
-    found = streams.manifests(t.spark, f"{base}/manifests", max_files=200, dedupe="1 hour")
-    (found.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
-     .trigger(availableNow=True).start().awaitTermination())
+    with stream_settings(t.spark, base):
+        found = streams.manifests(t.spark, f"{base}/manifests", max_files=200, dedupe="1 hour")
+        (found.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+         .trigger(availableNow=True).start().awaitTermination())
     rows = t.spark.read.parquet(f"{base}/out").where("NOT corrupt")
     return rows.groupBy("file_id", "producer_release_utc").agg(F.count("*").alias("copies"))
 

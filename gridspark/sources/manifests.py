@@ -96,4 +96,5 @@ def write_manifests(manifests: DataFrame, landing: str) -> DataFrame:
     name = emit_name("variable", "forecast_hour", "producer_release_utc", "file_id")
     rows = manifests.select(
         *MANIFEST.names, F.concat(F.lit(landing.rstrip("/") + "/"), name, F.lit(".json")).alias("manifest_path"))
-    return rows.mapInPandas(_write, "file_id string, manifest_path string")
+    # A few megabytes of rows are many files: without a number of tasks one of them would write all.
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).mapInPandas(_write, "file_id string, manifest_path string")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.axes import StepAxis
 from gridspark.operators import store
+from gridspark.runtime import LOCAL_STREAM_SETTINGS, STREAM_SETTINGS
 from gridspark.sources import files
 from gridspark.sources.manifests import MANIFEST
 from gridspark.streaming import arrivals, waiting
@@ -80,6 +81,34 @@ def test_late_manifests_are_not_dropped(spark, tmp_path):
     assert sorted(r.file_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["new", "old", "older"]
 
 
+def test_late_manifests_make_cheap_batches(spark, tmp_path, monkeypatch):
+    """Eleven batches: the files read before are not written again after ten, no file of the checkpoint is written with a second
+    one for its sum, state is in no more parts than there are cores, and settings are as before afterwards."""
+    from gridspark.plans import roundtrips
+    from gridspark.plans.registry import Tables
+
+    names = ("spark.sql.shuffle.partitions", *STREAM_SETTINGS, *LOCAL_STREAM_SETTINGS)
+    spark.range(1100).select(
+        F.col("id").alias("event_id"), F.col("id").alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"),
+        F.timestamp_seconds(F.col("id") + 1_704_067_200).alias("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(roundtrips, "new_dir", lambda _, label: str(tmp_path / label))
+    old = spark.conf.get(names[0])
+    spark.conf.set(names[0], "40")
+    try:
+        before = {k: spark.conf.get(k, None) for k in names}
+        rows = roundtrips.late_manifests(Tables(spark, str(tmp_path))).agg(F.count("*"), F.sum("copies")).first()
+        assert {k: spark.conf.get(k, None) for k in names} == before
+    finally:
+        spark.conf.set(names[0], old)
+    assert tuple(rows) == (1100, 1100)
+    checkpoint = tmp_path / "late" / "checkpoint"
+    read = [p.name for p in (checkpoint / "sources" / "0").iterdir() if not p.name.startswith(".")]
+    assert len(read) == 11 and not [n for n in read if n.endswith(".compact")]
+    parts = [p for p in (checkpoint / "state" / "0").iterdir() if p.name.isdigit()]
+    assert len(parts) == spark.sparkContext.defaultParallelism
+    assert not [p for p in checkpoint.rglob("*.changelog.crc") if not p.name.startswith(".")]
+
+
 @pytest.mark.parametrize("order", [[0, 1, 2, 3], [3, 2, 1, 0], [2, 0, 3, 1]])
 @pytest.mark.parametrize("per_trigger", [1, 10])
 def test_follower_does_not_depend_on_batches(spark, tmp_path, order, per_trigger):
