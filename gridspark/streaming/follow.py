@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gridspark.functions.axes import StepAxis, with_step_index
 from gridspark.functions.scalars import is_missing, parse_iso
@@ -33,22 +36,102 @@ STATE = T.StructType([
 BUCKET_US = 3_600_000_000
 BUCKET = T.StructType([T.StructField("bucket", T.LongType())])
 MISSED = T.StructType([T.StructField("n", T.LongType()), T.StructField("times", T.BinaryType())])
+# Files are dealt to so many slots by their hash. What is known of the files of a slot is kept together, as an Arrow table.
+SLOTS = 256
+KEPT = T.StructType([T.StructField("files", T.BinaryType())])
 # What the polls of a batch come to before the shuffle: a row per file with its earliest value, and one per hour with misses.
 REDUCED = ("file_id string, is_manifest boolean, variable string, forecast_hour int, step_index int, "
            "at_us bigint, seen boolean, bucket bigint, newest_us bigint, misses binary")
 _COLUMNS = ["is_manifest", "variable", "forecast_hour", "step_index", "at_us", "seen", "bucket", "newest_us", "misses"]
 
 
+# Steps of so many bytes are kept as they are, behind a zero that no compressed ones begin with.
+PLAIN = 64
+
+
+def _packed(steps: bytes) -> bytes:
+    return b"\0" + steps if len(steps) <= PLAIN else zlib.compress(steps, 1)
+
+
 def pack(times: np.ndarray) -> bytes:
     """Times within an hour as compressed steps; those of a regular poller take next to nothing."""
-    return zlib.compress(np.diff(np.sort(times), prepend=0).astype("<u4").tobytes(), 1)
+    return _packed(np.diff(np.sort(times), prepend=0).astype("<u4").tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(data), "<u4"), dtype=np.int64)
+    steps = np.frombuffer(data, "<u4", offset=1) if data[:1] == b"\0" else np.frombuffer(zlib.decompress(data), "<u4")
+    return np.cumsum(steps, dtype=np.int64)
+
+
+def _size(data: bytes) -> int:
+    """How many times are packed."""
+    return (len(data) - 1) // 4 if data[:1] == b"\0" else len(unpack(data))
+
+
+class _Value:
+    """The row of a file while it is at hand."""
+
+    def __init__(self, row: tuple | None):
+        self.row = row
+
+    def get(self) -> tuple | None:
+        return self.row
+
+    def update(self, row: tuple) -> None:
+        self.row = row
+
+
+class _Hours(dict):
+    """Its hours."""
+
+    containsKey, getValue = dict.__contains__, dict.__getitem__  # noqa: N815
+    updateValue, removeKey, iterator = dict.__setitem__, dict.__delitem__, dict.items  # noqa: N815
+
+
+class _Kept:
+    """The state of one file, taken from its slot."""
 
+    def __init__(self, row: dict | None):
+        self.value = _Value(tuple(row[n] for n in STATE.names) if row else None)
+        hours = zip(row["bucket"], row["n"], row["times"], strict=True) if row else ()
+        self.hours = _Hours(((bucket,), (size, times)) for bucket, size, times in hours)
 
-class _Follower(StatefulProcessor):
+    def getValueState(self, *_) -> _Value:  # noqa: N802
+        return self.value
+
+    def getMapState(self, *_) -> _Hours:  # noqa: N802
+        return self.hours
+
+    def row(self, file: str | None, heard_ms: int) -> tuple:
+        hours = self.hours
+        return (file, *self.value.row, heard_ms, [b for b, in hours], [n for n, _ in hours.values()], [t for _, t in hours.values()])
+
+
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+# A file of a slot: its state, when it was last heard of, and its hours.
+_FILE = pa.schema([
+    ("file_id", pa.string()), *[(f.name, _ARROW[f.dataType.simpleString()]) for f in STATE.fields], ("heard_ms", pa.int64()),
+    ("bucket", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("times", pa.list_(pa.binary()))])
+
+
+def _read(state: GroupState, oldest_ms: int | None) -> pa.Table:
+    """The files of a slot that were heard of since ``oldest_ms``."""
+    if not state.exists:
+        return _FILE.empty_table()
+    table = pa.ipc.open_stream(bytes(state.get[0])).read_all()
+    return table if oldest_ms is None else table.filter(pa.compute.greater(table["heard_ms"], oldest_ms))
+
+
+def _write(state: GroupState, table: pa.Table, forget_ms: int | None, now_ms: int) -> None:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _FILE) as out:
+        out.write_table(table.combine_chunks())
+    state.update((bytearray(sink.getvalue()),))
+    if forget_ms is not None:
+        state.setTimeoutDuration(max(1, pa.compute.min(table["heard_ms"]).as_py() + forget_ms - now_ms))
+
+
+class _Follower:
     """An event per file when its manifest and a poll with a value are known, and again when it changes.
 
     The answer is a function of the polls and manifests read so far and not of the batches
@@ -59,55 +142,60 @@ class _Follower(StatefulProcessor):
     def __init__(self, forget_ms: int | None, settle_us: int | None = None):
         self.forget_ms, self.settle_us = forget_ms, settle_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def init(self, handle: _Kept) -> None:
         self.file = handle.getValueState("followed", STATE, self.forget_ms)
         self.missed = handle.getMapState("missed_by_hour", BUCKET, MISSED, self.forget_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # A call of the state is a round trip to the JVM, and a file comes in every batch in which it is polled: as few as can be.
+        event = self.advance(key[0], (r for part in rows for r in zip(*(part[c].tolist() for c in _COLUMNS), strict=True)))
+        if event:
+            yield events_of([event])
+
+    def advance(self, file: str | None, rows: Iterable[tuple]) -> tuple | None:
+        """The event of a file after these rows, if it has a new one."""
         known = tuple(self.file.get() or (None, None, None, None, None, 0, 0, 0, None))
         variable, hour, step, release, visible, na_polls, revision, settled, newest = known
         closed, last = self._closed(newest), newest
         fresh, first = {}, visible
-        # The rows of a key come in several parts and in any order.
-        for part in rows:
-            for is_manifest, var, at_hour, at_step, at_us, seen, bucket, newest_us, misses in zip(*(part[c].tolist() for c in _COLUMNS), strict=True):
-                if is_manifest:
-                    # The newest manifest of a file counts, whenever it is read.
-                    told = (int(at_us), var, int(at_hour), int(at_step))
-                    if release is None or told > (release, variable, hour, step):
-                        release, variable, hour, step = told
-                    continue
-                last = int(newest_us) if last is None else max(last, int(newest_us))
-                if not seen:
-                    fresh.setdefault(int(bucket), []).append(bytes(misses))
-                elif (closed is None or bucket >= closed) and (first is None or at_us < first):
-                    first = int(at_us)
+        # The rows of a file come in any order.
+        for is_manifest, var, at_hour, at_step, at_us, seen, bucket, newest_us, misses in rows:
+            if is_manifest:
+                # The newest manifest of a file counts, whenever it is read.
+                told = (int(at_us), var, int(at_hour), int(at_step))
+                if release is None or told > (release, variable, hour, step):
+                    release, variable, hour, step = told
+                continue
+            last = int(newest_us) if last is None else max(last, int(newest_us))
+            if not seen:
+                fresh.setdefault(int(bucket), []).append(bytes(misses))
+            elif (closed is None or bucket >= closed) and (first is None or at_us < first):
+                first = int(at_us)
         if first != visible:
             na_polls = settled + self._before(first)
         for bucket, packed in fresh.items():
-            times = np.concatenate([unpack(p) for p in packed])
-            if first is not None:
-                times = times[times < first - bucket * BUCKET_US]
-            na_polls += len(times)
+            if first is not None and bucket * BUCKET_US >= first:
+                continue
+            if first is not None and (bucket + 1) * BUCKET_US > first:
+                times = np.concatenate([unpack(p) for p in packed])
+                packed = [pack(times[times < first - bucket * BUCKET_US])]
+            n = sum(map(_size, packed))
+            na_polls += n
             if closed is not None and bucket < closed:
-                settled += len(times)
-            elif len(times):
+                settled += n
+            elif n:
                 if self.missed.containsKey((bucket,)):
-                    times = np.concatenate([unpack(self.missed.getValue((bucket,))[1]), times])
-                self.missed.updateValue((bucket,), (len(times), pack(times)))
+                    had, times = self.missed.getValue((bucket,))
+                    n, packed = n + had, [times, *packed]
+                self.missed.updateValue((bucket,), (n, packed[0] if len(packed) == 1 else pack(np.concatenate([unpack(p) for p in packed]))))
         if self._closed(last) != closed:
             settled += self._settle(self._closed(last))
         now = (variable, hour, step, release, first, na_polls)
+        event = None
         if release is not None and first is not None and (revision == 0 or now != known[:6]):
             revision += 1
-            yield pd.DataFrame({
-                "file_id": [key[0]], "variable": [variable], "forecast_hour": [hour], "step_index": [step],
-                "producer_release_utc": [pd.Timestamp(release, unit="us")],
-                "consumer_visible_utc": [pd.Timestamp(first, unit="us")],
-                "latency_ms": [(first // 1000 - release // 1000) / 1.0],
-                "na_poll_count": [na_polls], "total_poll_count": [na_polls + 1], "revision": [revision]})
+            event = (file, variable, hour, step, release, first, (first // 1000 - release // 1000) / 1.0, na_polls, na_polls + 1, revision)
         self.file.update((*now, revision, settled, last))
+        return event
 
     def _closed(self, newest: int | None) -> int | None:
         """The hour before which nothing is looked into any more."""
@@ -137,25 +225,70 @@ class _Follower(StatefulProcessor):
                 self.missed.removeKey((bucket,))
         return n
 
-    def close(self) -> None:
-        pass
+    def __call__(self, key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """The files of a slot, one after the other; those that have no rows are kept as they are."""
+        now_ms = state.getCurrentProcessingTimeMs()
+        table = _read(state, None if self.forget_ms is None else now_ms - self.forget_ms)
+        rows, files, events = {}, [], []
+        for part in () if state.hasTimedOut else parts:
+            for file, *row in zip(part["file_id"].tolist(), *(part[c].tolist() for c in _COLUMNS), strict=True):
+                rows.setdefault(file, []).append(row)
+        heard = pa.array([f in rows for f in table["file_id"].to_pylist()], pa.bool_())
+        known = {r["file_id"]: r for r in table.filter(heard).to_pylist()}
+        for file, own in rows.items():
+            kept = _Kept(known.get(file))
+            self.init(kept)
+            event = self.advance(file, own)
+            if event:
+                events.append(event)
+            files.append(kept.row(file, now_ms))
+        columns = zip(*files, strict=True) if files else [[]] * len(_FILE)
+        touched = pa.table([pa.array(c, f.type) for c, f in zip(columns, _FILE, strict=True)], schema=_FILE)
+        table = pa.concat_tables([table.filter(pa.compute.invert(heard)), touched])
+        if len(table):
+            _write(state, table, self.forget_ms, now_ms)
+        elif state.exists:
+            state.remove()
+        if events:
+            yield events_of(events)
+
+
+def events_of(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in EVENT.split(", ")])
+    for name in ("producer_release_utc", "consumer_visible_utc"):
+        out[name] = pd.to_datetime(out[name], unit="us")
+    return out
 
 
 def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of the polls of a file in a batch, the earliest with a value, and by hour those before it."""
+    none = np.iinfo(np.int64).max
     for batch in batches:
-        own = batch.groupby("file_id", dropna=False)
-        batch = batch.assign(
-            newest_us=own["at_us"].transform("max"), bucket=batch["at_us"] // BUCKET_US,
-            first=batch["at_us"].where(~batch["missing"]).groupby(batch["file_id"], dropna=False).transform("min"))
-        values = batch[~batch["missing"] & (batch["at_us"] == batch["first"])].drop_duplicates("file_id")
-        found = [(m.file_id, m.at_us, True, m.bucket, m.newest_us, None) for m in values.itertuples(index=False)]
-        misses = batch[batch["missing"] & (batch["first"].isna() | (batch["at_us"] < batch["first"]))]
-        for (file, bucket), rows in misses.groupby(["file_id", "bucket"], dropna=False):
-            times = rows["at_us"].to_numpy() - bucket * BUCKET_US
-            found.append((None if pd.isna(file) else file, 0, False, bucket, int(rows["newest_us"].iloc[0]), pack(times)))
-        out = pd.DataFrame(found, columns=["file_id", "at_us", "seen", "bucket", "newest_us", "misses"])
-        yield out.assign(is_manifest=False, variable=None, forecast_hour=0, step_index=0)[[c.split()[0] for c in REDUCED.split(", ")]]
+        file, files = pd.factorize(batch["file_id"], use_na_sentinel=False)
+        files = np.array([None if pd.isna(f) else f for f in files], dtype=object)
+        at, missing = batch["at_us"].to_numpy(np.int64), batch["missing"].to_numpy(bool)
+        newest, first = np.full(len(files), np.iinfo(np.int64).min), np.full(len(files), none)
+        np.maximum.at(newest, file, at)
+        np.minimum.at(first, file[~missing], at[~missing])
+        seen = np.flatnonzero(first != none)
+        before = missing & (at < first[file])
+        file, at = file[before], at[before]
+        hour = at // BUCKET_US
+        order = np.lexsort((at, hour, file))
+        file, hour, at = file[order], hour[order], at[order] - hour[order] * BUCKET_US
+        new = np.ones(len(at), bool)
+        new[1:] = (file[1:] != file[:-1]) | (hour[1:] != hour[:-1])
+        steps = np.diff(at, prepend=0)
+        steps[new] = at[new]
+        steps, starts = steps.astype("<u4").tobytes(), np.flatnonzero(new)
+        ends = [*starts[1:].tolist(), len(at)] if len(starts) else []
+        packed = [_packed(steps[4 * i:4 * j]) for i, j in zip(starts.tolist(), ends, strict=True)]
+        file, hour = file[starts], hour[starts]
+        yield pd.DataFrame({
+            "file_id": np.concatenate([files[seen], files[file]]), "is_manifest": False, "variable": None, "forecast_hour": 0, "step_index": 0,
+            "at_us": np.concatenate([first[seen], np.zeros(len(file), np.int64)]), "seen": np.arange(len(seen) + len(file)) < len(seen),
+            "bucket": np.concatenate([first[seen] // BUCKET_US, hour]), "newest_us": np.concatenate([newest[seen], newest[file]]),
+            "misses": [None] * len(seen) + packed})
 
 
 def follow_visibility(manifests: DataFrame, polls: DataFrame, axis: StepAxis = StepAxis(),
@@ -168,8 +301,8 @@ def follow_visibility(manifests: DataFrame, polls: DataFrame, axis: StepAxis = S
     (``latest_events``) does not depend on the order or the batches in which files came.
 
     Polls after the earliest value of their batch are dropped before the shuffle; the others of a batch are a row per
-    file and hour. State is one row per file, and one for every hour with polls before its earliest value: their number
-    and compressed times. With ``settle_after_hours``, hours that are so much older than the file's
+    file and hour. State is a row per file, with an entry for every hour with polls before its earliest value: their number
+    and compressed times. It is kept by slots, and a batch writes the slots whole that it has a file of. With ``settle_after_hours``, hours that are so much older than the file's
     newest poll become a number, so that the state of a file that is polled for ever stays small: a value that is read
     later than that is left out. A query that runs for ever should give ``forget_after_hours``: a file that nothing was heard of for
     that long is forgotten. It needs a continuous trigger, as its clock keeps ``availableNow`` busy.
@@ -183,8 +316,11 @@ def follow_visibility(manifests: DataFrame, polls: DataFrame, axis: StepAxis = S
         F.lit(0).cast("long").alias("newest_us"), F.lit(None).cast("binary").alias("misses")).where("at_us IS NOT NULL")
     samples = polls.where(F.col("poll_ts").isNotNull()).select(
         "file_id", F.unix_micros("poll_ts").alias("at_us"), is_missing("value").alias("missing"))
-    return left.unionByName(samples.mapInPandas(reduced, REDUCED)).groupBy("file_id").transformWithStateInPandas(
-        _Follower(forget_ms, settle_us), EVENT, "append", "none" if forget_ms is None else "processingTime")
+    # A call of a Python function takes milliseconds, and so does each look at transformWithStateInPandas' state: a call is for many files.
+    rows = left.unionByName(samples.mapInPandas(reduced, REDUCED)).withColumn("slot", F.pmod(F.xxhash64("file_id"), F.lit(SLOTS)).cast("int"))
+    return rows.groupBy("slot").applyInPandasWithState(
+        _Follower(forget_ms, settle_us).__call__, EVENT, KEPT, "append",
+        GroupStateTimeout.NoTimeout if forget_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def latest_events(events: DataFrame) -> DataFrame:

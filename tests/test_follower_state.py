@@ -119,3 +119,62 @@ def test_a_batch_reads_and_writes_the_row_of_a_file_once():
     f.file.row = row
     assert feed(f, np.array([START + 5, START + 9]), np.array([np.nan, 1.0]))["na_poll_count"] == 1
     assert calls == ["get", "update"]
+
+
+class Slot:
+    """The state of a slot, as Spark hands it out, and a clock."""
+
+    exists, get, hasTimedOut, now, due = False, None, False, 0, None  # noqa: N815
+
+    def getCurrentProcessingTimeMs(self):  # noqa: N802
+        return self.now
+
+    def update(self, row):
+        self.exists, self.get = True, row
+
+    def remove(self):
+        self.exists, self.get = False, None
+
+    def setTimeoutDuration(self, ms):  # noqa: N802
+        self.due = self.now + ms
+
+
+def rows_of(polls=(), manifests=()):
+    """Rows of a batch, in two parts: manifests ``(file, release)`` and polls ``(file, time, value)``."""
+    told = pd.DataFrame([(f, True, "t2m", 3, 3, at, False, 0, 0, None) for f, at in manifests], columns=COLUMNS)
+    polls = pd.DataFrame(polls, columns=["file_id", "at_us", "value"])
+    return iter([told, *reduced([polls.assign(missing=polls.pop("value").isna())])])
+
+
+def test_a_call_takes_all_files_of_a_slot():
+    """Many files, one of them without a name, in a call per batch: what each file alone gives, and those without rows stay."""
+    rng = np.random.default_rng(4)
+    files = [*map(str, range(40)), None]
+    polls = [(files[k], START + int(at), v) for k, at, v in zip(
+        rng.integers(0, 41, 3000), rng.integers(0, 20 * BUCKET_US, 3000), np.where(rng.random(3000) < 0.1, 1.0, np.nan), strict=True)]
+    slot, follow, last = Slot(), _Follower(None), {}
+    for batch in ([], *[polls[k::7] for k in range(7)], [p for p in polls if p[0] == "3"]):
+        told = [] if batch else [(f, START) for f in files]
+        for events in follow((0,), rows_of(batch, told), slot):
+            assert events.groupby("file_id", dropna=False).size().max() == 1
+            last |= {None if pd.isna(e.file_id) else e.file_id: e for e in events.itertuples()}
+    for file in files[:3] + files[4:]:
+        own = [(at, v) for f, at, v in polls if f == file]
+        first = min(at for at, v in own if v == v)
+        assert last[file].na_poll_count == sum(v != v and at < first for at, v in own)
+        assert last[file].latency_ms == first // 1000 - START // 1000
+    assert len(last) == 41
+
+
+def test_files_of_a_slot_are_forgotten_one_by_one():
+    hour = 3_600_000
+    slot, follow = Slot(), _Follower(24 * hour)
+    assert not list(follow((0,), rows_of([("b", START + 5, np.nan)], [("a", START), ("b", START)]), slot))
+    slot.now = 20 * hour
+    assert not list(follow((0,), rows_of([("b", START + 6, np.nan)]), slot))
+    assert slot.due == 24 * hour
+    slot.now = 25 * hour  # "a" is due, before Spark has told so
+    events = next(follow((0,), rows_of([("a", START + 9, 1.0), ("b", START + 9, 1.0)]), slot))
+    assert events["file_id"].tolist() == ["b"] and events["na_poll_count"].tolist() == [2]
+    slot.now, slot.hasTimedOut = 49 * hour, True
+    assert not list(follow((0,), iter(()), slot)) and not slot.exists
